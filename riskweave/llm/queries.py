@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_tree import bpe_round_trip
 from .common import table
 from .ngram_join import ngram_join
+from .packing import pack_documents
+from .token_counts import token_counts
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +17,27 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens, each document closed by id 0."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding and decoding with the multilingual vocabulary."""
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts against a limit of 1024 tokens."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op9_token_counts": op9_token_counts,
+}
 
 _OP1_SQL = r"""
 WITH RECURSIVE w AS (
@@ -23,8 +47,8 @@ g AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), i -> list_slice(ws, i, i + 3))
                                       WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS gram FROM w),
 n AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 85 * (a.c + b.c - both)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 85 * (a.c + b.c - shared)),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM w UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.seen)
 SELECT w.doc_id, coalesce(n.c, 0) AS n_shingles, r.m AS component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(seen) AS m FROM r GROUP BY node) r ON r.node = w.doc_id
