@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MARGIN, Encoder, encoder
-from .common import whole_text
+from .common import map_texts, whole_text
 
 #: Characters of a leaf.
 LEAF = 16_384
@@ -96,18 +96,17 @@ def decode(enc: Encoder, ids: list[int], leaf: int = LEAF) -> bytes:
 
 
 def _arrays(path: str, pattern: str, leaf: int):
-    def run(batches):
+    def make():
         enc = encoder(path, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [encode(enc, t, leaf).astype(np.int32) for t in pdf["text"]]})
+        return lambda texts: (None, ([encode(enc, t, leaf).astype(np.int32) for t in texts],))
 
-    return run
+    return make
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """(doc_id, ids): the ids of each whole text."""
     docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    return docs.mapInPandas(_arrays(path, pattern, leaf), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_texts(docs, _arrays(path, pattern, leaf), "ids array<int>")
 
 
 def bpe_decode(ids: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -129,16 +128,19 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
 
-    def run(batches):
+    def make():
         enc = encoder(path, pattern)
         decimal = [b"%d," % i for i in range(len(enc.bytes_of))]
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
+
+        def work(texts):
+            n, ids_sha, data_sha = [], [], []
+            for text in texts:
                 ids = encode(enc, text, leaf).tolist()
-                rows.append((len(ids), hashlib.sha256(b"".join(map(decimal.__getitem__, ids))[:-1]).hexdigest(), hashlib.sha256(decode(enc, ids, leaf)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(b"".join(map(decimal.__getitem__, ids))[:-1]).hexdigest())
+                data_sha.append(hashlib.sha256(decode(enc, ids, leaf)).hexdigest())
+            return None, (n, ids_sha, data_sha)
+
+        return work
 
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

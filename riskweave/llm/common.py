@@ -132,3 +132,31 @@ def blocks(texts, most: int = 1 << 22):
             begin, size = i + 1, 0
     if begin < len(texts):
         yield slice(begin, len(texts))
+
+
+def map_texts(docs: DataFrame, make, columns: str) -> DataFrame:
+    """Columns made from (doc_id, text) rows in bulk, Arrow batch by Arrow batch.
+
+    ``make()`` runs once a task and returns a function of a list of texts, whose result is
+    (rows, columns): rows names the text of each output row, or None if they match one to one.
+    doc_id goes through untouched, nulls and large numbers included.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    added = _parse_datatype_string(columns)
+    schema = StructType([docs.schema["doc_id"], *added.fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            ids, texts = batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("text")).to_pylist()
+            for cut in blocks(texts):
+                rows, out = work(texts[cut])
+                own = ids.slice(cut.start, cut.stop - cut.start).cast(arrow.field(0).type)
+                own = own if rows is None else own.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(v, f.type) for v, f in zip(out, list(arrow)[1:], strict=True))], schema=arrow)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -18,12 +18,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import Scratch, whole_text
+from .common import Scratch, map_texts, whole_text
 
 #: Rows of one length that a task ranks at a time, about.
 RANKED = 100_000
@@ -94,19 +93,23 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def _pieces(path: str, pattern: str, capacity: int, closing: int):
     end = np.uint32(closing).astype("<u4").tobytes()
 
-    def run(batches):
+    def make():
         enc = encoder(path, pattern)
-        for pdf in batches:
+
+        def work(texts):
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for i, text in enumerate(texts):
                 ids = enc.ids(text) + end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 cuts = [0, *range(first, n + 1, capacity)]
-                rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                rows += [(i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            i, *columns = zip(*rows, strict=True)
+            return i, columns
+
+        return work
 
-    return run
+    return make
 
 
 def pack(pieces: DataFrame, capacity: int, keep: Scratch, order: list[str]) -> DataFrame:
@@ -137,6 +140,5 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 204
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     keep = Scratch(docs.sparkSession, "packing")
     docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = keep.put(docs.mapInPandas(_pieces(path, pattern, capacity, closing), schema), "pieces")
+    pieces = keep.put(map_texts(docs, _pieces(path, pattern, capacity, closing), "piece int, start bigint, length bigint, ids_crc32 bigint"), "pieces")
     return pack(pieces, capacity, keep, ["doc_id", "piece", "start", "ids_crc32"])

@@ -14,13 +14,12 @@ are counted each; only the id and the text column are read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MARGIN, Encoder, encoder
 from .bpe_tree import scan
-from .common import whole_text
+from .common import map_texts, whole_text
 
 #: Characters of a chunk, and of its overlap with the next one.
 CHUNK, OVERLAP = 65_536, 512
@@ -60,10 +59,13 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, id
     """(doc_id, n_bytes, n_tokens, over_limit) of each whole text."""
     docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
 
-    def run(batches):
+    def make():
         enc = encoder(path, pattern)
-        for pdf in batches:
-            n = [count(enc, t, chunk, overlap) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(t.encode()) for t in pdf["text"]], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+        def work(texts):
+            n = [count(enc, t, chunk, overlap) for t in texts]
+            return None, ([len(t.encode()) for t in texts], n, [x > limit for x in n])
+
+        return work
+
+    return map_texts(docs, make, "n_bytes bigint, n_tokens bigint, over_limit boolean")
