@@ -100,23 +100,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power, _inverse
 
 
-def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of many texts, in bulk.
+#: White space, digits and ASCII marks: what parts runs of letters (bytes from 128 on count as letters).
+NO_LETTER = np.ones(256, dtype=bool)
+NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_hashes(texts: list[str], lower: bool = False, space: np.ndarray = _SPACE, prefix_bytes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of many texts, in bulk; ``space`` marks the bytes between words.
 
     Returns (hashes, first, bytes, starts, ends): words first[i]:first[i+1] belong to text i;
     bytes are all texts with one space behind each, starts and ends the words' places there.
+    With prefix_bytes, hashes has a row for whole words and one for each length of prefix.
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
     if lower:
         data = _LOWER[data]
-    space = _SPACE[data]
+    space = space[data]
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     power, inverse = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         prefix = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[data] * power[: len(data)])])
-        hashes = mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+
+        def part(stop: np.ndarray) -> np.ndarray:
+            return mix((prefix[stop] - prefix[starts]) * inverse[starts] + (stop - starts).astype(U64) * U64(0xA24BAED4963EE407))
+
+        hashes = part(ends) if not prefix_bytes else np.stack([part(ends), *(part(np.minimum(ends, starts + n)) ^ U64(n) for n in prefix_bytes)])
     stops = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, int)
     first = np.concatenate([[0], np.searchsorted(starts, stops)])
     return hashes, first, data, starts, ends
@@ -138,7 +148,8 @@ def map_texts(docs: DataFrame, make, columns: str) -> DataFrame:
     """Columns made from (doc_id, text) rows in bulk, Arrow batch by Arrow batch.
 
     ``make()`` runs once a task and returns a function of a list of texts, whose result is
-    (rows, columns): rows names the text of each output row, or None if they match one to one.
+    (rows, columns): rows names the text of each output row, or None if they match one to one;
+    its close(), if any, is called at the task's end.
     doc_id goes through untouched, nulls and large numbers included.
     """
     import pyarrow as pa
@@ -151,12 +162,15 @@ def map_texts(docs: DataFrame, make, columns: str) -> DataFrame:
 
     def run(batches):
         work = make()
-        for batch in batches:
-            ids, texts = batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for cut in blocks(texts):
-                rows, out = work(texts[cut])
-                own = ids.slice(cut.start, cut.stop - cut.start).cast(arrow.field(0).type)
-                own = own if rows is None else own.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(v, f.type) for v, f in zip(out, list(arrow)[1:], strict=True))], schema=arrow)
+        try:
+            for batch in batches:
+                ids, texts = batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("text")).to_pylist()
+                for cut in blocks(texts):
+                    rows, out = work(texts[cut])
+                    own = ids.slice(cut.start, cut.stop - cut.start).cast(arrow.field(0).type)
+                    own = own if rows is None else own.take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(v, f.type) for v, f in zip(out, list(arrow)[1:], strict=True))], schema=arrow)
+        finally:
+            getattr(work, "close", lambda: None)()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
