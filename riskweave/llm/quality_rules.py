@@ -72,6 +72,9 @@ def figures(texts: list[str]) -> pd.DataFrame:
         np.add.at(cover, whole[twice] + WINDOW, -1)
         covered = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
         repeat = covered[first[1:]] - covered[first[:-1]]
+    same = np.concatenate([[0], np.cumsum((h[1:] == h[:-1]) & (owner[1:] == owner[:-1]))]) if len(h) else np.zeros(1, np.int64)
+    at = np.concatenate([[0], same])  # at[j]: words before place j that equal the word before them
+    stutter = np.where(n_words > 0, at[first[1:]] - at[np.minimum(first[:-1] + 1, len(at) - 1)], 0)
     stop = np.isin(h, _stop_hashes())
     stops = np.concatenate([[0], np.cumsum(stop)])
     dup, n_lines = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -82,7 +85,7 @@ def figures(texts: list[str]) -> pd.DataFrame:
     assert before[-1] == len(h)
     return pd.DataFrame({
         "n_words": n_words, "word_chars": word_chars, "n_symbols": bytes_in(_SYMBOL[data]), "n_dup_lines": dup, "n_repeat_words": repeat,
-        "n_lines": n_lines, "n_upper": bytes_in(_UPPER[data]), "n_letters": bytes_in(_LETTER[data]), "n_stop": stops[first[1:]] - stops[first[:-1]],
+        "n_lines": n_lines, "n_upper": bytes_in(_UPPER[data]), "n_letters": bytes_in(_LETTER[data]), "n_stop": stops[first[1:]] - stops[first[:-1]], "n_stutter": stutter,
     })
 
 
@@ -100,10 +103,11 @@ def _stop_hashes() -> np.ndarray:
 RULES = {
     "symbols": (lambda f: f.n_symbols / f.words, (-1, 0, 0.02, 0.1)),
     "word_length": (lambda f: f.word_chars / f.words, (2.0, 3.0, 9.0, 14.0)),
-    "repeats": (lambda f: f.n_repeat_words / f.words, (-1, 0, 0.03, 0.15)),
+    "repeats": (lambda f: f.n_repeat_words / f.words, (-1, 0, 0.03, 0.2)),
     "duplicate_lines": (lambda f: f.n_dup_lines / np.maximum(f.n_lines, 1), (-1, 0, 0.1, 0.3)),
     "letters": (lambda f: f.n_letters / np.maximum(f.word_chars, 1), (0.65, 0.85, 2, 3)),
-    "stop_words": (lambda f: f.n_stop / f.words, (0.02, 0.08, 2, 3)),
+    "stop_words": (lambda f: np.where(f.n_words < 30, 0.05, f.n_stop / f.words), (0.02, 0.08, 2, 3)),  # short texts may have none
+    "stutter": (lambda f: f.n_stutter / f.words, (-1, 0, 0.05, 0.25)),
     "capitals": (lambda f: f.n_upper / np.maximum(f.n_letters, 1), (-1, 0, 0.15, 0.4)),
     "length": (lambda f: f.n_words, (10, 30, np.inf, np.inf)),
 }
@@ -120,31 +124,30 @@ def votes(f: pd.DataFrame) -> np.ndarray:
 
 
 def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Expectation-maximisation over vote patterns: (posterior of each, rates [rule, good, vote], share of good).
+    """Expectation-maximisation over vote patterns: (posterior of each, accuracies [rule, good], share of good).
 
-    It starts from rules that are right four times in five and most documents good; a rule is
-    held to being more often right than wrong, which keeps the classes from changing places.
+    A rule's accuracy on a class is how often its vote is right there when it votes; abstaining
+    is no evidence. Rules are written to spare good documents and each to catch one kind of bad
+    ones, so they start as right on 19 of 20 good ones and 3 of 10 bad ones; a rule is held to
+    accusing bad documents more often than good ones, which keeps the classes in place.
     """
     n = len(RULES)
     vote = np.stack([codes // 3 ** (n - 1 - j) % 3 for j in range(n)], axis=1)
-    rates = np.tile(np.array([[0.3, 0.5, 0.2], [0.3, 0.1, 0.6]]), (n, 1, 1))
-    share, post = 0.8, np.zeros(len(codes))
-    for _ in range(rounds):
-        log = [np.log(1 - share) + np.log(rates[np.arange(n), 0, vote]).sum(1), np.log(share) + np.log(rates[np.arange(n), 1, vote]).sum(1)]
+    right, share, post = np.tile([0.3, 0.95], (n, 1)), 0.8, np.full(len(codes), 0.8)
+    for _ in range(rounds if counts.sum() else 0):
+        log = []
+        for g in (0, 1):
+            p = np.where(vote == g + 1, right[:, g], 1 - right[:, g])
+            log.append(np.log(share if g else 1 - share) + np.where(vote == 0, 0.0, np.log(p)).sum(1))
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
-        if not counts.sum():
-            break
         share = float(np.clip((post * counts).sum() / counts.sum(), 0.05, 0.95))
         for g, weight in enumerate(((1 - post) * counts, post * counts)):
-            total = weight.sum() + 3 * smooth
-            for v in range(3):
-                rates[:, g, v] = (weight[:, None] * (vote == v)).sum(0) / total + smooth / total
-        # a bad vote is likelier on bad documents, a good vote on good ones
-        for v, g in ((1, 0), (2, 1)):
-            low = np.minimum(rates[:, g, v], rates[:, 1 - g, v])
-            rates[:, 1 - g, v] = np.where(rates[:, g, v] < rates[:, 1 - g, v], low, rates[:, 1 - g, v])
-        rates /= rates.sum(2, keepdims=True)
-    return post, rates, share
+            voted = (weight[:, None] * (vote > 0)).sum(0)
+            hit = (weight[:, None] * (vote == g + 1)).sum(0)
+            right[:, g] = np.clip((hit + smooth) / (voted + 2 * smooth), 0.8 if g else 0.02, 0.9995)
+        # a bad vote is likelier on bad documents than on good ones
+        right[:, 0] = np.maximum(right[:, 0], 1 - right[:, 1])
+    return post, right, share
 
 
 def _model(patterns: DataFrame) -> dict[int, float]:
