@@ -26,7 +26,8 @@ def cap_chain(liks: str | Column, betas: list[float], psis: list[float]) -> Colu
 
 def cap_log(lik: Column, safe: Column, bound: float | Column) -> Column:
     """Capping of the log-ratio: lik if ln(lik / safe) < bound, else exp(bound) * safe."""
-    return F.when(F.ln(lik / safe) < bound, lik).otherwise(F.exp(bound) * safe)
+    b = bound if isinstance(bound, Column) else F.lit(float(bound))
+    return F.when(F.ln(lik / safe) < b, lik).otherwise(F.exp(b) * safe)
 
 
 def mixture_weight(alpha: float, beta: Column, psi_safe: Column | None = None, psi_unc: Column | None = None) -> Column:

@@ -437,7 +437,7 @@ def pool_beta_search(spark, d):
     return _r(G.pool_risk_curve(cal.filter("id % 3 <> 0"), cal.filter("id % 3 = 0"), _BOUNDS))
 
 
-@query("cdt_controller", f"WITH {CAL} SELECT id, round(1 + coalesce(sum(CASE WHEN isfinite(score) THEN 0.05 * 0.2 ELSE 0.05 * (0.2 - 1) END) OVER (PARTITION BY user_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS level FROM cal")
+@query("cdt_controller", f"WITH {CAL} SELECT id, round(CAST(1 AS DOUBLE) + coalesce(sum(CAST(CASE WHEN isfinite(score) THEN 0.05 * 0.2 ELSE 0.05 * (0.2 - 1) END AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS level FROM cal")
 def cdt_controller(spark, d):
     return CF.additive_controller(calibration(spark, d), "user_id", "id", feasible("score"), 0.2, 0.05, 1.0).select("id", r6("level").alias("level"))
 
@@ -474,10 +474,10 @@ def sweep_cummax(spark, d):
     return _r(R.running_best(_dense(spark, d), "v", ["alpha", "seed"], "round").select("alpha", "seed", "round", "best"))
 
 
-@query("sweep_mean_se", _DENSE + " SELECT alpha, round, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v) / sqrt(greatest(count(v), 1)), 4) AS se FROM dense GROUP BY alpha, round")
+@query("sweep_mean_se", _DENSE + " SELECT alpha, round, count(v) AS n, round(avg(v) / pi(), 6) AS mean, round(stddev_pop(v) / sqrt(greatest(count(v), 1)) / pi(), 6) AS se FROM dense GROUP BY alpha, round")
 def sweep_mean_se(spark, d):
     out = R.mean_and_error(_dense(spark, d), "v", ["alpha", "round"])
-    return out.withColumns({c: F.round(c, 4) for c in ("mean", "se")})
+    return out.withColumns({c: F.round(F.col(c) / math.pi, 6) for c in ("mean", "se")})
 
 
 @query("step_mean_stderr", "SELECT month(l_shipdate) AS step, l_linestatus AS method, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity) / sqrt(count(DISTINCT l_suppkey)), 6) AS se, count(DISTINCT l_suppkey) AS seeds FROM lineitem GROUP BY ALL")
