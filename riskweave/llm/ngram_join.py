@@ -10,12 +10,23 @@ and would make hot signatures: a node with no more than m of them leaves them ou
 equal partitions still include another one. Only nodes with more of them emit those too, each
 crossed with the signatures of a second, independent partitioning.
 
+Shared passages would still make hot signatures, out of partitions that hold nothing else. So
+shingles that a sample of the nodes shows to be frequent do not count here: a node leaves out
+partitions with at most one other element as long as there are no more than m of them. (Which
+shingles are called frequent, and so the sample, only matters for speed: the argument above
+holds for any set of them.)
+
 Signatures travel in packed blocks, combined inside each batch first, so a signature that many
 rows hold arrives once per batch. Members of a shared signature are not paired with each
-other: each is compared with one hub; what stays outside the hub's component gets other hubs,
-then the few remaining pairs across components, and large remaining groups are split further
-by signatures of new partitionings. Every pair that shares a signature is thus either compared
-exactly or already in one component: no link between components is lost and none is capped.
+other: each is compared with one hub, then what stays outside the hub's component with another
+one. Groups that still hold several components are compared across those, in bounded lists;
+huge ones are split first by signatures of a new partitioning. Every pair
+that shares a signature is thus either compared exactly or already in one component: no link
+between components is lost and none is capped.
+
+Comparisons go through a sketch first, 256 counts of elements by hash: their summed differences
+never exceed the sets' difference, so a pair whose sketches lie too far apart cannot be linked.
+Only what passes this exact bound has its sets brought together.
 
 Defined results: null or empty text has n_shingles 0 and is linked with nothing; fewer than n
 words make one shingle of the whole sequence; equal rows stay separate rows of one component;
@@ -30,12 +41,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, blocks, mix, stream, whole_text, word_hashes
+from .common import U64, Scratch, blocks, map_texts, mix, stream, whole_text, word_hashes
 
 #: Bytes of packed signatures that one task sorts at a time.
 BUCKET_BYTES = 6_000_000
-#: A leftover group is compared directly if that costs at most so many pairs a member.
-DIRECT_PAIRS = 32
+#: Nodes of the sample that shows which shingles are frequent, about, and how many must hold one.
+SAMPLE, FREQUENT = 10_000, 5
+#: Leftover groups of at most so many nodes are one list of a task; larger ones are dealt into chunks.
+GROUP = 2000
+#: Beyond so many nodes a group is split once by signatures of a new partitioning.
+HUGE = 100_000
 _COMBINE = stream(23, 64) | U64(1)
 
 
@@ -90,8 +105,8 @@ class Bands:
         return 2 * self.high[band] * (self.den - self.num) // (self.den + self.num)
 
 
-def _parts(s: np.ndarray, n: int, seed: U64) -> tuple[np.ndarray, np.ndarray]:
-    """How many elements each of n partitions has, and a hash of them."""
+def _parts(s: np.ndarray, n: int, seed: U64, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many elements each of n partitions has, a hash of them, and how many are not common."""
     with np.errstate(over="ignore"):
         m = mix(s ^ seed)
         part = ((m >> U64(32)) * U64(n)) >> U64(32)
@@ -99,49 +114,72 @@ def _parts(s: np.ndarray, n: int, seed: U64) -> tuple[np.ndarray, np.ndarray]:
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(m[order] + U64(0x1F83D9ABFB41BD6B)))])
         count = np.bincount(part.astype(np.int64), minlength=n)
         ends = np.cumsum(count)
-        return count, sums[ends] - sums[ends - count]
+        rare = np.bincount(part[~common].astype(np.int64), minlength=n)
+        return count, sums[ends] - sums[ends - count], rare
+
 
+def _among(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(s), bool)
+    at = np.searchsorted(frequent, s)
+    at[at == len(frequent)] = 0
+    return frequent[at] == s
 
-def signatures(s: np.ndarray, bands: Bands, seed: int = 0) -> np.ndarray:
-    """The signatures of a set as a member of its own band and of the next one."""
+
+def signatures(s: np.ndarray, bands: Bands, frequent: np.ndarray, seed: int = 0, like: int | None = None) -> np.ndarray:
+    """The signatures of a set as a member of its own band and of the next one.
+
+    A signature's last 8 bits are its band's; ``like`` leaves only the band of that signature.
+    """
     out = []
     if len(s):
-        own = bands.of(len(s))
+        own, common = bands.of(len(s)), _among(s, frequent)
         for band in (own, own + 1):
             k = bands.largest(band)
-            if not k:
+            if not k or (like is not None and like & 255 != band & 255):
                 continue  # only equal sets are linked, and those are one node
             spare = max(2, -(-(k + 1) // 5))
             n = k + 1 + spare
             key = stream(1000 + 97 * seed + band, 3)
-            count, value = _parts(s, n, key[0])
+            count, value, rare = _parts(s, n, key[0], common)
             with np.errstate(over="ignore"):
                 sig = mix(mix(value + key[1]) + np.arange(n, dtype=U64) * key[2])
                 light = count <= 1
-                out.append(sig[~light])
+                if (rare <= 1).sum() <= spare:
+                    light = rare <= 1
+                found = [sig[~light]]
                 if light.sum() > spare:
                     other = stream(500_000 + 97 * seed + band, 3)
-                    _, value = _parts(s, k + 1, other[0])
+                    _, value, _ = _parts(s, k + 1, other[0], common)
                     second = mix(mix(value + other[1]) + np.arange(k + 1, dtype=U64) * other[2])
-                    out.append(mix(sig[light][:, None] * U64(0x9E3779B97F4A7C15) + second[None, :]).ravel())
+                    found.append(mix(sig[light][:, None] * U64(0x9E3779B97F4A7C15) + second[None, :]).ravel())
+                out.append(np.concatenate(found) & ~U64(255) | U64(band & 255))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
 
 
 def _nodes(n: int):
-    def run(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for cut in blocks(texts):
-                sets = shingle_sets(texts[cut], n)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[cut], "node": [digest(s) for s in sets], "n_shingles": [len(s) for s in sets]})
+    def work(texts):
+        sets = shingle_sets(texts, n)
+        return None, ([digest(s) for s in sets], [len(s) for s in sets])
 
-    return run
+    return lambda: work
 
 
 _LOW = U64((1 << 40) - 1)
+_NONE = np.zeros(0, U64)
 
 
-def _pack(n: int, num: int, den: int, buckets: int):
+def _shingles(n: int):
+    def run(batches):
+        for pdf in batches:
+            sets = shingle_sets(pdf["text"].tolist(), n)
+            values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, U64), return_counts=True)
+            yield pd.DataFrame({"shingle": values.view(np.int64), "c": counts})
+
+    return run
+
+
+def _pack(n: int, num: int, den: int, buckets: int, frequent: np.ndarray):
     """Packed signatures by bucket: 5 bytes of each and 4 of its node's place in the block."""
 
     def run(batches):
@@ -154,7 +192,7 @@ def _pack(n: int, num: int, den: int, buckets: int):
                     seen.setdefault(digest(s), s)
                 seen.pop(0, None)
                 nodes = np.array(list(seen), dtype=np.int64)
-                each = [signatures(s, bands) for s in seen.values()]
+                each = [signatures(s, bands, frequent) for s in seen.values()]
                 if not each or not sum(map(len, each)):
                     continue
                 sig, at = np.concatenate(each), np.repeat(np.arange(len(each), dtype=np.uint32), [len(x) for x in each])
@@ -206,14 +244,62 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sig": s.view(np.int64), "node": np.concatenate(done_n) if done_n else np.zeros(0, np.int64)})
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements fall to each of 256 values of a hash, at most 255."""
+    return np.minimum(np.bincount((mix(s) >> U64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def _sets(n: int):
     def run(batches):
         for pdf in batches:
             texts = pdf["text"].tolist()
             for cut in blocks(texts):
                 sets = shingle_sets(texts[cut], n)
-                keep = [(w, s.tobytes()) for w, s in zip(pdf["node"].iloc[cut], sets, strict=True) if digest(s) == w]
-                yield pd.DataFrame(keep, columns=["node", "elements"])
+                keep = [(w, len(s), sketch(s), s.tobytes()) for w, s in zip(pdf["node"].iloc[cut], sets, strict=True) if digest(s) == w]
+                yield pd.DataFrame(keep, columns=["node", "n", "sketch", "elements"])
+
+    return run
+
+
+def _rows(blobs) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 256).astype(np.int16)
+
+
+def _near(num: int, den: int):
+    """Drop pairs whose sketches are too far apart."""
+
+    def run(batches):
+        for pdf in batches:
+            ok = np.zeros(len(pdf), bool)
+            for at in range(0, len(pdf), 4096):
+                p = pdf.iloc[at : at + 4096]
+                far = np.abs(_rows(p["sa"]) - _rows(p["sb"])).sum(1, dtype=np.int64)
+                ok[at : at + 4096] = far * (den + num) <= (den - num) * (p["na"] + p["nb"]).to_numpy()
+            yield pdf.loc[ok, ["a", "b"]]
+
+    return run
+
+
+def _across(num: int, den: int):
+    """Of small groups: the pairs of different components whose sizes allow a link."""
+
+    def run(batches):
+        for pdf in batches:
+            a, b = [], []
+            for node, root, n in zip(pdf["nodes"], pdf["roots"], pdf["sizes"], strict=True):
+                # the largest component's members come last: they are not compared with each other
+                _, place, size = np.unique(root, return_inverse=True, return_counts=True)
+                order = np.argsort(place == size.argmax(), kind="stable")
+                node, root, n = node[order], root[order], n[order]
+                x = len(node) - size.max()
+                open_pair = (root[:x, None] != root) & (np.arange(x)[:, None] < np.arange(len(node)))
+                open_pair &= np.abs(n[:x, None] - n) * (den + num) <= (den - num) * (n[:x, None] + n)
+                p, q = np.nonzero(open_pair)
+                a.append(np.minimum(node[p], node[q]))
+                b.append(np.maximum(node[p], node[q]))
+            pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1) if a else np.zeros((0, 2), np.int64)
+            pairs = np.unique(pairs, axis=0)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -230,7 +316,7 @@ def _verify(num: int, den: int):
                 at[at == len(a)] = 0
                 both = int((a[at] == b).sum())
                 ok[i] = den * both >= num * (len(a) + len(b) - both)
-            yield pd.DataFrame({"a": pdf["a"][ok], "b": pdf["b"][ok]})
+            yield pdf.loc[ok, ["a", "b"]]
 
     return run
 
@@ -241,9 +327,10 @@ def _refine(num: int, den: int, seed: int):
         for pdf in batches:
             rows_s, rows_n = [], []
             for sig, node, blob in zip(pdf["sig"], pdf["node"], pdf["elements"], strict=True):
-                own = signatures(np.frombuffer(blob, U64), bands, seed)
+                own = signatures(np.frombuffer(blob, U64), bands, _NONE, seed, int(sig) & 255)
                 with np.errstate(over="ignore"):
-                    rows_s.append(mix(own ^ np.array([sig], np.int64).view(U64)).view(np.int64))
+                    new = mix(own ^ np.array([sig], np.int64).view(U64)) & ~U64(255) | U64(int(sig) & 255)
+                rows_s.append(new.view(np.int64))
                 rows_n.append(np.full(len(own), node, np.int64))
             yield pd.DataFrame({"sig": np.concatenate(rows_s), "node": np.concatenate(rows_n)} if rows_s else {"sig": [], "node": []}).astype("int64")
 
@@ -280,54 +367,64 @@ def ngram_join(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_i
     spark = docs.sparkSession
     keep = Scratch(spark, "ngram")
     docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    nodes = keep.put(docs.mapInPandas(_nodes(n), f"doc_id {kind}, node bigint, n_shingles bigint"), "nodes")
+    nodes = keep.put(map_texts(docs, _nodes(n), "node bigint, n_shingles bigint"), "nodes")
     shingles = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(32, int(shingles * 0.5 * 11 / BUCKET_BYTES))
-    packed = docs.mapInPandas(_pack(n, num, den, buckets), "bucket int, kind int, a binary, b binary")
+    first = keep.put(nodes.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "first")
+    step = max(1, first.count() // SAMPLE)
+    sample = docs.join(F.broadcast(first.filter(F.pmod("node", F.lit(step)) == 0).select("doc_id")), "doc_id").select("text")
+    counted = sample.mapInPandas(_shingles(n), "shingle bigint, c bigint").groupBy("shingle").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
+    frequent = np.sort(counted.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(U64))  # bounded by the sample
+    packed = docs.select("text").mapInPandas(_pack(n, num, den, buckets, frequent), "bucket int, kind int, a binary, b binary")
     members = keep.put(packed.groupBy("bucket").applyInPandas(_meet, "sig bigint, node bigint"), "members")
 
-    first = nodes.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(members.select("node").distinct(), "node")
-    sets = keep.put(wanted.join(docs, "doc_id").select("node", "text").mapInPandas(_sets(n), "node bigint, elements binary").dropDuplicates(["node"]), "sets")
+    sets = keep.put(wanted.join(docs, "doc_id").select("node", "text").mapInPandas(_sets(n), "node bigint, n bigint, sketch binary, elements binary").dropDuplicates(["node"]), "sets")
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), *[F.col(c).alias(c[0] + name) for c in columns]).hint("merge")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
-        b = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-        joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "ea", "eb")
-        return joined.mapInPandas(_verify(num, den), "a bigint, b bigint")
+        near = pairs.join(side("b", "n", "sketch"), "b").join(side("a", "n", "sketch"), "a").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(_near(num, den), "a bigint, b bigint")
+        both = near.join(side("b", "elements"), "b").join(side("a", "elements"), "a").select("a", "b", "ea", "eb")
+        return keep.put(both.mapInPandas(_verify(num, den), "a bigint, b bigint"), "links")
 
     links = None  # verified pairs so far
     roots = members.limit(0).select("node", F.col("node").alias("root"))
-    hubs = (F.min("node"), F.max("node"), F.min_by("node", F.xxhash64("node")))
+
+    def linked(pairs: DataFrame) -> None:
+        nonlocal links, roots
+        found = verified(pairs)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = components(spark, links, keep)
+
+    def rooted() -> DataFrame:
+        return members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+
     level = 0
     while True:
-        for hub in hubs[: 3 if not level else 2]:
-            marked = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+        for hub in (F.min("node"), F.max("node")):
+            marked = rooted()
             chosen = marked.groupBy("sig").agg(hub.alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
             chosen = chosen.join(roots.withColumnsRenamed({"node": "hub", "root": "hub_root"}), "hub", "left").select("sig", "hub", F.coalesce("hub_root", "hub").alias("hub_root"))
-            pairs = marked.join(chosen, "sig").filter("root <> hub_root").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-            found = keep.put(verified(pairs), "links")
-            if found.isEmpty():
-                continue
-            links = found if links is None else links.union(found)
-            roots = components(spark, links, keep)
-        marked = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")).distinct()
-        by_root = marked.groupBy("sig", "root").agg(F.count("*").alias("c"))
-        open_groups = by_root.groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("roots")).filter("roots > 1")
-        open_groups = keep.put(open_groups.select("sig", ((F.col("n") * F.col("n") - F.col("sq")) / 2 <= F.lit(DIRECT_PAIRS if level < 6 else 2**62) * F.col("n")).alias("direct")), "open")
-        here = keep.put(marked.join(open_groups, "sig"), "left")
-        x, y = (here.filter("direct").select("sig", F.col("node").alias(v), F.col("root").alias(f"r{v}")) for v in "ab")
-        # all that is left of a small group, across its components; never a whole group
-        found = keep.put(verified(x.join(y, "sig").filter("a < b and ra <> rb").select("a", "b").distinct()), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = components(spark, links, keep)
-        rest = here.filter("not direct")
+            linked(marked.join(chosen, "sig").filter("root <> hub_root").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        groups = rooted().groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+        here = keep.put(rooted().join(groups.select("sig", "size"), "sig"), "open")
+        keep.drop(members)
+        huge = F.lit(level == 0) & (F.col("size") > HUGE)
+        near = here.filter(~huge).distinct().join(sets.select("node", "n").hint("merge"), "node")
+        # larger groups are dealt into chunks, and every two chunks meet in a list of their own
+        chunks = F.when(F.col("size") <= GROUP, 1).otherwise(F.ceil(F.col("size") / max(GROUP // 2, 1))).cast("int")
+        near = near.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        # bounded lists; most signatures of a family have the same members, so distinct lists are few
+        lists = near.groupBy("sig", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2")).agg(F.array_sort(F.collect_list(F.struct("node", "root", "n"))).alias("g")).select(*[F.col(f"g.{c}").alias(d) for c, d in (("node", "nodes"), ("root", "roots"), ("n", "sizes"))])
+        linked(lists.distinct().mapInPandas(_across(num, den), "a bigint, b bigint").distinct())
+        rest = here.filter(huge)
         if rest.isEmpty():
             break
         level += 1
-        members = keep.put(rest.select("sig", "node").join(sets, "node").select("sig", "node", "elements").mapInPandas(_refine(num, den, level), "sig bigint, node bigint"), "members")
+        members = keep.put(rest.select("sig", "node").distinct().join(sets.select("node", "elements").hint("merge"), "node").mapInPandas(_refine(num, den, level), "sig bigint, node bigint"), "members")
     marked = nodes.join(roots, "node", "left").withColumn("root", F.when(F.col("node") != 0, F.coalesce("root", "node")))
     least = marked.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return marked.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
