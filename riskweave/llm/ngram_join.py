@@ -51,6 +51,8 @@ SAMPLE, FREQUENT = 10_000, 5
 GROUP = 2000
 #: Beyond so many nodes a group is split once by signatures of a new partitioning.
 HUGE = 100_000
+#: Values of the coarse sketch.
+COARSE = 64
 _COMBINE = stream(23, 64) | U64(1)
 
 
@@ -249,14 +251,19 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((mix(s) >> U64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
+def coarse(fine: bytes) -> bytes:
+    """A sketch over fewer values, for lists of many nodes; its differences bound the sets' as well."""
+    return np.minimum(np.frombuffer(fine, np.uint8).reshape(COARSE, -1).sum(1), 255).astype(np.uint8).tobytes()
+
+
 def _sets(n: int):
     def run(batches):
         for pdf in batches:
             texts = pdf["text"].tolist()
             for cut in blocks(texts):
                 sets = shingle_sets(texts[cut], n)
-                keep = [(w, len(s), sketch(s), s.tobytes()) for w, s in zip(pdf["node"].iloc[cut], sets, strict=True) if digest(s) == w]
-                yield pd.DataFrame(keep, columns=["node", "n", "sketch", "elements"])
+                keep = [(w, len(s), f := sketch(s), coarse(f), s.tobytes()) for w, s in zip(pdf["node"].iloc[cut], sets, strict=True) if digest(s) == w]
+                yield pd.DataFrame(keep, columns=["node", "n", "sketch", "coarse", "elements"])
 
     return run
 
@@ -281,12 +288,12 @@ def _near(num: int, den: int):
 
 
 def _across(num: int, den: int):
-    """Of small groups: the pairs of different components whose sizes allow a link."""
+    """Of small groups: the pairs of different components whose sizes and coarse sketches allow a link."""
 
     def run(batches):
         for pdf in batches:
             a, b = [], []
-            for node, root, n in zip(pdf["nodes"], pdf["roots"], pdf["sizes"], strict=True):
+            for node, root, n, coarse in zip(pdf["nodes"], pdf["roots"], pdf["sizes"], pdf["sketches"], strict=True):
                 # the largest component's members come last: they are not compared with each other
                 _, place, size = np.unique(root, return_inverse=True, return_counts=True)
                 order = np.argsort(place == size.argmax(), kind="stable")
@@ -295,6 +302,11 @@ def _across(num: int, den: int):
                 open_pair = (root[:x, None] != root) & (np.arange(x)[:, None] < np.arange(len(node)))
                 open_pair &= np.abs(n[:x, None] - n) * (den + num) <= (den - num) * (n[:x, None] + n)
                 p, q = np.nonzero(open_pair)
+                rows = np.frombuffer(b"".join(coarse), np.uint8).reshape(-1, COARSE).astype(np.int16)[order]
+                near = [np.abs(rows[p[i : i + 8192]] - rows[q[i : i + 8192]]).sum(1, dtype=np.int64) for i in range(0, len(p), 8192)]
+                if near:
+                    ok = np.concatenate(near) * (den + num) <= (den - num) * (n[p] + n[q])
+                    p, q = p[ok], q[ok]
                 a.append(np.minimum(node[p], node[q]))
                 b.append(np.maximum(node[p], node[q]))
             pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1) if a else np.zeros((0, 2), np.int64)
@@ -379,7 +391,7 @@ def ngram_join(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_i
     members = keep.put(packed.groupBy("bucket").applyInPandas(_meet, "sig bigint, node bigint"), "members")
 
     wanted = first.join(members.select("node").distinct(), "node")
-    sets = keep.put(wanted.join(docs, "doc_id").select("node", "text").mapInPandas(_sets(n), "node bigint, n bigint, sketch binary, elements binary").dropDuplicates(["node"]), "sets")
+    sets = keep.put(wanted.join(docs, "doc_id").select("node", "text").mapInPandas(_sets(n), "node bigint, n bigint, sketch binary, coarse binary, elements binary").dropDuplicates(["node"]), "sets")
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), *[F.col(c).alias(c[0] + name) for c in columns]).hint("merge")
@@ -413,12 +425,12 @@ def ngram_join(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_i
         here = keep.put(rooted().join(groups.select("sig", "size"), "sig"), "open")
         keep.drop(members)
         huge = F.lit(level == 0) & (F.col("size") > HUGE)
-        near = here.filter(~huge).distinct().join(sets.select("node", "n").hint("merge"), "node")
+        near = here.filter(~huge).distinct().join(sets.select("node", "n", "coarse").hint("merge"), "node")
         # larger groups are dealt into chunks, and every two chunks meet in a list of their own
         chunks = F.when(F.col("size") <= GROUP, 1).otherwise(F.ceil(F.col("size") / max(GROUP // 2, 1))).cast("int")
         near = near.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         # bounded lists; most signatures of a family have the same members, so distinct lists are few
-        lists = near.groupBy("sig", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2")).agg(F.array_sort(F.collect_list(F.struct("node", "root", "n"))).alias("g")).select(*[F.col(f"g.{c}").alias(d) for c, d in (("node", "nodes"), ("root", "roots"), ("n", "sizes"))])
+        lists = near.groupBy("sig", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2")).agg(F.array_sort(F.collect_list(F.struct("node", "root", "n", "coarse"))).alias("g")).select(*[F.col(f"g.{c}").alias(d) for c, d in (("node", "nodes"), ("root", "roots"), ("n", "sizes"), ("coarse", "sketches"))])
         linked(lists.distinct().mapInPandas(_across(num, den), "a bigint, b bigint").distinct())
         rest = here.filter(huge)
         if rest.isEmpty():
