@@ -55,7 +55,7 @@ def to_png(data: bytes) -> bytes:
     rows = len(data) // WIDTH
     lines = np.zeros((rows, WIDTH + 1), np.uint8)
     lines[:, 1:] = np.frombuffer(data, np.uint8).reshape(rows, WIDTH)
-    return MAGIC + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, rows, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return MAGIC + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, rows, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int]:
@@ -115,7 +115,7 @@ class Shards:
             if self.out is None or self.at > self.most:
                 self.close()
                 self.files.create_dir(self.base, recursive=True)
-                self.name, self.at = f"{uuid.uuid4().hex}.tar", 0
+                self.name, self.at = f"{uuid.uuid4().hex[:16]}.tar", 0
                 self.out = self.files.open_output_stream(f"{self.base}/{self.name}")
             self.out.write(tar_header(f"{key.hex()[:40]}.png", len(media)) + media + bytes(-len(media) % 512))
             self.known[key] = self.name, self.at + 512, len(media)
@@ -152,33 +152,36 @@ def _spread(places: DataFrame) -> DataFrame:
 
 
 def _read(places: DataFrame, root: str, columns: str, work, head: int | None = None) -> DataFrame:
+    """Places with columns that ``work`` makes of the bytes there; rows stay where they are."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    schema = StructType([places.schema["digest"], *_parse_datatype_string(columns).fields])
+    added = _parse_datatype_string(columns)
+    schema = StructType([*places.schema.fields, *added.fields])
 
     def run(batches):
         files, base = _files(root)
         arrow, opened, name = to_arrow_schema(schema), None, None
         for batch in batches:
             rows = []
-            for digest, shard, offset, length in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
+            for shard, offset, length in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if shard != name:
                     if opened:
                         opened.close()
                     opened, name = files.open_input_file(f"{base}/{shard}"), shard
-                rows.append((digest, *work(opened.read_at(min(length, head or length), offset))))
+                rows.append(work(opened.read_at(min(length, head or length), offset)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                new = [pa.array(v, arrow.field(f.name).type) for v, f in zip(zip(*rows, strict=True), added.fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), *new], schema=arrow)
         if opened:
             opened.close()
 
-    return _spread(places).sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
+    return places.mapInArrow(run, schema)
 
 
 def read_metadata(places: DataFrame, root: str) -> DataFrame:
-    """(digest, width, height, bits) from range reads of the headers alone."""
+    """Places with width, height and bits, from range reads of the headers alone."""
     return _read(places, root, "width int, height int, bits int", png_header, HEADER)
 
 
@@ -189,12 +192,12 @@ def _features(media: bytes) -> tuple:
     counts = np.bincount(samples >> 5, minlength=8)
     steps = int(np.abs(np.diff(samples.astype(np.int16))).sum())
     feature = f"{width}x{height}x{bits} mean={1000 * int(samples.sum(dtype=np.int64)) // len(samples)} step={1000 * steps // len(samples)} bins=" + "-".join(str(1000 * int(c) // len(samples)) for c in counts)
-    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-32:]), hashlib.sha256(media).digest(), feature
 
 
 def read_features(places: DataFrame, root: str) -> DataFrame:
-    """(digest, payload and media digests, feature) computed from the bytes read back."""
-    return _read(places, root, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", _features)
+    """Places with payload and media digests and a feature string, computed from the bytes read back."""
+    return _read(places, root, "payload_bytes bigint, payload_sha binary, tail_crc32 bigint, media_sha binary, feature string", _features)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,7 +210,10 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     root = keep.path("shards")
     manifest = keep.put(store_media(docs, root, id_col=id_col, text_col=text_col), "manifest")
     places = keep.put(locations(manifest), "places")
-    about = keep.put(places.join(read_features(places, root), "digest").join(read_metadata(places, root), "digest"), "about")
+    ordered = _spread(places).sortWithinPartitions("shard", "offset")
+    about = read_features(read_metadata(ordered, root), root)
+    hexed = lambda c: F.lower(F.hex(c))
     return manifest.select("doc_id", "n_bytes", "digest").join(about, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset"
+        "doc_id", "n_bytes", "payload_bytes", hexed("payload_sha").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), hexed("media_sha").alias("media_sha256"),
+        "feature", "width", "height", "shard", "offset",
     )
