@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_LETTER, blocks, map_texts, whole_text, word_hashes
+from .common import NO_LETTER, Scratch, blocks, map_texts, whole_text, word_hashes
 
 #: Examples of either label at most; the bound of the sample.
 PER_CLASS = 5000
@@ -62,27 +62,33 @@ def text_terms(texts: list[str], vocabulary: np.ndarray | None = None) -> tuple[
     return row[fresh], term[fresh], np.diff(np.concatenate([fresh, [len(row)]]))
 
 
-def select_vocabulary(texts: list[str], toxic: np.ndarray, least: int = 4, lift: float = 4.0, surprise: float = 12.0) -> np.ndarray:
-    """Sorted hashes of terms that toxic examples have much more often than others."""
-    tox, clean = {}, {}
-    n = {True: 0, False: 0}
-    seen = []
-    for cut in blocks(texts, 1 << 22):
-        row, term, _ = text_terms(texts[cut])
-        seen.append((term, toxic[cut][row]))
-        n[True] += int(toxic[cut].sum())
-        n[False] += int((~toxic[cut]).sum())
-    del tox, clean
-    if not seen or not n[True]:
-        return np.zeros(0, np.uint64)
-    term, label = np.concatenate([t for t, _ in seen]), np.concatenate([x for _, x in seen])
-    values, place = np.unique(term, return_inverse=True)
-    a = np.bincount(place, weights=label, minlength=len(values))
-    b = np.bincount(place, minlength=len(values)) - a
-    rate_a, rate_b = a / n[True], (b + 0.5) / (n[False] + 1)
-    expected = np.maximum((a + b) * n[True] / (n[True] + n[False]), 1e-9)
-    g = 2 * a * np.log(np.maximum(a, 1e-9) / expected)
-    return values[(a >= least) & (rate_a >= lift * rate_b) & (g >= surprise)]
+def select_vocabulary(examples: DataFrame, n_toxic: int, n_clean: int, least: int = 4, lift: float = 4.0, surprise: float = 12.0) -> np.ndarray:
+    """Sorted hashes of terms that toxic examples (text, toxic) have much more often than others.
+
+    Terms are counted on the executors; only those chosen come to the driver.
+    """
+
+    def count(batches):
+        for pdf in batches:
+            texts, label = pdf["text"].tolist(), pdf["toxic"].to_numpy()
+            for cut in blocks(texts):
+                row, term, _ = text_terms(texts[cut])
+                values, place = np.unique(term.view(np.int64) if len(term) else np.zeros(0, np.int64), return_inverse=True)
+                a = np.bincount(place, weights=label[cut][row], minlength=len(values)).astype(np.int64)
+                yield pd.DataFrame({"term": values, "a": a, "b": np.bincount(place, minlength=len(values)) - a})
+
+    a, b = F.col("a"), F.col("b")
+    total = max(n_toxic + n_clean, 1)
+    counted = examples.select("text", "toxic").mapInPandas(count, "term bigint, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    marked = (a >= least) & (a / max(n_toxic, 1) >= lift * (b + 0.5) / (n_clean + 1)) & (2 * a * F.ln(a * total / ((a + b) * max(n_toxic, 1))) >= surprise)
+    return np.sort(np.array([r["term"] for r in counted.filter(marked).select("term").collect()], dtype=np.int64).view(np.uint64))
+
+
+def by_text(texts: list[str], vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places in the vocabulary and times of each text's terms."""
+    row, term, times = text_terms(texts, vocabulary)
+    cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+    return [(term[a:b], times[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @dataclass
@@ -103,30 +109,40 @@ class Index:
     slope: float = 1.0
     shift: float = 0.0
 
+    def vector(self, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A text's terms and their unit-length tf-idf weights."""
+        value = (1 + np.log(times)) * self.idf[term]
+        return term, value / max(np.sqrt((value**2).sum()), 1e-12)
+
     def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        row, term, times = text_terms(texts, self.vocabulary)
-        value = (1 + np.log(times)) * self.idf[term] if len(row) else np.zeros(0)
-        cuts = np.searchsorted(row, np.arange(len(texts) + 1))
-        return [(term[a:b], value[a:b] / max(np.sqrt((value[a:b] ** 2).sum()), 1e-12)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [self.vector(*x) for x in by_text(texts, self.vocabulary)]
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest, ties by place; exact. ``skip`` leaves one example out."""
         bound = values @ self.largest[terms]
         order = np.argsort(-bound, kind="stable")
-        best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for i in order:
-            if bound[i] <= 1e-12 or (len(best) == k and bound[i] < cosine[-1] - 1e-9):
+        best, cosine, at, width = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while at < len(order):
+            least = cosine[-1] - 1e-9 if len(best) == k else 1e-12
+            take = order[at : at + width]
+            take = take[bound[take] >= least]  # bounds fall along the order
+            if not len(take):
                 break
-            score = np.zeros(BLOCK)
+            place = np.empty(len(bound), np.int64)
+            place[take] = np.arange(len(take)) * BLOCK
+            score = np.zeros(len(take) * BLOCK)
             for t, v in zip(terms, values, strict=True):
-                a, b = self.starts[t, i], self.starts[t, i + 1]
-                score[self.docs[a:b] - i * BLOCK] += v * self.values[a:b]
-            if skip // BLOCK == i:
-                score[skip % BLOCK] = 0
+                a, n = self.starts[t, take], self.starts[t, take + 1] - self.starts[t, take]
+                rows = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                docs = self.docs[rows]
+                score[place[docs // BLOCK] + docs % BLOCK] += v * self.values[rows]
+            if skip >= 0 and skip // BLOCK in take:
+                score[place[skip // BLOCK] + skip % BLOCK] = 0
             found = np.flatnonzero(score > 1e-12)
-            best, cosine = np.concatenate([best, found + i * BLOCK]), np.concatenate([cosine, score[found]])
+            best, cosine = np.concatenate([best, take[found // BLOCK] * BLOCK + found % BLOCK]), np.concatenate([cosine, score[found]])
             keep = np.lexsort((best, -np.round(cosine, 9)))[:k]
             best, cosine = best[keep], cosine[keep]
+            at, width = at + len(take) if len(take) == width else len(order), 2 * width
         return best, cosine
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
@@ -144,11 +160,11 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def build_index(ids: np.ndarray, texts: list[str], toxic: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, frequency: np.ndarray, total: int) -> Index:
+def build_index(ids: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, frequency: np.ndarray, total: int) -> Index:
     """Index and calibrate labelled examples; frequency holds the terms' document counts in the corpus."""
     idf = np.log(1 + total / np.maximum(frequency, 1))
     index = Index(vocabulary, idf, ids, toxic, weight, *(np.zeros(0),) * 4)
-    vectors = index.vectors(texts)
+    vectors = [index.vector(*x) for x in terms]
     has = np.array([len(t) > 0 for t, _ in vectors], dtype=bool)
     bare = ~has
     index.none = float((weight[bare] * toxic[bare]).sum() / max(weight[bare].sum(), 1e-12)) if bare.any() else 0.0
@@ -202,16 +218,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k:
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter(~held_out & F.col("toxic").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    # a bounded sample of either label: at most 2 * per_class rows come to the driver
+    # a bounded sample of either label: at most 2 * per_class ids come to the driver, and no text
     chosen = [r for label in (0, 1) for r in known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
-    picked = spark.createDataFrame([(r["doc_id"],) for r in chosen], known.select("doc_id").schema)
-    texts = {r["doc_id"]: r["text"] for r in docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
-    ids = [r["doc_id"] for r in chosen]
-    toxic = np.array([r["toxic"] == 1 for r in chosen], dtype=bool)
-    share = {label: sizes.get(label, 0) / max(int((toxic == bool(label)).sum()), 1) for label in (0, 1)}
-    weight = np.array([share[int(x)] for x in toxic], dtype=float)
-    examples = [texts[i] for i in ids]
-    vocabulary = select_vocabulary(examples, toxic)
+    picked = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], known.schema)
+    sampled = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    examples = Scratch(spark, "toxicity").put(sampled, "examples")
+    n_by = {label: sum(r["toxic"] == label for r in chosen) for label in (0, 1)}
+    vocabulary = select_vocabulary(examples, n_by[1], n_by[0])
 
     def frequencies(batches):
         for pdf in batches:
@@ -230,7 +243,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k:
             total = r["n"]
         else:
             frequency[r["place"]] = r["n"]
-    index = build_index(np.array(ids, dtype=object), examples, toxic, weight, vocabulary, frequency, total)
+
+    def example_terms(batches):
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for cut in blocks(texts):
+                found = by_text(texts[cut], vocabulary)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[cut], "toxic": pdf["toxic"].iloc[cut], "terms": [t.astype(np.int64) for t, _ in found], "times": [n.astype(np.int64) for _, n in found]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = sorted(examples.mapInPandas(example_terms, f"doc_id {kind}, toxic int, terms array<bigint>, times array<bigint>").collect(), key=lambda r: r["doc_id"])
+    toxic = np.array([r["toxic"] == 1 for r in rows], dtype=bool)
+    weight = np.array([sizes[r["toxic"]] / n_by[r["toxic"]] for r in rows], dtype=float)
+    terms = [(np.array(r["terms"], np.int64), np.array(r["times"], np.int64)) for r in rows]
+    index = build_index(np.array([r["doc_id"] for r in rows], dtype=object), terms, toxic, weight, vocabulary, frequency, total)
     shared = spark.sparkContext.broadcast(index)
 
     def make():
