@@ -9,8 +9,12 @@ density is its characters per tag, adjusted for links:
 
 with C characters, T tags, LC characters and LT tags of links below it (zeros count as one). A
 node's density sum adds its children's densities, a run of its own text being a child. The node
-of the largest sum is the article; the least density on its path to the body is the threshold,
-and any node beside that path which reaches it gives its own largest-sum subtree too.
+of the largest sum is the article's core; the least density on its path to the body is the
+threshold. The article is the outermost <article> around the core, else the outermost <main>, else
+the smallest node with the core and every block of at least half its mean plain text; all of it
+stays. Of what lies beside the article's path stay: text of the path's own; headings, paragraphs,
+sections and the like that are not mostly links; the last node with an <h1> ahead of an article
+without one; and any node that reaches the threshold.
 
 Defined results: null or empty html, or html without text, gives an empty text; broken markup is
 read as far as it goes; <br> ends a block; text outside any tag counts as the body's; repeated
@@ -46,14 +50,17 @@ BOILER = frozenset(
     "toolbar login signup search masthead contentinfo complementary copyright skip".split()
 )
 HEADERS = frozenset({"header", "banner", "masthead"})
+#: Elements that hold content by themselves, as <div> does not.
+CONTENT = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p blockquote pre figure figcaption ul ol dl table section article main details".split())
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "inside", "link_chars", "link_tags", "links", "out", "parent", "runs", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "inside", "link_chars", "link_tags", "links", "out", "parent", "plain", "runs", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, inside: bool):
         self.tag, self.parent, self.out, self.inside = tag, parent, out, inside
         self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.plain = 0  # characters of own text outside links
         self.links = False  # whether an <a> is open here
         self.children: list[Node] = []
         self.runs: list[int] = []  # characters of each run of own text
@@ -91,6 +98,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
             node.chars += n
             if link:
                 node.link_chars += n
+            else:
+                node.plain += n
         elif raw and not node.out:
             items.append((node, block, raw))
 
@@ -178,6 +187,63 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _below(node: Node) -> list[Node]:
+    """The node and all below it, parents first."""
+    out = [node]
+    for n in out:
+        out.extend(n.children)
+    return out
+
+
+def _path(node: Node) -> list[Node]:
+    """The node and all around it, inside out."""
+    out = [node]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out
+
+
+def _article(order: list[Node], core: Node) -> Node:
+    """The node that holds the whole article around its core."""
+    path = _path(core)
+    for tag in ("article", "main"):
+        found = [n for n in path if n.tag == tag]
+        if found:
+            return found[-1]
+    own = [n.plain for n in _below(core) if n.plain]
+    least = sum(own) / max(len(own), 1) / 2
+    place = {id(n): i for i, n in enumerate(path)}
+    most = 0
+    for n in order:
+        if n.plain >= least > 0:
+            while id(n) not in place:
+                n = n.parent
+            most = max(most, place[id(n)])
+    return path[most]
+
+
+def _chosen(order: list[Node], core: Node) -> tuple[set[int], set[int]]:
+    """Nodes that stay with all below them, and nodes of which their own text stays."""
+    threshold = min(n.density for n in _path(core))
+    article = _article(order, core)
+    path = _path(article)
+    chosen, title = {id(article)}, None
+    titled = any(n.tag == "h1" for n in _below(article))
+    for inner, n in zip(path, path[1:], strict=False):
+        ahead = True
+        for c in n.children:
+            if c is inner:
+                ahead = False
+                continue
+            if c.density >= threshold > 0 or c.tag in CONTENT and 2 * c.link_chars <= c.chars:
+                chosen.add(id(c))
+            elif ahead and not titled and any(x.tag == "h1" and x.chars and 2 * x.link_chars <= x.chars for x in _below(c)):
+                title = c
+        if title is not None or any(x.tag == "h1" for c in n.children if id(c) in chosen for x in _below(c)):
+            titled = True
+    return chosen | ({id(title)} if title is not None else set()), {id(n) for n in path[1:]}
+
+
 def extract(page: str | None) -> str:
     """The article's blocks, one a line."""
     if not page:
@@ -186,25 +252,14 @@ def extract(page: str | None) -> str:
     if not items:
         return ""
     order = _measure(root)
-    best = max(order, key=lambda n: n.sum)  # the outermost of equals, as parents come first
-    path, up = set(), best
-    while up is not None:
-        path.add(id(up))
-        up = up.parent
-    threshold = min(n.density for n in order if id(n) in path)
-    chosen = {id(best)}
-    for n in order:
-        if id(n) not in path and id(n.parent) in path and id(n.parent) not in chosen and n.density >= threshold > 0:
-            below = [n]
-            for b in below:
-                below.extend(b.children)
-            chosen.add(id(max(below, key=lambda x: x.sum)))
+    core = max(order, key=lambda n: n.sum)  # the outermost of equals, as parents come first
+    chosen, own = _chosen(order, core)
     kept: dict[int, bool] = {}
     for n in order:
         kept[id(n)] = id(n) in chosen or (n.parent is not None and kept[id(n.parent)])
     out: dict[int, list[str]] = {}
     for n, block, raw in items:
-        if kept[id(n)]:
+        if kept[id(n)] or id(n) in own:
             out.setdefault(block, []).append(raw)
     lines = (" ".join(_html.unescape("".join(x)).split()) for x in out.values())
     return "\n".join(x for x in lines if x)

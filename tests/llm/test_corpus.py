@@ -238,6 +238,19 @@ def test_html(spark):
     assert got == {1: (want, len(want)), 2: ("", 0)}
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_keeps_the_whole_article(tag):
+    """A headline, short paragraphs and sections beside the densest one; menus and unmarked link lists stay out."""
+    p = lambda c: c * 299 + "."
+    links = "<div>" + "".join(f"<a href=/{i}>another story {i}</a> " for i in range(9)) + "</div>"
+    around = lambda x: f"<html><body><nav><a href=/>Home</a></nav>{links}<div><{tag}>{x}</{tag}></div><footer>me</footer></body></html>"
+    body = "".join(f"<p>{p(c)}</p>" for c in "abcde")
+    assert html_text.extract(around(f"<h1>{'H' * 30}</h1><div>{body}</div>")).split("\n") == ["H" * 30, *map(p, "abcde")]
+    sections = f"<h1>Headline</h1>Lead<section>{body * 2}</section><figure><p>x</p><figcaption>A caption</figcaption></figure><div><div>{''.join(f'<p>{p(c)}</p>' for c in 'fgh')}<p>short</p></div></div><p>End</p>"
+    assert html_text.extract(around(sections)).split("\n") == ["Headline", "Lead", *map(p, "abcdeabcde"), "x", "A caption", *map(p, "fgh"), "short", "End"]
+    assert html_text.extract(f"<body><div><div><h1>Title</h1></div><div>{body}</div></div></body>").split("\n") == ["Title", *map(p, "abcde")]
+
+
 def test_html_of_synthetic_pages():
     r = random.Random(6)
     for _ in range(50):
