@@ -221,6 +221,19 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_every_example_is_found_by_its_text(spark):
+    """Also texts of words that no other example holds, or that are as frequent in both labels."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(12)) for _ in range(60)] + ["singular", "Lonely words!"]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(62)], "doc_id bigint, toxic int")
+    learned = [i for i in range(62) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = table(spark, texts + [texts[i] for i in learned], [*range(62), *(1000 + i for i in learned)])
+    got = {x.doc_id: x for x in toxicity.toxicity(docs, labels).collect()}
+    assert {61} <= set(learned) and len(got) == 62 + len(learned)
+    assert all(got[i].evidence[0] == got[1000 + i].evidence[0] == str(i) for i in learned)
+
+
 def test_html(spark):
     paragraph = "Some words of an article that is long enough to be one, and some more."
     page = (
