@@ -2,7 +2,8 @@
 
 The patterns' spans always stay. Every other run of at least 16 key-like characters with a digit
 and a letter is a candidate; a one-layer character convolution in NumPy reads it with the
-characters around it. The network is trained here, once a session, on labelled findings: planted
+characters around it, in overlapping windows over all of it and over its parts, of which the
+largest probability counts. The network is trained here, once a session, on labelled findings: planted
 keys of many kinds and look-alikes (words, numbers, addresses, hashes of content, identifiers) in
 sentences, all from one seed. Its outputs are calibrated on findings that it did not see, and
 the threshold is the highest that still finds ``recall`` of the planted keys among those.
@@ -30,6 +31,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Marks between the parts of a run, and its parts that are long enough for a key.
+PARTING, PART = re.compile(r"[/.=_-]"), re.compile(r"[A-Za-z0-9+]{16,}")
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Cheap proof that a text has no assignment: each needs one of these marks behind a name.
 _MARK = re.compile(r"""(?:[dD]|[tT]|[nN]|[yY])["']?\x20*[:=]""")
@@ -67,6 +70,20 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """What the network reads of a run: its stretches of WITHIN characters, each half over the last, and its parts."""
+    cuts = [(start, end)]
+    if PARTING.search(text, start, end):
+        cuts += [m.span() for m in PART.finditer(text, start, end) if m.span() != (start, end)]
+        # from each mark on, as a key may hold marks itself
+        cuts += [(m.end(), end) for m in PARTING.finditer(text, start, end) if end - m.end() >= 16 and end - start > WITHIN]
+    out = []
+    for a, b in cuts:
+        out += [(i, min(i + WITHIN, b)) for i in range(a, max(b - WITHIN, a), WITHIN // 2)] if b - a > WITHIN else []
+        out.append((max(a, b - WITHIN), b))
+    return sorted(set(out))
+
+
 def _window(text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     def codes(s: str) -> np.ndarray:
         return _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
@@ -231,23 +248,29 @@ def network() -> Network:
 
 def scan(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of all spans of each text, sorted."""
-    out, ids, inside, place = [], [], [], []
-    for i, text in enumerate(texts):
-        base = base_spans(text)
-        out.append(base)
-        for a, b in candidates(text, base):
-            x, y = _window(text, a, b)
-            ids.append(x)
-            inside.append(y)
-            place.append((i, a, b))
-    if place:
-        found = net.probability(np.stack(ids), np.stack(inside)) >= net.threshold
-        for (i, a, b), ok in zip(place, found, strict=True):
-            if ok:
-                out[i].append((a, 3, b))
+    out = [base_spans(text) for text in texts]
+    for (i, a, b), p in score(texts, out, net):
+        if p >= net.threshold:
+            out[i].append((a, 3, b))
     return [sorted(s) for s in out]
 
 
+def score(texts: list[str], base: list[list[tuple[int, int, int]]], net: Network) -> list[tuple[tuple[int, int, int], float]]:
+    """((text, start, end), largest probability of its windows) of each candidate."""
+    place = [(i, a, b) for i, text in enumerate(texts) for a, b in candidates(text, base[i])]
+    out, queue, size = [], [], 0
+    for p in place:
+        queue.append((p, windows(texts[p[0]], *p[1:])))
+        size += len(queue[-1][1])
+        if size >= 4096 or p is place[-1]:  # bounds memory
+            read = [_window(texts[i], a, b) for (i, _, _), cuts in queue for a, b in cuts]
+            found = net.probability(np.stack([x for x, _ in read]), np.stack([y for _, y in read]))
+            at = np.cumsum([0, *(len(cuts) for _, cuts in queue)])
+            out += [(q, float(found[a:b].max())) for (q, _), a, b in zip(queue, at, at[1:], strict=False)]
+            queue, size = [], 0
+    return out
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 

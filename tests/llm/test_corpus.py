@@ -172,6 +172,17 @@ def test_secrets(spark):
     assert secrets.redact("a token = abcdef b", secrets.base_spans("a token = abcdef b")) == "a [secret] b"
 
 
+def test_keys_behind_a_harmless_beginning():
+    """Keys anywhere in a long run, and long runs without one."""
+    r = random.Random(4)
+    net = secrets.network()
+    path = "docs.example.com/" + "/".join(["guide", "house", "garden", "chapter", "music", "letter", "winter", "morning", "station"])
+    keys = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(36)) for _ in range(40)]
+    runs = [f"{path}/ghp_{k}" for k in keys[:10]] + [f"{path}.{k}.page" for k in keys[10:20]] + [f"{'=' * 70}sk_live_{k}" for k in keys[20:30]] + [f"{path}/x=sk_live_{k}/{path}" for k in keys[30:]]
+    found = secrets.scan([f"see {x} now" for x in runs], net)
+    assert sum(any(a <= 4 + x.index(k) and b >= 4 + x.index(k) + 36 for a, _, b in s) for x, k, s in zip(runs, keys, found, strict=True)) >= 38
+
+
 def test_network_on_unseen_findings():
     net = secrets.network()
     data = secrets.findings(600, 77)
