@@ -1,12 +1,14 @@
 """Secrets: fixed patterns, and a character network over every other candidate.
 
-The patterns' spans always stay. Every other run of at least 16 key-like characters with a digit
-and a letter is a candidate; a one-layer character convolution in NumPy reads it with the
+The patterns' spans always stay. Every run of at least 16 key-like characters is a candidate, as
+are runs of at least 6 behind a word that announces a secret, and what the patterns' spans leave
+of a run they meet; a one-layer character convolution in NumPy reads it with the
 characters around it, in overlapping windows over all of it and over its parts, of which the
 largest probability counts. The network is trained here, once a session, on labelled findings: planted
 keys of many kinds and look-alikes (words, numbers, addresses, hashes of content, identifiers) in
 sentences, all from one seed. Its outputs are calibrated on findings that it did not see, and
-the threshold is the highest that still finds ``recall`` of the planted keys among those.
+the threshold is the highest with which a scan still finds ``recall`` of the planted keys among
+those that the patterns do not cover.
 
 Defined results: null or empty text has no spans; offsets count code points, ends are exclusive;
 equal texts have equal spans; repeated rows are scanned each.
@@ -33,7 +35,11 @@ KINDS = ("assign", "access", "hex", "model")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Marks between the parts of a run, and its parts that are long enough for a key.
 PARTING, PART = re.compile(r"[/.=_-]"), re.compile(r"[A-Za-z0-9+]{16,}")
-DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: Least length of a candidate behind a word that announces a secret, and of what is left of a run.
+LEAST = 6
+HINT = re.compile(r"key|auth|credential|bearer|private|access|signature|aws|pw|pass|secret|token", re.I | re.A)
+HINTED = re.compile(r"""(?:key|auth|authorization|credentials?|bearer|private|access|signature|aws|pwd?|passphrase|pass|secret|token)["']?(?:\s*[:=@]\s*|\s+)["']?([A-Za-z0-9+/_.=-]{6,})""", re.I | re.A)
+BESIDE, BESIDE_BACK = re.compile(r"[A-Za-z0-9+/_.=-]{6,}"), re.compile(r"[A-Za-z0-9+/_.=-]{6,}\Z")
 #: Cheap proof that a text has no assignment: each needs one of these marks behind a name.
 _MARK = re.compile(r"""(?:[dD]|[tT]|[nN]|[yY])["']?\x20*[:=]""")
 
@@ -62,12 +68,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Key-like runs outside the base spans."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base):
-            out.append(m.span())
-    return out
+    """Key-like runs, or what the base spans leave of them."""
+    runs = {m.span() for m in CANDIDATE.finditer(text)}
+    if HINT.search(text):
+        runs |= {m.span(1) for m in HINTED.finditer(text) if m.end(1) - m.start(1) < 16}
+    runs |= {m.span() for x, y in {(x, y) for x, _, y in base} for m in (BESIDE_BACK.search(text, max(x - 256, 0), x), BESIDE.match(text, y)) if m}
+    out = set()
+    for a, b in runs:
+        for x, _, y in base:  # sorted by start
+            if x < b and a < y:
+                if x - a >= LEAST:
+                    out.add((a, x))
+                a = max(a, y)
+        if b - a >= LEAST:
+            out.add((a, b))
+    return sorted(out)
 
 
 def windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -163,6 +178,58 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def more_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
+    """Labelled findings of the other kinds of candidates: short, of letters or digits only, beside a pattern's span."""
+    r = random.Random(seed)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    syllables = "th er in an on re ed is of at nt ou es ti le la ment que oi ie ch ge ver ich cion os ar do st ing al".split()
+    hints = ["key", "auth", "credential", "bearer", "Authorization", "client_key", "private", "access", "signature", "aws", "pw", "export KEY"]
+
+    def word(k: int = 4) -> str:
+        return "".join(r.choice(syllables) for _ in range(r.randrange(2, k + 2)))
+
+    def pick(letters: str, k: int) -> str:
+        return "".join(r.choice(letters) for _ in range(k))
+
+    def spoken(least: int) -> str:
+        """A word that could be of some language, in one of three cases."""
+        out = ""
+        while len(out) < least:
+            out += r.choice("b c d f g h j k l m n p r s t v w y z ch sch st pf br cr th wh qu x sh tr pl".split() + [""] * 4) + r.choice("a e i o u au ei ie ou eu ai ea io y".split()) + r.choice("n r s t ng ch st tz nd ly l m tzt ght rk pf chst".split() + [""] * 6)
+        return r.choice([str.lower, str.lower, str.capitalize, str.upper])(out)
+
+    glue = lambda: r.choice([" = ", "=", ": ", ' = "', ":", "='"])
+    hexed = lambda: pick(digits + "abcdef", r.choice([24, 32, 40]))
+    secret = [  # (what stands before, the finding)
+        lambda: (r.choice(hints) + glue(), word() + pick(digits, r.randrange(2, 5)) + pick(lower, r.randrange(0, 3))),
+        lambda: (r.choice(hints) + glue(), pick(lower + lower.upper() + digits, r.randrange(8, 16))),
+        lambda: (r.choice(hints) + glue(), pick(lower + lower.upper(), r.randrange(16, 40))),
+        lambda: (r.choice(["see ", "id ", "with "]), pick(lower + lower.upper(), r.randrange(20, 40))),
+        lambda: (r.choice(hints) + glue(), pick(digits, r.randrange(20, 40))),
+        lambda: (r.choice(["see ", "id ", r.choice(hints) + glue()]) + hexed(), "-" + pick(lower + lower.upper() + digits, r.randrange(10, 30))),
+    ]
+    harmless = [
+        lambda: (r.choice(hints) + r.choice([" ", " ", ": "]), (word() + "xxxxxx")[: r.randrange(6, 14)].rstrip("x").ljust(6, "e")),
+        lambda: (r.choice(hints) + " ", word().ljust(6, "s") + r.choice([".", "", "-" + word(), "/" + word()])),
+        lambda: ("", (word() + word() + word() + word()).ljust(16, "e")),
+        lambda: (r.choice(["", "the ", "see "]), spoken(16) + r.choice(["", "", ".", "...", "="])),
+        lambda: (r.choice(["", "the ", "see "]), spoken(16) + r.choice(["", "", ".", "...", "="])),
+        lambda: (r.choice(["see ", "at "]), r.choice("/._-").join([*(spoken(5) for _ in range(r.randrange(3, 14))), str(r.randrange(2000))])),
+        lambda: ("see ", r.choice("/._-").join([r.choice(["www.", "docs.", ""]) + word() + ".com", *(word(6) for _ in range(r.randrange(3, 14))), str(r.randrange(2000))])),
+        lambda: (r.choice(hints) + r.choice([" ", ": "]), spoken(r.randrange(6, 12))),
+        lambda: ("the ", "-".join(word() for _ in range(4)).ljust(16, "e")),
+        lambda: ("", r.choice("=-_.") * r.randrange(16, 150) + r.choice(["", "x1", str(r.randrange(100))])),
+        lambda: (r.choice(["file ", "/cache/", "see "]) + hexed(), r.choice(["/index.html", ".tar.gz", "/image.jpeg", "-thumbnail.png", "/" + word().ljust(6, "e")])),
+        lambda: ("number ", pick(digits, r.randrange(16, 24))),
+    ]
+    out = []
+    for i in range(n):
+        head, found = r.choice(harmless if i % 2 else secret)()
+        before = " ".join(word() for _ in range(r.randrange(0, 8))) + " " + head
+        out.append((f"{before}{found}{r.choice(['', '', ',', chr(34)])} {word()} {word()}", len(before), len(before) + len(found), 1 - i % 2))
+    return out
+
+
 @dataclass
 class Network:
     """Weights: embedding, convolution, and the output over the filters' maxima and means."""
@@ -194,9 +261,12 @@ class Network:
 
 def train(seed: int = SEED, n: int = FINDINGS, epochs: int = EPOCHS, recall: float = RECALL) -> Network:
     """Fit on three quarters of the findings; calibrate and set the threshold on the rest."""
-    data = findings(n, seed)
-    windows = [_window(t, a, b) for t, a, b, _ in data]
-    ids, inside, y = np.stack([w[0] for w in windows]), np.stack([w[1] for w in windows]), np.array([d[3] for d in data], np.float32)
+    data = [x for pair in zip(findings(n, seed), more_findings(n, seed + 1), strict=True) for x in pair]
+    n = len(data)
+    # of a harmless run any window, as a scan reads all of them
+    cuts = [[(a, b)] if secret else windows(t, a, b) for t, a, b, secret in data]
+    read = [_window(d[0], *c[i % len(c)]) for i, (d, c) in enumerate(zip(data, cuts, strict=True))]
+    ids, inside, y = np.stack([w[0] for w in read]), np.stack([w[1] for w in read]), np.array([d[3] for d in data], np.float32)
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (SYMBOLS, EMBED)).astype(np.float32), rng.normal(0, 0.2, (KERNEL * (EMBED + 1), FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS, np.float32), np.zeros(1, np.float32))
     names = ("embed", "conv", "bias", "out", "last")
@@ -232,8 +302,15 @@ def train(seed: int = SEED, n: int = FINDINGS, epochs: int = EPOCHS, recall: flo
         p = 1 / (1 + np.exp(-(a * logit + b)))
         a, b = max(a - 0.05 * (((p - y[held]) * logit).mean() + 0.01 * (a - 1)), 0.05), b - 0.05 * (p - y[held]).mean()
     net.slope, net.shift = float(a), float(b)
-    p = net.probability(ids[held], inside[held])
-    net.threshold = float(np.sort(p[y[held] == 1])[int((1 - recall) * (y[held] == 1).sum())])
+    # the threshold by what a scan scores, without keys that the patterns find
+    planted = [d for d in data[n * 3 // 4 :] if d[3]]
+    base = [base_spans(d[0]) for d in planted]
+    best = np.zeros(len(planted))
+    for (i, a, b), p in score([d[0] for d in planted], base, net):
+        if a < planted[i][2] and planted[i][1] < b:
+            best[i] = max(best[i], p)
+    best = best[[not any(x <= a and b <= y for x, _, y in own) for (_, a, b, _), own in zip(planted, base, strict=True)]]
+    net.threshold = float(np.sort(best)[int((1 - recall) * len(best))])
     return net
 
 

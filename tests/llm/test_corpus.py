@@ -183,6 +183,20 @@ def test_keys_behind_a_harmless_beginning():
     assert sum(any(a <= 4 + x.index(k) and b >= 4 + x.index(k) + 36 for a, _, b in s) for x, k, s in zip(runs, keys, found, strict=True)) >= 38
 
 
+def test_every_run_reaches_the_network():
+    """Short values behind a hint, keys without a digit or a letter, and what a pattern's span leaves of a run."""
+    net = secrets.network()
+    texts = ["my pw = hunter22x ok", 'auth: "qX7vR2mKz9"', "credential = QzXvKpWmRtYbNcGhJdLs", "id 0123456789abcdef01234567-Xy9kLmNoPqRsT end"]
+    keys = ["hunter22x", "qX7vR2mKz9", "QzXvKpWmRtYbNcGhJdLs", "Xy9kLmNoPqRsT"]
+    for text, key, spans in zip(texts, keys, secrets.scan(texts, net), strict=True):
+        assert any(k == 3 and a <= text.index(key) and b >= text.index(key) + len(key) for a, k, b in spans)
+        assert key not in secrets.redact(text, spans)
+    data = [x for x in secrets.findings(1500, 78) + secrets.more_findings(1500, 79)]
+    found = [any(a < e and b > s for a, _, b in spans) for (_, s, e, _), spans in zip(data, secrets.scan([x[0] for x in data], net), strict=True)]
+    y = np.array([x[3] for x in data])
+    assert np.mean(np.array(found)[y == 1]) > 0.97 and np.mean(np.array(found)[y == 0]) < 0.03
+
+
 def test_network_on_unseen_findings():
     net = secrets.network()
     data = secrets.findings(600, 77)
