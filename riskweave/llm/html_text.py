@@ -2,7 +2,8 @@
 
 A page is read into a tree of its block elements; inline markup only marks links. What is never
 part of an article (menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) is told by element, role, class or id and left out. For every node the
+styles, reader comments) is told by element, role, class or id and left out, unless it holds the
+page's largest article or main element or most of its text. For every node the
 density is its characters per tag, adjusted for links:
 
     C/T * ln(1 + C/LC * T/LT) / (1 + ln ln(C*LC/(C-LC) + C*LCbody/Cbody + e))
@@ -54,12 +55,24 @@ HEADERS = frozenset({"header", "banner", "masthead"})
 CONTENT = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p blockquote pre figure figcaption ul ol dl table section article main details".split())
 
 
+#: Words of reader comments, which alone mark an <article> or <main>.
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+#: Elements that are left out whatever they hold, and those that most of the page's text does not save.
+ALWAYS = frozenset("button select option svg canvas object audio video map datalist".split())
+PLACES = frozenset("nav footer aside header".split())
+#: How an element is marked: its text stays out; by its element; by a word; as comments.
+HIDDEN, PLACE, WORD, COMMENT = 1, 2, 3, 4
+#: Words behind which, or ahead of which, a part of a name says nothing about its element.
+BEHIND, AHEAD = frozenset("has no with without".split()), frozenset("open opened closed".split())
+
+
 class Node:
-    __slots__ = ("chars", "children", "density", "inside", "link_chars", "link_tags", "links", "out", "parent", "plain", "runs", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "inside", "link_chars", "link_tags", "links", "mark", "out", "parent", "plain", "runs", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, inside: bool):
         self.tag, self.parent, self.out, self.inside = tag, parent, out, inside
         self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.mark = 0
         self.plain = 0  # characters of own text outside links
         self.links = False  # whether an <a> is open here
         self.children: list[Node] = []
@@ -67,21 +80,91 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def _boiler(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element opens something that is not the article."""
+def _words(value: str) -> set[str]:
+    """Words of a class, id or role that say what an element is, not what it has or allows."""
+    out: set[str] = set()
+    for name in value.split():
+        words = [w.lower() for w in PART.findall(name)]
+        if words and words[-1] in AHEAD:
+            continue
+        stop = next((i for i, w in enumerate(words) if w in BEHIND), len(words))
+        out.update(words[:stop])
+    return out
+
+
+def _mark(tag: str, attributes: str, inside: bool) -> int:
+    """Whether an element opens something that is not the article, and how that is told; 0 if not."""
+    if tag in ALWAYS:
+        return HIDDEN
+    out = 0
     if tag in NEVER or (tag == "header" and not inside):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes:
-        return False
+        out = PLACE if tag in PLACES else WORD
+    if not attributes or tag in ("html", "body"):
+        return out
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return tag not in ("html", "body")
+        if tag not in ("article", "main") and (name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value))):
+            return HIDDEN
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in PART.findall(value)}
-            if words & BOILER - (HEADERS if inside else frozenset()) or ("header" in words and not inside and tag not in ("h1", "h2", "h3")) or {"side", "bar"} <= words:
-                return True
-    return False
+            words = _words(value)
+            if words & COMMENTS:
+                out = COMMENT
+            elif tag in ("article", "main"):
+                continue
+            elif words & BOILER - (HEADERS if inside else frozenset()) or ("header" in words and not inside and tag not in ("h1", "h2", "h3")) or {"side", "bar"} <= words:
+                out = out or WORD
+    return out
+
+
+def _leave_out(root: Node) -> None:
+    """Take what is no article out of the tree."""
+    order = [root]
+    for n in order:
+        order.extend(n.children)
+    if not any(n.mark for n in order):
+        return
+    total = {id(n): n.plain for n in order}  # characters outside links below
+    holds = {id(n): n.plain for n in order}  # the same without deeper comments
+    largest = {id(n): 0 for n in order}  # of the largest article or main below
+    for n in reversed(order):
+        if n.tag in ("article", "main"):
+            largest[id(n)] = max(largest[id(n)], total[id(n)])
+        if n.parent is not None:
+            total[id(n.parent)] += total[id(n)]
+            holds[id(n.parent)] += 0 if n.mark == COMMENT else holds[id(n)]
+            largest[id(n.parent)] = max(largest[id(n.parent)], largest[id(n)])
+    free = {}  # text not in any marked node
+    for n in reversed(order):
+        free[id(n)] = n.plain + sum(free[id(c)] for c in n.children if not c.mark)
+    free_text, most = free[id(root)], holds[id(root)]
+    free_article = 0
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if n.tag in ("article", "main"):
+            free_article = max(free_article, free[id(n)])
+        stack.extend(c for c in n.children if not c.mark)
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        kept = []
+        for c in n.children:
+            if c.mark:
+                own = holds[id(c)]
+                saved = largest[id(c)] > 0 and largest[id(c)] >= max(free_text, free_article)
+                if c.mark == COMMENT:  # a long comment is no article
+                    saved = saved and not free_article and 4 * free_text <= largest[id(c)]
+                if not saved and c.mark in (WORD, COMMENT) and not free_article:
+                    saved = 2 * own > most and 4 * free_text <= own if c.mark == WORD else not free_text and own > 0
+                if not saved:
+                    for x in _below(c):
+                        x.out = True
+                    continue
+                free_text += free[id(c)]
+                free_article = max(free_article, min(largest[id(c)], free[id(c)]))
+            kept.append(c)
+        n.children = kept
+        todo.extend(reversed(kept))
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
@@ -126,7 +209,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
             block += 1
             continue
         if tag in INLINE:
-            if closing or tag in VOID or not _boiler(tag, m[3] or m[6] or "", True):
+            if closing or tag in VOID or not _mark(tag, m[3] or m[6] or "", True):
                 continue
             # an inline element that holds what is no article is read as a block of its own
         if tag in ("html", "body"):
@@ -152,13 +235,16 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
                 up = up.parent
         if tag in VOID or attributes.endswith("/") and tag in ("path", "circle", "rect"):
             continue
-        new = Node(tag, node, node.out or _boiler(tag, attributes, node.inside), node.inside or tag in ("article", "main"))
+        mark = _mark(tag, attributes, node.inside)
+        new = Node(tag, node, node.out or mark == HIDDEN, node.inside or tag in ("article", "main"))
+        new.mark = mark
         if not new.out:
             node.children.append(new)
         node = new
     if at < len(page):
         text(page[at:])
-    return root, items
+    _leave_out(root)
+    return root, [x for x in items if not x[0].out]
 
 
 def _measure(root: Node) -> list[Node]:

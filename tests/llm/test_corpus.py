@@ -289,6 +289,22 @@ def test_html_keeps_the_whole_article(tag):
     assert html_text.extract(f"<body><div><div><h1>Title</h1></div><div>{body}</div></div></body>").split("\n") == ["Title", *map(p, "abcde")]
 
 
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_html_marks_do_not_drop_the_page(inner):
+    """Words of a class or id, or a form, around the article; marked parts beside or in it still go."""
+    p = lambda c: c * 299 + "."
+    want = [*map(p, "abcd")]
+    text = f"<{inner}>{''.join(f'<p>{x}</p>' for x in want)}</{inner}>"
+    beside = f"<div class='sidebar'><p>{p('s')}</p></div><div class='comments'><p>{p('x')}</p><p>{p('y')}</p></div>"
+    for mark in ("div class='content has-sidebar'", "div class=no-sidebar", "div class='with-comments'", "div class='social-science'", "div id='page-widget'", "form action=/", "div class=hasSidebar"):
+        page = f"<html><body><nav><a href=/>Home</a></nav><{mark}>{text}{beside}</{mark.split()[0]}><footer>me</footer></body></html>"
+        assert html_text.extract(page).split("\n") == want, mark
+    page = f"<body><article class='post comments-open'>{text}</article>{beside}<aside><article><p>Teaser of another</p></article></aside></body>"
+    assert html_text.extract(page).split("\n") == want
+    page = f"<body><article><p>{p('a')}</p></article><div class=comments>{''.join(f'<article class=comment><p>{p(c)}</p></article>' for c in 'uvwxyz')}</div></body>"
+    assert html_text.extract(page) == p("a")
+
+
 def test_html_of_synthetic_pages():
     r = random.Random(6)
     for _ in range(50):
