@@ -59,3 +59,102 @@ def log_prob_until(tokens: str | Column, logps: str | Column, stop: int, mean: b
     used = F.when(at > 0, F.slice(logps, F.lit(1), at.cast("int"))).otherwise(logps)
     total = F.aggregate(used, F.lit(0.0), lambda s, x: s + x)
     return total / F.greatest(F.size(used), F.lit(1)) if mean else total
+
+
+def gaps(x: str | Column) -> Column:
+    """(first, last) places, from 0, of each maximal run of nulls."""
+    x = col(x)
+    places = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
+    empty = lambda i: (i >= 0) & (i < F.size(x)) & F.get(x, i).isNull()
+    starts = F.filter(places, lambda i: empty(i) & ~F.coalesce(empty(i - 1), F.lit(False)))
+    ends = F.filter(places, lambda i: empty(i) & ~F.coalesce(empty(i + 1), F.lit(False)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+
+def place_motif(x: str | Column, motif: list[int], spacing: list[int], allowed: str | Column) -> Column:
+    """All copies of a partly known sequence with a spaced motif written into it, at every place where
+    it fits over what is known and leaves only allowed steps. ``spacing`` holds the motif's offsets."""
+    x = col(x)
+    starts = F.when(F.size(x) > max(spacing), F.sequence(F.lit(0), F.size(x) - 1 - max(spacing))).otherwise(F.array().cast("array<int>"))
+
+    def put(out: Column, at: Column, m: int) -> Column:
+        return F.transform(out, lambda v, j: F.when(j == at, F.lit(m)).otherwise(v))
+
+    def written(i):
+        out = x
+        for m, o in zip(motif, spacing, strict=True):
+            out = put(out, i + o, m)
+        return out
+
+    def fits(i):
+        out = F.lit(True)
+        for m, o in zip(motif, spacing, strict=True):
+            out = out & F.coalesce(F.get(x, i + o) == m, F.lit(True))
+        return out
+
+    return F.filter(F.transform(F.filter(starts, fits), written), lambda y: transitions_allowed(y, allowed))
+
+
+def _matches(particle: Column, motif: list[int], spacing: list[int]):
+    """A function of a place: how many of a motif's elements stand there."""
+
+    def at(i):
+        found = F.lit(0)
+        for m, o in zip(motif, spacing, strict=True):
+            found = found + F.when(F.get(particle, i + o) == m, 1).otherwise(0)
+        return found
+
+    return at
+
+
+def ehrlich(particle: str | Column, motifs: list[list[int]], spacings: list[list[int]], quantisation: int, allowed: str | Column | None = None) -> Column:
+    """Minus the product over motifs of the best quantised share of a motif found anywhere; infinite with a banned step.
+
+    ``spacings`` hold each motif's offsets from its first element.
+    """
+    particle, out = col(particle), F.lit(1.0)
+    for motif, spacing in zip(motifs, spacings, strict=True):
+        places = F.sequence(F.lit(0), F.size(particle) - 1 - max(spacing))
+        out = out * F.floor(F.array_max(F.transform(places, _matches(particle, motif, spacing))) * quantisation / len(motif)) / quantisation
+    return -out if allowed is None else F.when(transitions_allowed(particle, allowed), -out).otherwise(float("inf"))
+
+
+def rough_field(particle: str | Column, optimum: list[int], slope: float, noise: Column) -> Column:
+    """A rough, additive landscape: slope for each place that differs from the optimum, and a noise of the sequence's own."""
+    differ = F.aggregate(F.zip_with(col(particle), F.array(*[F.lit(v) for v in optimum]), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, v: s + v)
+    return slope * differ + noise
+
+
+def path_counts(allowed: list[list[int]], length: int, start: int | None = None, end: int | None = None) -> list[int]:
+    """How many allowed sequences of each length up to ``length`` there are, optionally from a state or to one.
+
+    Exact integers of any size; the states are few and known to the driver.
+    """
+    states = range(len(allowed))
+    ways = [int(start is None or i == start) for i in states]
+    out = []
+    for _ in range(length):
+        out.append(sum(w for i, w in enumerate(ways) if end is None or i == end))
+        ways = [sum(w for w, row in zip(ways, allowed, strict=True) if row[j]) for j in states]
+    return out
+
+
+def fillings(sequence: list[int | None], allowed: list[list[int]]) -> int:
+    """How many allowed sequences agree with a partly known one: a product over its gaps.
+
+    A sequence without any gap is an error, as there is nothing to count.
+    """
+    total, found, i = 1, False, 0
+    while i < len(sequence):
+        if sequence[i] is not None:
+            i += 1
+            continue
+        j = i
+        while j < len(sequence) and sequence[j] is None:
+            j += 1
+        before, after = (sequence[i - 1] if i else None), (sequence[j] if j < len(sequence) else None)
+        total *= path_counts(allowed, j - i + (before is not None) + (after is not None), before, after)[-1]
+        found, i = True, j
+    if not found:
+        raise ValueError("the sequence has no gap")
+    return total

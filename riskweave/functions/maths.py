@@ -30,15 +30,27 @@ def cap_log(lik: Column, safe: Column, bound: float | Column) -> Column:
     return F.when(F.ln(lik / safe) < b, lik).otherwise(F.exp(b) * safe)
 
 
-def mixture_weight(alpha: float, beta: Column, psi_safe: Column | None = None, psi_unc: Column | None = None) -> Column:
-    """Share of the safe proposal."""
+def adjusted_alpha(alpha: float, starts: int = 1) -> float:
+    """The level that a search controls: 1 without control, halved for a search from two starts."""
+    return 1.0 if alpha >= 1 else alpha / 2 if starts == 2 else alpha
+
+
+def mixture_weight(alpha: float, beta: Column, psi_safe: Column | None = None, psi_unc: Column | None = None, least: float = 0.0) -> Column:
+    """Share of the safe proposal, by overlaps (no less than ``least``) or else by the bound."""
     if alpha >= 1:
         return F.lit(0.0)
     if psi_safe is not None:
-        return psi_safe / (psi_safe + psi_unc)
+        return F.greatest(psi_safe / (psi_safe + psi_unc), F.lit(float(least)))
     return 1 / (1 + beta)
 
 
+def switches_proposal(alpha: float, overlap_safe: Column, overlap_unc: Column, factor: float = 1.0, enough: bool = True) -> Column:
+    """Whether to leave the safe proposal: the other one overlaps the policy more, and has enough samples."""
+    if alpha >= 1 or not enough:
+        return F.lit(False)
+    return factor * overlap_safe < overlap_unc
+
+
 def accept_unconstrained(lr: Column, beta: float | Column) -> Column:
     return F.least(F.lit(1.0), beta / lr)
 
@@ -70,20 +82,50 @@ def bernoulli_kl(a: Column, b: Column | float) -> Column:
 def hoeffding_bentkus(risk: str | Column, n: str | Column, alpha: float) -> Column:
     """The p-value min(e * P(Bin(n, alpha) <= ceil(n risk)), exp(-n KL(min(risk, alpha), alpha))).
 
-    The binomial sum runs over logarithms inside the JVM; at risk 0 the second term is not used.
+    At risk 0 the second term is not used. Products within 1e-9 above a whole number count as it.
     """
-    r, m = col(risk), col(n).cast("int")
-    top = F.ceil(m * r).cast("int")
-    log_fact = lambda k: F.expr("0D") + _lgamma1(k)
-    terms = F.transform(F.sequence(F.lit(0), F.least(top, m)), lambda k: F.exp(log_fact(m) - log_fact(k) - log_fact(m - k) + k * math.log(alpha) + (m - k) * math.log1p(-alpha)))
-    cdf = F.least(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(1.0))
-    bentkus = F.lit(math.e) * cdf
+    r, m = col(risk), col(n).cast("bigint")
+    bentkus = F.lit(math.e) * binomial_cdf(F.ceil(m * r - 1e-9), m, alpha)
     q = F.least(r, F.lit(alpha))
     # a ln(a/b) is 0 at a = 0; the reference quantity is undefined there, so the other bound stands
     hoeffding = F.when(q > 0, F.exp(-m * bernoulli_kl(F.when(q > 0, q), alpha)))
     return F.when(hoeffding.isNull(), bentkus).otherwise(F.least(bentkus, hoeffding))
 
 
+def binomial_cdf(k: Column, n: Column, p: float) -> Column:
+    """P(Bin(n, p) <= k): the regularised incomplete beta function of 1 - p at (n - k, k + 1).
+
+    Its continued fraction takes about 10 sqrt(n) steps, and no list of n entries.
+    """
+    k, n = k.cast("bigint"), n.cast("bigint")
+    a, b = (n - k).cast("double"), (k + 1).cast("double")
+    log_front = _lgamma1(n) - _lgamma1(F.greatest(n - k - 1, F.lit(0))) - _lgamma1(F.greatest(k, F.lit(0))) + a * math.log1p(-p) + b * math.log(p)
+    front = F.exp(log_front)
+    direct = front * _beta_fraction(a, b, 1 - p, n) / a
+    mirrored = 1 - front * _beta_fraction(b, a, p, n) / b
+    inside = F.when(F.lit(1 - p) < (a + 1) / (a + b + 2), direct).otherwise(mirrored)
+    return F.when(k < 0, 0.0).when(k >= n, 1.0).otherwise(F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)))
+
+
+def _beta_fraction(a: Column, b: Column, x: float, n: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz's recurrence."""
+    tiny = 1e-300
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+    d0 = 1 / safe(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+
+    def step(s, i):
+        m = i.cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d1, c1 = 1 / safe(1 + even * s["d"]), safe(1 + even / s["c"])
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d2, c2 = 1 / safe(1 + odd * d1), safe(1 + odd / c1)
+        return F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * d1 * c1 * d2 * c2).alias("h"))
+
+    steps = F.sequence(F.lit(1), (100 + 10 * F.ceil(F.sqrt(n))).cast("int"))
+    return F.aggregate(steps, start, step)["h"]
+
+
 def _lgamma1(k: Column) -> Column:
     """ln k! : exact below 20, else by Stirling's series (error under 1e-13)."""
     table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(20)])
@@ -97,6 +139,44 @@ def normal_pdf(x: Column, mean: float, sd: float) -> Column:
     return F.exp(-z * z / 2) / (sd * math.sqrt(2 * math.pi))
 
 
+def mixture_pdf(x: Column, parts: list[tuple[float, float, float]]) -> Column:
+    """Density of a mixture of normals, given as (weight, mean, deviation)."""
+    out = F.lit(0.0)
+    for weight, mean, sd in parts:
+        out = out + weight * normal_pdf(x, mean, sd)
+    return out
+
+
+def latent_deviation(total: Column, variance: Column | float, noise: Column | float) -> Column:
+    """Deviation without the noise's share: sqrt(total ** 2 - variance * noise), NaN if that is negative."""
+    rest = total * total - variance * noise
+    return F.when(rest < 0, float("nan")).otherwise(F.sqrt(F.greatest(rest, F.lit(0.0))))
+
+
+def box_muller(u: Column, v: Column) -> Column:
+    """A standard normal number from two uniform ones."""
+    return F.sqrt(-2 * F.ln(F.greatest(u, F.lit(1e-300)))) * F.cos(2 * math.pi * v)
+
+
+def noisy(y: Column, deviation: Column | float, u: Column, v: Column) -> Column:
+    """A normal draw around y."""
+    return y + deviation * box_muller(u, v)
+
+
+def minmax(x: Column, low: Column, high: Column) -> Column:
+    return (x - low) / (high - low)
+
+
+def reinforce_loss(logp: Column, reward_: Column, n_tokens: Column, beta: float) -> Column:
+    """Loss of the policy gradient: -logp * reward, and beta times the mean negative log-probability."""
+    return -logp * reward_ - beta * logp / n_tokens
+
+
+def jitter(score: Column, u: Column, v: Column) -> Column:
+    """The score moved up by less than 1e-8, and kept below one by less than 1e-10."""
+    return F.least(1 - u * 1e-10, score + v * 1e-8)
+
+
 def logistic_feasibility(rank: Column, alpha: float, scale: float = 0.1) -> Column:
     """Probability that an action of a relative rank is feasible."""
     return 1 / (1 + F.exp(-(rank - min(2.5 * alpha, 0.98)) / scale))

@@ -58,14 +58,74 @@ def pair_text(first: str | Column, second: str | Column, prefix: str = "<inc>")
     return F.concat(F.lit(f"{prefix} " if prefix else ""), list_text(first), F.lit("\n"), list_text(second))
 
 
-def score_text(score: Column, particle: Column) -> Column:
-    return F.concat(F.lit("Score: "), F.format_string("%.2f", score), F.lit("\nParticle: "), list_text(particle))
+def decimals(x: Column, digits: int) -> Column:
+    """A number with up to three decimals, rounded half to even on its exact binary value, as C's printf does.
+
+    0.125 gives 0.12, 0.0625 with three decimals 0.062, and 0.165, which lies above its decimal
+    name, 0.17. ``inf``, ``-inf`` and ``nan`` if it is none. The fraction is taken apart into an
+    exact integer of 63 bits; magnitudes from 1e15 on are whole numbers.
+    """
+    big = lambda v: F.lit(str(v)).cast("decimal(38,0)")
+    value = F.abs(x)
+    whole = F.floor(F.when(value < 1e15, value).otherwise(0.0))
+    rest = value - whole
+    upper = F.floor(rest * 2.0**31)
+    exact = upper.cast("decimal(10,0)") * big(2**32) + ((rest * 2.0**31 - upper) * 2.0**32).cast("bigint").cast("decimal(10,0)")
+    scaled = (exact * F.lit(10**digits).cast("decimal(4,0)")).cast("decimal(38,0)")
+    units = F.floor(scaled / big(2**63)).cast("bigint")
+    over = (scaled - units.cast("decimal(10,0)") * big(2**63)) * F.lit(2).cast("decimal(1,0)")
+    units = units + F.when((over > big(2**63)) | ((over == big(2**63)) & (units % 2 == 1)), 1).otherwise(0)
+    carry = F.when(units == 10**digits, 1).otherwise(0)
+    number = F.concat((whole + carry).cast("string"), F.lit("."), F.lpad((units % 10**digits).cast("string"), digits, "0"))
+    number = F.concat(F.when(x < 0, "-").otherwise(""), F.when(value < 1e15, number).otherwise(F.concat(value.cast("decimal(38,0)").cast("string"), F.lit("." + "0" * digits))))
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(number)
+
+
+def score_text(score: Column, particle: Column, digits: int = 2) -> Column:
+    return F.concat(F.lit("Score: "), decimals(score, digits), F.lit("\nParticle: "), list_text(particle))
 
 
 def plain_score(score: Column) -> Column:
-    """Three decimals; ``inf`` for infinity and NaN."""
+    """Three decimals; ``inf`` for infinity, NaN and null."""
     bad = score.isNull() | F.isnan(score) | (score == float("inf"))
-    return F.when(bad, "inf").otherwise(F.format_string("%.3f", F.when(~bad, score)))
+    return F.when(bad, "inf").otherwise(decimals(F.when(~bad, score), 3))
+
+
+def instruction_prompt(about: str, score: Column, constraints: bool = True) -> Column:
+    """The text that asks for a solution of a score, below a description of the test function."""
+    return F.concat(F.lit(f"{about}\n" if constraints else ""), F.lit("Score: "), decimals(score, 2), F.lit("\nSolution:\n"))
+
+
+# Fixed value: the request that stands above every edit.
+EDIT_REQUEST = "\nGiven the following constraints, score (lower score is better), and original input, \nedit the original input to decrease the score.\n"
+
+
+def edit_prompt(about: str, original: Column, score: Column) -> Column:
+    """The text that asks for a better version of a sequence."""
+    return F.concat(F.lit(f"{EDIT_REQUEST}\nConstraints:\n{about}\nOriginal input:\n"), list_text(original), F.lit("\nScore: "), decimals(score, 2), F.lit("\nEdited:\n"))
+
+
+def preference_prompt(about: str) -> Column:
+    return F.lit(f"Constraints:\n{about}\nSolution:\n")
+
+
+def few_shot_prompt(shots: Column, score: Column) -> Column:
+    """Blocks of (score, particle) structs parted by blank lines, then the score that is asked for."""
+    block = lambda x: score_text(x["score"], x["particle"], 3)
+    shown = F.transform(shots, lambda x: F.concat(block(x), F.lit("\n\n")))
+    return F.concat(F.array_join(shown, ""), F.lit("Score: "), decimals(score, 3), F.lit("\nParticle: "))
+
+
+def first_is_better(score: Column, other: Column) -> Column:
+    """Whether the first of a pair is the lower one; ties go to the second."""
+    return score < other
+
+
+def new_tokens(generated: Column, labels: Column, mask: int = -100) -> Column:
+    """Generated tokens behind the prompt, which is as long as the labels' masked beginning."""
+    kept = F.filter(F.sequence(F.lit(0), F.size(labels)), lambda i: F.coalesce(F.get(labels, i) != mask, F.lit(False)))
+    start = F.coalesce(F.get(kept, F.lit(0)), F.size(labels))
+    return F.slice(generated, start + 1, F.greatest(F.size(generated) - start, F.lit(0)))
 
 
 def clean_prompt(s: str | Column) -> Column:
@@ -87,7 +147,7 @@ def run_keys(path: str | Column) -> list[Column]:
     """alpha, seed and round out of a run's file name; null where absent."""
     c = col(path)
     return [
-        F.expr("try_cast(1 as double)") * F.regexp_extract(c, r"alpha([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"),
+        F.regexp_extract(c, r"alpha([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"),
         F.regexp_extract(c, r"seed([0-9]+)", 1).try_cast("int"),
         F.regexp_extract(c, r"_r([0-9]+)$", 1).try_cast("int"),
     ]
@@ -117,7 +177,8 @@ def log_tail(s: str | Column, n: int = 30) -> Column:
     return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), n), "\n")
 
 
-def transient_error(message: str | Column) -> Column:
-    """Whether a message names an error worth another try."""
-    low = F.lower(col(message))
-    return low.contains("cuda") | low.contains("busy") | low.contains("unavailable")
+def transient_error(message: str | Column, kind: str | Column = "") -> Column:
+    """Whether a message, or the name of its error, speaks of a device that may be free later."""
+    c = col(message)
+    name = F.lit(kind) if isinstance(kind, str) else kind
+    return c.contains("CUDA") | F.lower(c).contains("busy") | F.lower(c).contains("unavailable") | name.contains("AcceleratorError")

@@ -1,8 +1,7 @@
 """Thresholds on claim scores that keep false-claim rates under control.
 
-Losses of a response over a whole grid of thresholds need one pass: each claim falls into the
-interval of the grid that its score lies in, counts are summed by response and interval, and a
-running sum over the bounded grid gives what each threshold retains.
+Losses of a response over a whole bounded grid of thresholds need one grouping: each claim knows
+how many thresholds it reaches, and every threshold has three conditional sums.
 """
 
 from __future__ import annotations
@@ -19,15 +18,14 @@ def threshold_losses(claims: DataFrame, taus: list[float], kind: str = "rate", m
 
     kind: "rate" is the share of false claims among those retained, "any" whether there is one.
     """
-    spark = claims.sparkSession
-    strict = F.size(F.filter(F.array(*[F.lit(float(t)) for t in taus]), lambda t: t < F.col("score")))
-    rows = claims.select("response", interval_of(F.col("score"), taus).alias("i"), strict.alias("j"), F.col("supported").cast("int").alias("ok"))
-    kept = rows.groupBy("response", F.col("i").alias("k")).agg(F.count("*").alias("n"), F.sum(1 - F.col("ok")).alias("false"), F.lit(0).cast("bigint").alias("true"))
-    above = rows.groupBy("response", F.col("j").alias("k")).agg(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("false"), F.sum("ok").alias("true"))
-    grid = spark.createDataFrame([(i + 1, float(t)) for i, t in enumerate(taus)], "k int, tau double")
-    per = kept.union(above).groupBy("response").agg(F.collect_list(F.struct("k", "n", "false", "true")).alias("c"))  # bounded by the grid
-    total = lambda f, k: F.aggregate(F.filter("c", lambda x: x["k"] >= k), F.lit(0).cast("bigint"), lambda s, x: s + x[f])
-    out = per.crossJoin(F.broadcast(grid)).select("response", "tau", total("n", F.col("k")).alias("n"), total("false", F.col("k")).alias("false"), total("true", F.col("k")).alias("above"), total("true", F.lit(0)).alias("all"))
+    bounds = [float(t) for t in taus]
+    strict = F.size(F.filter(F.array(*[F.lit(t) for t in bounds]), lambda t: t < F.col("score")))
+    rows = claims.select("response", interval_of(F.col("score"), bounds).alias("i"), strict.alias("j"), F.col("supported").cast("int").alias("ok"))
+    # one grouping: claims at or above each threshold, false ones among them, and true ones above it
+    at = range(len(bounds))
+    counts = [F.struct(F.count_if(F.col("i") > k).alias("n"), F.sum(F.when(F.col("i") > k, 1 - F.col("ok")).otherwise(0)).alias("false"), F.sum(F.when(F.col("j") > k, F.col("ok")).otherwise(0)).alias("above"), F.lit(bounds[k]).alias("tau")) for k in at]
+    per = rows.groupBy("response").agg(F.sum("ok").alias("all"), F.array(*counts).alias("c"))
+    out = per.select("response", "all", F.explode("c").alias("c")).select("response", "c.tau", "c.n", "c.false", "c.above", "all")
     loss = F.when(F.col("n") == 0, min_loss).otherwise(F.col("false") / F.greatest("n", F.lit(1)) if kind == "rate" else F.when(F.col("false") > 0, 1.0).otherwise(0.0))
     recall = F.when(F.col("all") == 0, 0.0).otherwise(F.col("above") / F.greatest("all", F.lit(1)))
     return out.select("response", "tau", loss.alias("loss"), recall.alias("recall"))

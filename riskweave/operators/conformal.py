@@ -2,54 +2,125 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..semantics import INF
+from ..storage import cut
+from .ranking import fold_in_order, running
+
 
-def weighted_quantile(df: DataFrame, q: float, by: str, value: str = "v", weight: str = "w", tie: str = "id") -> DataFrame:
-    """(by, quantile): the weighted q-quantile of each group, whose weights sum to about one.
+def weighted_quantile(df: DataFrame, q: float, by: str, value: str = "v", weight: str = "w", tie: str = "id", check: bool = True) -> DataFrame:
+    """(by, quantile): the weighted q-quantile of each group.
 
     The first value whose running weight reaches q; below one half the value before it unless the
-    weight is met exactly; at one half the weighted mean of both.
+    weight is met exactly; at one half the weighted mean of both. Weights of a group that are NaN
+    or do not sum to one (0.99 to 1.01) are an error, as is a q outside 0 to 1.
     """
     if not 0 <= q <= 1:
         raise ValueError("q must be from 0 to 1")
-    w = Window.partitionBy(by).orderBy(value, weight, tie)
-    run = df.select(by, F.col(value).alias("v"), F.col(weight).alias("w"), F.round(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)), 12).alias("c"), F.lag(value).over(w).alias("pv"), F.lag(weight).over(w).alias("pw"), F.row_number().over(w).alias("rn"))
-    hit = run.filter(F.col("c") >= q).groupBy(by).agg(F.min_by(F.struct("v", "w", "c", "pv", "pw"), "rn").alias("x"))
-    v, pv, c = F.col("x.v"), F.col("x.pv"), F.col("x.c")
+    rows = df.select(by, F.col(value).alias("v"), F.col(weight).alias("w"), F.col(tie).alias("_tie"))
+    if check:
+        sums = rows.groupBy(by).agg(F.sum("w").alias("t"), F.max(F.isnan("w") | F.col("w").isNull()).alias("bad"))
+        if not sums.filter("bad or t is null or t < 0.99 or t > 1.01").isEmpty():
+            raise ValueError("the weights of a group must be numbers that sum to one")
+    run = running(rows, "v", ["w", "_tie"], [by], {"c": F.col("w")}).withColumn("c", F.round("c", 12))
+    hit = run.filter(F.col("c") >= q).groupBy(by).agg(F.min_by(F.struct("v", "w", "c", "rn"), "rn").alias("x")).select(by, "x.*")
+    last = run.select(by, (F.col("rn") + 1).alias("rn"), F.col("v").alias("pv"), F.col("w").alias("pw"))
+    both = hit.join(last, [by, "rn"], "left")
     if q > 0.5:
-        out = v
+        out = F.col("v")
     elif q < 0.5:
-        out = F.when(pv.isNull() | (c == q), v).otherwise(pv)
+        out = F.when(F.col("pv").isNull() | (F.col("c") == q), F.col("v")).otherwise(F.col("pv"))
     else:
-        out = F.when((c == q) | pv.isNull(), v).otherwise((v * F.col("x.w") + pv * F.col("x.pw")) / (F.col("x.w") + F.col("x.pw")))
-    return hit.select(by, out.alias("quantile"))
+        out = F.when((F.col("c") == q) | F.col("pv").isNull(), F.col("v")).otherwise((F.col("v") * F.col("w") + F.col("pv") * F.col("pw")) / (F.col("w") + F.col("pw")))
+    return both.select(by, out.alias("quantile"))
 
 
 def split_quantile(df: DataFrame, residual: str, by: str, alpha: float, tie: str = "id") -> DataFrame:
     """(by, n, quantile): the ceil((1 - alpha)(n + 1))-th smallest residual; null if there is none."""
     sizes = df.groupBy(by).agg(F.count("*").alias("n"))
-    rank = df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(residual, tie)))
-    wanted = F.ceil(F.lit(1 - alpha) * (F.col("n") + 1))
-    return sizes.join(rank.select(by, "rn", F.col(residual).alias("quantile")), by).withColumn("k", wanted).groupBy(by, "n").agg(F.max(F.when(F.col("rn") == F.col("k"), F.col("quantile"))).alias("quantile"))
+    rank = running(df.select(by, F.col(residual).alias("quantile"), tie), "quantile", [tie], [by])
+    wanted = sizes.withColumn("rn", F.ceil(F.lit(1 - alpha) * (F.col("n") + 1)))
+    return wanted.join(rank.select(by, "rn", "quantile"), [by, "rn"], "left").select(by, "n", "quantile")
+
+
+def aci_quantile(df: DataFrame, residual: str, by: str, levels: DataFrame, tie: str = "id") -> DataFrame:
+    """(by, quantile): the (1 - level)-quantile, with linear interpolation, of a group's residuals and infinity.
+
+    ``levels`` holds (by, level). Any share of the step up to infinity is infinite.
+    """
+    rank = running(df.select(by, F.col(residual).alias("v"), tie), "v", [tie], [by]).select(by, "rn", "v")
+    place = df.groupBy(by).agg(F.count("*").alias("n")).join(levels, by).withColumn("h", (1 - F.col("level")) * F.col("n"))
+    place = place.withColumns({"low": F.floor("h") + 1, "high": F.ceil("h") + 1})
+    at = lambda side: rank.select(by, F.col("rn").alias(side), F.col("v").alias(f"v_{side}"))
+    both = place.join(at("low"), [by, "low"], "left").join(at("high"), [by, "high"], "left")
+    low, high = F.coalesce("v_low", F.lit(INF)), F.coalesce("v_high", F.lit(INF))
+    return both.select(by, F.when(low == high, low).otherwise(low + (high - low) * (F.col("h") - F.floor("h"))).alias("quantile"))
+
+
+def _partitions(items: list[int]):
+    if not items:
+        yield []
+        return
+    first, *rest = items
+    for p in _partitions(rest):
+        yield [[first], *p]
+        for i in range(len(p)):
+            yield [*p[:i], [first, *p[i]], *p[i + 1 :]]
+
+
+def feedback_weights(df: DataFrame, own: str, factors: list[str], by: str) -> DataFrame:
+    """df with ``weight``: own times the sum, over all choices of different other rows, one for each factor, of their product.
+
+    Closed form for any depth (one more than the number of factors): by inclusion and exclusion
+    the sum over different rows is a signed sum over the partitions of the factors, each block of
+    which needs one total of the group without the row itself. One pass makes all totals.
+    """
+    n = len(factors)
+    blocks = [[i for i in range(n) if m >> i & 1] for m in range(1, 2**n)]
+    product = lambda block: _product([F.col(factors[i]) for i in block])
+    name = lambda block: "_t" + "_".join(map(str, sorted(block)))
+    if not n:
+        return df.withColumn("weight", F.col(own))
+    joined = df.join(df.groupBy(by).agg(*[F.sum(product(b)).alias(name(b)) for b in blocks]), by)
+    total = F.lit(0.0)
+    for parts in _partitions(list(range(n))):
+        sign = 1.0
+        for block in parts:
+            for j in range(1, len(block)):
+                sign *= -j
+        total = total + sign * _product([F.col(name(b)) - product(b) for b in parts])
+    return joined.withColumn("weight", F.col(own) * total).drop(*map(name, blocks))
+
+
+def _product(columns: list[Column]) -> Column:
+    out = F.lit(1.0)
+    for c in columns:
+        out = out * c
+    return out
 
 
 def mfcs_weights(df: DataFrame, depth: int, by: str, a: str = "a", b: str = "b", c: str = "c") -> DataFrame:
-    """Feedback weights of the last steps, in closed form: one pass of group totals.
+    """Feedback weights of the last one, two or three steps; see feedback_weights for any depth."""
+    return feedback_weights(df, a, [b, c][: depth - 1], by)
+
 
-    Depth 1 is a itself; 2 is a (B - b); 3 is a ((B - b)(C - c) - (S_bc - b c)), with totals over
-    the group, which every row leaves itself out of.
+def weighted_split_quantile(df: DataFrame, residual: str, weight: str, test_weight: DataFrame, by: str, alpha: float, tie: str = "id") -> DataFrame:
+    """(by, quantile): the weighted (1 - alpha)-quantile of calibration residuals and one test point at infinity.
+
+    ``test_weight`` holds (by, w) of each test point; weights are normalised with it.
     """
-    if depth == 1:
-        return df.withColumn("weight", F.col(a))
-    totals = df.groupBy(by).agg(F.sum(b).alias("_B"), F.sum(c).alias("_C"), F.sum(F.col(b) * F.col(c)).alias("_S"))
-    joined = df.join(totals, by)
-    rest_b, rest_c = F.col("_B") - F.col(b), F.col("_C") - F.col(c)
-    weight = F.col(a) * rest_b if depth == 2 else F.col(a) * (rest_b * rest_c - (F.col("_S") - F.col(b) * F.col(c)))
-    return joined.withColumn("weight", weight).drop("_B", "_C", "_S")
+    cal = df.select(by, F.col(residual).alias("v"), F.col(weight).alias("w"), F.col(tie).cast("bigint").alias("id"))
+    test = test_weight.select(by, F.lit(INF).alias("v"), "w", F.lit(2**62).cast("bigint").alias("id"))
+    rows = cal.unionByName(test)
+    total = rows.groupBy(by).agg(F.sum("w").alias("t"))
+    return weighted_quantile(rows.join(total, by).select(by, "id", "v", (F.col("w") / F.col("t")).alias("w")), 1 - alpha, by, check=False)
+
+
+def intervals(centres: DataFrame, widths: DataFrame, by: str, centre: str = "centre") -> DataFrame:
+    """(…, lower, upper): centre minus and plus the quantile of its group."""
+    return centres.join(widths.select(by, "quantile"), by).withColumns({"lower": F.col(centre) - F.col("quantile"), "upper": F.col(centre) + F.col("quantile")}).drop("quantile")
 
 
 def additive_controller(df: DataFrame, by: str, order: str, feasible: Column, alpha: float, rate: float, start: float = 0.0) -> DataFrame:
@@ -62,35 +133,45 @@ def additive_controller(df: DataFrame, by: str, order: str, feasible: Column, al
 def clipped_controller(df: DataFrame, by: str, order: str, missed: str, alpha: float, rate: float) -> DataFrame:
     """(by, step, level): adaptive miscoverage, clipped to [0, 1] after each step.
 
-    Clipping makes it sequential: each group, bounded by its run's steps, is folded in order.
+    Clipping makes it sequential: each group is streamed in order with its level as the only state.
+    """
+
+    def step():
+        state = [float(alpha)]
+
+        def move(row):
+            level = state[0]
+            state[0] = min(1.0, max(0.0, level + rate * (alpha - row[2])))
+            return (level,)
+
+        return move
+
+    rows = df.select(by, F.col(order).cast("bigint").alias("step"), F.col(missed).cast("double").alias("_m"))
+    return fold_in_order(rows, [by], ["step"], step, "level double").select(by, "step", "level")
+
+
+def bound_by_mass(df: DataFrame, weight: str, tie: str, alpha: float, limit: float) -> DataFrame:
+    """(place, bound) of the largest bound of sorted weights, under which points with a capped,
+    normalised weight of at least alpha together hold no more than ``limit``; found by bisection.
+
+    Ranks and running sums are made once; a probe is one pass of sums over them. (0, the least
+    weight) if no probe holds; an empty table has no row.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(missed).cast("double").alias("m"))))
-    kind = "array<struct<o:bigint,l:double>>"
-    first = F.struct(F.lit(float(alpha)).alias("l"), F.array().cast(kind).alias("out"))
-
-    def step(acc, x):
-        new = F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc["l"] + rate * (alpha - x["m"])))
-        return F.struct(new.alias("l"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), acc["l"].alias("l")))).alias("out"))
-
-    folded = df.groupBy(by).agg(F.aggregate(rows, first, step)["out"].alias("out"))
-    return folded.select(by, F.explode("out").alias("x")).select(by, F.col("x.o").alias("step"), F.col("x.l").alias("level"))
-
-
-def bound_by_mass(weights: list[float], alpha: float, limit: float) -> tuple[int, float]:
-    """(place, value) of the largest bound of sorted weights under which points with a capped,
-    normalised weight of at least alpha together hold no more than ``limit``."""
-    w = sorted(weights)
-    low, high, best = 0, len(w) - 1, (0, w[0] if w else math.nan)
-    prefix = [0.0]
-    for x in w:
-        prefix.append(prefix[-1] + x)
+    spark = df.sparkSession
+    ranked = cut(running(df.select(F.col(weight).cast("double").alias("v"), tie), "v", [tie], sums={"run": F.col("v")}).select("v", (F.col("rn") - 1).alias("place"), "run"), "bound")
+    n = ranked.count()
+    if not n:
+        return spark.createDataFrame([], "place bigint, bound double")
+    at = lambda place: ranked.filter(F.col("place") == place).select("v", "run").first()
+    low, high, best = 0, n - 1, (0, at(0)["v"])
     while low <= high:
         mid = (low + high) // 2
-        b = w[mid]
-        total = prefix[mid + 1] + b * (len(w) - mid - 1)
-        capped = [min(x, b) / total for x in w] if total else []
-        if sum(x for x in capped if x >= alpha) <= limit:
+        b, run = at(mid)
+        total = run + b * (n - mid - 1)
+        capped = F.least(F.col("v"), F.lit(b)) / total if total else F.lit(0.0)
+        mass = ranked.agg(F.coalesce(F.sum(F.when(capped >= alpha, capped)), F.lit(0.0))).first()[0]
+        if mass <= limit:
             best, low = (mid, b), mid + 1
         else:
             high = mid - 1
-    return best
+    return spark.createDataFrame([best], "place bigint, bound double")

@@ -1,12 +1,14 @@
 """Pairs of similar sequences, and the pairs and triples that training reads.
 
-Sequences of length d within Hamming distance t differ in at most m = floor(t d) places, so of
-m + 1 blocks of places they agree in one. Candidates come from equi-joins on blocks, which
-spread by key, instead of a comparison of all rows with all rows; the distance is then exact.
+Nearest neighbours are found by growing radius over distinct sequences: at radius r (places that
+differ) two sequences meet by an equi-join on the places where they agree, so a pair at distance r
+meets once, and sequences that have enough neighbours take no part in larger radii. Rows of one
+sequence stand behind it with their first ids only, as no row needs more of them.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +17,12 @@ from pyspark.sql import functions as F
 from ..functions.arrays import hamming
 from ..functions.maths import score_distance
 from ..semantics import feasible
+from ..storage import cut
+
+#: Up to so many subsets of places are enumerated at a radius; beyond, places are cut into blocks.
+SUBSETS = 128
+#: Parts that the rows of one sequence are dealt to before its first ids are picked.
+SALTS = 64
 
 
 def dedup_first(df: DataFrame, key: str = "particle", order: str = "id") -> DataFrame:
@@ -23,30 +31,46 @@ def dedup_first(df: DataFrame, key: str = "particle", order: str = "id") -> Data
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def block_pairs(df: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(src, dst, dist) with src < dst and Hamming distance at most the threshold."""
-    blocks = math.floor(threshold * dim + 1e-9) + 1
-    if blocks > dim:  # every pair is admitted, so every pair is the result
-        a, b = df.select("id", "particle").alias("a"), df.select("id", "particle").alias("b")
-        return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), hamming("a.particle", "b.particle").alias("dist"))
-    cuts = [round(i * dim / blocks) for i in range(blocks + 1)]
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.slice("particle", a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    long = df.select("id", "particle", F.explode(keys).alias("key"))
-    a, b = long.alias("a"), long.alias("b")
-    # a pair that shares several blocks is met once: at its first shared block
-    earlier = F.lit(False)
-    for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        earlier = earlier | ((F.col("a.key.block") > i) & (F.slice("a.particle", x + 1, y - x) == F.slice("b.particle", x + 1, y - x)))
-    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).filter(~earlier)
-    return joined.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), hamming("a.particle", "b.particle").alias("dist")).filter(F.col("dist") <= threshold + 1e-12)
+def _keys(dim: int, r: int) -> tuple[list[list[int]], bool]:
+    """Lists of places such that sequences r places apart agree on one; whether on exactly one."""
+    if math.comb(dim, r) <= SUBSETS:
+        return [list(c) for c in itertools.combinations(range(dim), dim - r)], True
+    cuts = [round(i * dim / (r + 1)) for i in range(r + 2)]
+    return [list(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)], False
+
+
+def radius_pairs(left: DataFrame, right: DataFrame, dim: int, r: int) -> DataFrame:
+    """(a, b) of ids whose particles differ in exactly r places."""
+    places, once = _keys(dim, r)
+    key = F.posexplode(F.array(*[F.xxhash64(F.lit(i), *[F.get("particle", F.lit(j)) for j in own]) for i, own in enumerate(places)])) if r < dim else F.posexplode(F.array(F.lit(0).cast("bigint")))
+    x = left.select("id", "particle", key.alias("k", "key")).withColumnsRenamed({"id": "a", "particle": "pa"})
+    y = right.select("id", "particle", key.alias("k", "key")).withColumnsRenamed({"id": "b", "particle": "pb"})
+    met = x.join(y, ["k", "key"]).filter(F.round(hamming("pa", "pb") * dim) == r).select("a", "b")
+    return met if once else met.distinct()
 
 
 def neighbours(df: DataFrame, dim: int, threshold: float, k: int) -> DataFrame:
     """(src, dst, dist): at most k nearest others within the threshold, ties by id."""
-    pairs = block_pairs(df, dim, threshold)
-    both = pairs.union(pairs.select("dst", "src", "dist"))
-    w = Window.partitionBy("src").orderBy("dist", "dst")
-    return both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+    most = min(dim, math.floor(threshold * dim + 1e-9))
+    salted = Window.partitionBy("particle", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy("id")
+    first = df.select("id", "particle").withColumn("_rn", F.row_number().over(salted)).filter(F.col("_rn") <= k + 1)
+    own = Window.partitionBy("particle")
+    first = first.withColumn("_rn", F.row_number().over(own.orderBy("id"))).filter(F.col("_rn") <= k + 1)
+    behind = cut(first.select(F.min("id").over(own).alias("pid"), "id", "particle"), "behind")  # at most k + 1 ids of each sequence
+    distinct = cut(behind.groupBy("pid").agg(F.first("particle").alias("particle"), F.count("*").alias("c")).withColumnRenamed("pid", "id"), "distinct")
+    found = cut(distinct.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("r")), "found")
+    for r in range(1, most + 1):
+        have = found.join(distinct.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.sum("c").alias("have"))
+        short = distinct.join(have.filter(F.col("have") < k + 1).select(F.col("a").alias("id")), "id", "left_semi")
+        if short.isEmpty():
+            break
+        found = found.union(cut(radius_pairs(short, distinct, dim, r).select("a", "b", F.lit(r).alias("r")), "found"))
+    spread = found.join(behind.select(F.col("pid").alias("b"), F.col("id").alias("dst")), "b")
+    nearest = spread.withColumn("_rn", F.row_number().over(Window.partitionBy("a").orderBy("r", "dst"))).filter(F.col("_rn") <= k + 1).drop("_rn")
+    rows = df.select(F.col("id").alias("src"), "particle").join(distinct.select(F.col("id").alias("a"), "particle"), "particle")
+    pairs = rows.select("src", "a").join(nearest.select("a", "dst", "r"), "a").filter("src <> dst")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("r", "dst"))  # at most k + 1 rows each
+    return pairs.withColumn("_rn", rank).filter(F.col("_rn") <= k).select("src", "dst", (F.col("r") / F.lit(float(dim))).alias("dist"))
 
 
 def oriented(pairs: DataFrame, df: DataFrame, same_score: bool = False) -> DataFrame:
@@ -91,12 +115,15 @@ def preference_triples(df: DataFrame, dim: int, threshold: float, k: int) -> Dat
 def farthest_first(df: DataFrame, n: int, distance=hamming) -> DataFrame:
     """(id, pos): start at the best score, then each time the row farthest from those chosen.
 
-    n rounds of one aggregate over the table; only the chosen rows come to the driver.
+    n rounds of one aggregate over the table; distances so far are written every few rounds, and
+    only the chosen rows come to the driver.
     """
     spark = df.sparkSession
     first = df.orderBy("score", "id").limit(1).collect()
     state, chosen = df.withColumn("_near", F.lit(float("inf"))), list(first)
     while first and len(chosen) < n:
+        if len(chosen) % 8 == 0:
+            state = cut(state, "farthest")
         last = chosen[-1]
         point = F.array(*[F.lit(x) for x in last["particle"]])
         state = state.withColumn("_near", F.least("_near", distance(F.col("particle"), point)))
@@ -105,3 +132,44 @@ def farthest_first(df: DataFrame, n: int, distance=hamming) -> DataFrame:
             break
         chosen.append(best[0])
     return spark.createDataFrame([(c["id"], i) for i, c in enumerate(chosen)], "id bigint, pos int")
+
+
+def gather_pairs(pairs: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """(lower_<c>, higher_<c>, ...): the records behind index pairs (a, b), the lower score first; equal scores are left out."""
+    out = oriented(pairs.select("a", "b"), df).select("lower_id", "higher_id")
+    for side in ("lower", "higher"):
+        out = out.join(df.select(F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in columns]), f"{side}_id")
+    return out
+
+
+def skipped_pairs(pairs: DataFrame, df: DataFrame) -> DataFrame:
+    """(n_pairs, n_skipped): how many index pairs there are, and how many of them have equal scores."""
+    both = oriented(pairs.select("a", "b"), df, same_score=True)
+    return both.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("lower_score") == F.col("higher_score")).alias("n_skipped"))
+
+
+def first_with_prefix(inputs: DataFrame, generations: DataFrame, tokens: str = "tokens", text: str = "tokens") -> DataFrame:
+    """(id, match): for each input the first generation, by id, that starts with its tokens; null if none does.
+
+    Inputs and generations meet by the hash of a prefix as long as an input, one join for each
+    length of inputs that occurs; nothing is compared across.
+    """
+    lengths = F.broadcast(inputs.select(F.size(tokens).alias("len")).distinct())  # as many rows as there are lengths
+    heads = generations.join(lengths, F.size(text) >= F.col("len")).select(F.col("id").alias("gen"), F.slice(F.col(text), F.lit(1), F.col("len")).alias("_head"))
+    first = heads.groupBy("_head").agg(F.min("gen").alias("match"))
+    return inputs.join(first, inputs[tokens] == first["_head"], "left").select("id", "match")
+
+
+def few_shot(df: DataFrame, k: int, seed: int, same_score: bool = False) -> DataFrame:
+    """(id, shots): k other rows of the table for each row, by rank of an MD5 key over both ids; rows with too few are left out.
+
+    The table is a bounded list of examples: every row is looked at for every other one.
+    """
+    from ..semantics import md5_key
+
+    a, b = df.select(F.col("id").alias("a"), F.col("score").alias("sa")), df.select(F.col("id").alias("b"), F.col("score").alias("sb"))
+    pairs = a.join(b, (F.col("a") != F.col("b")) & (F.lit(same_score) | (F.col("sa") != F.col("sb"))))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(md5_key(seed, "a", "b"), "b"))
+    picked = pairs.withColumn("pos", rank).filter(F.col("pos") <= k)
+    shots = picked.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("pos", "b"))).alias("s")).filter(F.size("s") == k)
+    return shots.select(F.col("a").alias("id"), F.transform("s", lambda x: x["b"]).alias("shots"))

@@ -1,31 +1,122 @@
-"""Ranks over a whole table without gathering it in one task."""
+"""Ranks, running sums and quantiles without gathering a table or a group in one task.
+
+Rows are dealt to stretches of the ordering value; a window ranks each stretch, and the sizes of
+the stretches before it, a few numbers, are added. Any bounds of the stretches give exact results.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stretches of the ordering value that are ranked apart.
-STRETCHES = 64
+from ..semantics import col, md5_key
+
+#: Stretches of the ordering value that are ranked apart, at most; and rows that one holds, about.
+STRETCHES, ROWS = 1024, 200_000
+#: Up to so many rows a top-k keeps them in each task; more are ranked by stretches.
+TOP = 20_000
+
+
+def _stretches(n: int) -> int:
+    return max(1, min(STRETCHES, math.ceil(n / ROWS)))
 
 
-def global_row_number(df: DataFrame, value: str, *ties: str, name: str = "rn", stretches: int = STRETCHES) -> DataFrame:
-    """row_number() over (order by value, ties) with one window per stretch of values.
+def running(df: DataFrame, value: str, ties: list[str], by: list[str] = (), sums: dict[str, Column] | None = None, name: str = "rn", stretches: int | None = None) -> DataFrame:
+    """df with a row number, and running sums, by ``value`` and ``ties`` within each group of ``by``.
 
-    Bounds of the stretches are approximate quantiles, a bounded list; any bounds give exact
-    ranks. NaN sorts last and null first, as in ORDER BY.
+    Bounds of the stretches are approximate quantiles of each group, a bounded list. Null sorts
+    first and NaN last.
     """
-    bounds = df.select(F.percentile_approx(value, [i / stretches for i in range(1, stretches)], 2_000)).first()[0] or []
-    marks = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    stretch = F.size(F.filter(marks, lambda b: b < F.col(value)))
-    marked = df.withColumn("_stretch", stretch)
-    sizes = marked.groupBy("_stretch").agg(F.count("*").alias("_n"))
-    # at most ``stretches`` rows
-    before = sizes.select("_stretch", (F.sum("_n").over(Window.orderBy("_stretch")) - F.col("_n")).alias("_before"))
-    ranked = marked.withColumn(name, F.row_number().over(Window.partitionBy("_stretch").orderBy(value, *ties)))
-    return ranked.join(F.broadcast(before), "_stretch").withColumn(name, F.col(name) + F.col("_before")).drop("_stretch", "_before")
+    by, sums = list(by), sums or {}
+    n = stretches or _stretches(df.count())
+    parts = ["_stretch"]
+    if n == 1:
+        marked = df.withColumn("_stretch", F.lit(0))
+    else:
+        bounds = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n)).alias("_bounds"))
+        at = F.size(F.filter(F.coalesce("_bounds", F.array().cast(bounds.schema["_bounds"].dataType)), lambda b: b < F.col(value)))
+        marked = (df.join(bounds, by) if by else df.crossJoin(F.broadcast(bounds))).withColumn("_stretch", at).drop("_bounds")  # one row without groups
+    sizes = marked.groupBy(*by, *parts).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())])
+    earlier = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # at most STRETCHES rows
+    before = sizes.select(*by, "_stretch", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_b{c}") for c in sizes.columns if c[:2] in ("_n", "_s") and c != "_stretch"])
+    w = Window.partitionBy(*by, "_stretch").orderBy(value, *ties)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = marked.withColumns({name: F.row_number().over(w).cast("bigint"), **{k: F.sum(c).over(so_far) for k, c in sums.items()}})
+    out = ranked.join(before, [*by, "_stretch"])
+    added = {name: F.col(name) + F.col("_b_n"), **{k: F.col(k) + F.col(f"_b_s{i}") for i, k in enumerate(sums)}}
+    return out.withColumns(added).drop(*[c for c in out.columns if c.startswith("_b_")], "_stretch")
+
+
+def global_row_number(df: DataFrame, value: str, *ties: str, name: str = "rn", stretches: int | None = None) -> DataFrame:
+    """row_number() over (order by value, ties)."""
+    return running(df, value, list(ties), name=name, stretches=stretches)
 
 
 def lowest(df: DataFrame, k: int, *order) -> DataFrame:
-    """The first k rows by an order that ends in a unique column; a distributed top-k."""
+    """The first k rows by an order that ends in a unique column; a distributed top-k for a small k."""
     return df.orderBy(*order).limit(k)
+
+
+def lowest_md5(df: DataFrame, k: int, seed: int | str, id_col: str) -> DataFrame:
+    """The k rows with the lowest MD5 keys, for any k: a share of a table is ranked by stretches."""
+    if k <= TOP:
+        return lowest(df, k, md5_key(seed, id_col), F.col(id_col))
+    prefix = F.conv(F.substring(md5_key(seed, id_col), 1, 12), 16, 10).cast("bigint")
+    marked = df.withColumns({"_prefix": prefix, "_md5": md5_key(seed, id_col)})
+    return running(marked, "_prefix", ["_md5", id_col], name="_rn").filter(F.col("_rn") <= k).drop("_prefix", "_md5", "_rn")
+
+
+def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[str] = (), tie: str | None = None) -> DataFrame:
+    """(by, q0, q1, ...): exact quantiles with linear interpolation of values that are neither null nor NaN.
+
+    The two rows around each place are picked by rank; no group is held in one buffer.
+    """
+    by = list(by)
+    v = col(value).cast("double")
+    rows = df.select(*by, v.alias("_v"), *([tie] if tie else [])).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ranked = running(rows, "_v", [tie] if tie else [], by, name="_rn")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_all"))
+    both = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # one row without groups
+    place = lambda q: (F.col("_all") - 1) * F.lit(float(q))
+    picked = []
+    for i, q in enumerate(shares):
+        low, high = F.floor(place(q)), F.ceil(place(q))
+        picked += [F.max(F.when(F.col("_rn") - 1 == low, F.col("_v"))).alias(f"_l{i}"), F.max(F.when(F.col("_rn") - 1 == high, F.col("_v"))).alias(f"_h{i}"), F.max(place(q) - low).alias(f"_f{i}")]
+    near = F.lit(False)
+    for q in shares:
+        near = near | (F.abs(F.col("_rn") - 1 - place(q)) < 1)
+    found = both.filter(near).groupBy(*by).agg(*picked)
+    at = lambda i: F.when(F.col(f"_l{i}") == F.col(f"_h{i}"), F.col(f"_l{i}")).otherwise(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}"))
+    return found.select(*by, *[at(i).alias(f"q{i}") for i in range(len(shares))])
+
+
+def fold_in_order(df: DataFrame, by: list[str], order: list[str], step, columns: str, spread: int | None = None) -> DataFrame:
+    """Rows of ``df`` with what a sequential ``step`` makes of them, group by group in order.
+
+    ``step()`` is called at each group's start and returns a function of a row (a tuple of df's
+    values) that returns the added columns' values. Groups are sorted within their partitions and
+    streamed: a group's rows are never held together.
+    """
+    import pandas as pd
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    added = _parse_datatype_string(columns)
+    names = df.columns
+    keys = [names.index(c) for c in by]
+
+    def run(batches):
+        last, fold = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                key = tuple(row[i] for i in keys)
+                if fold is None or key != last:
+                    last, fold = key, step()
+                out.append(fold(row))
+            made = pd.DataFrame(out, columns=added.names, index=pdf.index)
+            yield pd.concat([pdf, made], axis=1)
+
+    dealt = df.repartition(spread, *by) if spread else df.repartition(*by)
+    return dealt.sortWithinPartitions(*by, *order).mapInPandas(run, StructType([*df.schema.fields, *added.fields]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..semantics import finite
+from .ranking import quantiles
 
 
 def run_stats(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
@@ -45,11 +46,9 @@ def mean_and_error(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def step_bands(df: DataFrame, value: str, step: str, seed: str) -> DataFrame:
-    """(step, mean, se, median, low, high): sample deviation over the root of the number of seeds."""
-    seeds = F.count_distinct(seed)
-    return df.groupBy(step).agg(
-        F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(seeds)).alias("se"), F.median(value).alias("median"), F.percentile(value, 0.25).alias("low"), F.percentile(value, 0.75).alias("high")
-    )
+    """(step, mean, se, median, low, high): sample deviation over the root of the number of seeds; exact quantiles."""
+    moments = df.groupBy(step).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count_distinct(seed))).alias("se"))
+    return moments.join(quantiles(df, value, [0.5, 0.25, 0.75], [step]).withColumnsRenamed({"q0": "median", "q1": "low", "q2": "high"}), step)
 
 
 def parameter_grid(spark, parameters: dict[str, list]) -> DataFrame:

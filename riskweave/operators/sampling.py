@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..semantics import finite, infeasible, md5_key
-from .ranking import lowest
+from ..semantics import finite, infeasible, md5_key, md5_uniform
+from .ranking import TOP, fold_in_order, lowest, lowest_md5, quantiles, running
 
 
 def best_scoring(df: DataFrame, k: int, score: str = "score", id_col: str = "id") -> DataFrame:
@@ -21,7 +21,7 @@ def largest_scoring(df: DataFrame, k: int, score: str = "score", id_col: str = "
 
 def uniform(df: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
     """n rows without replacement: the lowest MD5 keys."""
-    return lowest(df, n, md5_key(seed, id_col), F.col(id_col))
+    return lowest_md5(df, n, seed, id_col)
 
 
 def fraction(df: DataFrame, share: float, seed: int, id_col: str = "id") -> DataFrame:
@@ -61,14 +61,13 @@ def cap_infeasible(df: DataFrame, share: float, seed: int, score: str = "score",
     """Infeasible rows down to at most ``share`` of the result; feasible ones all stay."""
     counts = df.agg(F.count_if(~infeasible(score)).alias("ok")).first()["ok"]
     cap = round(counts * share / (1 - share))  # half to even
-    bad = lowest(df.filter(infeasible(score)), cap, md5_key(seed, id_col), F.col(id_col))
+    bad = lowest_md5(df.filter(infeasible(score)), cap, seed, id_col)
     return df.filter(~infeasible(score)).unionByName(bad)
 
 
 def quantile_filter(df: DataFrame, lik: str, low: float, high: float | None = None) -> DataFrame:
     """Rows whose likelihood is at least the lower quantile (and at most the upper); NaN never stays."""
-    clean = F.when(~F.isnan(lik), F.col(lik))
-    q = df.select(F.percentile(clean, F.array(*[F.lit(float(x)) for x in ([low] if high is None else [low, high])])).alias("q")).first()["q"]
+    q = quantiles(df, lik, [low] if high is None else [low, high]).first()
     if q is None:
         return df.limit(0)
     out = df.filter(~F.isnan(lik) & (F.col(lik) >= q[0]))
@@ -78,40 +77,55 @@ def quantile_filter(df: DataFrame, lik: str, low: float, high: float | None = No
 def accept_until(df: DataFrame, probability: Column, draw: Column, target: int, chain: str, order: list[str]) -> DataFrame:
     """Rows with ``accepted``, up to the target-th acceptance of each chain; later ones are not judged."""
     judged = df.withColumn("accepted", draw < probability)
-    w = Window.partitionBy(chain).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("accepted").cast("int")).over(w), F.lit(0))
-    return judged.withColumn("_before", before).filter(F.col("_before") < target).drop("_before")
+    ranked = running(judged, order[0], order[1:], [chain], {"_run": F.col("accepted").cast("bigint")}, name="_rn")
+    return ranked.filter(F.col("_run") - F.col("accepted").cast("bigint") < target).drop("_run", "_rn").select(*judged.columns)
 
 
 def metropolis_chain(df: DataFrame, chain: str, order: str, target: str, proposal: str, draw: str) -> DataFrame:
     """Independent Metropolis-Hastings: each row against the last accepted one of its chain.
 
-    A chain is sequential and bounded by its sampler's calls, so it is folded in order inside the
-    JVM; chains run in parallel.
+    A chain is sequential; chains run in parallel, each streamed in order with its last accepted
+    row as the only state. The first row of a chain is accepted.
     """
-    rows = F.array_sort(F.collect_list(F.struct(order, target, proposal, draw)))
-    first = F.struct(F.lit(float("nan")).alias("t"), F.lit(float("nan")).alias("p"), F.array().cast("array<struct<o:bigint,a:boolean>>").alias("out"))
 
-    def step(acc, x):
-        start = F.isnan(acc["t"])
-        ratio = F.when(start, 1.0).otherwise(F.least(F.lit(1.0), (x[target] / acc["t"]) * (acc["p"] / x[proposal])))
-        ok = start | (x[draw] < ratio)
-        return F.struct(
-            F.when(ok, x[target]).otherwise(acc["t"]).alias("t"),
-            F.when(ok, x[proposal]).otherwise(acc["p"]).alias("p"),
-            F.concat(acc["out"], F.array(F.struct(x[order].cast("bigint").alias("o"), ok.alias("a")))).alias("out"),
-        )
+    def step():
+        state = [None]
 
-    folded = df.groupBy(chain).agg(F.aggregate(rows, first, step)["out"].alias("out"))
-    return folded.select(chain, F.explode("out").alias("x")).select(chain, F.col("x.o").alias(order), F.col("x.a").alias("accepted"))
+        def judge(row):
+            _, o, t, p, u = row
+            ok = state[0] is None or u < min(1.0, (t / state[0][0]) * (state[0][1] / p))
+            if ok:
+                state[0] = (t, p)
+            return (ok,)
+
+        return judge
+
+    rows = df.select(chain, order, target, proposal, draw)
+    return fold_in_order(rows, [chain], [order], step, "accepted boolean").select(chain, order, "accepted")
 
 
 def weighted_sample(df: DataFrame, n: int, weight: str, seed: int, id_col: str = "id") -> DataFrame:
     """n rows without replacement in proportion to weight: the largest ln(u) / w."""
-    from ..semantics import md5_uniform
-
     key = F.ln(F.greatest(md5_uniform(seed, id_col), F.lit(1e-300))) / F.when(F.isnan(weight), 1.0).otherwise(F.col(weight))
-    return df.withColumn("_key", key).orderBy(F.desc("_key"), id_col).limit(n).drop("_key")
+    keyed = df.withColumn("_key", -key)
+    if n <= TOP:
+        return lowest(keyed, n, "_key", id_col).drop("_key")
+    return running(keyed, "_key", [id_col], name="_rn").filter(F.col("_rn") <= n).drop("_key", "_rn")
+
+
+def bootstrap(df: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
+    """n draws with replacement: (draw, and the row's columns); a draw is a uniform place among the rows."""
+    total = df.count()
+    ranked = running(df, id_col, [], name="_rn")
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.floor(md5_uniform(seed, "id") * total) + 1).alias("_rn"))
+    return draws.join(ranked, "_rn").drop("_rn")
+
+
+def until_target(df: DataFrame, batch: str, target: int) -> DataFrame:
+    """Rows of a generation loop's batches, up to the batch that reaches the target."""
+    sizes = df.groupBy(batch).agg(F.count("*").alias("_n"))
+    before = running(sizes, batch, [], sums={"_run": F.col("_n")}).select(batch, (F.col("_run") - F.col("_n")).alias("_before"))
+    return df.join(before.filter(F.col("_before") < target).select(batch), batch, "left_semi")
 
 
 def sample_quality(df: DataFrame, score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:

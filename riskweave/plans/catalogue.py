@@ -302,9 +302,12 @@ def acceptance_rate(spark, d):
     return ar_accept_stage(spark, d).groupBy("grp").agg(F.count_if("accepted").alias("n_accepted"), F.count("*").alias("n_proposals"), r6(F.count_if("accepted") / F.greatest(F.count("*"), F.lit(1))).alias("rate"))
 
 
-@query("imh_chain")
+@query("imh_chain", f"""WITH RECURSIVE {CAL}, o AS (SELECT user_id, id, least(u, 2 * s) AS t, u AS p, {_U.format(17)} AS d, row_number() OVER (PARTITION BY user_id ORDER BY id) AS rn FROM cal),
+ f AS (SELECT user_id, id, rn, t, p, true AS accepted FROM o WHERE rn = 1 UNION ALL
+  SELECT user_id, id, rn, CASE WHEN ok THEN nt ELSE t END, CASE WHEN ok THEN np ELSE p END, ok FROM (SELECT o.user_id, o.id, o.rn, f.t, f.p, o.t AS nt, o.p AS np, o.d < least(1, (o.t / f.t) * (f.p / o.p)) AS ok FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1))
+ SELECT user_id, id, accepted FROM f""")
 def imh_chain(spark, d):
-    """Independent Metropolis-Hastings per user: a sequential chain, checked by invariants."""
+    """Independent Metropolis-Hastings per user: each row against the last accepted one."""
     rows = calibration(spark, d).select("user_id", "id", F.least(F.col("u"), 2 * F.col("s")).alias("target"), "u", md5_uniform(17, "id").alias("draw"))
     return S.metropolis_chain(rows, "user_id", "id", "target", "u", "draw")
 
@@ -351,7 +354,11 @@ def any_loss_threshold(spark, d):
     return _r(C.gcrc(_losses(spark, d, "any"), 0.3))
 
 
-@query("ltt_threshold")
+@query("ltt_threshold", f"""WITH {_LOSS}, {_risk_sql('l')}, b AS (SELECT tau, n, mean, CAST(ceil(n * mean - 1e-9) AS BIGINT) AS k FROM c),
+ t AS (SELECT tau, n, mean, least((SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.2) + (n - j) * ln(0.8))) FROM range(0, (SELECT max(k) + 1 FROM b)) r(j) WHERE j <= k AND j <= n), 1) AS cdf FROM b),
+ h AS (SELECT tau, mean AS risk, least(exp(1) * cdf, CASE WHEN mean > 0 THEN exp(-n * (least(mean, 0.2) * ln(least(mean, 0.2) / 0.2) + (1 - least(mean, 0.2)) * ln((1 - least(mean, 0.2)) / 0.8))) ELSE exp(1) * cdf END) AS p FROM t),
+ m AS (SELECT tau, risk, p, lag(tau) OVER (ORDER BY tau DESC) AS pt, lag(risk) OVER (ORDER BY tau DESC) AS pr FROM h), f AS (SELECT max(tau) AS t FROM m WHERE p > 0.1)
+ SELECT round(CASE WHEN f.t IS NULL THEN (SELECT min(tau) FROM m) ELSE coalesce(m.pt, m.tau) END, 6) AS tau, round(CASE WHEN f.t IS NULL THEN (SELECT min_by(risk, tau) FROM m) ELSE coalesce(m.pr, m.risk) END, 6) AS risk FROM f LEFT JOIN m ON m.tau = f.t""")
 def ltt_threshold(spark, d):
     """Learn-then-test with the Hoeffding-Bentkus p-value."""
     return _r(C.learn_then_test(_losses(spark, d), 0.2, 0.1))
@@ -388,7 +395,7 @@ _WQ = f"""WITH {CAL}, t AS (SELECT grp, id, value AS v, u / sum(u) OVER (PARTITI
 def _weighted(spark, d, q):
     cal = calibration(spark, d)
     total = cal.groupBy("grp").agg(F.sum("u").alias("t"))
-    return CF.weighted_quantile(cal.join(F.broadcast(total), "grp").select("grp", "id", F.col("value").alias("v"), (F.col("u") / F.col("t")).alias("w")), q, "grp").select("grp", r6("quantile").alias("quantile"))
+    return CF.weighted_quantile(cal.join(total, "grp").select("grp", "id", F.col("value").alias("v"), (F.col("u") / F.col("t")).alias("w")), q, "grp").select("grp", r6("quantile").alias("quantile"))
 
 
 @query("weighted_quantile_upper", _WQ.format(0.9) + " SELECT grp, round(v, 6) AS quantile FROM h")
@@ -523,7 +530,7 @@ def reward_margin(spark, d):
 def marge_terms(spark, d):
     t = calibration(spark, d).select("id", "grp", F.exp(F.ln("u") - F.ln("s")).alias("r"), (F.ln("u") / 10).alias("lpn"), (F.col("value") / 100).alias("reward"))
     mean = t.groupBy("grp").agg(F.avg("r").alias("m"))
-    z = t.join(F.broadcast(mean), "grp").withColumn("kl_t", F.col("r") / F.col("m") * (F.col("lpn") - F.col("reward")))
+    z = t.join(mean, "grp").withColumn("kl_t", F.col("r") / F.col("m") * (F.col("lpn") - F.col("reward")))
     return _r(z.select("id", "kl_t", (-F.col("lpn")).alias("kl_ref"), (0.5 * F.col("kl_t") - 0.1 * F.col("lpn")).alias("loss")))
 
 
@@ -581,33 +588,12 @@ def regex_run_keys(spark, d):
 _MOTIFS, _SPACINGS, _Q = [[0, 1], [1, 0]], [[0, 1], [0, 2]], 2
 
 
-def _matches(particle, motif, spacing):
-    """A function of a place: how many of a motif's elements stand there."""
-
-    def at(i):
-        out = F.lit(0)
-        for m, o in zip(motif, spacing, strict=True):
-            out = out + F.when(F.get(particle, i + o) == m, 1).otherwise(0)
-        return out
-
-    return at
-
-
-def ehrlich(particle, motifs, spacings, quantisation: int):
-    """Minus the product over motifs of the best quantised share of a motif found anywhere."""
-    out = F.lit(1.0)
-    for motif, spacing in zip(motifs, spacings, strict=True):
-        places = F.sequence(F.lit(0), F.size(particle) - 1 - max(spacing))
-        out = out * F.floor(F.array_max(F.transform(places, _matches(particle, motif, spacing))) * quantisation / len(motif)) / quantisation
-    return -out
-
-
 @query("ehrlich_score", f"""WITH {PART}, q AS (SELECT id, list_transform(particle, lambda x: abs(x) % 2) AS p FROM part8),
  m AS (SELECT id, list_max(list_transform(range(1, 8), lambda i: (p[i] = 0)::INT + (p[i + 1] = 1)::INT)) AS a, list_max(list_transform(range(1, 7), lambda i: (p[i] = 1)::INT + (p[i + 2] = 0)::INT)) AS b FROM q)
  SELECT id, -CAST(a / 2 * b / 2 AS DOUBLE) AS score FROM m""")
 def ehrlich_score(spark, d):
     p = particles(spark, d).withColumn("p", F.transform("particle", lambda x: F.abs(x) % 2))
-    return p.select("id", ehrlich(F.col("p"), _MOTIFS, _SPACINGS, _Q).alias("score"))
+    return p.select("id", A.ehrlich(F.col("p"), _MOTIFS, _SPACINGS, _Q).alias("score"))
 
 
 @query("motif_placements", f"WITH {PART} SELECT id, len(list_filter(range(1, 7), lambda i: abs(particle[i]) % 2 = 1 AND abs(particle[i + 2]) % 2 = 0)) AS n_places FROM part8")
@@ -617,19 +603,10 @@ def motif_placements(spark, d):
     return p.select("id", F.size(fits).cast("bigint").alias("n_places"))
 
 
-def path_counts_by_length(allowed: list[list[int]], length: int) -> list[int]:
-    """Number of feasible sequences of each length up to ``length``: exact integers of any size."""
-    ways, out = [1] * len(allowed), []
-    for _ in range(length):
-        out.append(sum(ways))
-        ways = [sum(w for w, row in zip(ways, allowed, strict=True) if row[j]) for j in range(len(allowed))]
-    return out
-
-
 @query("path_counts", "WITH RECURSIVE e AS (SELECT i, j FROM range(4) a(i), range(4) b(j) WHERE (i + 1) % 4 <> j), f(n, s, w) AS (SELECT 1, i, 1::HUGEINT FROM range(4) a(i) UNION ALL SELECT f.n + 1, e.j, f.w FROM f JOIN e ON e.i = f.s WHERE f.n < 6) SELECT CAST(n AS INTEGER) AS length, CAST(CAST(sum(w) AS BIGINT) AS VARCHAR) AS ways FROM f GROUP BY n")
 def path_counts(spark, d):
     allowed = [[int((i + 1) % 4 != j) for j in range(4)] for i in range(4)]
-    return spark.createDataFrame([(i + 1, str(w)) for i, w in enumerate(path_counts_by_length(allowed, 6))], "length int, ways string")
+    return spark.createDataFrame([(i + 1, str(w)) for i, w in enumerate(A.path_counts(allowed, 6))], "length int, ways string")
 
 
 @query("generation_funnel", _NUM + """, x AS (SELECT id, p IS NOT NULL AS parsable, whole AS integral, whole AND len(p) = 8 AS sized FROM i)

@@ -22,14 +22,15 @@ CAL = """cal AS (SELECT event_id AS id, (1 + value) / 100 AS u, (1 + user_id) /
   value, event_type AS grp, user_id FROM events)"""
 
 
-def particles(spark: SparkSession, sf_dir: str, dim: int = 8) -> DataFrame:
-    """id, particle of quantised embedding places, score."""
+def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, particle of eight places (sums of eight embedding values each, quantised), score."""
     e = table(spark, sf_dir, "embeddings")
-    particle = F.transform(F.slice("embedding", 1, dim), lambda x: F.floor(x * 4).cast("int"))
+    part = lambda j: F.aggregate(F.slice("embedding", j * 8 + 1, 8), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    particle = F.array(*[F.floor(part(j) * 2).cast("int") for j in range(8)])
     return e.select(F.col("vec_id").alias("id"), particle.alias("particle"), F.col("label").cast("double").alias("score"))
 
 
-PART = "part8 AS (SELECT vec_id AS id, list_transform(embedding[1:8], lambda x: CAST(floor(x * 4) AS INTEGER)) AS particle, CAST(label AS DOUBLE) AS score FROM embeddings)"
+PART = "part8 AS (SELECT vec_id AS id, list_transform(range(0, 8), lambda j: CAST(floor(list_sum(list_transform(embedding[j * 8 + 1:j * 8 + 8], lambda x: CAST(x AS DOUBLE))) * 2) AS INTEGER)) AS particle, CAST(label AS DOUBLE) AS score FROM embeddings)"
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

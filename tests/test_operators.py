@@ -2,7 +2,10 @@
 
 import json
 import math
+import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,8 +19,9 @@ from riskweave.operators import neighbors as N
 from riskweave.operators import rollup as R
 from riskweave.operators import sampling as S
 from riskweave.operators import search as G
-from riskweave.operators.ranking import global_row_number
-from riskweave.plans.catalogue import path_counts_by_length
+from riskweave.operators import control as K
+from riskweave.operators import ranking
+from riskweave.operators.ranking import global_row_number, quantiles, running
 from riskweave.semantics import TINY, infeasible, np_div
 
 SEQUENCES = [[1, 2, 3, 4, 5, 6, 7], [1, 3, 3, 4, 5, 6, 7], [1, 3, 3, 4, 7, 7, 8], [5, 5, 5, 5, 5, 5, 5], [5, 5, 5, 5, 5, 7, 5]]
@@ -43,15 +47,17 @@ def test_dense_pairs(spark):
     assert pairs(df.filter("score > 0.1")) == {(3, 4)}
 
 
-def test_block_pairs_are_all_near_pairs(spark):
-    import random
-
+def test_neighbours_are_the_nearest(spark, monkeypatch):
+    """By subsets of places and by blocks of them, with copies that outnumber the neighbours asked for."""
     r = random.Random(1)
-    rows = [[r.randrange(3) for _ in range(6)] for _ in range(80)]
-    df = frame(spark, [0.0] * 80, rows)
-    for t in (0.0, 1 / 6, 0.5, 1.0):
-        got = sorted((x.src, x.dst) for x in N.block_pairs(df, 6, t).collect())
-        assert got == [(i, j) for i in range(80) for j in range(i + 1, 80) if sum(a != b for a, b in zip(rows[i], rows[j], strict=True)) <= 6 * t + 1e-9]
+    rows = [[r.randrange(3) for _ in range(6)] for _ in range(60)] + [[1] * 6] * 8
+    df = frame(spark, [0.0] * 68, rows)
+    dist = lambda i, j: sum(a != b for a, b in zip(rows[i], rows[j], strict=True))
+    for t, k, subsets in ((0.0, 5, 128), (1 / 6, 50, 128), (0.5, 4, 128), (0.5, 60, 1), (1.0, 70, 128)):
+        monkeypatch.setattr(N, "SUBSETS", subsets)
+        got = sorted((x.src, x.dst, round(x.dist * 6)) for x in N.neighbours(df, 6, t, k).collect())
+        want = [(i, j, d) for i in range(68) for d, j in sorted((dist(i, j), j) for j in range(68) if j != i and dist(i, j) <= 6 * t + 1e-9)[:k]]
+        assert got == sorted(want)
 
 
 def test_preference_triples(spark):
@@ -124,21 +130,72 @@ def test_lik_columns():
     assert L.missing_rounds(["lik_r0"], 2, False) == ([], ["lik_r1"]) and L.missing_rounds(["lik_r0"], 2, True) == (["lik_r0"], ["lik_r0", "lik_r1"])
 
 
-@pytest.mark.parametrize(("v", "w", "q", "want"), [([1, 2, 3, 4, 5], [0.2] * 5, 0.5, 2.5), ([10, 20, 30], [0, 1, 0], 0.5, 20), ([1, 2, 3, 4], [0.25] * 4, 0.9, 4)])
-def test_weighted_quantile(spark, v, w, q, want):
-    df = spark.createDataFrame([(0, i, float(a), float(b)) for i, (a, b) in enumerate(zip(v, w, strict=True))], "g int, id int, v double, w double")
-    assert CF.weighted_quantile(df, q, "g").first()["quantile"] == want
+def quantile_by_definition(rows, q):
+    """The first value whose running weight reaches q; below one half the one before unless met; at one half their mean."""
+    rows = sorted(rows)
+    run = 0.0
+    for i, (v, w) in enumerate(rows):
+        run = round(run + w, 12)
+        if run >= q:
+            if q > 0.5 or not i or run == q:
+                return v
+            pv, pw = rows[i - 1]
+            return pv if q < 0.5 else (v * w + pv * pw) / (w + pw)
+    return None
+
+
+def test_weighted_quantile(spark):
+    r = random.Random(31)
+    groups = {}
+    for g in range(12):
+        raw = [(float(r.randrange(50)), r.random() if g % 3 else 1.0) for _ in range(r.choice([1, 2, 4, 9, 25]))]
+        groups[g] = [(v, w / sum(x[1] for x in raw)) for v, w in raw]
+    df = spark.createDataFrame([(g, i, v, w) for g, rows in groups.items() for i, (v, w) in enumerate(rows)], "g int, id int, v double, w double")
+    for q in (0.05, 0.25, 0.5, 0.75, 0.95):
+        got = {x.g: x.quantile for x in CF.weighted_quantile(df, q, "g").collect()}
+        assert got == {g: pytest.approx(quantile_by_definition(rows, q)) for g, rows in groups.items()}
     with pytest.raises(ValueError):
-        CF.weighted_quantile(df, 1.5, "g")
+        CF.weighted_quantile(df, 1.01, "g")
+    for bad in (F.col("w") / 2, F.when(F.col("id") == 0, float("nan")).otherwise(F.col("w"))):
+        with pytest.raises(ValueError):
+            CF.weighted_quantile(df.withColumn("w", bad), 0.5, "g")
+
+
+def test_running_sums_and_quantiles_by_stretches(spark):
+    """Ranks, sums and exact quantiles within groups, whatever the number of stretches."""
+    r = random.Random(32)
+    rows = [(g, i, float(r.choice([r.randrange(9), r.random() * 9])), r.random()) for g in range(3) for i in range(r.choice([1, 40, 200]))]
+    df = spark.createDataFrame(rows, "g int, id int, v double, w double")
+    for n in (1, 2, 9):
+        got = {(x.g, x.id): (x.rn, x.c) for x in running(df, "v", ["id"], ["g"], {"c": F.col("w")}, stretches=n).collect()}
+        for g in range(3):
+            total = 0.0
+            for k, (_, i, _, w) in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: (x[2], x[1]))):
+                total += w
+                assert got[g, i] == (k + 1, pytest.approx(total))
+    for x in quantiles(df, "v", [0.0, 0.3, 0.5, 1.0], ["g"]).collect():
+        own = np.array([v for g, _, v, _ in rows if g == x.g])
+        assert [x.q0, x.q1, x.q2, x.q3] == pytest.approx(list(np.quantile(own, [0.0, 0.3, 0.5, 1.0])))
+    with pytest.MonkeyPatch.context() as m:  # a share of a table is ranked, not sorted in one task
+        m.setattr(ranking, "TOP", 5)
+        whole = {x.id for x in ranking.lowest_md5(df.filter("g = 1"), 7, 3, "id").collect()}
+    assert whole == {x.id for x in ranking.lowest_md5(df.filter("g = 1"), 7, 3, "id").collect()}
 
 
 def test_claim_losses(spark):
-    rows = [(1, [0.8, 0.9, 0.7], [1, 1, 1], 0.5), (2, [0.8, 0.9, 0.7], [1, 0, 1], 0.5), (3, [0.8, 0.3, 0.7], [1, 0, 1], 0.5), (4, [0.1, 0.2], [1, 0], 0.5)]
-    df = spark.createDataFrame([(r, s, bool(k)) for r, ss, kk, _ in rows for s, k in zip(ss, kk, strict=True)], "response int, score double, supported boolean")
-    got = {r.response: r.loss for r in C.threshold_losses(df, [0.5], "any").collect()}
-    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
-    losses = C.threshold_losses(df, [0.0, 0.5, 0.85])
-    assert {r.response: round(r.loss, 6) for r in losses.filter("tau = 0").collect()} == {1: 0, 2: 0.333333, 3: 0.333333, 4: 0.5}
+    r = random.Random(33)
+    claims = {i: [(round(r.random(), 2), r.random() < 0.7) for _ in range(r.randrange(1, 7))] for i in range(30)}
+    df = spark.createDataFrame([(i, s, k) for i, own in claims.items() for s, k in own], "response int, score double, supported boolean")
+    taus = [0.0, 0.21, 0.5, 0.83]
+    for kind in ("rate", "any"):
+        got = {(x.response, x.tau): (x.loss, x.recall) for x in C.threshold_losses(df, taus, kind, 0.125).collect()}
+        for i, own in claims.items():
+            for t in taus:
+                kept = [k for s, k in own if s >= t]
+                loss = 0.125 if not kept else (kept.count(False) / len(kept) if kind == "rate" else float(False in kept))
+                true = [s for s, k in own if k]
+                assert got[i, t] == (pytest.approx(loss), pytest.approx(sum(s > t for s in true) / len(true) if true else 0.0))
+    losses = C.threshold_losses(df, taus)
     assert C.gcrc(losses, 2.0).first()["tau"] == 0.0 and C.monotised_crc(losses, 2.0).count() == 1
 
 
@@ -166,7 +223,7 @@ def test_sample_quality(spark):
 def test_scalars(spark):
     d = lambda a, b: value(spark, M.score_distance(F.lit(float(a)), F.lit(float(b))))
     inf, nan = math.inf, math.nan
-    assert [d(3, 1), d(1, 3), d(inf, 1), d(1, inf), d(inf, inf), d(nan, 2), d(0, 0)] == [2, 2, 0, 0, 0, 0, 0] or [d(inf, 1), d(1, inf)] == [0, 0]
+    assert [d(3, 1), d(1, 3), d(inf, inf), d(nan, 2), d(0, 0), d(inf, 1), d(1, inf)] == [2, 2, 0, 0, 0, 0, 0]
     assert value(spark, np_div(F.lit(1.0), F.lit(0.0))) == inf and math.isnan(value(spark, np_div(F.lit(0.0), F.lit(0.0))))
     assert value(spark, T.counted_name(F.lit("/a/b.jsonl"), F.lit(3))) == "/a/b_3.jsonl"
     assert value(spark, T.clean_prompt(F.lit(",,12,Tell me"))) == "Tell me" and value(spark, T.subject_of(F.lit("Tell me about Ann Lee."))) == "Ann Lee"
@@ -210,12 +267,92 @@ def test_chains_and_controllers(spark):
     assert [round(r.level, 6) for r in CF.clipped_controller(steps, "g", "s", "m", 0.1, 0.2).orderBy("step").collect()] == [0.1, 0.0, 0.0, 0.02]
     until = S.accept_until(df, F.lit(0.7), F.col("u"), 1, "c", ["id"])
     assert [(r.id, r.accepted) for r in until.orderBy("id").collect()] == [(0, False), (1, True)]
-    assert CF.bound_by_mass([0.1, 0.2, 0.9], 0.5, 0.0)[1] == 0.2
+    many = spark.createDataFrame([(i, i // 50, i % 3 == 0) for i in range(150)], "s bigint, g int, m boolean")
+    assert CF.clipped_controller(many, "g", "s", "m", 0.2, 0.05).groupBy("g").count().count() == 3
+
+
+def test_bound_by_mass(spark):
+    """Against the same bisection over a list."""
+    r = random.Random(41)
+    for _ in range(3):
+        w = sorted(r.random() for _ in range(60))
+        alpha, limit, low, high, best = 0.015, 0.4, 0, 59, (0, w[0])
+        while low <= high:
+            mid = (low + high) // 2
+            capped = [min(x, w[mid]) / sum(min(y, w[mid]) for y in w) for x in w]
+            if sum(x for x in capped if x >= alpha) <= limit:
+                best, low = (mid, w[mid]), mid + 1
+            else:
+                high = mid - 1
+        df = spark.createDataFrame(list(enumerate(w)), "id int, w double")
+        assert tuple(CF.bound_by_mass(df, "w", "id", alpha, limit).first()) == (best[0], pytest.approx(best[1]))
+    assert CF.bound_by_mass(df.limit(0), "w", "id", 0.1, 0.1).count() == 0
+
+
+def test_feedback_weights_of_four_steps(spark):
+    r = random.Random(42)
+    rows = [(0, i, *(r.random() for _ in range(4))) for i in range(6)]
+    df = spark.createDataFrame(rows, "g int, id int, a double, b double, c double, e double")
+    want = {i: rows[i][2] * sum(rows[j][3] * rows[k][4] * rows[m][5] for j in range(6) for k in range(6) for m in range(6) if len({i, j, k, m}) == 4) for i in range(6)}
+    assert {x.id: x.weight for x in CF.feedback_weights(df, "a", ["b", "c", "e"], "g").collect()} == pytest.approx(want)
+
+
+def test_search_over_a_mixture(spark):
+    """Against a plain loop over all bounds, with the mixture's shares and places."""
+    r = random.Random(43)
+    make = lambda n, shift: [(i, r.random() + shift, r.random() + 0.1, r.random() + 0.3) for i in range(n)]
+    cal = [(u, s, m, float("inf") if r.random() < 0.2 else 1.0) for _, u, s, m in make(80, 0.1)]
+    safe, other = make(60, 0.1), make(50, 0.3)
+    frame_of = lambda rows: spark.createDataFrame(rows, "id int, u double, s double, m double")
+    cfg = K.Search(0.55, 15, mixture=True)
+    got = K.beta_search(spark, spark.createDataFrame(cal, "u double, s double, m double, score double"), {"safe": frame_of(safe), "unconstrained": frame_of(other)}, cfg).first()
+    ratios = sorted({u / s for _, u, s, _ in safe + other})
+    grid = sorted({*ratios[:: max(len(ratios) // 15, 1)], TINY, math.inf})
+    cap = lambda u, s, b: u if b == math.inf else min(u, b * s)
+    mean = lambda x: sum(x) / len(x)
+    at, turn, chosen, start, i = None, 0, TINY, 0, 0
+    while at is None:
+        moved = False
+        for i in range(start, len(grid)):
+            b = grid[i]
+            ps, pu = mean([min(u / s, b) for _, u, s, _ in safe]), mean([1 if b == math.inf else min(b / (u / s), 1) for _, u, s, _ in other])
+            os_, ou = mean([min(cap(u, s, b) / ps, s) / s for _, u, s, _ in safe]), mean([min(cap(u, s, b) / pu, u) / u for _, u, s, _ in other])
+            mix = os_ < ou
+            if turn == 0 and mix:
+                start, turn, moved = i, 1, True
+                break
+            weight = os_ / (os_ + ou)
+            rows = safe[: int(weight * 60)] + other[: int((1 - weight) * 50)] if mix else (other if turn else safe)
+            w = max(cap(u, s, b) / m for _, u, s, m in rows)
+            each = [cap(u, s, b) / m for u, s, m, _ in cal]
+            risk = (sum(x for x, row in zip(each, cal, strict=True) if row[3] == math.inf) + w) / (sum(each) + w)
+            if risk > 0.55 or b == math.inf:
+                at = (risk, w, mix)
+                break
+            chosen = b
+        assert moved or at is not None
+    assert (got.beta, got.risk_margin, got.w_test, got.switch_to_mixture) == (pytest.approx(chosen), pytest.approx(0.55 - at[0]), pytest.approx(at[1]), at[2])
+
+
+def test_rounds_and_runs(spark):
+    from riskweave.plans import trials
+
+    log = trials.policy_rounds(spark, "/root/testdata/sf0.001").collect() if os.path.isdir("/root/testdata/sf0.001") else []
+    assert all(x.n_accepted <= min(100, x.n_proposals) and x.n_feasible <= x.n_accepted for x in log)
+    runs = trials.active_learning_runs(spark, "/root/testdata/sf0.001").collect() if log else []
+    assert all(0 <= x.level <= 1 and x.width >= 0 and x.n == 20 + x.step for x in runs)
+
+
+def test_numbers_as_text(spark):
+    """Halves and near halves, as C's printf writes them."""
+    r = random.Random(44)
+    xs = [0.125, 0.0625, 0.165, 2.675, -0.001, 1e14 + 0.5, 0.9995, 99.9995, 1e20, *(r.randrange(10**5) / 1000 + 0.0005 for _ in range(300)), *(r.uniform(-1e6, 1e6) for _ in range(300))]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for digits in (2, 3):
+        assert [v[0] for v in df.select(T.decimals(F.col("x"), digits)).collect()] == [f"{x:.{digits}f}" for x in xs]
 
 
 def test_risk_curve_equals_nested_loop(spark):
-    import random
-
     r = random.Random(4)
     rows = [(i, r.random() + 0.1, r.random() + 0.1, r.random() < 0.3) for i in range(200)]
     df = spark.createDataFrame(rows, "id int, u double, s double, bad boolean")
@@ -228,15 +365,13 @@ def test_risk_curve_equals_nested_loop(spark):
 
 
 def test_ranks_and_rollups(spark):
-    import random
-
     r = random.Random(2)
     xs = [(i, float(r.randrange(40))) for i in range(300)]
     df = spark.createDataFrame(xs, "id bigint, x double")
     got = {v.id: v.rn for v in global_row_number(df, "x", "id", stretches=7).collect()}
     assert got == {i: k + 1 for k, (i, _) in enumerate(sorted(xs, key=lambda t: (t[1], t[0])))}
     assert R.parameter_grid(spark, {"a": [1, 2, 3], "b": [0.1, 0.2]}).count() == 6
-    assert path_counts_by_length([[1, 1], [1, 0]], 5) == [2, 3, 5, 8, 13]
+    assert A.path_counts([[1, 1], [1, 0]], 5) == [2, 3, 5, 8, 13]
 
 
 def test_sources(spark, tmp_path):

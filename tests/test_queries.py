@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from riskweave.plans import catalogue
+from riskweave.plans import catalogue, columns, controls, files, trials  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
