@@ -1,12 +1,14 @@
 """What the corpus operators share: the shared folder, written tables and hashes of words.
 
 Lineage is cut with tables written under the folder named by ``spark.checkpoint.dir``, which
-all executors of a cluster see; only a session without that setting (tests, notebooks) gets a
-local folder.
+all executors of a cluster see; only a local session without that setting (tests, notebooks)
+gets a local folder.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of written intermediate tables, as the session names it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="riskweave-")
         spark.conf.set("spark.checkpoint.dir", f"file://{found}")
         spark.sparkContext.setCheckpointDir(f"file://{found}")
@@ -59,6 +63,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def salted_join(df: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """df joined with a table of one row a key; rows of one key of df are dealt to several tasks."""
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    many = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return df.withColumn("_salt", salt).join(many, [key, "_salt"], how).drop("_salt")
+
+
 def whole_text(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -144,6 +155,15 @@ def blocks(texts, most: int = 1 << 22):
         yield slice(begin, len(texts))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers stay alive beside later stages."""
+    import pyarrow as pa
+
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(docs: DataFrame, make, columns: str) -> DataFrame:
     """Columns made from (doc_id, text) rows in bulk, Arrow batch by Arrow batch.
 
@@ -172,5 +192,6 @@ def map_texts(docs: DataFrame, make, columns: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([own, *(pa.array(v, f.type) for v, f in zip(out, list(arrow)[1:], strict=True))], schema=arrow)
         finally:
             getattr(work, "close", lambda: None)()
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
