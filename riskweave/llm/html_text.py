@@ -1,21 +1,26 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree of its block elements; inline markup only marks links. What is never
-part of an article (menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) is told by element, role, class or id and left out, unless it holds the
-page's largest article or main element or most of its text. For every node the
-density is its characters per tag, adjusted for links:
+A page is read into a tree of its block elements; inline markup only marks links, and scripts,
+styles, controls and hidden elements have no text. For every node of the whole page the density is
+its characters per tag, adjusted for links:
 
     C/T * ln(1 + C/LC * T/LT) / (1 + ln ln(C*LC/(C-LC) + C*LCbody/Cbody + e))
 
-with C characters, T tags, LC characters and LT tags of links below it (zeros count as one). A
-node's density sum adds its children's densities, a run of its own text being a child. The node
-of the largest sum is the article's core; the least density on its path to the body is the
-threshold. The article is the outermost <article> around the core, else the outermost <main>, else
-the smallest node with the core and every block of at least half its mean plain text; all of it
-stays. Of what lies beside the article's path stay: text of the path's own; headings, paragraphs,
-sections and the like that are not mostly links; the last node with an <h1> ahead of an article
-without one; and any node that reaches the threshold.
+with C characters, T tags, LC characters and LT tags of links below it (zeros count as one; the
+published formula takes the logarithm of the first factor to the base of the second, which has a
+pole where that base is one, as in text without links: one plus its logarithm stands in). A node's
+density sum adds its children's densities, a run of its own text being a child. The node of the
+largest sum is the article's core; the least density on its path to the body is the threshold.
+
+Elements, roles, classes and ids that name menus, page headers, footers, sidebars, notices,
+adverts, forms or comments are a prior: a node in such an element is the core only if its sum is
+``DOUBT`` times that of any other node, or if the page's only article or main element lies there;
+comments are never the core beside other text. The core's own path is never left out by a name;
+other parts with such a name are. The article is the outermost <article> around the core, else
+the outermost <main>, else the smallest node with the core and every block of at least half its
+mean plain text; all of it stays. Of what lies beside the article's path stay: text of the path's
+own; headings, paragraphs, sections and the like that are not mostly links; the last node with an
+<h1> ahead of an article without one; and any node that reaches the threshold.
 
 Defined results: null or empty html, or html without text, gives an empty text; broken markup is
 read as far as it goes; <br> ends a block; text outside any tag counts as the body's; repeated
@@ -60,10 +65,13 @@ COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 #: Elements that are left out whatever they hold, and those that most of the page's text does not save.
 ALWAYS = frozenset("button select option svg canvas object audio video map datalist".split())
 PLACES = frozenset("nav footer aside header".split())
-#: How an element is marked: its text stays out; by its element; by a word; as comments.
-HIDDEN, PLACE, WORD, COMMENT = 1, 2, 3, 4
+#: How an element is marked: its text stays out; by a part of a name inside an article, which only counts
+#: for what is mostly links; by its element; by a word; as comments.
+HIDDEN, MAYBE, PLACE, WORD, COMMENT = 1, 2, 3, 4, 5
+#: How many times the density sum of unnamed text a named part must have to be the article.
+DOUBT = 4.0
 #: Words behind which, or ahead of which, a part of a name says nothing about its element.
-BEHIND, AHEAD = frozenset("has no with without".split()), frozenset("open opened closed".split())
+BEHIND, AHEAD = frozenset("has no with without".split()), frozenset("open opened closed free".split())
 
 
 class Node:
@@ -80,15 +88,15 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def _words(value: str) -> set[str]:
-    """Words of a class, id or role that say what an element is, not what it has or allows."""
-    out: set[str] = set()
+def _words(value: str) -> list[set[str]]:
+    """Words of each class, id or role that say what an element is, not what it has or allows."""
+    out = []
     for name in value.split():
         words = [w.lower() for w in PART.findall(name)]
         if words and words[-1] in AHEAD:
             continue
         stop = next((i for i, w in enumerate(words) if w in BEHIND), len(words))
-        out.update(words[:stop])
+        out.append(set(words[:stop]))
     return out
 
 
@@ -106,65 +114,61 @@ def _mark(tag: str, attributes: str, inside: bool) -> int:
         if tag not in ("article", "main") and (name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value))):
             return HIDDEN
         if name in ("class", "id", "role"):
-            words = _words(value)
+            names = _words(value)
+            words = set().union(*names)
+            boiler = BOILER - (HEADERS if inside else frozenset())
             if words & COMMENTS:
                 out = COMMENT
             elif tag in ("article", "main"):
                 continue
-            elif words & BOILER - (HEADERS if inside else frozenset()) or ("header" in words and not inside and tag not in ("h1", "h2", "h3")) or {"side", "bar"} <= words:
-                out = out or WORD
+            elif words & boiler or ("header" in words and not inside and tag not in ("h1", "h2", "h3")) or {"side", "bar"} <= words:
+                whole = not inside or {"side", "bar"} <= words or any(x and x <= boiler for x in names)
+                out = max(out, WORD if whole else MAYBE) if out in (0, MAYBE) else out
     return out
 
 
-def _leave_out(root: Node) -> None:
-    """Take what is no article out of the tree."""
-    order = [root]
+def _core(order: list[Node]) -> Node:
+    """The node of the largest density sum, with names as a prior; the outermost of equals."""
+    mark: dict[int, int] = {}  # the heaviest mark on the way to a node
     for n in order:
-        order.extend(n.children)
-    if not any(n.mark for n in order):
-        return
-    total = {id(n): n.plain for n in order}  # characters outside links below
-    holds = {id(n): n.plain for n in order}  # the same without deeper comments
-    largest = {id(n): 0 for n in order}  # of the largest article or main below
+        mark[id(n)] = max(n.mark if n.mark != MAYBE else 0, mark[id(n.parent)] if n.parent is not None else 0)
+    named_by = lambda n: n.mark not in (0, MAYBE)
+    chars = {id(n): n.chars for n in order}  # characters that no deeper name takes away
     for n in reversed(order):
-        if n.tag in ("article", "main"):
-            largest[id(n)] = max(largest[id(n)], total[id(n)])
         if n.parent is not None:
-            total[id(n.parent)] += total[id(n)]
-            holds[id(n.parent)] += 0 if n.mark == COMMENT else holds[id(n)]
-            largest[id(n.parent)] = max(largest[id(n.parent)], largest[id(n)])
-    free = {}  # text not in any marked node
-    for n in reversed(order):
-        free[id(n)] = n.plain + sum(free[id(c)] for c in n.children if not c.mark)
-    free_text, most = free[id(root)], holds[id(root)]
-    free_article = 0
-    stack = [root]
-    while stack:
-        n = stack.pop()
-        if n.tag in ("article", "main"):
-            free_article = max(free_article, free[id(n)])
-        stack.extend(c for c in n.children if not c.mark)
-    todo = [root]
-    while todo:
-        n = todo.pop()
+            chars[id(n.parent)] -= n.chars if named_by(n) else n.chars - chars[id(n)]
+    # sums without named parts: an unnamed child counts by its share of unnamed text
+    value = {id(n): n.sum - sum(c.density * (1 - (0 if named_by(c) else chars[id(c)]) / max(c.chars, 1)) for c in n.children) for n in order}
+    best = {m: max((n for n in order if mark[id(n)] == m), key=lambda n: value[id(n)], default=None) for m in (0, PLACE, WORD, COMMENT)}
+    free = best[0]
+    named = max((best[m] for m in (PLACE, WORD) if best[m] is not None), key=lambda n: value[id(n)], default=None)
+    text = lambda n: sum(x.plain for x in _below(n) if mark[id(x)] == mark[id(n)])
+    articles = [n for n in order if n.tag in ("article", "main") and n.sum and mark[id(n)] < COMMENT]
+    own = [n for n in articles if not mark[id(n)]]
+    if articles and not own and text(most := max(articles, key=lambda n: n.sum)) >= text(order[0]):
+        return max((n for n in _below(most) if mark[id(n)] == mark[id(most)]), key=lambda n: n.sum)
+    if named is not None and not own and value[id(named)] > DOUBT * value[id(free)]:
+        return named
+    if value[id(free)] > 0 or best[COMMENT] is None:
+        return free
+    return named if named is not None and value[id(named)] > 0 else best[COMMENT]
+
+
+def _leave_out(root: Node, core: Node) -> list[Node]:
+    """Take named parts that do not hold the core out of the tree; what is left, parents first."""
+    path = {id(n) for n in _path(core)}
+    order = [root]
+    for n in order:
         kept = []
         for c in n.children:
-            if c.mark:
-                own = holds[id(c)]
-                saved = largest[id(c)] > 0 and largest[id(c)] >= max(free_text, free_article)
-                if c.mark == COMMENT:  # a long comment is no article
-                    saved = saved and not free_article and 4 * free_text <= largest[id(c)]
-                if not saved and c.mark in (WORD, COMMENT) and not free_article:
-                    saved = 2 * own > most and 4 * free_text <= own if c.mark == WORD else not free_text and own > 0
-                if not saved:
-                    for x in _below(c):
-                        x.out = True
-                    continue
-                free_text += free[id(c)]
-                free_article = max(free_article, min(largest[id(c)], free[id(c)]))
-            kept.append(c)
+            if c.mark and id(c) not in path and (c.mark != MAYBE or 2 * c.link_chars > c.chars):
+                for x in _below(c):
+                    x.out = True
+            else:
+                kept.append(c)
         n.children = kept
-        todo.extend(reversed(kept))
+        order.extend(kept)
+    return order
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
@@ -243,8 +247,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, int, str]]]:
         node = new
     if at < len(page):
         text(page[at:])
-    _leave_out(root)
-    return root, [x for x in items if not x[0].out]
+    return root, items
 
 
 def _measure(root: Node) -> list[Node]:
@@ -337,15 +340,15 @@ def extract(page: str | None) -> str:
     root, items = parse(page)
     if not items:
         return ""
-    order = _measure(root)
-    core = max(order, key=lambda n: n.sum)  # the outermost of equals, as parents come first
+    core = _core(_measure(root))
+    order = _leave_out(root, core)
     chosen, own = _chosen(order, core)
     kept: dict[int, bool] = {}
     for n in order:
         kept[id(n)] = id(n) in chosen or (n.parent is not None and kept[id(n.parent)])
     out: dict[int, list[str]] = {}
     for n, block, raw in items:
-        if kept[id(n)] or id(n) in own:
+        if not n.out and (kept[id(n)] or id(n) in own):
             out.setdefault(block, []).append(raw)
     lines = (" ".join(_html.unescape("".join(x)).split()) for x in out.values())
     return "\n".join(x for x in lines if x)
