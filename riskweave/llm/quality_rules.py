@@ -132,14 +132,10 @@ def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: f
     accusing bad documents more often than good ones, which keeps the classes in place.
     """
     n = len(RULES)
-    vote = np.stack([codes // 3 ** (n - 1 - j) % 3 for j in range(n)], axis=1)
+    vote = _votes_of(codes)
     right, share, post = np.tile([0.3, 0.95], (n, 1)), 0.8, np.full(len(codes), 0.8)
     for _ in range(rounds if counts.sum() else 0):
-        log = []
-        for g in (0, 1):
-            p = np.where(vote == g + 1, right[:, g], 1 - right[:, g])
-            log.append(np.log(share if g else 1 - share) + np.where(vote == 0, 0.0, np.log(p)).sum(1))
-        post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+        post = posterior(codes, right, share)
         share = float(np.clip((post * counts).sum() / counts.sum(), 0.05, 0.95))
         for g, weight in enumerate(((1 - post) * counts, post * counts)):
             voted = (weight[:, None] * (vote > 0)).sum(0)
@@ -147,20 +143,33 @@ def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: f
             right[:, g] = np.clip((hit + smooth) / (voted + 2 * smooth), 0.8 if g else 0.02, 0.9995)
         # a bad vote is likelier on bad documents than on good ones
         right[:, 0] = np.maximum(right[:, 0], 1 - right[:, 1])
-    return post, right, share
+    return posterior(codes, right, share) if len(codes) else post, right, share
 
 
-def _model(patterns: DataFrame) -> dict[int, float]:
-    """Posterior by pattern, from counts (votes, n) that are bounded by the number of patterns."""
-    seen = patterns.groupBy("votes").agg(F.sum("n").alias("n")).toPandas()
-    post, *_ = estimate(seen["votes"].to_numpy(np.int64), seen["n"].to_numpy(float))
-    return dict(zip(seen["votes"].tolist(), post.tolist(), strict=True))
+def _votes_of(codes: np.ndarray) -> np.ndarray:
+    n = len(RULES)
+    return np.stack([codes // 3 ** (n - 1 - j) % 3 for j in range(n)], axis=1)
+
+
+def posterior(codes: np.ndarray, right: np.ndarray, share: float) -> np.ndarray:
+    """Probability of good for vote patterns, by rules' accuracies and the share of good."""
+    vote, log = _votes_of(codes), []
+    for g in (0, 1):
+        p = np.where(vote == g + 1, right[:, g], 1 - right[:, g])
+        log.append(np.log(share if g else 1 - share) + np.where(vote == 0, 0.0, np.log(p)).sum(1))
+    return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+
+
+def _model(patterns: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(patterns, posteriors, accuracies, share), from counts (votes, n) that are bounded by the number of patterns."""
+    seen = patterns.groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").toPandas()
+    codes = seen["votes"].to_numpy(np.int64)
+    return codes, *estimate(codes, seen["n"].to_numpy(float))
 
 
-def _verdict(f: pd.DataFrame, code: np.ndarray, model: dict[int, float], least: float) -> tuple:
-    posterior = np.array([model[c] for c in code.tolist()])
+def _verdict(f: pd.DataFrame, code: np.ndarray, right: np.ndarray, share: float, least: float) -> np.ndarray:
     failed = ((f.n_words < 10) | (100 * f.n_repeat_words > 20 * f.n_words)).to_numpy()
-    return failed, posterior, ~failed & (posterior >= least)
+    return ~failed & (posterior(code, right, share) >= least)
 
 
 def quality_rules(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +187,7 @@ def quality_rules(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", t
 
     found = keep.put(map_texts(docs, make, ", ".join(f"{c} bigint" for c in FIGURES) + ", votes bigint"), "figures")
     model = _model(found.groupBy("votes").agg(F.count("*").alias("n")))
-    table = spark.createDataFrame([*model.items()], "votes bigint, posterior double")
+    table = spark.createDataFrame(list(zip(model[0].tolist(), model[1].tolist(), strict=True)), "votes bigint, posterior double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = found.join(F.broadcast(table), "votes").withColumn("base_failed", failed)
     return out.select("doc_id", *FIGURES, "base_failed", "posterior", (~F.col("base_failed") & (F.col("posterior") >= least)).alias("kept"))
@@ -195,14 +204,14 @@ def quality_filter(docs: DataFrame, least: float = 0.5, text_col: str = "text")
                 code, n = np.unique(votes(figures(texts[cut])), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["votes", "n"])
 
-    model = _model(docs.select(whole_text(text_col).alias("text")).mapInArrow(count, "votes bigint, n bigint"))
+    _, _, right, share = _model(docs.select(whole_text(text_col).alias("text")).mapInArrow(count, "votes bigint, n bigint"))
 
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             for cut in blocks(texts):
                 f = figures(texts[cut])
-                stays = _verdict(f, votes(f), model, least)[2]
+                stays = _verdict(f, votes(f), right, share, least)
                 yield batch.slice(cut.start, cut.stop - cut.start).filter(pa.array(stays))
 
     return docs.mapInArrow(run, docs.schema)

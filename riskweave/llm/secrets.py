@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, whole_text
+from .common import blocks, map_texts, whole_text
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -390,7 +390,9 @@ def secret_redact(docs: DataFrame, text_col: str = "text", length_col: str | Non
     def run(batches):
         for batch in batches:
             texts = batch.column(columns.index(text_col)).to_pylist()
-            done = [None if t is None else redact(t, s) for t, s in zip(texts, scan([t or "" for t in texts], net), strict=True)]
+            done = []
+            for cut in blocks([t or "" for t in texts]):
+                done += [None if t is None else redact(t, s) for t, s in zip(texts[cut], scan([t or "" for t in texts[cut]], net), strict=True)]
             new = {text_col: pa.array(done, batch.schema.field(text_col).type)}
             if length_col:
                 new[length_col] = pa.array([None if t is None else len(t) for t in done], batch.schema.field(length_col).type)
