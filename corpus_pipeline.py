@@ -3,6 +3,11 @@
 Documents that the quality rules reject go; lines that an earlier document holds go; of each
 group of near-duplicates (five-word shingles, similarity of 0.8) the smallest doc_id stays;
 secrets are replaced by a mark; what is left is packed into sequences.
+
+Defined results: a null or empty text fails the base rules and goes; rows of one doc_id are one
+document, kept or dropped together by near duplicates; a null doc_id is kept unless a rule of its
+text drops it; extra columns pass through all stages but the last; an empty table gives an empty
+one.
 """
 
 from __future__ import annotations
