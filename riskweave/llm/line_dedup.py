@@ -1,20 +1,24 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame operations only.
 
-Documents come in batches of ascending ids. A run is a table of (hash, first document) sorted
-and bucketed by hash. Each batch reduces its lines to one row per hash, merge-anti-joins them
-with the runs (bucketed alike, so the runs are not shuffled again) and writes what is new as a
-run of level 0; ``fanout`` runs of a level are compacted into one of the next. Runs never share
-a hash, as a batch adds only what none of them holds, and a hash's first document is the
-smallest id that holds it. At the end the lines are joined with the runs and those whose first
-document is another one go.
+Documents come in batches of ascending ids, of about ``BATCH_LINES`` lines each. A run is a table
+of (hash, first document, lines that held it) sorted and bucketed by hash. Each batch reduces its
+lines to one row per hash, merge-anti-joins them with the runs (bucketed alike, so the runs are
+not shuffled again) and writes what is new as a run of level 0; ``fanout`` runs of a level are
+compacted into one of the next. Runs never share a hash, as a batch adds only what none of them
+holds, and a hash's first document is the smallest id that holds it. At the end the lines are
+joined with each run, the lines dealt by hash once, and those whose first document is another
+one go.
 
 Hashes are MD5 of the key. A line that a third of all documents hold is one row after the
-partial aggregation; in the final join adaptive execution splits its partition.
+partial aggregation. In the final join hot hashes are taken out: those that one row in
+``HOT_SHARE`` or more lines held in their batch are at most ``HOT_SHARE`` per batch's share of
+the lines, so at most ``HOT_SHARE`` in all, and travel to the lines instead of the other way.
 
 Defined results: null or empty text is one empty line; lines of one document never drop each
 other; rows of one doc_id are one document, each with its own lines; a null doc_id is one
-document that comes last; keys shorter than the limit always stay; columns other than id and
-text pass through ``keep`` only.
+document that comes last; ids that are no numbers come in one batch; keys shorter than the limit
+always stay; columns other than id and text pass through ``keep`` only; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -24,16 +28,22 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import Scratch, whole_text
 
+#: Lines of a batch, about; there are ``BATCHES`` at least.
+BATCH_LINES, BATCHES = 500_000_000, 4
+#: A hash is hot if more than one line in so many holds it, and at least HOT_LINES do.
+HOT_SHARE, HOT_LINES = 10_000, 1000
+
 #: The white space that parts words.
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Runs:
-    """Levels of sorted runs (h, owner) under a scratch folder."""
+    """Levels of sorted runs (h, owner, c) under a scratch folder."""
 
     def __init__(self, spark: SparkSession, keep: Scratch, fanout: int):
         self.spark, self.keep, self.fanout = spark, keep, fanout
@@ -61,7 +71,7 @@ class Runs:
 
     def _write(self, keys: DataFrame) -> DataFrame:
         name, at = f"riskweave_run_{uuid.uuid4().hex}", self.keep.path("run")
-        sorted_keys = keys.select("h", "owner").repartition(self.buckets, "h")
+        sorted_keys = keys.select("h", "owner", "c").repartition(self.buckets, "h")
         sorted_keys.write.bucketBy(self.buckets, "h").sortBy("h").option("path", at).format("parquet").saveAsTable(name)
         run = self.spark.table(name)
         run._riskweave_path = at
@@ -74,25 +84,39 @@ class Runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept columns, n_lines, n_dropped, text): texts without lines that a smaller id holds."""
     spark = docs.sparkSession
     keep = Scratch(spark, "lines")
     docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *keep_cols).alias("kept"))
     docs = docs.withColumn("th", F.xxhash64("text")).withColumn("lines", F.split("text", "\n", -1))
     key = F.translate(F.btrim("line", F.lit(BLANK)), UPPER, LOWER)
-    marks = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or [] if batches > 1 else []
-    batch = reduce(lambda a, b: a + b, [F.when(F.col("doc_id") <= m, 0).otherwise(1) for m in sorted(set(marks))], F.lit(0))
-    lines = docs.select("doc_id", "th", batch.alias("batch"), F.posexplode("lines").alias("pos", "line")).withColumn("key", key)
-    lines = keep.put(lines.filter(F.length("key") >= min_chars).select("doc_id", "th", "batch", "pos", F.unhex(F.md5("key")).alias("h")), "lines")
+    lines = docs.select("doc_id", "th", F.posexplode("lines").alias("pos", "line")).withColumn("key", key)
+    lines = keep.put(lines.filter(F.length("key") >= min_chars).select("doc_id", "th", "pos", F.unhex(F.md5("key")).alias("h")), "lines")
+    total = lines.count()
+    batches = batches or max(BATCHES, -(-total // BATCH_LINES))
+    marks = []
+    if batches > 1 and isinstance(docs.schema["doc_id"].dataType, NumericType):
+        marks = sorted(set(lines.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []))
     runs = Runs(spark, keep, fanout)
-    for i in range(len(set(marks)) + 1):
-        own = lines.filter(F.col("batch") == i).groupBy("h").agg(F.min("doc_id").alias("owner"))
-        runs.add(runs.unseen(own))
-    owners = reduce(DataFrame.unionByName, runs.all())
-    drops = lines.join(owners.hint("merge"), "h").filter(~F.col("owner").eqNullSafe(F.col("doc_id")))
-    drops = keep.put(drops.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drops")), "drops")
-    runs.forget()
+    try:
+        for low, high in zip([None, *marks], [*marks, None], strict=True):
+            own = lines
+            if low is not None:  # null ids come last
+                own = own.filter((F.col("doc_id") > low) & (F.col("doc_id") <= high) if high is not None else (F.col("doc_id") > low) | F.col("doc_id").isNull())
+            elif high is not None:
+                own = own.filter(F.col("doc_id") <= high)
+            runs.add(runs.unseen(own.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count("*").alias("c"))))
+        found = runs.all()
+        limit = max(HOT_LINES, total // HOT_SHARE)
+        hot = keep.put(reduce(DataFrame.unionByName, [r.filter(F.col("c") > limit).select("h", F.col("owner").alias("hot_owner")) for r in found]).withColumn("hot", F.lit(True)), "hot")  # at most HOT_SHARE rows
+        marked = lines.join(F.broadcast(hot), "h", "left")
+        rest = marked.filter("hot is null").select("doc_id", "th", "pos", "h")
+        drops = [rest.join(r.select("h", "owner").hint("merge"), "h").filter(~F.col("owner").eqNullSafe(F.col("doc_id"))).select("doc_id", "th", "pos") for r in found]
+        drops.append(marked.filter("hot").filter(~F.col("hot_owner").eqNullSafe(F.col("doc_id"))).select("doc_id", "th", "pos"))
+        drops = keep.put(reduce(DataFrame.unionByName, drops).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drops")), "drops")
+    finally:
+        runs.forget()
     left, right = docs.drop("text").alias("l"), drops.alias("r")
     out = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.th") == F.col("r.th")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drops")
