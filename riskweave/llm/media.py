@@ -5,12 +5,14 @@ grey PNG, losslessly. Each task writes the distinct payloads it sees into tar sh
 under the shared folder (members are named by digest; plain ``tar`` reads them) and emits rows
 of digest, shard, offset and length: no payload is ever shuffled. Copies that several tasks
 stored are settled by digest: the smallest (shard, offset) is the one that all rows point to.
-Readers open shards by offset: metadata columns come from range reads of the PNG header alone,
-features from one range read of the member.
+Readers open shards by offset: the metadata columns width, height and bits come from range reads
+of the PNG header alone, the rest from one range read of the member. A feature string begins with
+what the header says and goes on with figures of the samples.
 
 Shard names hold a random part for each attempt, so a retried or speculative task never writes
 over another's shard; only rows of committed attempts are read, and a lost executor costs no
-payload that a row points to.
+payload that a row points to. Shards of attempts that failed are removed once the manifest is
+written: the driver compares names of shards, of which there are as many as tasks and fills.
 
 Defined results: null text is empty text, whose payload is one row of 255; equal texts share
 one member and all values; repeated rows are kept; only id and text are read.
@@ -27,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, whole_text
+from .common import Scratch, map_texts, salted_join, whole_text
 
 WIDTH = 576
 PAD = 255
@@ -117,7 +119,7 @@ class Shards:
                 self.files.create_dir(self.base, recursive=True)
                 self.name, self.at = f"{uuid.uuid4().hex[:16]}.tar", 0
                 self.out = self.files.open_output_stream(f"{self.base}/{self.name}")
-            self.out.write(tar_header(f"{key.hex()[:40]}.png", len(media)) + media + bytes(-len(media) % 512))
+            self.out.write(tar_header(f"{key.hex()}.png", len(media)) + media + bytes(-len(media) % 512))
             self.known[key] = self.name, self.at + 512, len(media)
             self.at += 512 + len(media) + -len(media) % 512
         return key, *self.known[key]
@@ -188,32 +190,45 @@ def read_metadata(places: DataFrame, root: str) -> DataFrame:
 def _features(media: bytes) -> tuple:
     data = from_png(media)
     samples = np.frombuffer(data, np.uint8)
-    width, height, bits = png_header(media[:HEADER])
     counts = np.bincount(samples >> 5, minlength=8)
     steps = int(np.abs(np.diff(samples.astype(np.int16))).sum())
-    feature = f"{width}x{height}x{bits} mean={1000 * int(samples.sum(dtype=np.int64)) // len(samples)} step={1000 * steps // len(samples)} bins=" + "-".join(str(1000 * int(c) // len(samples)) for c in counts)
-    return len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-32:]), hashlib.sha256(media).digest(), feature
+    figures = f"mean={1000 * int(samples.sum(dtype=np.int64)) // len(samples)} step={1000 * steps // len(samples)} bins=" + "-".join(str(1000 * int(c) // len(samples)) for c in counts)
+    return len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-32:]), hashlib.sha256(media).digest(), figures
 
 
 def read_features(places: DataFrame, root: str) -> DataFrame:
-    """Places with payload and media digests and a feature string, computed from the bytes read back."""
-    return _read(places, root, "payload_bytes bigint, payload_sha binary, tail_crc32 bigint, media_sha binary, feature string", _features)
+    """Places with payload and media digests and figures of the samples, computed from the bytes read back."""
+    return _read(places, root, "payload_bytes bigint, payload_sha binary, tail_crc32 bigint, media_sha binary, figures string", _features)
+
+
+def remove_strays(manifest: DataFrame, root: str) -> int:
+    """Delete shards that no row of a written manifest names: those of attempts that failed."""
+    from pyarrow import fs
+
+    files, base = _files(root)
+    known = {r[0] for r in manifest.select("shard").distinct().collect()}  # names of shards, not of payloads
+    found = [x for x in files.get_file_info(fs.FileSelector(base, allow_not_found=True)) if x.is_file and x.base_name not in known]
+    for x in found:
+        files.delete_file(x.path)
+    return len(found)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text and describe what was stored, a row for each row of ``docs``.
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, width, height, shard, offset); shards stay under the shared folder.
+    feature, digest, shard, offset, length, width, height, bits); shards stay under the shared folder.
     """
     keep = Scratch(docs.sparkSession, "media")
     root = keep.path("shards")
     manifest = keep.put(store_media(docs, root, id_col=id_col, text_col=text_col), "manifest")
+    remove_strays(manifest, root)
     places = keep.put(locations(manifest), "places")
     ordered = _spread(places).sortWithinPartitions("shard", "offset")
     about = read_features(read_metadata(ordered, root), root)
     hexed = lambda c: F.lower(F.hex(c))
-    return manifest.select("doc_id", "n_bytes", "digest").join(about, "digest").select(
+    size = F.concat_ws("x", *[F.col(c).cast("string") for c in ("width", "height", "bits")])
+    return salted_join(manifest.select("doc_id", "n_bytes", "digest"), about, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", hexed("payload_sha").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), hexed("media_sha").alias("media_sha256"),
-        "feature", "width", "height", "shard", "offset",
+        F.concat_ws(" ", size, "figures").alias("feature"), hexed("digest").alias("digest"), "shard", "offset", "length", "width", "height", "bits",
     )

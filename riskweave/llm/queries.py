@@ -37,8 +37,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads in tar shards, described from what is read back."""
-    out = media_columns(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media_columns(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
