@@ -1,6 +1,13 @@
 """Byte-level BPE over words (the pattern's matches), with a bounded cache of words.
 
-Every match of the pattern is encoded on its own, so a text's ids are its words' ids in a row.
+Every match of the pattern is encoded on its own, so a text's ids are its words' ids in a row. A
+word is merged here: of its neighbouring parts the pair of the least rank joins, the leftmost of
+equals, until no pair is in the vocabulary. Long words are halved and reduced up a tree: ids of
+neighbours join by merging anew a growing window around the cut, until the pairs of ids at both
+of its ends stand as they are when merged alone. A row of ids all of whose neighbouring pairs
+stand so is the encoding of its bytes: the first merge across two ids would also happen with
+those two alone, as merges inside an id do not depend on what is around it.
+
 A match depends only on the text from its start on. Two scans that both start a match at one
 place therefore agree from there on, as far as both see the same text; and a match that ends
 at least ``MARGIN`` characters before a cut is not changed by what follows the cut. The tree
@@ -10,6 +17,7 @@ and the overlap operators rest on these two facts.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import re
 
@@ -21,6 +29,10 @@ import tiktoken
 MARGIN = 3
 #: Words kept per worker process; older ones are encoded again.
 CACHE_WORDS = 300_000
+#: Bytes of a word up to which it is merged at once, and of its leaves beyond; ids that a join merges anew first.
+PIECE, EDGE = 256, 4
+# Fixed value: the pattern for which the fast expression below gives the same matches.
+FAST_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # The letter, number and white-space classes of the code points that the fast path admits.
 _L = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -54,6 +66,34 @@ def load_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return ranks, special
 
 
+def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
+    """Ids of a piece: pairs of neighbouring parts join by least rank, the leftmost first."""
+    if piece in ranks:
+        return [ranks[piece]]
+    n = len(piece)
+    end, back = list(range(1, n + 1)), list(range(-1, n - 1))  # part i is piece[i:end[i]], the one before it starts at back[i]
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        if i < 0 or end[i] == 0 or end[i] >= n or end[end[i]] != stop:
+            continue  # one of its parts has grown since
+        j = end[i]
+        end[i], end[j] = stop, 0
+        if stop < n:
+            back[stop] = i
+            if (r := ranks.get(piece[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        h = back[i]
+        if h >= 0 and (r := ranks.get(piece[h:stop])) is not None:
+            heapq.heappush(heap, (r, h, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return out
+
+
 class _Words(dict):
     def __init__(self, encode):
         super().__init__()
@@ -69,20 +109,49 @@ class _Words(dict):
 
 
 class Encoder:
-    """One vocabulary; special strings in a text become special ids if it has any."""
-
-    def __init__(self, path: str, pattern: str):
-        ranks, self.special = load_ranks(path)
-        self.core = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
-        self.slow = regex.compile(pattern)
-        self.words = _Words(self.core._encode_single_piece)
-        self.bytes_of: list[bytes] = [b""] * (max([*ranks.values(), *self.special.values()]) + 1)
-        for b, i in [*ranks.items(), *((s.encode(), i) for s, i in self.special.items())]:
+    """One vocabulary; special strings in a text become special ids if it has any.
+
+    Words are merged here (``own``), or by an installed library's core, which gives the same ids
+    and costs less: for operators whose method is not the encoding itself.
+    """
+
+    def __init__(self, path: str, pattern: str, own: bool = True):
+        self.ranks, self.special = load_ranks(path)
+        self.slow, self.fast = regex.compile(pattern), pattern == FAST_PATTERN
+        if own:
+            self.words = _Words(lambda word: self.reduce(word.encode("utf-8", "surrogatepass")))
+        else:
+            self.words = _Words(tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens=self.special)._encode_single_piece)
+        self.bytes_of: list[bytes] = [b""] * (max([*self.ranks.values(), *self.special.values()]) + 1)
+        for b, i in [*self.ranks.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.bytes_of[i] = b
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def reduce(self, piece: bytes, leaf: int = PIECE) -> list[int]:
+        """Ids of one word, by halves if it is long."""
+        if len(piece) <= leaf:
+            return merge(self.ranks, piece)
+        half = len(piece) // 2
+        return self.join(self.reduce(piece[:half], leaf), self.reduce(piece[half:], leaf))
+
+    def stands(self, a: int, b: int) -> bool:
+        """Whether two ids stay as they are when their bytes are merged together."""
+        return merge(self.ranks, self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+
+    def join(self, a: list[int], b: list[int]) -> list[int]:
+        """Ids of the bytes of both."""
+        back = ahead = EDGE
+        while True:
+            left, right = max(0, len(a) - back), min(len(b), ahead)
+            middle = merge(self.ranks, b"".join(self.bytes_of[i] for i in [*a[left:], *b[:right]]))
+            firm_left = not left or self.stands(a[left - 1], middle[0])
+            firm_right = right == len(b) or self.stands(middle[-1], b[right])
+            if firm_left and firm_right:
+                return a[:left] + middle + b[right:]
+            back, ahead = back if firm_left else 2 * back, ahead if firm_right else 2 * ahead
+
     def pattern_for(self, text: str):
-        return self.slow if _OTHER.search(text) else _FAST
+        return _FAST if self.fast and not _OTHER.search(text) else self.slow
 
     def matches(self, text: str) -> list[str]:
         return self.pattern_for(text).findall(text)
@@ -103,12 +172,12 @@ class Encoder:
         return b"".join(self.ordinary(p) if i is None else np.uint32(i).astype("<u4").tobytes() for p, i in self.segments(text))
 
 
-_open: dict[tuple[str, str], Encoder] = {}
+_open: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, own: bool = True) -> Encoder:
     """This process's encoder of a vocabulary."""
-    if (path, pattern) not in _open:
+    if (path, pattern, own) not in _open:
         _open.clear()
-        _open[path, pattern] = Encoder(path, pattern)
-    return _open[path, pattern]
+        _open[path, pattern, own] = Encoder(path, pattern, own)
+    return _open[path, pattern, own]

@@ -6,7 +6,8 @@ the cut. The window reaches back to a word whose predecessors all end clear of t
 forward until the new scan starts a word where the right element starts one: from there on both
 scans are the same text matched from the same place, so nothing outside can change. Until that
 happens, the window doubles. The join is associative in its result (that of one whole scan),
-so halves may be reduced in any grouping.
+so halves may be reduced in any grouping. A word longer than a leaf is reduced by halves of its own
+(see bpe), and so is the decoding of ids.
 
 Defined results: null or empty text has no ids and decodes to nothing; repeated rows are
 encoded each; only the id and the text column are read.
@@ -25,7 +26,7 @@ from .bpe import MARGIN, Encoder, encoder
 from .common import map_texts, whole_text
 
 #: Characters of a leaf.
-LEAF = 16_384
+LEAF = 1024
 #: Words on each side of a cut that a join encodes first.
 WINDOW = 8
 

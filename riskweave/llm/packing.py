@@ -94,7 +94,7 @@ def _pieces(path: str, pattern: str, capacity: int, closing: int):
     end = np.uint32(closing).astype("<u4").tobytes()
 
     def make():
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, own=False)
 
         def work(texts):
             rows = []

@@ -60,7 +60,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, id
     docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
 
     def make():
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, own=False)
 
         def work(texts):
             n = [count(enc, t, chunk, overlap) for t in texts]
