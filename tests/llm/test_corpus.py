@@ -2,12 +2,14 @@
 
 import hashlib
 import html
+import os
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
 from riskweave.llm import html_text, line_dedup, media, ngram_join, quality_rules, secrets, toxicity
@@ -61,34 +63,6 @@ def linked(texts, n, num, den):
     return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize(("n", "num", "den", "group", "huge"), [(4, 85, 100, 2000, 100_000), (5, 80, 100, 4, 6)])
-def test_ngram_join(spark, monkeypatch, n, num, den, group, huge):
-    """Small limits send leftover groups through a further partitioning and through chunks."""
-    monkeypatch.setattr(ngram_join, "GROUP", group)
-    monkeypatch.setattr(ngram_join, "HUGE", huge)
-    texts = copies(n=60 if huge > 6 else 18)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(table(spark, texts), n, num, den).collect()}
-    assert got == linked(texts, n, num, den)
-
-
-def test_similar_sets_share_a_signature():
-    r = np.random.default_rng(5)
-    bands = ngram_join.Bands(85, 100)
-    for size in (3, 7, 12, 20, 33, 60, 150, 700):
-        for _ in range(25):
-            a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
-            frequent = np.sort(r.choice(a, len(a) // 3, replace=False))
-            b = a
-            while True:  # change elements as far as the threshold allows
-                c = np.unique(np.concatenate([np.delete(b, r.integers(len(b))), r.integers(0, 2**63, int(r.integers(0, 3))).astype(np.uint64)]))
-                both = len(np.intersect1d(a, c))
-                if 100 * both < 85 * (len(a) + len(c) - both):
-                    break
-                b = c
-            assert np.array_equal(a, b) or len(np.intersect1d(ngram_join.signatures(a, bands, frequent), ngram_join.signatures(b, bands, frequent)))
-            assert np.abs(np.frombuffer(ngram_join.sketch(a), np.uint8).astype(int) - np.frombuffer(ngram_join.sketch(b), np.uint8)).sum() <= len(np.setxor1d(a, b))
-
-
 def test_line_dedup(spark):
     r = random.Random(2)
     lines = ["", "short", "  Short ", "a line of more than ten", "A LINE of more than ten\t", "\x0bten chars!", "éééééééééé", "ÉÉÉÉÉÉÉÉÉÉ", *(f"line number {i} of many" for i in range(30))]
@@ -214,7 +188,7 @@ def test_nearest_examples_are_exact():
         t = np.sort(r.choice(40, r.integers(0, 6), replace=False))
         terms.append((t, r.integers(1, 4, len(t))))
     toxic = r.random(500) < 0.3
-    index = toxicity.build_index(np.arange(500), terms, toxic, np.ones(500), vocabulary, r.integers(1, 100, 40), 1000)
+    index = toxicity.build_index(np.arange(500), terms, toxic, np.ones(500), vocabulary, r.integers(1, 100, 40), 1000).ready()
     dense = np.zeros((len(index.ids), 40))
     for row, i in enumerate(index.ids):
         t, v = index.vector(*terms[i])
@@ -305,6 +279,75 @@ def test_html_marks_do_not_drop_the_page(inner):
     assert html_text.extract(page) == p("a")
 
 
+def test_html_names_inside_an_article():
+    """A part of a name only takes away what is mostly links; whole names take away all; density overrides a wrong name."""
+    p = lambda c: c * 299 + "."
+    kept = "".join(f"<{t}>{p(c)}</{t.split()[0]}>" for t, c in (("p class='share-price'", "a"), ("p class='intro comment-free'", "b"), ("div class='widget-box'", "c")))
+    gone = f"<p class=notice>Note {p('x')}</p><div class='share-buttons'><a href=1>Share it</a> <a href=2>Send it</a></div><div class=ad>Buy</div>"
+    assert html_text.extract(f"<body><article><h1>T</h1><p>{p('d')}</p>{kept}{gone}</article></body>").split("\n") == ["T", *map(p, "dabc")]
+    for wrapper in ("form id=aspnetForm", "div class='page comments-open'", "div class=widget", "aside"):
+        page = f"<html><body><nav><a href=/>Home</a></nav><{wrapper}><div><h1>T</h1><p>{p('a')}</p><p>{p('b')}</p></div></{wrapper.split()[0]}><footer>me</footer></body></html>"
+        assert html_text.extract(page).split("\n") == ["T", *map(p, "ab")], wrapper
+
+
+def test_html_densities_of_random_trees():
+    """Densities and their sums against the formula, node by node, and the core against the largest sum."""
+    import math
+
+    r = random.Random(16)
+    for _ in range(40):
+        def build(depth):
+            out = ""
+            for _ in range(r.randrange(1, 4)):
+                kind = r.random()
+                if depth and kind < 0.5:
+                    out += f"<div>{build(depth - 1)}</div>"
+                elif kind < 0.75:
+                    out += f"<p>{'x' * r.randrange(1, 200)}</p>"
+                else:
+                    out += f"<p><a href=1>{'y' * r.randrange(1, 40)}</a></p>"
+            return out
+
+        root, _ = html_text.parse(f"<body>{build(4)}</body>")
+        order = html_text._measure(root)
+
+        def total(n):
+            own = (sum(n.runs), 0, 0, 0)
+            inner = [total(c) for c in n.children]
+            return own[0] + sum(x[0] for x in inner), sum(x[1] + 1 for x in inner), sum(x[2] for x in inner), sum(x[3] for x in inner)
+
+        share = root.link_chars / max(root.chars, 1)
+        for n in order:
+            assert n.chars == total(n)[0] and n.tags - n.link_tags == total(n)[1]
+            if n.chars:
+                c, t, lc, lt = n.chars, max(n.tags, 1), n.link_chars, max(n.link_tags, 1)
+                base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+                assert math.isclose(n.density, c / t * math.log(1 + c / max(lc, 1) * t / lt) / (1 + math.log(base)))
+            plain = sum(x * math.log(1 + x) / (1 + math.log(math.log(share * x + math.e))) for x in n.runs if x)
+            assert math.isclose(n.sum, sum(c.density for c in n.children) + plain)
+        assert html_text._core(order).sum == max(n.sum for n in order)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_html_density_decides_on_the_tables():
+    """Without any names, density alone leaves something out of nearly all pages, and takes no article away."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    acts = 0
+    for page in pages:
+        root, items = html_text.parse(page)
+        for n in html_text._below(root):
+            n.mark = 0
+        core = html_text._core(html_text._measure(root))
+        order = html_text._leave_out(root, core)
+        chosen, own = html_text._chosen(order, core)
+        inside = lambda n: id(n) in chosen or (n.parent is not None and inside(n.parent))
+        left = [n for n, _, raw in items if not raw.isspace() and not inside(n) and id(n) not in own]
+        acts += bool(left)
+        kept = " ".join(" ".join(raw for n, _, raw in items if inside(n) or id(n) in own).split())
+        assert all(line[:40] in kept for line in html_text.extract(page).split("\n") if "&" not in line and len(line) > 40 and line in page)
+    assert acts >= 0.9 * len(pages)
+
+
 def test_html_of_synthetic_pages():
     r = random.Random(6)
     for _ in range(50):
