@@ -45,7 +45,10 @@ def radius_pairs(left: DataFrame, right: DataFrame, dim: int, r: int) -> DataFra
     key = F.posexplode(F.array(*[F.xxhash64(F.lit(i), *[F.get("particle", F.lit(j)) for j in own]) for i, own in enumerate(places)])) if r < dim else F.posexplode(F.array(F.lit(0).cast("bigint")))
     x = left.select("id", "particle", key.alias("k", "key")).withColumnsRenamed({"id": "a", "particle": "pa"})
     y = right.select("id", "particle", key.alias("k", "key")).withColumnsRenamed({"id": "b", "particle": "pb"})
-    met = x.join(y, ["k", "key"]).filter(F.round(hamming("pa", "pb") * dim) == r).select("a", "b")
+    differ = F.lit(0)  # compiled, place by place
+    for i in range(dim):
+        differ = differ + (F.get("pa", F.lit(i)) != F.get("pb", F.lit(i))).cast("int")
+    met = x.join(y, ["k", "key"]).filter(differ == r).select("a", "b")
     return met if once else met.distinct()
 
 
