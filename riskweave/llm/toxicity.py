@@ -3,9 +3,13 @@
 The labelled examples are a bounded sample (``per_class`` of either label, chosen by a hash of
 the id). The vocabulary is every word and word beginning in it. Weights are tf-idf with document
 frequencies of all documents; terms that are markedly more frequent in toxic examples count
-``MARKED`` times. The examples form an inverted index, in which terms that many examples share
-are rows of a matrix: a batch of queries meets these in one product and the others by their
-postings. Every example with a term is found by its own text, and nothing is pruned: the k
+``MARKED`` times. The examples form a block-max inverted index. Alike examples (by a few rounds of
+spherical k-means, mostly those of one language) stand in one block of at most ``BLOCK``. Rare
+terms have postings, which a query adds up first. Terms that many examples share are rows of each
+block's matrix; what they can add there is bounded by the rows' largest weights, and by the length
+of the query's part in them and the greatest length of an example's. A block is multiplied only if
+its largest sum so far and the lesser bound together could still reach the k nearest known from
+the query's first block. Every example with a term is found by its own text and nothing is cut off: the k
 nearest are exact (cosines closer than 1e-5 are ties). A query's length counts its terms in the
 vocabulary. The neighbours' votes count by closeness and by how many labelled rows an example
 stands for; leave-one-out votes of the examples themselves calibrate the score. The examples' ids
@@ -34,9 +38,13 @@ from .common import NO_LETTER, Scratch, blocks, map_texts, whole_text, word_hash
 #: Examples of either label at most; the bound of the sample.
 PER_CLASS = 5000
 #: Queries that meet the index at once.
-BATCH = 64
-#: A term of more examples than the square root of this many times all examples is a row of the matrix.
-COMMON = 64
+BATCH = 512
+#: Clusters of alike examples, and examples of a block at most.
+CLUSTERS, BLOCK = 12, 4096
+#: A term of more examples than the square root of this many times all examples is a row of the blocks' matrices.
+COMMON = 32
+#: Blocks of a query that are multiplied before any bound is known.
+FIRST = 1
 #: How much more a marked term weighs.
 MARKED = 4.0
 #: Bytes of the word beginnings that are terms too.
@@ -48,20 +56,23 @@ def text_terms(texts: list[str], vocabulary: np.ndarray | None = None) -> tuple[
     """(text, term, times) of letter-run terms; with a sorted vocabulary, only its terms, as places in it."""
     hashes, first, *_ = word_hashes(texts, lower=True, space=NO_LETTER, prefix_bytes=BEGINNINGS)
     owner = np.repeat(np.arange(len(texts)), first[1:] - first[:-1])
-    rows, terms = [], []
-    for h in hashes:
-        if vocabulary is None:
-            rows.append(owner)
-            terms.append(h)
-        elif len(vocabulary):
-            at = np.searchsorted(vocabulary, h)
+    if vocabulary is not None:
+        if not len(vocabulary):
+            hashes = hashes[:0]
+        else:  # each different word of the batch is looked up once
+            place, found = pd.factorize(hashes.ravel())
+            at = np.searchsorted(vocabulary, found)
             at[at == len(vocabulary)] = 0
-            hit = vocabulary[at] == h
-            rows.append(owner[hit])
-            terms.append(at[hit])
+            hashes = np.where(vocabulary[at] == found, at, -1)[place].reshape(hashes.shape)
+    rows = [owner if vocabulary is None else owner[h >= 0] for h in hashes]
+    terms = [h if vocabulary is None else h[h >= 0] for h in hashes]
     if not rows:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
     row, term = np.concatenate(rows), np.concatenate(terms)
+    if vocabulary is not None:
+        place, both = pd.factorize(row * len(vocabulary) + term)
+        order, times = np.argsort(both), np.bincount(place, minlength=len(both))
+        return both[order] // len(vocabulary), both[order] % len(vocabulary), times[order]
     order = np.lexsort((term, row))
     row, term = row[order], term[order]
     fresh = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])) if len(row) else np.zeros(0, int)
@@ -100,19 +111,33 @@ class Index:
     shift: float = 0.0
 
     def ready(self) -> Index:
-        """Weights of the postings, and the matrix; made where they are used, so that they do not travel."""
-        if not hasattr(self, "matrix"):
+        """Weights of the postings, and the blocks; made where they are used, so that they do not travel."""
+        if not hasattr(self, "blocks"):
             n = len(self.ids)
-            self.values = (1 + np.log(self.times, dtype=np.float32)) * np.repeat(self.idf.astype(np.float32), np.diff(self.starts))
-            self.values /= np.maximum(np.sqrt(np.bincount(self.docs, self.values**2, n)), 1e-12).astype(np.float32)[self.docs]
-            common = np.flatnonzero(np.diff(self.starts) ** 2 > COMMON * n)
-            self.row = np.full(len(self.vocabulary), -1, np.int32)
-            self.row[common] = np.arange(len(common))
-            matrix = np.zeros((len(common), n), np.float32)
+            values = (1 + np.log(self.times, dtype=np.float32)) * np.repeat(self.idf.astype(np.float32), np.diff(self.starts))
+            values /= np.maximum(np.sqrt(np.bincount(self.docs, values**2, n)), 1e-12).astype(np.float32)[self.docs]
+            df = np.diff(self.starts)
+            common = np.flatnonzero(df**2 > COMMON * n)
+            dense = np.zeros((len(common), n), np.float32)
             for i, t in enumerate(common):
                 at = slice(self.starts[t], self.starts[t + 1])
-                matrix[i, self.docs[at]] = self.values[at]
-            self.matrix = matrix
+                dense[i, self.docs[at]] = values[at]
+            self.row = np.full(len(self.vocabulary), -1, np.int32)
+            self.row[common] = np.arange(len(common))
+            order, cuts = _alike(dense)
+            # examples are numbered anew, block by block
+            place = np.empty(n, np.int64)
+            place[order] = np.arange(n)
+            self.ids, self.toxic, self.weight = self.ids[order], self.toxic[order], self.weight[order]
+            self.blocks = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = dense[:, order[a:b]]
+                there = np.flatnonzero(part.any(1))
+                part = np.ascontiguousarray(part[there])
+                self.blocks.append((a, b, there, part, part.max(1, initial=0), np.sqrt((part**2).sum(0).max(initial=0))))
+            rare = np.repeat(self.row < 0, df)
+            self.docs, self.values = place[self.docs[rare]].astype(self.docs.dtype), values[rare]
+            self.starts = np.concatenate([[0], np.cumsum(np.where(self.row < 0, df, 0))])
         return self
 
     def vector(self, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,23 +157,46 @@ class Index:
         n = len(self.ready().ids)
         for at in range(0, len(queries), BATCH):
             part = queries[at : at + BATCH]
-            dense, rest = np.zeros((len(part), len(self.matrix)), np.float32), []
+            dense, scores = np.zeros((len(part), int(self.row.max(initial=-1)) + 1), np.float32), np.zeros((len(part), n), np.float32)
             for i, (t, v) in enumerate(part):
                 row = self.row[t]
                 common = row >= 0
                 dense[i, row[common]] = v[common]
-                rest.append((t[~common], v[~common]))
-            scores = dense @ self.matrix
-            for i, (t, v) in enumerate(rest):
-                a, m = self.starts[t], self.starts[t + 1] - self.starts[t]
-                rows = np.repeat(a - np.cumsum(m) + m, m) + np.arange(m.sum())
-                score = scores[i] + np.bincount(self.docs[rows], np.repeat(v, m) * self.values[rows], n)
+                self._add(scores[i], t[~common], v[~common])
+            reach = np.zeros((len(part), len(self.blocks)))
+            if self.blocks:
+                reach = np.maximum.reduceat(scores, [b[0] for b in self.blocks], axis=1).astype(float)
+                length = np.sqrt((dense.astype(float) ** 2).sum(1))
+                reach += np.stack([np.minimum(dense[:, there] @ top, length * longest) for _, _, there, _, top, longest in self.blocks], axis=1)
+            wanted, least = np.zeros(reach.shape, bool), np.zeros(len(part))
+            near = np.argsort(-reach, axis=1)[:, :FIRST]
+            np.put_along_axis(wanted, near, True, 1)
+            first = wanted.copy()
+            for turn in (0, 1):
+                for j, (a, b, there, matrix, *_) in enumerate(self.blocks):
+                    q = np.flatnonzero(wanted[:, j])
+                    if len(q):
+                        scores[q, a:b] += dense[np.ix_(q, there)] @ matrix
+                if turn == 0:
+                    for i in range(len(part)):  # one more than k, as one example may be skipped
+                        seen = np.concatenate([scores[i, self.blocks[j][0] : self.blocks[j][1]] for j in near[i]]) if self.blocks else scores[i]
+                        least[i] = np.partition(seen, len(seen) - k - 1)[len(seen) - k - 1] if len(seen) > k else 0
+                    wanted = (reach > least[:, None] - 1e-4) & ~first
+            for i in range(len(part)):
+                score = scores[i]
                 if skip is not None and skip[at + i] >= 0:
                     score[skip[at + i]] = 0
-                least = np.partition(score, n - k)[n - k] - 2e-5 if n > k else 0.0
-                best = np.flatnonzero(score > max(least, 1e-9))
+                lowest = np.partition(score, n - k)[n - k] - 2e-5 if n > k else 0.0
+                best = np.flatnonzero(score > max(lowest, 1e-9))
                 best = best[np.lexsort((best, -np.round(score[best], 5)))[:k]]
-                yield best, score[best]
+                yield best, score[best].astype(float)
+
+    def _add(self, score: np.ndarray, t: np.ndarray, v: np.ndarray) -> None:
+        """Add the postings of terms to a row of scores."""
+        if len(t):
+            a, m = self.starts[t], self.starts[t + 1] - self.starts[t]
+            rows = np.repeat(a - np.cumsum(m) + m, m) + np.arange(m.sum())
+            score += np.bincount(self.docs[rows], np.repeat(v, m) * self.values[rows], len(score))
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic votes; a near example counts more, and one vote at large goes to the prior."""
@@ -165,6 +213,31 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
+def _alike(dense: np.ndarray, rounds: int = 5) -> tuple[np.ndarray, list[int]]:
+    """An order in which alike columns stand together, and the cuts between blocks."""
+    n = dense.shape[1]
+    if not n:
+        return np.zeros(0, np.int64), []
+    seeds = [0]
+    near = dense[:, 0] @ dense
+    while len(seeds) < min(CLUSTERS, n):  # each seed is the column least like those before
+        seeds.append(int(near.argmin()))
+        near = np.maximum(near, dense[:, seeds[-1]] @ dense)
+    centres = dense[:, seeds]
+    for _ in range(rounds):
+        own = (centres.T @ dense).argmax(0)
+        centres = np.stack([dense[:, own == c].sum(1) for c in range(len(seeds))], axis=1)
+        centres /= np.maximum(np.sqrt((centres**2).sum(0)), 1e-12)
+    order = np.argsort(own, kind="stable")
+    cuts = [0]
+    for size in np.bincount(own, minlength=len(seeds)):
+        end = cuts[-1] + int(size)
+        parts = -(-int(size) // BLOCK)
+        start = cuts[-1]
+        cuts += [start + (end - start) * i // parts for i in range(1, parts + 1)] if parts else []
+    return order, cuts
+
+
 def build_index(ids: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, frequency: np.ndarray, total: int, factor: np.ndarray | float = 1.0) -> Index:
     """Index labelled examples; frequency holds the terms' document counts in the corpus, factor what else weighs them."""
     idf = np.log(1 + total / np.maximum(frequency, 1)) * factor
@@ -185,11 +258,11 @@ def build_index(ids: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], tox
     return index
 
 
-def _calibrate(index: Index, votes: np.ndarray, rounds: int = 200) -> None:
+def _calibrate(index: Index, votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, rounds: int = 200) -> None:
     """Logistic calibration of leave-one-out votes, held near the identity by a small penalty."""
-    if not 0 < index.toxic.sum() < len(votes):
+    if not 0 < toxic.sum() < len(votes):
         return
-    x, y, w = _logit(votes), index.toxic, index.weight / index.weight.sum()
+    x, y, w = _logit(votes), toxic, weight / weight.sum()
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(a * x + b)))
@@ -265,21 +338,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k:
     index = build_index(ids, terms, toxic, weight, vocabulary, frequency, int(n[where < 0].sum()), factor)
     del terms
     shared = spark.sparkContext.broadcast(index)
-    at_place = {x: i for i, x in enumerate(index.ids.tolist())}
+    examples_known = len(index.ids) > 0
 
     def left_out(batches):
-        index = shared.value
+        index = shared.value.ready()
+        place = {x: i for i, x in enumerate(index.ids.tolist())}
         for pdf in batches:
-            ids, texts = pdf["place"].tolist(), pdf["text"].tolist()
+            ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             for cut in blocks(texts):
-                found = index.search(index.vectors(texts[cut]), k, ids[cut])
-                yield pd.DataFrame({"place": ids[cut], "vote": [index.vote(*x) for x in found]})
-
-    if at_place:
-        places = spark.createDataFrame([(x, i) for x, i in at_place.items()], f"doc_id {kind}, place int")
-        spread = examples.join(F.broadcast(places), "doc_id").select("place", "text").repartition(max(len(at_place) // 250, 1), "place")
-        voted = spread.mapInPandas(left_out, "place int, vote double").toPandas().sort_values("place")
-        _calibrate(index, voted["vote"].to_numpy())
+                own = [place.get(x, -1) for x in ids[cut]]
+                found = list(index.search(index.vectors(texts[cut]), k, own))
+                kept = [i for i, p in enumerate(own) if p >= 0]
+                yield pd.DataFrame({"vote": [index.vote(*found[i]) for i in kept], "toxic": [index.toxic[own[i]] for i in kept], "weight": [index.weight[own[i]] for i in kept]})
+
+    if examples_known:
+        spread = examples.select("doc_id", "text").repartition(max(len(index.ids) // 250, 1), "doc_id")
+        voted = spread.mapInPandas(left_out, "vote double, toxic double, weight double").toPandas().sort_values(["vote", "toxic", "weight"])  # bounded by the sample
+        _calibrate(index, *(voted[c].to_numpy() for c in ("vote", "toxic", "weight")))
     slope, shift = index.slope, index.shift
 
     def make():
