@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,55 +85,64 @@ def hoeffding_bentkus(risk: str | Column, n: str | Column, alpha: float) -> Colu
     """The p-value min(e * P(Bin(n, alpha) <= ceil(n risk)), exp(-n KL(min(risk, alpha), alpha))).
 
     At risk 0 the second term is not used. Products within 1e-9 above a whole number count as it.
+    For rows of a grid: all of a batch are computed together.
     """
-    r, m = col(risk), col(n).cast("bigint")
-    bentkus = F.lit(math.e) * binomial_cdf(F.ceil(m * r - 1e-9), m, alpha)
-    q = F.least(r, F.lit(alpha))
+    @F.pandas_udf("double")
+    def p_value(r: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series(p_values(r.to_numpy(float), m.to_numpy(float), alpha), index=r.index)
+
+    return p_value(col(risk).cast("double"), col(n).cast("double"))
+
+
+def p_values(risk: np.ndarray, n: np.ndarray, alpha: float) -> np.ndarray:
+    """hoeffding_bentkus of arrays; NaN where risk or n is."""
+    known = ~(np.isnan(risk) | np.isnan(n))
+    out = np.full(len(risk), np.nan)
+    r, m = risk[known], n[known]
+    bentkus = math.e * binomial_cdf(np.ceil(m * r - 1e-9), m, alpha)
+    q = np.minimum(r, alpha)
+    some = q > 0
+    a = np.where(some, q, 0.5)
     # a ln(a/b) is 0 at a = 0; the reference quantity is undefined there, so the other bound stands
-    hoeffding = F.when(q > 0, F.exp(-m * bernoulli_kl(F.when(q > 0, q), alpha)))
-    return F.when(hoeffding.isNull(), bentkus).otherwise(F.least(bentkus, hoeffding))
+    divergence = a * np.log(a / alpha) + (1 - a) * np.log((1 - a) / (1 - alpha))
+    out[known] = np.where(some, np.minimum(bentkus, np.exp(-m * divergence)), bentkus)
+    return out
 
 
-def binomial_cdf(k: Column, n: Column, p: float) -> Column:
+def binomial_cdf(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     """P(Bin(n, p) <= k): the regularised incomplete beta function of 1 - p at (n - k, k + 1).
 
-    Its continued fraction takes about 10 sqrt(n) steps, and no list of n entries.
+    Its continued fraction takes at most about 10 sqrt(n) steps, and no list of n entries.
     """
-    k, n = k.cast("bigint"), n.cast("bigint")
-    a, b = (n - k).cast("double"), (k + 1).cast("double")
-    log_front = _lgamma1(n) - _lgamma1(F.greatest(n - k - 1, F.lit(0))) - _lgamma1(F.greatest(k, F.lit(0))) + a * math.log1p(-p) + b * math.log(p)
-    front = F.exp(log_front)
-    direct = front * _beta_fraction(a, b, 1 - p, n) / a
-    mirrored = 1 - front * _beta_fraction(b, a, p, n) / b
-    inside = F.when(F.lit(1 - p) < (a + 1) / (a + b + 2), direct).otherwise(mirrored)
-    return F.when(k < 0, 0.0).when(k >= n, 1.0).otherwise(F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)))
+    inside = (k >= 0) & (k < n)
+    out = np.where(k < 0, 0.0, 1.0)
+    a, b = (n - k)[inside], (k + 1)[inside]
+    if not len(a):
+        return out
+    log_factorial = lambda x: np.array([math.lgamma(v + 1) for v in x])
+    front = np.exp(log_factorial(a + b - 1) - log_factorial(a - 1) - log_factorial(b - 1) + a * math.log1p(-p) + b * math.log(p))
+    direct = (1 - p) < (a + 1) / (a + b + 2)
+    first, second = np.where(direct, a, b), np.where(direct, b, a)
+    share = front * _beta_fraction(first, second, np.where(direct, 1 - p, p)) / first
+    out[inside] = np.clip(np.where(direct, share, 1 - share), 0.0, 1.0)
+    return out
 
 
-def _beta_fraction(a: Column, b: Column, x: float, n: Column) -> Column:
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The continued fraction of the incomplete beta function, by Lentz's recurrence."""
-    tiny = 1e-300
-    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
-    d0 = 1 / safe(1 - (a + b) * x / (a + 1))
-    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
-
-    def step(s, i):
-        m = i.cast("double")
+    safe = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    c, d = np.ones_like(a), 1 / safe(1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 100 + 10 * math.ceil(math.sqrt((a + b).max()))):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        d1, c1 = 1 / safe(1 + even * s["d"]), safe(1 + even / s["c"])
+        d, c = 1 / safe(1 + even * d), safe(1 + even / c)
+        h = h * d * c
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d2, c2 = 1 / safe(1 + odd * d1), safe(1 + odd / c1)
-        return F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * d1 * c1 * d2 * c2).alias("h"))
-
-    steps = F.sequence(F.lit(1), (100 + 10 * F.ceil(F.sqrt(n))).cast("int"))
-    return F.aggregate(steps, start, step)["h"]
-
-
-def _lgamma1(k: Column) -> Column:
-    """ln k! : exact below 20, else by Stirling's series (error under 1e-13)."""
-    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(20)])
-    x = (F.greatest(k, F.lit(20)) + 1).cast("double")
-    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0)))
-    return F.when(k < 20, F.get(table, F.least(k, F.lit(19)).cast("int"))).otherwise(series)
+        d, c = 1 / safe(1 + odd * d), safe(1 + odd / c)
+        h = h * d * c
+        if np.abs(d * c - 1).max() < 1e-15:
+            break
+    return h
 
 
 def normal_pdf(x: Column, mean: float, sd: float) -> Column:

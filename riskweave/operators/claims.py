@@ -18,9 +18,8 @@ def threshold_losses(claims: DataFrame, taus: list[float], kind: str = "rate", m
 
     kind: "rate" is the share of false claims among those retained, "any" whether there is one.
     """
-    bounds = [float(t) for t in taus]
-    strict = F.size(F.filter(F.array(*[F.lit(t) for t in bounds]), lambda t: t < F.col("score")))
-    rows = claims.select("response", interval_of(F.col("score"), bounds).alias("i"), strict.alias("j"), F.col("supported").cast("int").alias("ok"))
+    bounds = sorted(float(t) for t in taus)
+    rows = claims.select("response", interval_of("score", bounds).alias("i"), interval_of("score", bounds, strict=True).alias("j"), F.col("supported").cast("int").alias("ok"))
     # one grouping: claims at or above each threshold, false ones among them, and true ones above it
     at = range(len(bounds))
     counts = [F.struct(F.count_if(F.col("i") > k).alias("n"), F.sum(F.when(F.col("i") > k, 1 - F.col("ok")).otherwise(0)).alias("false"), F.sum(F.when(F.col("j") > k, F.col("ok")).otherwise(0)).alias("above"), F.lit(bounds[k]).alias("tau")) for k in at]

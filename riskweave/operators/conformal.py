@@ -20,14 +20,15 @@ def weighted_quantile(df: DataFrame, q: float, by: str, value: str = "v", weight
     if not 0 <= q <= 1:
         raise ValueError("q must be from 0 to 1")
     rows = df.select(by, F.col(value).alias("v"), F.col(weight).alias("w"), F.col(tie).alias("_tie"))
-    if check:
-        sums = rows.groupBy(by).agg(F.sum("w").alias("t"), F.max(F.isnan("w") | F.col("w").isNull()).alias("bad"))
-        if not sums.filter("bad or t is null or t < 0.99 or t > 1.01").isEmpty():
-            raise ValueError("the weights of a group must be numbers that sum to one")
     run = running(rows, "v", ["w", "_tie"], [by], {"c": F.col("w")}).withColumn("c", F.round("c", 12))
-    hit = run.filter(F.col("c") >= q).groupBy(by).agg(F.min_by(F.struct("v", "w", "c", "rn"), "rn").alias("x")).select(by, "x.*")
-    last = run.select(by, (F.col("rn") + 1).alias("rn"), F.col("v").alias("pv"), F.col("w").alias("pw"))
-    both = hit.join(last, [by, "rn"], "left")
+    # running weights do not fall, so the row before the first that reaches q is the last below q
+    bad = F.max(F.isnan("w") | F.col("w").isNull() | (F.col("w") < 0))
+    reached, row = F.col("c") >= q, F.struct("v", "w", "c")
+    found = run.groupBy(by).agg(F.min_by(F.when(reached, row), F.when(reached, F.col("rn"))).alias("x"), F.max_by(F.when(~reached, row), F.when(~reached, F.col("rn"))).alias("y"), F.sum("w").alias("t"), bad.alias("bad"))
+    found = cut(found, "quantiles")  # a row for each group
+    if check and not found.filter("bad or t is null or t < 0.99 or t > 1.01").isEmpty():
+        raise ValueError("the weights of a group must be numbers that sum to one")
+    both = found.filter("x is not null").select(by, "x.*", F.col("y.v").alias("pv"), F.col("y.w").alias("pw"))
     if q > 0.5:
         out = F.col("v")
     elif q < 0.5:
@@ -39,10 +40,9 @@ def weighted_quantile(df: DataFrame, q: float, by: str, value: str = "v", weight
 
 def split_quantile(df: DataFrame, residual: str, by: str, alpha: float, tie: str = "id") -> DataFrame:
     """(by, n, quantile): the ceil((1 - alpha)(n + 1))-th smallest residual; null if there is none."""
-    sizes = df.groupBy(by).agg(F.count("*").alias("n"))
-    rank = running(df.select(by, F.col(residual).alias("quantile"), tie), "quantile", [tie], [by])
-    wanted = sizes.withColumn("rn", F.ceil(F.lit(1 - alpha) * (F.col("n") + 1)))
-    return wanted.join(rank.select(by, "rn", "quantile"), [by, "rn"], "left").select(by, "n", "quantile")
+    rank = running(df.select(by, F.col(residual).alias("quantile"), tie), "quantile", [tie], [by], size="n")
+    at = F.col("rn") == F.ceil(F.lit(1 - alpha) * (F.col("n") + 1))
+    return rank.groupBy(by).agg(F.max("n").alias("n"), F.max(F.when(at, F.col("quantile"))).alias("quantile"))
 
 
 def aci_quantile(df: DataFrame, residual: str, by: str, levels: DataFrame, tie: str = "id") -> DataFrame:
@@ -53,8 +53,10 @@ def aci_quantile(df: DataFrame, residual: str, by: str, levels: DataFrame, tie:
     rank = running(df.select(by, F.col(residual).alias("v"), tie), "v", [tie], [by]).select(by, "rn", "v")
     place = df.groupBy(by).agg(F.count("*").alias("n")).join(levels, by).withColumn("h", (1 - F.col("level")) * F.col("n"))
     place = place.withColumns({"low": F.floor("h") + 1, "high": F.ceil("h") + 1})
-    at = lambda side: rank.select(by, F.col("rn").alias(side), F.col("v").alias(f"v_{side}"))
-    both = place.join(at("low"), [by, "low"], "left").join(at("high"), [by, "high"], "left")
+    # both places in one join; (group, place) is a key of one row on either side
+    at = place.select(by, "h", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("rn")).join(rank, [by, "rn"], "left")
+    side = lambda c: F.max(F.when(F.col("rn") == F.col(c), F.col("v"))).alias(f"v_{c}")
+    both = at.groupBy(by).agg(F.max("h").alias("h"), side("low"), side("high"))
     low, high = F.coalesce("v_low", F.lit(INF)), F.coalesce("v_high", F.lit(INF))
     return both.select(by, F.when(low == high, low).otherwise(low + (high - low) * (F.col("h") - F.floor("h"))).alias("quantile"))
 

@@ -3,7 +3,9 @@
 Nearest neighbours are found by growing radius over distinct sequences: at radius r (places that
 differ) two sequences meet by an equi-join on the places where they agree, so a pair at distance r
 meets once, and sequences that have enough neighbours take no part in larger radii. Rows of one
-sequence stand behind it with their first ids only, as no row needs more of them.
+sequence stand behind it with their first ids only, as no row needs more of them. A table of few
+sequences is held by every task instead, which compares its share with all of them in vectors and
+emits the nearest only.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from ..storage import cut
 
 #: Up to so many subsets of places are enumerated at a radius; beyond, places are cut into blocks.
 SUBSETS = 128
+#: Up to so many rows behind distinct sequences are held by every task.
+DIRECT = 16_384
 #: Parts that the rows of one sequence are dealt to before its first ids are picked.
 SALTS = 64
 
@@ -55,25 +60,66 @@ def radius_pairs(left: DataFrame, right: DataFrame, dim: int, r: int) -> DataFra
 def neighbours(df: DataFrame, dim: int, threshold: float, k: int) -> DataFrame:
     """(src, dst, dist): at most k nearest others within the threshold, ties by id."""
     most = min(dim, math.floor(threshold * dim + 1e-9))
+    df = cut(df.select("id", "particle"), "rows")  # read by every step below
     salted = Window.partitionBy("particle", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy("id")
     first = df.select("id", "particle").withColumn("_rn", F.row_number().over(salted)).filter(F.col("_rn") <= k + 1)
     own = Window.partitionBy("particle")
     first = first.withColumn("_rn", F.row_number().over(own.orderBy("id"))).filter(F.col("_rn") <= k + 1)
     behind = cut(first.select(F.min("id").over(own).alias("pid"), "id", "particle"), "behind")  # at most k + 1 ids of each sequence
     distinct = cut(behind.groupBy("pid").agg(F.first("particle").alias("particle"), F.count("*").alias("c")).withColumnRenamed("pid", "id"), "distinct")
+    few = behind.limit(DIRECT + 1).collect()
+    nearest = _direct(distinct, few, dim, most, k) if len(few) <= DIRECT else _by_radius(distinct, behind, dim, most, k)
+    rows = df.select(F.col("id").alias("src"), "particle").join(distinct.select(F.col("id").alias("a"), "particle"), "particle")
+    pairs = rows.select("src", "a").join(nearest.select("a", "dst", "r"), "a").filter("src <> dst")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("r", "dst"))  # at most k + 1 rows each
+    return pairs.withColumn("_rn", rank).filter(F.col("_rn") <= k).select("src", "dst", (F.col("r") / F.lit(float(dim))).alias("dist"))
+
+
+def _direct(distinct: DataFrame, few: list, dim: int, most: int, k: int) -> DataFrame:
+    """(a, dst, r): the k + 1 nearest ids of each sequence, itself included, among DIRECT at most."""
+    import pyarrow as pa
+
+    few = sorted(few, key=lambda x: x["id"])
+    whole = lambda p: p is not None and len(p) == dim and None not in p  # noqa: E731  others are near their own kind only
+    points = np.array([x["particle"] if whole(x["particle"]) else [0] * dim for x in few], np.int64).reshape(len(few), dim)
+    ids, pids, odd = np.array([x["id"] for x in few], np.int64), np.array([x["pid"] for x in few], np.int64), np.array([not whole(x["particle"]) for x in few], bool)
+    sent = distinct.sparkSession.sparkContext.broadcast((points, ids, pids, odd))
+
+    def run(batches):
+        points, ids, pids, odd = sent.value
+        at = np.arange(len(ids))
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            place = np.searchsorted(ids, own)  # a sequence's id is its first row's
+            for begin in range(0, len(own), 64):
+                part = place[begin : begin + 64]
+                r = np.zeros((len(part), len(ids)), np.int64)
+                for j in range(dim):
+                    r += points[part, j][:, None] != points[None, :, j]
+                r[:, odd] = dim + 1
+                r[odd[part], :] = dim + 1
+                r[pids[None, :] == own[begin : begin + 64, None]] = 0
+                key = np.where(r <= most, r * len(ids) + at, np.iinfo(np.int64).max)
+                n = min(k + 1, len(ids))
+                first = np.argpartition(key, n - 1, axis=1)[:, :n]
+                row, column = np.nonzero(np.take_along_axis(r, first, 1) <= most)
+                dst = first[row, column]
+                yield pa.RecordBatch.from_arrays([pa.array(own[begin + row]), pa.array(ids[dst]), pa.array(r[row, dst].astype(np.int32))], names=["a", "dst", "r"])
+
+    return distinct.select(F.col("id").cast("bigint")).repartition(distinct.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "a bigint, dst bigint, r int")
+
+
+def _by_radius(distinct: DataFrame, behind: DataFrame, dim: int, most: int, k: int) -> DataFrame:
+    """(a, dst, r): the k + 1 nearest ids of each sequence, itself included, by growing radius."""
     found = cut(distinct.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("r")), "found")
     for r in range(1, most + 1):
         have = found.join(distinct.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.sum("c").alias("have"))
-        short = distinct.join(have.filter(F.col("have") < k + 1).select(F.col("a").alias("id")), "id", "left_semi")
+        short = cut(distinct.join(have.filter(F.col("have") < k + 1).select(F.col("a").alias("id")), "id", "left_semi"), "short")
         if short.isEmpty():
             break
         found = found.union(cut(radius_pairs(short, distinct, dim, r).select("a", "b", F.lit(r).alias("r")), "found"))
     spread = found.join(behind.select(F.col("pid").alias("b"), F.col("id").alias("dst")), "b")
-    nearest = spread.withColumn("_rn", F.row_number().over(Window.partitionBy("a").orderBy("r", "dst"))).filter(F.col("_rn") <= k + 1).drop("_rn")
-    rows = df.select(F.col("id").alias("src"), "particle").join(distinct.select(F.col("id").alias("a"), "particle"), "particle")
-    pairs = rows.select("src", "a").join(nearest.select("a", "dst", "r"), "a").filter("src <> dst")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("r", "dst"))  # at most k + 1 rows each
-    return pairs.withColumn("_rn", rank).filter(F.col("_rn") <= k).select("src", "dst", (F.col("r") / F.lit(float(dim))).alias("dist"))
+    return spread.withColumn("_rn", F.row_number().over(Window.partitionBy("a").orderBy("r", "dst"))).filter(F.col("_rn") <= k + 1).drop("_rn")
 
 
 def oriented(pairs: DataFrame, df: DataFrame, same_score: bool = False) -> DataFrame:

@@ -1,57 +1,59 @@
 """Ranks, running sums and quantiles without gathering a table or a group in one task.
 
-Rows are dealt to stretches of the ordering value; a window ranks each stretch, and the sizes of
-the stretches before it, a few numbers, are added. Any bounds of the stretches give exact results.
+A large table is sorted by ranges of (group, value, ties) and written with the number of each row
+where it stands. Ranges are cut at any of these columns, so neither a large group nor a value that
+most rows share ends up in one of them, as long as the ties tell rows apart. A small table of counts and sums by group and range gives
+what stands before each range.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..semantics import col, md5_key
+from ..storage import cut
 
-#: Stretches of the ordering value that are ranked apart, at most; and rows that one holds, about.
-STRETCHES, ROWS = 1024, 200_000
-#: Up to so many rows a top-k keeps them in each task; more are ranked by stretches.
+#: Rows that one window may rank; a table with no more is ranked as it is.
+ROWS = 200_000
+#: Up to so many rows a top-k keeps them in each task; more are ranked by ranges.
 TOP = 20_000
+#: Counts by group and range are broadcast up to so many rows, else joined.
+FEW = 100_000
 
 
-def _stretches(n: int) -> int:
-    return max(1, min(STRETCHES, math.ceil(n / ROWS)))
-
-
-def running(df: DataFrame, value: str, ties: list[str], by: list[str] = (), sums: dict[str, Column] | None = None, name: str = "rn", stretches: int | None = None) -> DataFrame:
+def running(df: DataFrame, value: str, ties: list[str], by: list[str] = (), sums: dict[str, Column] | None = None, name: str = "rn", size: str | None = None, ranges: int | None = None) -> DataFrame:
     """df with a row number, and running sums, by ``value`` and ``ties`` within each group of ``by``.
 
-    Bounds of the stretches are approximate quantiles of each group, a bounded list. Null sorts
-    first and NaN last.
+    ``size`` adds the number of rows of each row's group. Null sorts first and NaN last; rows of a
+    null group are a group. ``ranges`` deals the rows to so many ranges whatever their number.
     """
     by, sums = list(by), sums or {}
-    n = stretches or _stretches(df.count())
-    parts = ["_stretch"]
-    if n == 1:
-        marked = df.withColumn("_stretch", F.lit(0))
-    else:
-        bounds = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n)).alias("_bounds"))
-        at = F.size(F.filter(F.coalesce("_bounds", F.array().cast(bounds.schema["_bounds"].dataType)), lambda b: b < F.col(value)))
-        marked = (df.join(bounds, by) if by else df.crossJoin(F.broadcast(bounds))).withColumn("_stretch", at).drop("_bounds")  # one row without groups
-    sizes = marked.groupBy(*by, *parts).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())])
-    earlier = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # at most STRETCHES rows
-    before = sizes.select(*by, "_stretch", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_b{c}") for c in sizes.columns if c[:2] in ("_n", "_s") and c != "_stretch"])
-    w = Window.partitionBy(*by, "_stretch").orderBy(value, *ties)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = marked.withColumns({name: F.row_number().over(w).cast("bigint"), **{k: F.sum(c).over(so_far) for k, c in sums.items()}})
-    out = ranked.join(before, [*by, "_stretch"])
-    added = {name: F.col(name) + F.col("_b_n"), **{k: F.col(k) + F.col(f"_b_s{i}") for i, k in enumerate(sums)}}
-    return out.withColumns(added).drop(*[c for c in out.columns if c.startswith("_b_")], "_stretch")
-
-
-def global_row_number(df: DataFrame, value: str, *ties: str, name: str = "rn", stretches: int | None = None) -> DataFrame:
+    order = [value, *ties]
+    if ranges is None and df.count() <= ROWS:
+        w = Window.partitionBy(*by).orderBy(*order)
+        out = df.withColumns({name: F.row_number().over(w).cast("bigint"), **{k: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for k, c in sums.items()}})
+        return out.withColumn(size, F.count("*").over(Window.partitionBy(*by))) if size else out
+    parts = {f"_s{i}": c for i, c in enumerate(sums.values())}
+    dealt = df.withColumns(parts).repartitionByRange(*([ranges] if ranges else []), *by, *order).sortWithinPartitions(*by, *order)
+    placed = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_at", 33))
+    own = Window.partitionBy(*by)
+    earlier = own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
+    runs = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in parts])
+    runs = cut(runs.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(own).alias("_size"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_b{c}") for c in parts]), "runs")
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    both = placed.join(F.broadcast(runs) if runs.count() <= FEW else runs, same)
+    so_far = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    added = {name: F.col("_at") - F.col("_first") + F.col("_before") + 1, **{k: F.sum(p).over(so_far) + F.col(f"_b{p}") for k, p in zip(sums, parts, strict=True)}}
+    out = both.withColumns(added | ({size: F.col("_size")} if size else {}))
+    return out.select(*df.columns, *[c for c in [*added, size] if c and c not in df.columns])
+
+
+def global_row_number(df: DataFrame, value: str, *ties: str, name: str = "rn", ranges: int | None = None) -> DataFrame:
     """row_number() over (order by value, ties)."""
-    return running(df, value, list(ties), name=name, stretches=stretches)
+    return running(df, value, list(ties), name=name, ranges=ranges)
 
 
 def lowest(df: DataFrame, k: int, *order) -> DataFrame:
@@ -60,7 +62,7 @@ def lowest(df: DataFrame, k: int, *order) -> DataFrame:
 
 
 def lowest_md5(df: DataFrame, k: int, seed: int | str, id_col: str) -> DataFrame:
-    """The k rows with the lowest MD5 keys, for any k: a share of a table is ranked by stretches."""
+    """The k rows with the lowest MD5 keys, for any k: a share of a table is ranked by ranges."""
     if k <= TOP:
         return lowest(df, k, md5_key(seed, id_col), F.col(id_col))
     prefix = F.conv(F.substring(md5_key(seed, id_col), 1, 12), 16, 10).cast("bigint")
@@ -75,10 +77,8 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
     """
     by = list(by)
     v = col(value).cast("double")
-    rows = df.select(*by, v.alias("_v"), *([tie] if tie else [])).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ranked = running(rows, "_v", [tie] if tie else [], by, name="_rn")
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_all"))
-    both = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # one row without groups
+    rows = df.select(*by, v.alias("_v"), (F.col(tie) if tie else F.monotonically_increasing_id()).alias("_tie")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    both = running(rows, "_v", ["_tie"], by, name="_rn", size="_all")  # any order of equal values will do
     place = lambda q: (F.col("_all") - 1) * F.lit(float(q))
     picked = []
     for i, q in enumerate(shares):

@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import accept_safe, accept_unconstrained
+from ..functions.maths import accept_safe, accept_unconstrained, hoeffding_bentkus
 from ..semantics import TINY, md5_uniform
 from ..storage import cut
-from .claims import descend, gcrc, monotone, monotised_crc, risks, standard_crc, threshold_losses
+from .claims import threshold_losses
 from .control import Search, beta_search
 from .sampling import accept_until, best_scoring, calibration_split, sample_quality
 
@@ -84,45 +84,48 @@ def active_learning(df: DataFrame, features: list[str], label: str, steps: int,
     return keyed.groupBy(seed_col).applyInPandas(run, "seed bigint, step int, n int, width double, covered boolean, level double, mse double")
 
 
-METHODS: dict[str, Callable[[DataFrame, float], DataFrame]] = {"gcrc": gcrc, "monotised": monotised_crc, "standard": standard_crc}
+METHODS = ("gcrc", "monotised", "standard", "ltt")
 
 
-def _select(curve: DataFrame, monotone_curve: DataFrame, method: str, alpha: float) -> DataFrame:
-    if method == "standard":
-        return curve.filter(F.col("risk") <= alpha).groupBy("trial").agg(F.min("tau").alias("tau"))
-    rows = monotone_curve if method == "monotised" else curve
-    # the threshold above the largest one that violates, or the least of all
-    bad = rows.filter(F.col("risk") > alpha).groupBy("trial").agg(F.max("tau").alias("b"))
-    ends = rows.groupBy("trial").agg(F.min("tau").alias("low"), F.max("tau").alias("high"))
-    above = rows.join(bad, "trial").filter(F.col("tau") > F.col("b")).groupBy("trial").agg(F.min("tau").alias("above"))
-    return ends.join(bad, "trial", "left").join(above, "trial", "left").select("trial", F.when(F.col("b").isNull(), F.col("low")).otherwise(F.coalesce("above", "b")).alias("tau"))
+def _selected(marked: DataFrame, by: list[str]) -> DataFrame:
+    """(by, tau): for each group of ``by``, of rows (method, tau, bad), what its method selects.
+
+    "standard" takes the least threshold that is not bad, or none; the others go down from the
+    largest threshold and stop above the first bad one, or at it if there is none above.
+    """
+    above = F.lead("tau").over(Window.partitionBy(*by).orderBy("tau"))  # a bounded grid each
+    stop = F.max_by(F.when(F.col("bad"), F.struct(F.coalesce("above", "tau").alias("t"))), F.when(F.col("bad"), F.col("tau")))["t"]
+    fit = F.min(F.when(~F.col("bad"), F.col("tau")))
+    found = marked.withColumn("above", above).groupBy(*by).agg(F.coalesce(stop, F.min("tau")).alias("_scan"), fit.alias("_fit"))
+    return found.select(*by, F.when(F.col("method") == "standard", F.col("_fit")).otherwise(F.col("_scan")).alias("tau"))
 
 
-def threshold_trials(claims: DataFrame, taus: list[float], alphas: list[float], trials: int, methods: tuple[str, ...] = ("gcrc", "monotised", "standard"), share: float = 0.5, ceiling: float = 1.0, kind: str = "rate") -> DataFrame:
+def threshold_trials(claims: DataFrame, taus: list[float], alphas: list[float], trials: int, methods: tuple[str, ...] = METHODS, share: float = 0.5, ceiling: float = 1.0, kind: str = "rate", delta: float = 0.1) -> DataFrame:
     """(method, alpha, n_trials, risk_mean, risk_std, recall_mean, recall_std) over random splits of the responses.
 
     Losses are made once; every trial sums its calibration half and its test half over the
-    bounded grid, and methods and levels choose on those sums alone.
+    bounded grid, and one grouping over methods, levels and trials chooses on those sums alone.
+    "ltt" tests each threshold's mean loss by its p-value at ``delta``, all trials' at once.
     """
-    losses = cut(threshold_losses(claims, taus, kind), "losses")
-    mono = monotone(losses).select("response", "tau", F.col("loss").alias("mono"))
-    both = losses.join(mono, ["response", "tau"])
-    split = both.withColumn("trial", F.explode(F.array(*[F.lit(i) for i in range(trials)])))
+    if not set(methods) <= set(METHODS):
+        raise ValueError(f"methods must be of {', '.join(METHODS)}")
+    losses = threshold_losses(claims, taus, kind)
+    own_mono = F.max("loss").over(Window.partitionBy("response").orderBy(F.desc("tau")).rowsBetween(Window.unboundedPreceding, 0))
+    split = losses.withColumn("mono", own_mono).withColumn("trial", F.explode(F.array(*[F.lit(i) for i in range(trials)])))
     split = split.withColumn("cal", md5_uniform("t", "trial", "response") < share)
     own, rest = F.col("cal"), ~F.col("cal")
     sums = split.groupBy("trial", "tau").agg(
         ((F.sum(F.when(own, F.col("loss"))) + ceiling) / (F.count_if(own) + 1)).alias("risk"), ((F.sum(F.when(own, F.col("mono"))) + ceiling) / (F.count_if(own) + 1)).alias("mono_risk"),
-        F.avg(F.when(rest, F.col("loss"))).alias("test_loss"), F.avg(F.when(rest, F.col("recall"))).alias("test_recall"),
+        F.avg(F.when(own, F.col("loss"))).alias("mean"), F.count_if(own).alias("n"), F.avg(F.when(rest, F.col("loss"))).alias("test_loss"), F.avg(F.when(rest, F.col("recall"))).alias("test_recall"),
     )
     sums = cut(sums, "sums")
-    curve, mono_curve, out = sums.select("trial", "tau", "risk"), sums.select("trial", "tau", F.col("mono_risk").alias("risk")), None
-    for method in methods:
-        for alpha in alphas:
-            picked = _select(curve, mono_curve, method, alpha).join(sums, ["trial", "tau"])
-            row = picked.agg(F.count("*").alias("n_trials"), F.avg("test_loss").alias("risk_mean"), F.stddev_pop("test_loss").alias("risk_std"), F.avg("test_recall").alias("recall_mean"), F.stddev_pop("test_recall").alias("recall_std"))
-            row = row.select(F.lit(method).alias("method"), F.lit(float(alpha)).alias("alpha"), "*")
-            out = row if out is None else out.union(row)
-    return out
+    p = {a: f"_p{i}" for i, a in enumerate(alphas)} if "ltt" in methods else {}
+    tested = sums.withColumns({c: hoeffding_bentkus("mean", "n", a) for a, c in p.items()}) if p else sums
+    bad = {"gcrc": lambda a: F.col("risk") > a, "monotised": lambda a: F.col("mono_risk") > a, "standard": lambda a: ~F.coalesce(F.col("risk") <= a, F.lit(False)), "ltt": lambda a: F.col(p[a]) > delta}
+    cases = [F.struct(F.lit(m).alias("method"), F.lit(float(a)).alias("alpha"), F.coalesce(bad[m](a), F.lit(False)).alias("bad")) for m in methods for a in alphas]
+    marked = tested.select("trial", "tau", F.explode(F.array(*cases)).alias("x")).select("trial", "tau", "x.*")
+    picked = _selected(marked, ["method", "alpha", "trial"]).join(sums, ["trial", "tau"])
+    return picked.groupBy("method", "alpha").agg(F.count("*").alias("n_trials"), F.avg("test_loss").alias("risk_mean"), F.stddev_pop("test_loss").alias("risk_std"), F.avg("test_recall").alias("recall_mean"), F.stddev_pop("test_recall").alias("recall_std"))
 
 
 def simulate(spark: SparkSession, experiments: int, n: int, alphas: list[float], grid: int, seed: int = 1, ceiling: float = 1.0) -> DataFrame:
@@ -132,18 +135,12 @@ def simulate(spark: SparkSession, experiments: int, n: int, alphas: list[float],
     experiments times draws times the grid is the simulation's own size.
     """
     base = spark.range(experiments).withColumnRenamed("id", "trial").crossJoin(spark.range(n).withColumnRenamed("id", "draw")).crossJoin(F.broadcast(spark.range(grid + 1).withColumnRenamed("id", "i")))
-    out = None
-    for alpha in alphas:
-        lam = F.col("i") / grid
-        chance = F.least(F.greatest(F.cos(lam) / 50 + 0.6 * (alpha + 1) * (1 - lam), F.lit(0.0)), F.lit(1.0))
-        loss = (md5_uniform(seed, "trial", "draw", "i") < chance).cast("double")
-        curve = base.groupBy("trial", "i").agg(((F.sum(loss) + ceiling) / (n + 1)).alias("risk"), F.first(chance).alias("truth")).withColumn("tau", F.col("i") / grid)
-        curve = cut(curve, "curve")
-        for method in ("gcrc", "standard"):
-            picked = _select(curve.select("trial", "tau", "risk"), curve.select("trial", "tau", "risk"), method, alpha).join(curve, ["trial", "tau"])
-            row = picked.agg(F.count("*").alias("n_experiments"), F.avg("truth").alias("mean_loss")).select(F.lit(float(alpha)).alias("alpha"), F.lit(method).alias("method"), "*")
-            out = row if out is None else out.union(row)
-    return out
-
-
-__all__ = ["METHODS", "active_learning", "descend", "improve", "risks", "simulate", "threshold_trials"]
+    base = base.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    lam = F.col("i") / grid
+    chance = F.least(F.greatest(F.cos(lam) / 50 + 0.6 * (F.col("alpha") + 1) * (1 - lam), F.lit(0.0)), F.lit(1.0))
+    loss = (md5_uniform(seed, "trial", "draw", "i") < chance).cast("double")
+    curve = base.groupBy("alpha", "trial", "i").agg(((F.sum(loss) + ceiling) / (n + 1)).alias("risk"), F.first(chance).alias("truth")).withColumn("tau", F.col("i") / grid)
+    curve = cut(curve, "curve")
+    marked = curve.select("alpha", "trial", "tau", F.explode(F.array(F.lit("gcrc"), F.lit("standard"))).alias("method"), (F.col("risk") > F.col("alpha")).alias("bad"))
+    picked = _selected(marked, ["method", "alpha", "trial"]).join(curve.select("alpha", "trial", "tau", "truth"), ["alpha", "trial", "tau"], "left")
+    return picked.groupBy("alpha", "method").agg(F.count("truth").alias("n_experiments"), F.avg("truth").alias("mean_loss"))

@@ -40,9 +40,22 @@ def grid_values(grid: DataFrame) -> list[float]:
     return sorted(r[0] for r in grid.select("beta").collect())
 
 
-def interval_of(x: Column, betas: list[float]) -> Column:
-    """How many bounds do not exceed x: a sum of comparisons, compiled, over a bounded grid."""
-    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in betas]), lambda b: b <= x))
+def interval_of(name: str, betas: list[float], strict: bool = False) -> Column:
+    """How many of the bounds, in ascending order, do not exceed a column (or are below it).
+
+    A balanced tree of comparisons, compiled with the rest of the stage. Null is below every
+    bound and NaN above.
+    """
+    less = "<" if strict else "<="
+
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        bound = f"{betas[mid]!r}D" if abs(betas[mid]) < INF else f"double('{'-' if betas[mid] < 0 else ''}Infinity')"
+        return f"CASE WHEN {bound} {less} `{name}` THEN {tree(mid + 1, high)} ELSE {tree(low, mid)} END"
+
+    return F.expr(tree(0, len(betas)))
 
 
 def capped_totals(df: DataFrame, betas: list[float], u: Column, s: Column, denominator: Column, parts: dict[str, Column]) -> DataFrame:
@@ -51,9 +64,9 @@ def capped_totals(df: DataFrame, betas: list[float], u: Column, s: Column, denom
     w = min(u, beta s) / denominator; largest is the maximum of w over all rows.
     """
     spark = df.sparkSession
-    rows = df.select(interval_of(u / s, betas).alias("_i"), (u / denominator).alias("_u"), (s / denominator).alias("_s"), *[c.alias(k) for k, c in parts.items()])
+    rows = df.select((u / s).alias("_r"), (u / denominator).alias("_u"), (s / denominator).alias("_s"), *[c.alias(k) for k, c in parts.items()])
     sums = [F.sum(F.when(F.col(k), F.col(v))).alias(f"{k}{v}") for k in parts for v in ("_u", "_s")]
-    by = rows.groupBy("_i").agg(*sums, F.max("_u").alias("_mu"), F.max("_s").alias("_ms"))
+    by = rows.withColumn("_i", interval_of("_r", betas)).groupBy("_i").agg(*sums, F.max("_u").alias("_mu"), F.max("_s").alias("_ms"))
     # interval i holds rows whose ratio reaches bounds 0..i-1: bound j caps rows of intervals above j
     grid = spark.createDataFrame([(j, b) for j, b in enumerate(betas)], "_j int, beta double")
     spine = spark.range(len(betas) + 1).select(F.col("id").cast("int").alias("_i")).join(by, "_i", "left")

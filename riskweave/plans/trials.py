@@ -12,9 +12,12 @@ from .derive import TAUS, calibration, claims, table
 
 _TRIAL = f"""WITH {_LOSS}, b AS (SELECT l.response, l.tau, l.loss, l.recall, mono.loss AS mono FROM l JOIN mono USING (response, tau)),
  t AS (SELECT trial, tau, response, loss, recall, mono, CAST(('0x' || substr(md5('t:' || trial || ':' || response), 1, 12))::BIGINT AS DOUBLE) / 281474976710656.0 < 0.5 AS cal FROM b, range(4) r(trial)),
- s AS (SELECT trial, tau, (sum(loss) FILTER (WHERE cal) + 1) / (count(*) FILTER (WHERE cal) + 1) AS risk, (sum(mono) FILTER (WHERE cal) + 1) / (count(*) FILTER (WHERE cal) + 1) AS mono_risk, avg(loss) FILTER (WHERE NOT cal) AS test_loss, avg(recall) FILTER (WHERE NOT cal) AS test_recall FROM t GROUP BY trial, tau),
- a AS (SELECT * FROM (VALUES (0.15::DOUBLE), (0.25::DOUBLE)) v(alpha)), m AS (SELECT s.*, 'gcrc' AS method, risk AS r FROM s UNION ALL SELECT s.*, 'monotised', mono_risk FROM s UNION ALL SELECT s.*, 'standard', risk FROM s),
- d AS (SELECT method, alpha, trial, max(tau) FILTER (WHERE r > alpha) AS b, min(tau) AS low, min(tau) FILTER (WHERE r <= alpha) AS ok FROM m, a GROUP BY method, alpha, trial),
+ s AS (SELECT trial, tau, (sum(loss) FILTER (WHERE cal) + 1) / (count(*) FILTER (WHERE cal) + 1) AS risk, (sum(mono) FILTER (WHERE cal) + 1) / (count(*) FILTER (WHERE cal) + 1) AS mono_risk, avg(loss) FILTER (WHERE cal) AS mean, count(*) FILTER (WHERE cal) AS n, avg(loss) FILTER (WHERE NOT cal) AS test_loss, avg(recall) FILTER (WHERE NOT cal) AS test_recall FROM t GROUP BY trial, tau),
+ a AS (SELECT * FROM (VALUES (0.15::DOUBLE), (0.25::DOUBLE)) v(alpha)), k AS (SELECT trial, tau, alpha, n, mean, CAST(ceil(n * mean - 1e-9) AS BIGINT) AS k FROM s, a),
+ pv AS (SELECT *, least((SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(alpha) + (n - j) * ln(1 - alpha))) FROM range(0, (SELECT max(k) + 1 FROM k)) r(j) WHERE j <= k AND j <= n), 1) AS cdf, least(mean, alpha) AS q FROM k),
+ lt AS (SELECT trial, tau, alpha, least(exp(1) * cdf, CASE WHEN mean > 0 THEN exp(-n * (q * ln(q / alpha) + (1 - q) * ln((1 - q) / (1 - alpha)))) ELSE exp(1) * cdf END) AS p FROM pv),
+ m AS (SELECT trial, tau, alpha, 'gcrc' AS method, risk > alpha AS bad FROM s, a UNION ALL SELECT trial, tau, alpha, 'monotised', mono_risk > alpha FROM s, a UNION ALL SELECT trial, tau, alpha, 'standard', risk > alpha FROM s, a UNION ALL SELECT trial, tau, alpha, 'ltt', p > 0.1 FROM lt),
+ d AS (SELECT method, alpha, trial, max(tau) FILTER (WHERE bad) AS b, min(tau) AS low, min(tau) FILTER (WHERE NOT bad) AS ok FROM m GROUP BY method, alpha, trial),
  c AS (SELECT d.*, CASE WHEN method = 'standard' THEN ok WHEN b IS NULL THEN low ELSE coalesce((SELECT min(s.tau) FROM s WHERE s.trial = d.trial AND s.tau > d.b), b) END AS tau FROM d)
  SELECT method, alpha, count(*) AS n_trials, round(avg(test_loss), 6) AS risk_mean, round(stddev_pop(test_loss), 6) AS risk_std, round(avg(test_recall), 6) AS recall_mean, round(stddev_pop(test_recall), 6) AS recall_std FROM c JOIN s ON s.trial = c.trial AND s.tau = c.tau GROUP BY method, alpha"""
 

@@ -1,5 +1,6 @@
 """Operators against hand-computed answers."""
 
+import hashlib
 import json
 import math
 import os
@@ -17,11 +18,14 @@ from riskweave.operators import conformal as CF
 from riskweave.operators import likelihood as L
 from riskweave.operators import neighbors as N
 from riskweave.operators import rollup as R
+from riskweave.operators import rounds as RD
 from riskweave.operators import sampling as S
 from riskweave.operators import search as G
 from riskweave.operators import control as K
+from riskweave import storage
 from riskweave.operators import ranking
 from riskweave.operators.ranking import global_row_number, quantiles, running
+from riskweave.operators.search import interval_of
 from riskweave.semantics import TINY, infeasible, np_div
 
 SEQUENCES = [[1, 2, 3, 4, 5, 6, 7], [1, 3, 3, 4, 5, 6, 7], [1, 3, 3, 4, 7, 7, 8], [5, 5, 5, 5, 5, 5, 5], [5, 5, 5, 5, 5, 7, 5]]
@@ -167,7 +171,7 @@ def test_running_sums_and_quantiles_by_stretches(spark):
     rows = [(g, i, float(r.choice([r.randrange(9), r.random() * 9])), r.random()) for g in range(3) for i in range(r.choice([1, 40, 200]))]
     df = spark.createDataFrame(rows, "g int, id int, v double, w double")
     for n in (1, 2, 9):
-        got = {(x.g, x.id): (x.rn, x.c) for x in running(df, "v", ["id"], ["g"], {"c": F.col("w")}, stretches=n).collect()}
+        got = {(x.g, x.id): (x.rn, x.c) for x in running(df, "v", ["id"], ["g"], {"c": F.col("w")}, ranges=n).collect()}
         for g in range(3):
             total = 0.0
             for k, (_, i, _, w) in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: (x[2], x[1]))):
@@ -182,6 +186,90 @@ def test_running_sums_and_quantiles_by_stretches(spark):
     assert whole == {x.id for x in ranking.lowest_md5(df.filter("g = 1"), 7, 3, "id").collect()}
 
 
+@pytest.mark.parametrize("groups", [1, 2, 400])
+def test_ranges_are_even(spark, monkeypatch, groups):
+    """Ranges hold alike many rows though nine in ten rows share a value, and one group holds half of them."""
+    held = []
+    monkeypatch.setattr(ranking, "cut", lambda df, name: held.append((name, storage.cut(df, name))) or held[-1][1])
+    n = 40_000
+    rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % groups).alias("g"), "id", F.when(F.col("id") % 10 == 7, F.col("id")).otherwise(5).cast("double").alias("v"), F.lit(1.0).alias("w"))
+    for by in ([], ["g"]):
+        held.clear()
+        out = running(rows, "v", ["id"], by, {"c": F.col("w")}, size="n", ranges=20)
+        bad = out.filter((F.col("c") != F.col("rn")) | (F.col("rn") > F.col("n")))
+        assert out.count() == n and bad.isEmpty() and out.select(*by, "rn").distinct().count() == n
+        placed = next(df for name, df in held if name == "ranked")
+        sizes = [r[1] for r in placed.groupBy(F.shiftright("_at", 33)).count().collect()]
+        assert len(sizes) >= 15 and max(sizes) <= 2 * n / len(sizes)
+
+
+def test_running_null_groups(spark):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 1.0), ("a", 3, None), ("a", 4, float("nan")), ("a", 5, 0.0)], "g string, id int, v double")
+    for n in (None, 3):
+        got = {x.id: (x.rn, x.n) for x in running(df, "v", ["id"], ["g"], size="n", ranges=n).collect()}
+        assert got == {2: (1, 2), 1: (2, 2), 3: (1, 3), 5: (2, 3), 4: (3, 3)}
+
+
+def test_intervals(spark):
+    bounds = [-math.inf, -1.5, 0.0, 1e-7, 2.0, math.inf]
+    values = [-math.inf, -2.0, -1.5, 0.0, 1e-7, 3.0, math.inf, math.nan, None]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = df.select(interval_of("x", bounds), interval_of("x", bounds, strict=True), interval_of("x", [])).collect()
+    above = lambda x, b, strict: x is not None and (math.isnan(x) or (b < x if strict else b <= x))
+    assert [tuple(r) for r in got] == [(sum(above(x, b, False) for b in bounds), sum(above(x, b, True) or (x is not None and math.isnan(x)) for b in bounds), 0) for x in values]
+
+
+def test_neighbours_either_way(spark, monkeypatch):
+    """A table that every task holds and one joined by radius have the same neighbours; odd sequences are near their own kind."""
+    r = random.Random(6)
+    rows = [(i, [r.randrange(3) for _ in range(7)]) for i in range(0, 160, 2)]
+    rows += [(501, rows[3][1]), (502, rows[3][1]), (503, [1, 2]), (504, [1, 2]), (505, [None] * 7), (506, [1, None, 1, 1, 1, 1, 1])]
+    df = spark.createDataFrame(rows, "id bigint, particle array<int>")
+    found = []
+    for limit in (16_384, 3):
+        monkeypatch.setattr(N, "DIRECT", limit)
+        found.append(sorted(map(tuple, N.neighbours(df, 7, 0.5, 4).collect())))
+    assert found[0] == found[1] and {(503, 504, 0.0), (504, 503, 0.0)} <= set(found[0]) and not any(x[0] in (505, 506) for x in found[0])
+
+
+def test_trials_of_all_methods(spark):
+    """Every method's choices in every trial, by plain loops over the calibration half."""
+    r = random.Random(11)
+    claims = spark.createDataFrame([(i, r.random(), r.random() < 0.6) for i in range(60) for _ in range(r.randrange(1, 6))], "response int, score double, supported boolean")
+    taus, alphas = [i / 8 for i in range(9)], [0.2, 0.35]
+    got = {(x.method, x.alpha): x for x in RD.threshold_trials(claims, taus, alphas, 3).collect()}
+    losses = {(x.response, x.tau): (x.loss, x.recall) for x in C.threshold_losses(claims, taus).collect()}
+    names = sorted({k[0] for k in losses})
+    for method in RD.METHODS:
+        for alpha in alphas:
+            risk, recall = [], []
+            for trial in range(3):
+                draw = lambda n, t=trial: int(hashlib.md5(f"t:{t}:{n}".encode()).hexdigest()[:12], 16) / 2**48
+                own, rest = [n for n in names if draw(n) < 0.5], [n for n in names if draw(n) >= 0.5]
+                at = lambda n, t: max(losses[n, s][0] for s in taus if s >= t) if method == "monotised" else losses[n, t][0]  # noqa: E731, B023
+                if method == "ltt":
+                    bad = [_p(sum(at(n, t) for n in own) / len(own), len(own), alpha) > 0.1 for t in taus]
+                else:
+                    bad = [(sum(at(n, t) for n in own) + 1) / (len(own) + 1) > alpha for t in taus]
+                if method == "standard":
+                    i = next((i for i in range(9) if not bad[i]), None)
+                else:
+                    i = 8
+                    while i >= 0 and not bad[i]:
+                        i -= 1
+                    i = min(i + 1, 8)
+                if i is not None:
+                    risk.append(sum(losses[n, taus[i]][0] for n in rest) / len(rest))
+                    recall.append(sum(losses[n, taus[i]][1] for n in rest) / len(rest))
+            if risk:
+                x = got[method, alpha]
+                assert (x.n_trials, x.risk_mean, x.recall_mean) == (len(risk), pytest.approx(np.mean(risk)), pytest.approx(np.mean(recall))) and x.risk_std == pytest.approx(np.std(risk), abs=1e-12)
+            else:
+                assert (method, alpha) not in got
+    with pytest.raises(ValueError, match="methods"):
+        RD.threshold_trials(claims, taus, alphas, 3, ("other",))
+
+
 def test_claim_losses(spark):
     r = random.Random(33)
     claims = {i: [(round(r.random(), 2), r.random() < 0.7) for _ in range(r.randrange(1, 7))] for i in range(30)}
@@ -368,7 +456,7 @@ def test_ranks_and_rollups(spark):
     r = random.Random(2)
     xs = [(i, float(r.randrange(40))) for i in range(300)]
     df = spark.createDataFrame(xs, "id bigint, x double")
-    got = {v.id: v.rn for v in global_row_number(df, "x", "id", stretches=7).collect()}
+    got = {v.id: v.rn for v in global_row_number(df, "x", "id", ranges=7).collect()}
     assert got == {i: k + 1 for k, (i, _) in enumerate(sorted(xs, key=lambda t: (t[1], t[0])))}
     assert R.parameter_grid(spark, {"a": [1, 2, 3], "b": [0.1, 0.2]}).count() == 6
     assert A.path_counts([[1, 1], [1, 0]], 5) == [2, 3, 5, 8, 13]
