@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..semantics import INF
 from ..storage import cut
-from .ranking import fold_in_order, running
+from .ranking import Fold, fold_in_order, running
 
 
 def weighted_quantile(df: DataFrame, q: float, by: str, value: str = "v", weight: str = "w", tie: str = "id", check: bool = True) -> DataFrame:
@@ -132,24 +132,34 @@ def additive_controller(df: DataFrame, by: str, order: str, feasible: Column, al
     return df.withColumn("level", F.lit(start) + F.coalesce(F.sum(step).over(w), F.lit(0.0)))
 
 
-def clipped_controller(df: DataFrame, by: str, order: str, missed: str, alpha: float, rate: float) -> DataFrame:
-    """(by, step, level): adaptive miscoverage, clipped to [0, 1] after each step.
+class Clipped(Fold):
+    """x -> clip(x + rate * (alpha - miss), 0, 1); stretches are maps x -> clip(x + c, low, high) again."""
 
-    Clipping makes it sequential: each group is streamed in order with its level as the only state.
-    """
+    def __init__(self, alpha: float, rate: float):
+        self.start, self.alpha, self.rate = float(alpha), alpha, rate
+
+    def step(self, state, row):
+        return min(1.0, max(0.0, state + self.rate * (self.alpha - row[2]))), (state,)
 
-    def step():
-        state = [float(alpha)]
+    def summary(self, rows):
+        low, high, total = 0.0, 1.0, 0.0
+        for row in rows:
+            c = self.rate * (self.alpha - row[2])
+            total, low, high = total + c, min(1.0, max(0.0, low + c)), min(1.0, max(0.0, high + c))
+        return low, high, total
 
-        def move(row):
-            level = state[0]
-            state[0] = min(1.0, max(0.0, level + rate * (alpha - row[2])))
-            return (level,)
+    def through(self, summary, state):
+        low, high, total = summary
+        return min(high, max(low, state + total))
 
-        return move
 
+def clipped_controller(df: DataFrame, by: str, order: str, missed: str, alpha: float, rate: float, ranges: int | None = None) -> DataFrame:
+    """(by, step, level): adaptive miscoverage, clipped to [0, 1] after each step; alpha and the levels lie in [0, 1].
+
+    Clipping makes it sequential, but clipped steps compose, so a long chain goes in stretches.
+    """
     rows = df.select(by, F.col(order).cast("bigint").alias("step"), F.col(missed).cast("double").alias("_m"))
-    return fold_in_order(rows, [by], ["step"], step, "level double").select(by, "step", "level")
+    return fold_in_order(rows, [by], ["step"], Clipped(alpha, rate), "level double", ranges).select(by, "step", "level")
 
 
 def bound_by_mass(df: DataFrame, weight: str, tie: str, alpha: float, limit: float) -> DataFrame:

@@ -8,6 +8,8 @@ what stands before each range.
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,12 +94,46 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
     return found.select(*by, *[at(i).alias(f"q{i}") for i in range(len(shares))])
 
 
-def fold_in_order(df: DataFrame, by: list[str], order: list[str], step, columns: str, spread: int | None = None) -> DataFrame:
-    """Rows of ``df`` with what a sequential ``step`` makes of them, group by group in order.
+class Fold:
+    """A sequential step over the rows of a chain, and how a stretch of it acts on any state before it."""
+
+    #: The state before a chain's first row.
+    start = None
+
+    def step(self, state, row: tuple) -> tuple:
+        """(state after the row, the row's added values)."""
+        raise NotImplementedError
+
+    def summary(self, rows: list[tuple]):
+        """What ``through`` needs of a stretch: small, and without a state."""
+        raise NotImplementedError
+
+    def through(self, summary, state):
+        """The state after a stretch that is entered with ``state``."""
+        raise NotImplementedError
+
 
-    ``step()`` is called at each group's start and returns a function of a row (a tuple of df's
-    values) that returns the added columns' values. Groups are sorted within their partitions and
-    streamed: a group's rows are never held together.
+def _chains(batches, keys: list[int]):
+    """(key, rows of one chain) of sorted batches; a chain may come in several pieces, one after the other."""
+    for pdf in batches:
+        rows = list(pdf.itertuples(index=False, name=None))
+        begin = 0
+        while begin < len(rows):
+            key = tuple(rows[begin][i] for i in keys)
+            end = begin + 1
+            while end < len(rows) and tuple(rows[end][i] for i in keys) == key:
+                end += 1
+            yield key, rows[begin:end]
+            begin = end
+
+
+def fold_in_order(df: DataFrame, by: list[str], order: list[str], fold: Fold, columns: str, ranges: int | None = None) -> DataFrame:
+    """Rows of ``df`` with what a sequential fold makes of them, chain by chain in order.
+
+    A table of few rows streams each chain through one task. A larger one (or any, with ``ranges``)
+    is sorted by ranges that cut long chains into stretches: a first pass sums each range's last
+    chain up, the driver carries states over the ranges, one at most for each, and a second pass
+    starts every stretch from its state. A chain of any length goes over all tasks.
     """
     import pandas as pd
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -105,18 +141,69 @@ def fold_in_order(df: DataFrame, by: list[str], order: list[str], step, columns:
     added = _parse_datatype_string(columns)
     names = df.columns
     keys = [names.index(c) for c in by]
+    schema = StructType([*df.schema.fields, *added.fields])
+
+    def folded(batches, entering=None):
+        """Rows with the added values; ``entering`` is (key, state) of a chain that began before."""
+        last = state = None
+        for key, rows in _chains(batches, keys):
+            if last is None or key != last:
+                last, state = key, entering[1] if last is None and entering and entering[0] == key else fold.start
+            out = []
+            for row in rows:
+                state, values = fold.step(state, row)
+                out.append((*row, *values))
+            yield pd.DataFrame(out, columns=[*names, *added.names])
 
-    def run(batches):
-        last, fold = None, None
+    if ranges is None and df.count() <= ROWS:
+        return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(folded, schema)
+    dealt = df.repartitionByRange(*([ranges] if ranges else []), *by, *order).sortWithinPartitions(*by, *order)
+    placed = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "chains").withColumn("_part", F.shiftright("_at", 33).cast("int"))
+    parts = placed.repartition("_part").sortWithinPartitions("_part", "_at")
+
+    def by_part(batches):
+        """(part, batches without the places) of sorted batches of several parts."""
+        pending = None
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False, name=None):
-                key = tuple(row[i] for i in keys)
-                if fold is None or key != last:
-                    last, fold = key, step()
-                out.append(fold(row))
-            made = pd.DataFrame(out, columns=added.names, index=pdf.index)
-            yield pd.concat([pdf, made], axis=1)
-
-    dealt = df.repartition(spread, *by) if spread else df.repartition(*by)
-    return dealt.sortWithinPartitions(*by, *order).mapInPandas(run, StructType([*df.schema.fields, *added.fields]))
+            for part, own in pdf.groupby("_part", sort=True):
+                own = own[names]
+                if pending and pending[0] == part:
+                    pending[1].append(own)
+                else:
+                    if pending:
+                        yield pending
+                    pending = (part, [own])
+        if pending:
+            yield pending
+
+    def ends(batches):
+        for part, own in by_part(batches):
+            first = last = None
+            held: list[tuple] = []
+            for key, rows in _chains(own, keys):
+                first = key if first is None else first
+                held = held + rows if key == last else rows
+                last = key
+            if first == last:
+                through, state = fold.summary(held), None
+            else:
+                through, state = None, fold.start
+                for row in held:
+                    state, _ = fold.step(state, row)
+            yield pd.DataFrame([(int(part), pickle.dumps((first, last, through, state)))], columns=["part", "end"])
+
+    entering, carried = {}, None
+    for part, end in sorted(map(tuple, parts.mapInPandas(ends, "part int, end binary").collect())):  # one row a range
+        first, last, through, state = pickle.loads(end)
+        if carried and carried[0] == first:
+            entering[part] = carried
+        if first == last:
+            state = fold.through(through, carried[1] if part in entering else fold.start)
+        carried = (last, state)
+    sent = df.sparkSession.sparkContext.broadcast(entering)
+
+    def finished(batches):
+        for part, own in by_part(batches):
+            yield from folded(own, sent.value.get(int(part)))
+
+    return parts.mapInPandas(finished, schema)

@@ -1,4 +1,4 @@
-"""Loops: rounds of policy improvement, active learning, and trials of threshold selection.
+"""Loops: rounds of policy improvement, and trials of threshold selection.
 
 Models stay outside: a round's proposals come from a function that the caller gives, as rows with
 likelihoods and scores. Everything else of a round is a DataFrame job; what a round keeps is
@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import accept_safe, accept_unconstrained, hoeffding_bentkus
+from ..functions.maths import accept_safe, accept_unconstrained, cap_chain, hoeffding_bentkus
 from ..semantics import TINY, md5_uniform
 from ..storage import cut
 from .claims import threshold_losses
@@ -21,67 +20,66 @@ from .control import Search, beta_search
 from .sampling import accept_until, best_scoring, calibration_split, sample_quality
 
 
-def improve(spark: SparkSession, start: DataFrame, propose: Callable[[int, DataFrame], dict[str, DataFrame]], rounds: int, cfg: Search, seeds: int, target: int, share: float, seed: int = 0) -> DataFrame:
-    """(round, proposal, beta, n_proposals, n_accepted, n_feasible, best): one row a round.
+def policy_chain(liks: Column, betas: list[float], psis: list[float], versus: str = "last") -> Column:
+    """Densities of a sequence of policies: the first likelihood, then min(lik_t, beta_t * base) / psi_t, where base is the last policy or the first."""
+    if versus == "last":
+        return cap_chain(liks, betas, psis)
+    bounds = F.array(*[F.struct(F.lit(float(b)).alias("b"), F.lit(float(p)).alias("p")) for b, p in zip(betas, psis, strict=True)])
+    first = F.get(liks, F.lit(0))
+    capped = lambda x, i: F.when(i == 0, x).otherwise(F.least(x, first * F.get(bounds, i)["b"]) / F.get(bounds, i)["p"])
+    return F.transform(F.slice(liks, 1, len(betas)), capped)
 
-    ``start`` holds id, u, s, m and score. Each round takes the best rows as seeds, asks for
-    proposals, searches the bound on the calibration rows, accepts proposals of the chosen kind up
-    to ``target``, and adds a share of them to the calibration rows.
+
+def _mixture(con: str, sizes: list[int]) -> Column:
+    """The mixture of policies, each weighed by the calibration rows that it gave."""
+    n = F.array(*[F.lit(float(s)) for s in sizes])
+    return F.aggregate(F.zip_with(con, n, lambda c, k: c * k), F.lit(0.0), lambda a, b: a + b) / float(sum(sizes))
+
+
+def improve(spark: SparkSession, start: DataFrame, propose: Callable[[int, DataFrame], dict[str, DataFrame]], likelihood: Callable[[int, DataFrame], DataFrame], rounds: int, cfg: Search, seeds: int, target: int, share: float, seed: int = 0, versus: str = "last") -> tuple[DataFrame, DataFrame]:
+    """(log, calibration): one row a round, and the calibration rows with their densities under every policy.
+
+    ``start`` holds id, score and lik, the likelihood under the first, safe model. In round r
+    ``propose(r, best rows so far)`` gives samples "safe" (of the last policy) and "unconstrained"
+    (of model r) with id, score and liks, the likelihoods under models 0 to r; ``likelihood(r, rows)``
+    gives (id, lik) of calibration rows under model r. The bound beta of the new policy
+    min(lik_r, beta * base) / psi is searched on the calibration rows, weighed against the mixture
+    of the policies they came from. Rows carry ``con``, their densities under all policies so far; a
+    round adds one entry to it, and only samples new to the run go through the whole chain. Up to
+    ``target`` samples are accepted; a share of them joins the calibration rows.
+
+    The log has round, proposal, beta, psi, n_proposals, n_accepted, n_feasible, best and n_cal.
     """
-    cal, known, log = cut(start, "cal"), cut(start, "known"), []
-    for r in range(rounds):
-        props = propose(r, best_scoring(known, seeds))
-        found = beta_search(spark, cal, {k: v.select("id", "u", "s", "m") for k, v in props.items()}, cfg).first()
-        beta = max(found["beta"], TINY)
-        rows = props[found["proposal"]].withColumn("_chain", F.lit(r))
+    if versus not in ("first", "last"):
+        raise ValueError("versus must be first or last")
+    cal = cut(start.select("id", "score", F.array("lik").alias("con")), "cal")
+    known = start.select("id", "score")
+    betas, psis, sizes, log = [1.0], [1.0], [cal.count()], []
+    base = F.element_at("con", 1 if versus == "first" else -1).alias("s")
+    for r in range(1, rounds + 1):
+        mixture = _mixture("con", sizes).alias("m")
+        own = cut(cal.join(likelihood(r, cal.select("id", "score")).select("id", F.col("lik").alias("u")), "id").select("id", "score", "con", "u", base, mixture), "own")
+        props = {}
+        for name, rows in propose(r, best_scoring(known, seeds)).items():
+            chained = rows.select("id", "score", F.get("liks", F.lit(r)).alias("u"), policy_chain(F.slice("liks", 1, r), betas, psis, versus).alias("con"))
+            props[name] = cut(chained.select("id", "score", "con", "u", base, mixture), name)
+        found = beta_search(spark, own, props, cfg).first()
+        beta, psi, proposal = max(found["beta"], TINY), found["psi"], found["proposal"]
         lr = F.col("u") / F.col("s")
-        chance = accept_safe(lr, beta) if found["proposal"] == "safe" else accept_unconstrained(lr, beta)
+        chance = accept_safe(lr, beta) if proposal == "safe" else accept_unconstrained(lr, beta)
+        rows = props[proposal].withColumn("_chain", F.lit(r))
         judged = cut(accept_until(rows, chance, md5_uniform(seed + r, "id"), target, "_chain", ["id"]).drop("_chain"), "judged")
         kept = judged.filter("accepted").drop("accepted")
         quality = sample_quality(kept).first()
-        log.append((r, found["proposal"], float(found["beta"]), judged.count(), quality["n"] if quality else 0, quality["n_feasible"] if quality else 0, quality["min_score"] if quality else None))
         new, _ = calibration_split(kept, share, seed + r)
-        columns = ["id", "u", "s", "m", "score"]
-        cal = cut(cal.select(*columns).union(new.select(*columns)), "cal")
-        known = cut(known.select(*columns).union(kept.select(*columns)), "known")
-    return spark.createDataFrame(log, "round int, proposal string, beta double, n_proposals bigint, n_accepted bigint, n_feasible bigint, best double")
-
-
-def active_learning(df: DataFrame, features: list[str], label: str, steps: int, initial: int, lam: float = 1.0, alpha: float = 0.1, rate: float = 0.05, seed_col: str = "seed") -> DataFrame:
-    """(seed, step, n, width, covered, feasible_level, mse) of each seed's run.
-
-    A run starts with its first ``initial`` rows, in the table's md5 order: half of them train a
-    ridge model, half calibrate it. Each step takes the pool row with the largest tilted weight
-    exp(lam * variance / range) * u, checks it against the split-conformal interval, moves the
-    level by the clipped controller and adds the row. Runs are independent and bounded by their
-    table, a group each.
-    """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("draw_key")
-        x = np.column_stack([pdf[features].to_numpy(float), np.ones(len(pdf))])
-        y, u = pdf[label].to_numpy(float), pdf["draw"].to_numpy(float)
-        train, cal = list(range(initial // 2)), list(range(initial // 2, min(initial, len(pdf))))
-        pool, level, out = list(range(initial, len(pdf))), alpha, []
-        for step in range(min(steps, len(pool))):
-            inverse = np.linalg.inv(x[train].T @ x[train] + np.eye(x.shape[1]))
-            fit = x @ (inverse @ x[train].T @ y[train])
-            residual = np.sort(np.abs(y[cal] - fit[cal]))
-            k = int(np.ceil((1 - alpha) * (len(cal) + 1)))
-            width = residual[k - 1] if k <= len(residual) else np.inf
-            variance = np.einsum("ij,jk,ik->i", x[pool], inverse, x[pool])
-            span = variance.max() - variance.min()
-            chosen = pool[int((np.exp(lam * variance / (span or 1.0)) * u[pool]).argmax())]
-            covered = abs(y[chosen] - fit[chosen]) <= width
-            out.append((int(pdf[seed_col].iloc[0]), step, len(train) + len(cal), float(width), bool(covered), float(level), float(((y[pool] - fit[pool]) ** 2).mean())))
-            level = min(1.0, max(0.0, level + rate * (alpha - (0.0 if covered else 1.0))))
-            (train if step % 2 else cal).append(chosen)
-            pool.remove(chosen)
-        return pd.DataFrame(out, columns=["seed", "step", "n", "width", "covered", "level", "mse"])
-
-    keyed = df.withColumns({"draw_key": F.md5(F.concat_ws(":", F.col(seed_col).cast("string"), F.col("id").cast("string"))), "draw": md5_uniform(1, seed_col, "id")})
-    return keyed.groupBy(seed_col).applyInPandas(run, "seed bigint, step int, n int, width double, covered boolean, level double, mse double")
+        extended = F.concat("con", F.array(F.least(F.col("u"), F.col("s") * beta) / psi)).alias("con")
+        new = cut(new.select("id", "score", extended), "new")
+        cal = cut(own.select("id", "score", extended).unionByName(new), "cal")
+        known = cut(known.unionByName(kept.select("id", "score")), "known")
+        betas, psis, sizes = [*betas, beta], [*psis, psi], [*sizes, new.count()]
+        log.append((r, proposal, float(beta), float(psi), judged.count(), quality["n"], quality["n_feasible"], quality["min_score"], sum(sizes)))
+    schema = "round int, proposal string, beta double, psi double, n_proposals bigint, n_accepted bigint, n_feasible bigint, best double, n_cal bigint"
+    return spark.createDataFrame(log, schema), cal
 
 
 METHODS = ("gcrc", "monotised", "standard", "ltt")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..semantics import finite, infeasible, md5_key, md5_uniform
-from .ranking import TOP, fold_in_order, lowest, lowest_md5, quantiles, running
+from .ranking import TOP, Fold, fold_in_order, lowest, lowest_md5, quantiles, running
 
 
 def best_scoring(df: DataFrame, k: int, score: str = "score", id_col: str = "id") -> DataFrame:
@@ -81,27 +83,65 @@ def accept_until(df: DataFrame, probability: Column, draw: Column, target: int,
     return ranked.filter(F.col("_run") - F.col("accepted").cast("bigint") < target).drop("_run", "_rn").select(*judged.columns)
 
 
-def metropolis_chain(df: DataFrame, chain: str, order: str, target: str, proposal: str, draw: str) -> DataFrame:
-    """Independent Metropolis-Hastings: each row against the last accepted one of its chain.
+class Metropolis(Fold):
+    """A row (chain, order, target, proposal, draw) against the ratio w = target / proposal of the last accepted one.
 
-    A chain is sequential; chains run in parallel, each streamed in order with its last accepted
-    row as the only state. The first row of a chain is accepted.
+    A row takes its place if w < (its own ratio) / draw, whatever else went before. So a stretch is
+    a short table over w: the first row that would take its place, among the rows whose limit
+    exceeds those of all rows before, decides what stands at the end.
     """
 
-    def step():
-        state = [None]
-
-        def judge(row):
-            _, o, t, p, u = row
-            ok = state[0] is None or u < min(1.0, (t / state[0][0]) * (state[0][1] / p))
-            if ok:
-                state[0] = (t, p)
-            return (ok,)
-
-        return judge
+    def step(self, state, row):
+        own = row[2] / row[3]
+        ok = state is None or row[4] < min(1.0, own / state)
+        return own if ok else state, (ok,)
+
+    def summary(self, rows):
+        own = [r[2] / r[3] for r in rows]
+        limits = [w / r[4] if r[4] > 0 else math.inf for w, r in zip(own, rows, strict=True)]
+        # from the end: rows whose limit exceeds those of the rows between, nearest last
+        records: list[int] = []
+        final = [0.0] * len(rows)
+        for i in range(len(rows) - 1, -1, -1):
+            taken = self._first(records, limits, own[i])
+            final[i] = own[i] if taken is None else final[taken]
+            while records and limits[records[-1]] <= limits[i]:
+                records.pop()
+            records.append(i)
+        table: list[tuple[float, float]] = []
+        for i in reversed(records):  # rising limits
+            if table and table[-1][1] == final[i]:
+                table.pop()
+            table.append((limits[i], final[i]))
+        return final[0], table
+
+    @staticmethod
+    def _first(records, limits, w):
+        """The nearest record whose limit exceeds w; limits rise from the nearest, the last, to the farthest."""
+        low, high = 0, len(records)
+        while low < high:  # how many of the farther ones exceed w
+            mid = (low + high) // 2
+            if limits[records[mid]] > w:
+                low = mid + 1
+            else:
+                high = mid
+        return records[low - 1] if low else None
+
+    def through(self, summary, state):
+        first, table = summary
+        if state is None:
+            return first  # the first row of a chain is accepted
+        return next((w for limit, w in table if state < limit), state)
+
+
+def metropolis_chain(df: DataFrame, chain: str, order: str, target: str, proposal: str, draw: str, ranges: int | None = None) -> DataFrame:
+    """Independent Metropolis-Hastings: each row against the last accepted one of its chain.
 
+    The first row of a chain is accepted. A chain is sequential, but stretches of it compose, so a
+    long one goes over all tasks.
+    """
     rows = df.select(chain, order, target, proposal, draw)
-    return fold_in_order(rows, [chain], [order], step, "accepted boolean").select(chain, order, "accepted")
+    return fold_in_order(rows, [chain], [order], Metropolis(), "accepted boolean", ranges).select(chain, order, "accepted")
 
 
 def weighted_sample(df: DataFrame, n: int, weight: str, seed: int, id_col: str = "id") -> DataFrame:

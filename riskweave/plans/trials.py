@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import control as K
+from ..operators import learning as AL
 from ..operators import rounds as RD
 from ..operators import tables as B
-from .catalogue import _LOSS, _r, query, r6
+from .catalogue import _LOSS, _r, query
 from .derive import TAUS, calibration, claims, table
 
 _TRIAL = f"""WITH {_LOSS}, b AS (SELECT l.response, l.tau, l.loss, l.recall, mono.loss AS mono FROM l JOIN mono USING (response, tau)),
@@ -38,23 +39,37 @@ def risk_simulation(spark, d):
     return _r(RD.simulate(spark, 30, 10, [0.2, 0.4], 10))
 
 
-@query("policy_rounds")
-def policy_rounds(spark, d):
-    """Three rounds over fixed proposals; checked by invariants in the tests."""
-    cal = calibration(spark, d).withColumn("m", 0.4 * F.col("s") + 0.6 * F.col("u"))
+def _model(r: int):
+    """A row's likelihood under model r: from the safe model towards the other one."""
+    return (1 - r / 4) * F.col("s") + (r / 4) * F.col("u")
+
+
+def policies(spark, d):
+    """(log, calibration) of three rounds over proposals from the table."""
+    cal = calibration(spark, d)
 
     def propose(r, seeds):
-        own = cal.filter(F.col("id") % 4 == r + 1)
+        own = cal.filter(F.col("id") % 4 == r).select("id", "score", "grp", F.array(*[_model(k) for k in range(r + 1)]).alias("liks"))
         return {"safe": own.filter("grp <> 'click'"), "unconstrained": own.filter("grp = 'click'")}
 
-    return RD.improve(spark, cal.filter("id % 4 = 0"), propose, 3, K.Search(0.6, 20), 50, 100, 0.5)
+    likelihood = lambda r, rows: cal.join(rows.select("id"), "id", "left_semi").select("id", _model(r).alias("lik"))
+    start = cal.filter("id % 4 = 0").select("id", "score", _model(0).alias("lik"))
+    return RD.improve(spark, start, propose, likelihood, 3, K.Search(0.6, 20), 50, 2000, 0.5)
+
+
+@query("policy_rounds")
+def policy_rounds(spark, d):
+    """Rounds with their bounds; the tests recompute them by nested SQL."""
+    return policies(spark, d)[0]
 
 
 @query("active_learning_runs")
 def active_learning_runs(spark, d):
-    """Independent runs, a seed each; checked against invariants in the tests."""
-    rows = calibration(spark, d).filter("user_id < 20").select((F.col("user_id") % 4).alias("seed"), "id", "u", "s", F.col("value").alias("y"))
-    return RD.active_learning(rows, ["u", "s"], "y", 8, 20)
+    """Two runs over all line items; the tests hold such runs equal to plain loops."""
+    li = table(spark, d, "lineitem")
+    rows = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 50).alias("quantity"), (F.col("l_discount") * 10).alias("discount"), (F.col("l_tax") * 10).alias("tax"), (F.col("l_extendedprice") / 50_000).alias("price"), "l_returnflag")
+    parts = AL.learning_parts(rows, ["quantity", "discount", "tax"], "price", F.col("l_returnflag") != "R", [1, 2], 200, 20, 60, 1.0)
+    return AL.active_learning(parts, 4, AL.Learning(control="search", risk_alpha=0.6, level_rate=0.1))
 
 
 @query("parameter_follow", "SELECT * FROM (VALUES ('initial_seed=3 alpha=0.1 last_seed=3'), ('initial_seed=7 alpha=0.1 last_seed=7')) t(job)")
@@ -70,5 +85,3 @@ def parameter_follow(spark, d):
 def mean_hamming_of_rounds(spark, d):
     return _r(B.mean_by_key(table(spark, d, "nation").select((F.col("n_nationkey") % 5).alias("round"), F.col("n_regionkey").cast("double").alias("value")), "round"))
 
-
-__all__ = ["r6"]

@@ -422,13 +422,68 @@ def test_search_over_a_mixture(spark):
     assert (got.beta, got.risk_margin, got.w_test, got.switch_to_mixture) == (pytest.approx(chosen), pytest.approx(0.55 - at[0]), pytest.approx(at[1]), at[2])
 
 
-def test_rounds_and_runs(spark):
-    from riskweave.plans import trials
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_policy_rounds(spark):
+    """Three rounds against SQL that builds every policy anew from the log's bounds and round sizes."""
+    import duckdb
 
-    log = trials.policy_rounds(spark, "/root/testdata/sf0.001").collect() if os.path.isdir("/root/testdata/sf0.001") else []
-    assert all(x.n_accepted <= min(100, x.n_proposals) and x.n_feasible <= x.n_accepted for x in log)
-    runs = trials.active_learning_runs(spark, "/root/testdata/sf0.001").collect() if log else []
-    assert all(0 <= x.level <= 1 and x.width >= 0 and x.n == 20 + x.step for x in runs)
+    from riskweave.plans import trials
+    from riskweave.plans.derive import CAL, calibration
+
+    sf = "/root/testdata/sf0.001"
+    log, cal = trials.policies(spark, sf)
+    log, cal = {x["round"]: x for x in log.collect()}, {x.id: x.con for x in cal.collect()}
+    assert len(log) == 3 and all(x.n_accepted <= min(2000, x.n_proposals) and x.n_feasible <= x.n_accepted for x in log.values())
+    sizes = [250] + [log[r].n_cal - (log[r - 1].n_cal if r > 1 else 250) for r in (1, 2, 3)]
+    assert min(sizes) > 0 and len(cal) == log[3].n_cal == sum(sizes)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS FROM '{sf}/events.parquet'")
+    model = lambda r: f"{1 - r / 4} * s + {r / 4} * u"
+    policy, nested = "s", "s AS p0"
+    for r in (1, 2, 3):
+        policy = f"least({model(r)}, {log[r].beta!r} * ({policy})) / {log[r].psi!r}"
+        nested += f", {policy} AS p{r}"
+    rows = {x[0]: x[1:] for x in con.sql(f"WITH {CAL} SELECT id, {nested} FROM cal").fetchall()}
+    for i, own in cal.items():
+        assert own == pytest.approx(list(rows[i]))
+    # each round's bound is the one of a search over rows that SQL describes
+    for r in (1, 2, 3):
+        mixture = " + ".join(f"{n} * p{t}" for t, n in enumerate(sizes[:r]))
+        known = con.sql(f"WITH {CAL} SELECT id, {model(r)} AS u, p{r - 1} AS s, ({mixture}) / {sum(sizes[:r])} AS m FROM (SELECT *, {nested} FROM cal)").fetchall()
+        base = spark.createDataFrame([tuple(x) for x in known], "id bigint, u double, s double, m double").join(calibration(spark, sf).select("id", "score", "grp"), "id")
+        own = [i for i in cal if i % 4 < r]
+        fit = base.join(spark.createDataFrame([(i,) for i in own], "id bigint"), "id")
+        new = base.filter(F.col("id") % 4 == r)
+        again = K.beta_search(spark, fit, {"safe": new.filter("grp <> 'click'"), "unconstrained": new.filter("grp = 'click'")}, K.Search(0.6, 20)).first()
+        assert (again.proposal, again.beta, again.psi) == (log[r].proposal, pytest.approx(log[r].beta), pytest.approx(log[r].psi))
+
+
+def test_policy_chain(spark):
+    """Against the first and against the last policy; the constants are those of a table of two."""
+    df = spark.createDataFrame([([1.0, 2.0, 4.0],), ([1.0, 0.5, 0.3],)], "liks array<double>")
+    for versus, want in (("last", [[1.0, 0.75, 0.75], [1.0, 0.25, 0.25]]), ("first", [[1.0, 0.75, 1.0], [1.0, 0.25, 0.3 / 2]])):
+        got = df.select(RD.policy_chain(F.col("liks"), [1.0, 1.5, 2.0], [1.0, 2.0, 2.0], versus).alias("c")).collect()
+        assert [x.c for x in got] == [pytest.approx([1.0, 0.75, min(4.0, 2 * (0.75 if versus == "last" else 1.0)) / 2]), pytest.approx([1.0, 0.25, min(0.3, 2 * (0.25 if versus == "last" else 1.0)) / 2])] and len(want) == 2
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 9])
+def test_chains_in_stretches(spark, ranges):
+    """Long chains cut into stretches equal a loop: a clipped controller and a Metropolis-Hastings chain."""
+    r = random.Random(3)
+    rows = [(c, i, float(r.random() < 0.3), r.choice([0.1, 1.0, 5.0]) * r.random() + 0.01, r.random() + 0.05, r.random()) for c, n in (("a", 1), ("b", 3000), ("c", 40), ("d", 900), (None, 5)) for i in range(n)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "c string, i int, missed double, t double, p double, u double")
+    level = {(x.c, x.step): x.level for x in CF.clipped_controller(df, "c", "i", "missed", 0.1, 0.2, ranges).collect()}
+    taken = {(x.c, x.i): x.accepted for x in S.metropolis_chain(df, "c", "i", "t", "p", "u", ranges).collect()}
+    assert len(level) == len(taken) == len(rows)
+    for c in {x[0] for x in rows}:
+        at, last = 0.1, None
+        for _, i, missed, t, p, u in sorted((x for x in rows if x[0] == c), key=lambda x: x[1]):
+            assert level[c, i] == pytest.approx(at, abs=1e-9)
+            at = min(1.0, max(0.0, at + 0.2 * (0.1 - missed)))
+            ok = last is None or u < min(1.0, (t / p) / last)
+            assert taken[c, i] == ok
+            last = t / p if ok else last
 
 
 def test_numbers_as_text(spark):
