@@ -27,10 +27,12 @@ import tiktoken
 
 #: A match that ends so many characters before a cut stands: the longest look-ahead ('re, 've, 'll) is 3.
 MARGIN = 3
-#: Words kept per worker process; older ones are encoded again.
-CACHE_WORDS = 300_000
+#: Words of each of the two generations kept per worker process; a word that neither has is encoded again.
+CACHE_WORDS = 400_000
 #: Bytes of a word up to which it is merged at once, and of its leaves beyond; ids that a join merges anew first.
 PIECE, EDGE = 256, 4
+#: Bytes up to which looking over all pairs costs less than a heap.
+SHORT = 64
 # Fixed value: the pattern for which the fast expression below gives the same matches.
 FAST_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -71,6 +73,8 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT:
+        return _merge_short(ranks, piece)
     end, back = list(range(1, n + 1)), list(range(-1, n - 1))  # part i is piece[i:end[i]], the one before it starts at back[i]
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -94,15 +98,37 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     return out
 
 
+def _merge_short(ranks: dict[bytes, int], piece: bytes) -> list[int]:
+    """merge of a few bytes: the ranks of all pairs in a list, its least one sought again each time."""
+    get, none = ranks.get, 1 << 60
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        joined = parts[i] + parts[i + 1]
+        parts[i : i + 2] = [joined]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(joined + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + joined, none)
+    return [ranks[p] for p in parts]
+
+
 class _Words(dict):
+    """Ids of words; when a generation is full it becomes the older one, from which words in use come back."""
+
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word), dtype="<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.array(self.encode(word), dtype="<u4").tobytes()
         if len(word) <= 48:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids

@@ -26,7 +26,7 @@ from .bpe import MARGIN, Encoder, encoder
 from .common import map_texts, whole_text
 
 #: Characters of a leaf.
-LEAF = 1024
+LEAF = 4096
 #: Words on each side of a cut that a join encodes first.
 WINDOW = 8
 
@@ -42,10 +42,12 @@ class Stretch:
 
 def scan(enc: Encoder, text: str, low: int, high: int) -> Stretch:
     words = enc.matches(text[low:high])
-    parts = [enc.words[w] for w in words]
-    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-    offset = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)]).astype(np.int64)
-    starts = low + np.concatenate([[0], ends[:-1]]).astype(np.int64) if words else np.zeros(0, np.int64)
+    parts = list(map(enc.words.__getitem__, words))
+    n = len(words)
+    starts, offset = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, n), out=starts[1:])
+    np.cumsum(np.fromiter(map(len, parts), np.int64, n) // 4, out=offset[1:])
+    starts = starts[:-1] + low
     return Stretch(low, high, starts, offset, np.frombuffer(b"".join(parts), "<u4"))
 
 
