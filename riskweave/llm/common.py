@@ -43,10 +43,10 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and read it back: lineage ends here and survives lost executors."""
+    def put(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
+        """Write a table, with a folder for each value of some columns, and read it back: lineage ends here and survives lost executors."""
         at = self.path(name)
-        df.write.parquet(at)
+        df.write.partitionBy(*folders).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._riskweave_path = at
         return out
