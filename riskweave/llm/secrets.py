@@ -17,6 +17,7 @@ equal texts have equal spans; repeated rows are scanned each.
 from __future__ import annotations
 
 import hashlib
+import bisect
 import random
 import re
 from dataclasses import dataclass
@@ -39,7 +40,7 @@ PARTING, PART = re.compile(r"[/.=_-]"), re.compile(r"[A-Za-z0-9+]{16,}")
 LEAST = 6
 HINT = re.compile(r"key|auth|credential|bearer|private|access|signature|aws|pw|pass|secret|token", re.I | re.A)
 HINTED = re.compile(r"""(?:key|auth|authorization|credentials?|bearer|private|access|signature|aws|pwd?|passphrase|pass|secret|token)["']?(?:\s*[:=@]\s*|\s+)["']?([A-Za-z0-9+/_.=-]{6,})""", re.I | re.A)
-BESIDE, BESIDE_BACK = re.compile(r"[A-Za-z0-9+/_.=-]{6,}"), re.compile(r"[A-Za-z0-9+/_.=-]{6,}\Z")
+BESIDE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 #: Cheap proof that a text has no assignment: each needs one of these marks behind a name.
 _MARK = re.compile(r"""(?:[dD]|[tT]|[nN]|[yY])["']?\x20*[:=]""")
 
@@ -72,7 +73,15 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     runs = {m.span() for m in CANDIDATE.finditer(text)}
     if HINT.search(text):
         runs |= {m.span(1) for m in HINTED.finditer(text) if m.end(1) - m.start(1) < 16}
-    runs |= {m.span() for x, y in {(x, y) for x, _, y in base} for m in (BESIDE_BACK.search(text, max(x - 256, 0), x), BESIDE.match(text, y)) if m}
+    if base:  # runs that touch a base span, each from its own start to its own end
+        near = [m.span() for m in BESIDE.finditer(text)]
+        starts = [a for a, _ in near]
+        for x, _, y in base:
+            before = bisect.bisect_left(starts, x) - 1
+            if before >= 0 and near[before][1] >= x and x - near[before][0] >= LEAST:
+                runs.add((near[before][0], x))
+            if m := BESIDE.match(text, y):
+                runs.add(m.span())
     out = set()
     for a, b in runs:
         for x, _, y in base:  # sorted by start

@@ -36,6 +36,27 @@ def test_long_page(spark):
     assert html_text.extract(deep) == "Some words at the bottom of it all."
 
 
+def test_runs_beside_base_spans():
+    """A run that touches a base span is read from its own start, however long it is, and once."""
+    key = "Xy9/" * 100
+    text = key + "0123456789abcdef01234567" + " and " + "0123456789abcdef01234567" + "QWERTY12345678"
+    base = secrets.base_spans(text)
+    runs = secrets.candidates(text, base)
+    assert (0, 400) in runs and not any(0 < a < 400 for a, _ in runs)
+    assert (len(text) - 14, len(text)) in runs
+
+
+def test_line_batches(spark):
+    """Batches hold alike many lines, whatever single texts weigh; null ids are in the last."""
+    docs = table(spark, ["a\n" * 50 if i == 3 else "one line of text" for i in range(101)], [*range(100), None])
+    docs = docs.select("doc_id", "text").withColumn("lines", line_dedup.F.split("text", "\n", -1))
+    total, batch, n = line_dedup._batches(docs, None)
+    rows = docs.select("doc_id", batch.alias("b")).collect()
+    assert total == 151 and n == 4 and next(r.b for r in rows if r.doc_id is None) == 3
+    assert [min(r.doc_id for r in rows if r.b == b and r.doc_id is not None) for b in range(4)] == sorted(min(r.doc_id for r in rows if r.b == b and r.doc_id is not None) for b in range(4))
+    assert line_dedup._batches(docs, 1)[2] == 1
+
+
 def test_more_empty_tables(spark):
     docs = table(spark, ["x"]).limit(0)
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
