@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..semantics import col
@@ -95,6 +95,44 @@ def place_motif(x: str | Column, motif: list[int], spacing: list[int], allowed:
     return F.filter(F.transform(F.filter(starts, fits), written), lambda y: transitions_allowed(y, allowed))
 
 
+def motif_placements(df: DataFrame, x: str, motifs: list[list[int]], spacings: list[list[int]], allowed: list[list[int]], id_col: str = "id") -> DataFrame:
+    """(id, places, placed): all ways to write spaced motifs, one after the other, into each partly known sequence.
+
+    A motif may share places with what is known or written if it agrees with it. ``places`` holds
+    where each motif begins; ``placed`` leaves unknown what nothing says, and has only allowed
+    steps between neighbours that are known. A table function walks the motifs and leaves a branch
+    as soon as it clashes, so nothing is made for the choices behind it; rows come one by one, and
+    no row's placements are held together.
+    """
+    spans = [max(s) for s in spacings]
+
+    @F.udtf(returnType="places array<int>, placed array<int>")
+    class Placements:
+        def eval(self, sequence):
+            if sequence is None or len(sequence) <= max(spans, default=0):
+                return
+            steps = lambda y, at: all(y[i] is None or y[i + 1] is None or allowed[y[i]][y[i + 1]] for a in at for i in (a - 1, a) if 0 <= i < len(y) - 1)
+
+            def walk(y, places):
+                m = len(places)
+                if m == len(motifs):
+                    yield places, y
+                    return
+                for start in range(len(y) - spans[m]):
+                    at = [start + o for o in spacings[m]]
+                    if all(y[i] is None or y[i] == v for i, v in zip(at, motifs[m], strict=True)):
+                        new = list(y)
+                        for i, v in zip(at, motifs[m], strict=True):
+                            new[i] = v
+                        if steps(new, at):
+                            yield from walk(new, [*places, start])
+
+            if steps(sequence, range(len(sequence))):
+                yield from walk(list(sequence), [])
+
+    return df.select(id_col, F.col(x).alias("_x")).lateralJoin(Placements(F.col("_x").outer())).drop("_x")
+
+
 def _matches(particle: Column, motif: list[int], spacing: list[int]):
     """A function of a place: how many of a motif's elements stand there."""
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..semantics import INF
-from ..storage import cut
-from .ranking import Fold, fold_in_order, running
+from ..storage import cut, drops
+from .ranking import Fold, fold_in_order, running, with_totals
 
 
 def weighted_quantile(df: DataFrame, q: float, by: str, value: str = "v", weight: str = "w", tie: str = "id", check: bool = True) -> DataFrame:
@@ -85,7 +85,7 @@ def feedback_weights(df: DataFrame, own: str, factors: list[str], by: str) -> Da
     name = lambda block: "_t" + "_".join(map(str, sorted(block)))
     if not n:
         return df.withColumn("weight", F.col(own))
-    joined = df.join(df.groupBy(by).agg(*[F.sum(product(b)).alias(name(b)) for b in blocks]), by)
+    joined = with_totals(df, [by], {name(b): F.sum(product(b)) for b in blocks})
     total = F.lit(0.0)
     for parts in _partitions(list(range(n))):
         sign = 1.0
@@ -116,8 +116,8 @@ def weighted_split_quantile(df: DataFrame, residual: str, weight: str, test_weig
     cal = df.select(by, F.col(residual).alias("v"), F.col(weight).alias("w"), F.col(tie).cast("bigint").alias("id"))
     test = test_weight.select(by, F.lit(INF).alias("v"), "w", F.lit(2**62).cast("bigint").alias("id"))
     rows = cal.unionByName(test)
-    total = rows.groupBy(by).agg(F.sum("w").alias("t"))
-    return weighted_quantile(rows.join(total, by).select(by, "id", "v", (F.col("w") / F.col("t")).alias("w")), 1 - alpha, by, check=False)
+    rows = with_totals(rows, [by], {"t": F.sum("w")})
+    return weighted_quantile(rows.select(by, "id", "v", (F.col("w") / F.col("t")).alias("w")), 1 - alpha, by, check=False)
 
 
 def intervals(centres: DataFrame, widths: DataFrame, by: str, centre: str = "centre") -> DataFrame:
@@ -162,6 +162,7 @@ def clipped_controller(df: DataFrame, by: str, order: str, missed: str, alpha: f
     return fold_in_order(rows, [by], ["step"], Clipped(alpha, rate), "level double", ranges).select(by, "step", "level")
 
 
+@drops
 def bound_by_mass(df: DataFrame, weight: str, tie: str, alpha: float, limit: float) -> DataFrame:
     """(place, bound) of the largest bound of sorted weights, under which points with a capped,
     normalised weight of at least alpha together hold no more than ``limit``; found by bisection.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import adjusted_alpha, cap_log
 from ..semantics import INF, TINY, infeasible
-from ..storage import cut
+from ..storage import cut, drops
 from .ranking import running
 from .sampling import accept_until
 from .search import capped_totals, coarse_grid, grid_values, linspace_grid
@@ -70,6 +70,7 @@ def _times(beta: float) -> Column:
     return F.lit(INF) if beta == INF else F.col("s") * beta
 
 
+@drops
 def beta_search(spark: SparkSession, cal: DataFrame, proposals: dict[str, DataFrame], cfg: Search) -> DataFrame:
     """One row: the largest bound in a row of bounds whose risk stays under control, and how it was found.
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..semantics import INF, md5_uniform
-from ..storage import cut
+from ..storage import cut, drops
 from .conformal import _partitions
 from .ranking import running
 from .regression import _dot, first_component
@@ -210,6 +210,7 @@ def _quantiles(residual: np.ndarray, weights: dict[str, np.ndarray], alpha: floa
     return out
 
 
+@drops
 def active_learning(rows: DataFrame, steps: int, cfg: Learning) -> DataFrame:
     """(seed, step, method, id, n_train, n_cal, covered, width, mse, bound, level, feasible) of every step of every run.
 

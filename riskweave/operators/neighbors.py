@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import hamming
 from ..functions.maths import score_distance
 from ..semantics import feasible
-from ..storage import cut
+from ..storage import cut, drops
 
 #: Up to so many subsets of places are enumerated at a radius; beyond, places are cut into blocks.
 SUBSETS = 128
@@ -161,6 +161,7 @@ def preference_triples(df: DataFrame, dim: int, threshold: float, k: int) -> Dat
     return chosen.join(rejected, "src").select(F.col("src").alias("prompt"), "chosen", "rejected").distinct()
 
 
+@drops
 def farthest_first(df: DataFrame, n: int, distance=hamming) -> DataFrame:
     """(id, pos): start at the best score, then each time the row farthest from those chosen.
 

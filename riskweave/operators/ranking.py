@@ -94,6 +94,24 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
     return found.select(*by, *[at(i).alias(f"q{i}") for i in range(len(shares))])
 
 
+def with_totals(df: DataFrame, by: list[str], totals: dict[str, Column], salts: int = 32) -> DataFrame:
+    """df with aggregates of each row's group of ``by``; rows of a null group are a group.
+
+    Totals of few groups go to the rows. Many go by a join in which the rows of one group are
+    dealt to several tasks.
+    """
+    sums = cut(df.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()]).withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)}), "totals")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    if sums.count() <= FEW:
+        out = df.join(F.broadcast(sums), same)
+    else:
+        many = sums.withColumn("_many", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        out = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(many, same & (F.col("_salt") == F.col("_many")))
+    return out.select(*df.columns, *totals)
+
+
 class Fold:
     """A sequential step over the rows of a chain, and how a stretch of it acts on any state before it."""
 

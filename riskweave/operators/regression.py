@@ -73,6 +73,72 @@ def gaussian_process(train: DataFrame, df: DataFrame, features: list[str], label
     return df.withColumns({"mean": _dot(x, weights), "std": F.sqrt(variance)})
 
 
+def _evidence(moments: np.ndarray, noise: np.ndarray, offset: float) -> np.ndarray:
+    """Log-evidence at many noises of y ~ N(0, F F' + noise), where F are the features and ``offset``.
+
+    ``moments`` are sums of products of features, 1 and y. The eigenvalues of F'F give the
+    determinant and the quadratic form, so no matrix of all pairs of rows is made.
+    """
+    scale = np.append(np.ones(len(moments) - 2), offset)
+    n, inner = moments[-2, -2], moments[:-1, :-1] * np.outer(scale, scale)
+    values, vectors = np.linalg.eigh(inner)
+    part = (vectors.T @ (moments[:-1, -1] * scale)) ** 2
+    lam = np.maximum(values, 0)[:, None] + noise[None, :]
+    square = (moments[-1, -1] - (part[:, None] / lam).sum(0)) / noise
+    return -0.5 * (square + np.log(lam).sum(0) + (n - len(values)) * np.log(noise) + n * np.log(2 * np.pi))
+
+
+def process_evidence(train: DataFrame, features: list[str], label: str, noises: list[float], offsets: list[float]) -> DataFrame:
+    """(noise, offset, evidence): log-evidence of the linear kernel over a grid of its parameters, from one pass."""
+    m = _moments(train, [*[F.col(f).cast("double") for f in features], F.lit(1.0), F.col(label).cast("double")])
+    rows = [(float(n), float(o), float(e)) for o in offsets for n, e in zip(noises, _evidence(m, np.array(noises, float), o), strict=True)]
+    return train.sparkSession.createDataFrame(rows, "noise double, offset double, evidence double")
+
+
+def fit_process(train: DataFrame, features: list[str], label: str, low: float = 1e-5, high: float = 1e5) -> tuple[float, float, float]:
+    """(noise, offset, evidence) of the largest evidence within bounds: one pass, then a grid that closes in on it."""
+    m = _moments(train, [*[F.col(f).cast("double") for f in features], F.lit(1.0), F.col(label).cast("double")])
+    ends = np.log([low, high])
+    spans, best = [ends, ends], (0.0, 0.0, -np.inf)
+    for turn in range(12):
+        k = 61 if turn == 0 else 13
+        noises, offsets = (np.exp(np.linspace(*s, k)) for s in spans)
+        table = np.array([_evidence(m, noises, o) for o in offsets])
+        i, j = np.unravel_index(np.nanargmax(table), table.shape)
+        if table[i, j] > best[2]:
+            best = (float(noises[j]), float(offsets[i]), float(table[i, j]))
+        step = [(s[1] - s[0]) / (k - 1) * 2 for s in spans]
+        spans = [np.clip([np.log(b) - d, np.log(b) + d], *ends) for b, d in zip(best, step, strict=False)]
+    return best
+
+
+def nystroem(df: DataFrame, features: list[str], points: int, length: float, id_col: str = "id", name: str = "phi") -> tuple[DataFrame, list[str]]:
+    """(df with features whose products approximate exp(-|x - y|^2 / (2 length^2)), their names).
+
+    The kernel is exact on ``points`` rows, the lowest MD5 keys; with as many points as rows it is
+    exact everywhere. A linear process over the features then is one with this kernel.
+    """
+    from ..semantics import md5_key
+
+    if not points:
+        return df, []
+    own = [F.col(f).cast("double") for f in features]
+    centres = np.array([list(r) for r in df.orderBy(md5_key("nystroem", id_col), id_col).limit(points).select(*own).collect()], float).reshape(-1, len(features))
+    gram = np.exp(-((centres[:, None, :] - centres[None, :, :]) ** 2).sum(2) / (2 * length**2))
+    values, vectors = np.linalg.eigh(gram)
+    kept = values > 1e-10 * max(values.max(initial=0), 1e-300)
+    root = vectors[:, kept] / np.sqrt(values[kept])
+    near = []
+    for c in centres.tolist():
+        square = F.lit(0.0)
+        for x, v in zip(own, c, strict=True):
+            square = square + (x - v) * (x - v)
+        near.append(F.exp(-square / (2 * length**2)))
+    names = [f"{name}{i}" for i in range(root.shape[1])]
+    out = df.withColumns({f"_{name}{i}": c for i, c in enumerate(near)})
+    return out.withColumns({n: _dot([F.col(f"_{name}{i}") for i in range(len(near))], root[:, j]) for j, n in enumerate(names)}).drop(*[f"_{name}{i}" for i in range(len(near))]), names
+
+
 def rbf_process(df: DataFrame, by: str, features: list[str], label: str, train: str, length: float = 1.0, noise: float = 1.0) -> DataFrame:
     """(…, mean, std) by group with a squared-exponential kernel, from the group's rows where ``train`` is true.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import accept_safe, accept_unconstrained, cap_chain, hoeffding_bentkus
 from ..semantics import TINY, md5_uniform
-from ..storage import cut
+from ..storage import cut, drops
 from .claims import threshold_losses
 from .control import Search, beta_search
 from .sampling import accept_until, best_scoring, calibration_split, sample_quality
@@ -36,6 +36,7 @@ def _mixture(con: str, sizes: list[int]) -> Column:
     return F.aggregate(F.zip_with(con, n, lambda c, k: c * k), F.lit(0.0), lambda a, b: a + b) / float(sum(sizes))
 
 
+@drops
 def improve(spark: SparkSession, start: DataFrame, propose: Callable[[int, DataFrame], dict[str, DataFrame]], likelihood: Callable[[int, DataFrame], DataFrame], rounds: int, cfg: Search, seeds: int, target: int, share: float, seed: int = 0, versus: str = "last") -> tuple[DataFrame, DataFrame]:
     """(log, calibration): one row a round, and the calibration rows with their densities under every policy.
 
@@ -79,7 +80,7 @@ def improve(spark: SparkSession, start: DataFrame, propose: Callable[[int, DataF
         betas, psis, sizes = [*betas, beta], [*psis, psi], [*sizes, new.count()]
         log.append((r, proposal, float(beta), float(psi), judged.count(), quality["n"], quality["n_feasible"], quality["min_score"], sum(sizes)))
     schema = "round int, proposal string, beta double, psi double, n_proposals bigint, n_accepted bigint, n_feasible bigint, best double, n_cal bigint"
-    return spark.createDataFrame(log, schema), cal
+    return spark.createDataFrame(log, schema), cut(cal, "policies", stays=True)
 
 
 METHODS = ("gcrc", "monotised", "standard", "ltt")

@@ -136,9 +136,9 @@ def mean_by_key(df: DataFrame, key: str = "metric", value: str = "value") -> Dat
     return df.groupBy(key).agg(F.avg(value).alias("mean"))
 
 
-def mean_distance(df: DataFrame, column: str) -> DataFrame:
-    """(mean): over values that are numbers, before any deduplication; null without one."""
-    return df.agg(F.avg(F.when(~F.isnan(column), F.col(column))).alias("mean"))
+def mean_distance(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, mean): over values that are numbers, before any deduplication; null without one."""
+    return df.groupBy(*by).agg(F.avg(F.when(~F.isnan(column), F.col(column))).alias("mean"))
 
 
 def row_counter(df: DataFrame, keep: Column, order: list[str]) -> DataFrame:

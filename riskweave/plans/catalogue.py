@@ -18,6 +18,7 @@ from ..operators import neighbors as N
 from ..operators import rollup as R
 from ..operators import sampling as S
 from ..operators import search as G
+from ..operators.ranking import with_totals
 from ..semantics import INF, feasible, finite, greater, infeasible, list_text, md5_uniform, np_div
 from .derive import CAL, CLAIMS, PART, RUNS, STATS, TAUS, calibration, claims, particles, runs, table
 
@@ -394,8 +395,7 @@ _WQ = f"""WITH {CAL}, t AS (SELECT grp, id, value AS v, u / sum(u) OVER (PARTITI
 
 def _weighted(spark, d, q):
     cal = calibration(spark, d)
-    total = cal.groupBy("grp").agg(F.sum("u").alias("t"))
-    return CF.weighted_quantile(cal.join(total, "grp").select("grp", "id", F.col("value").alias("v"), (F.col("u") / F.col("t")).alias("w")), q, "grp").select("grp", r6("quantile").alias("quantile"))
+    return CF.weighted_quantile(with_totals(cal, ["grp"], {"t": F.sum("u")}).select("grp", "id", F.col("value").alias("v"), (F.col("u") / F.col("t")).alias("w")), q, "grp").select("grp", r6("quantile").alias("quantile"))
 
 
 @query("weighted_quantile_upper", _WQ.format(0.9) + " SELECT grp, round(v, 6) AS quantile FROM h")

@@ -419,6 +419,19 @@ def optimal_placements(spark, d):
     return two.select(F.array_join(F.transform("p", lambda v: F.coalesce(v.cast("string"), F.lit("_"))), "").alias("placed"))
 
 
+@query("particle_placements", f"""WITH {PART}, q AS (SELECT id, list_transform(range(1, 9), lambda j: CASE WHEN j % 3 = id % 3 THEN abs(particle[j]) % 4 END) AS x FROM part8),
+ a AS (SELECT q.*, i, j FROM q, range(6) t(i), range(7) u(j)),
+ w AS (SELECT id, i, j, list_transform(range(8), lambda k: CASE WHEN k = i THEN 0 WHEN k = i + 2 THEN 1 END) AS y, list_transform(range(8), lambda k: CASE WHEN k = j THEN 1 WHEN k = j + 1 THEN 3 END) AS z, x FROM a),
+ m AS (SELECT id, i, j, list_transform(range(1, 9), lambda k: coalesce(x[k], y[k], z[k])) AS p, len(list_filter(range(1, 9), lambda k: len(list_distinct(list_filter([x[k], y[k], z[k]], lambda v: v IS NOT NULL))) > 1)) AS clash FROM w)
+ SELECT id, i::INT AS first, j::INT AS second, array_to_string(list_transform(p, lambda v: coalesce(v::VARCHAR, '_')), '') AS placed FROM m WHERE clash = 0 AND len(list_filter(range(1, 8), lambda k: p[k] IS NOT NULL AND p[k + 1] IS NOT NULL AND (p[k] + 1) % 4 = p[k + 1])) = 0""")
+def particle_placements(spark, d):
+    """All ways to write two motifs into every particle of which a third is known."""
+    x = F.transform("particle", lambda v, j: F.when((j + 1) % 3 == F.col("id") % 3, F.abs(v) % 4))
+    out = A.motif_placements(particles(spark, d).select("id", x.alias("x")), "x", [[0, 1], [1, 3]], [[0, 2], [0, 1]], _ALLOWED)
+    text = F.array_join(F.transform("placed", lambda v: F.coalesce(v.cast("string"), F.lit("_"))), "")
+    return out.select("id", F.get("places", F.lit(0)).alias("first"), F.get("places", F.lit(1)).alias("second"), text.alias("placed"))
+
+
 @query("ehrlich_with_bans", f"""WITH {PART}, q AS (SELECT id, list_transform(particle, lambda x: abs(x) % 4) AS p FROM part8), m AS (SELECT id, list_max(list_transform(range(1, 8), lambda i: (p[i] = 0)::INT + (p[i + 1] = 0)::INT)) AS a, len(list_filter(range(1, 8), lambda i: (p[i] + 1) % 4 = p[i + 1])) AS banned FROM q)
  SELECT id, CASE WHEN banned > 0 THEN NULL ELSE -CAST(a / 2 AS DOUBLE) END AS score FROM m""")
 def ehrlich_with_bans(spark, d):

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..operators import control as K
 from ..operators import learning as AL
+from ..operators import regression as RG
 from ..operators import rounds as RD
 from ..operators import tables as B
 from .catalogue import _LOSS, _r, query
-from .derive import TAUS, calibration, claims, table
+from .derive import CAL, PART, TAUS, calibration, claims, particles, table
 
 _TRIAL = f"""WITH {_LOSS}, b AS (SELECT l.response, l.tau, l.loss, l.recall, mono.loss AS mono FROM l JOIN mono USING (response, tau)),
  t AS (SELECT trial, tau, response, loss, recall, mono, CAST(('0x' || substr(md5('t:' || trial || ':' || response), 1, 12))::BIGINT AS DOUBLE) / 281474976710656.0 < 0.5 AS cal FROM b, range(4) r(trial)),
@@ -72,6 +76,16 @@ def active_learning_runs(spark, d):
     return AL.active_learning(parts, 4, AL.Learning(control="search", risk_alpha=0.6, level_rate=0.1))
 
 
+@query("process_evidence", f"""WITH {CAL}, x AS (SELECT value / 100 AS x, ln(u) AS y FROM cal), s AS (SELECT count(*) AS n, sum(x * x) AS xx, sum(x) AS sx, sum(x * y) AS xy, sum(y) AS sy, sum(y * y) AS yy FROM x),
+ g AS (SELECT * FROM (VALUES (0.01::DOUBLE), (0.1::DOUBLE), (1.0::DOUBLE), (10.0::DOUBLE)) a(noise), (VALUES (0.1::DOUBLE), (1.0::DOUBLE), (5.0::DOUBLE)) b("offset")),
+ m AS (SELECT noise, "offset", n, yy, xx + noise AS a, "offset" * sx AS b, "offset" * "offset" * n + noise AS d, xy AS p, "offset" * sy AS q FROM s, g)
+ SELECT noise, "offset", round(-0.5 * ((yy - (d * p * p - 2 * b * p * q + a * q * q) / (a * d - b * b)) / noise + ln(a * d - b * b) + (n - 2) * ln(noise) + n * ln(2 * pi())), 4) AS evidence FROM m""")
+def process_evidence(spark, d):
+    """Evidence of a linear kernel over a grid of noises and offsets."""
+    rows = calibration(spark, d).select((F.col("value") / 100).alias("x"), F.ln("u").alias("y"))
+    return RG.process_evidence(rows, ["x"], "y", [0.01, 0.1, 1.0, 10.0], [0.1, 1.0, 5.0]).withColumn("evidence", F.round("evidence", 4))
+
+
 @query("parameter_follow", "SELECT * FROM (VALUES ('initial_seed=3 alpha=0.1 last_seed=3'), ('initial_seed=7 alpha=0.1 last_seed=7')) t(job)")
 def parameter_follow(spark, d):
     from ..sources.io import parse_sweep
@@ -81,7 +95,13 @@ def parameter_follow(spark, d):
     return spark.createDataFrame(rows, "job string")
 
 
-@query("mean_hamming_of_rounds", "SELECT n_nationkey % 5 AS round, round(avg(n_regionkey), 6) AS mean FROM nation GROUP BY 1")
+@query("mean_hamming_of_rounds", f"""WITH {PART}, h AS (SELECT b.id % 5 AS round, CASE WHEN b.score = 3 THEN CAST('nan' AS DOUBLE) ELSE list_sum(list_transform(range(1, 9), lambda i: CASE WHEN a.particle[i] <> b.particle[i] THEN 1 ELSE 0 END)) / 8 END AS value FROM part8 a JOIN part8 b ON b.id = a.id + 1)
+ SELECT round, round(avg(value) FILTER (WHERE NOT isnan(value)) / pi(), 6) AS mean FROM h GROUP BY round""")
 def mean_hamming_of_rounds(spark, d):
-    return _r(B.mean_by_key(table(spark, d, "nation").select((F.col("n_nationkey") % 5).alias("round"), F.col("n_regionkey").cast("double").alias("value")), "round"))
+    """Distances of each generated particle (here: of the next id) to the one it came from, without those of rows that are no particle."""
+    p = particles(spark, d)
+    source = p.select((F.col("id") + 1).alias("id"), F.col("particle").alias("source"))
+    value = F.when(F.col("score") == 3, float("nan")).otherwise(A.hamming("source", "particle"))  # label 3 plays the rows that do not parse
+    out = B.mean_distance(p.join(source, "id").select((F.col("id") % 5).alias("round"), value.alias("value")), "value", ("round",))
+    return out.withColumn("mean", F.round(F.col("mean") / math.pi, 6))  # by pi, as finite decimals may lie on a rounding edge
 

@@ -17,6 +17,7 @@ from riskweave.operators import claims as C
 from riskweave.operators import conformal as CF
 from riskweave.operators import likelihood as L
 from riskweave.operators import neighbors as N
+from riskweave.operators import regression as RG
 from riskweave.operators import rollup as R
 from riskweave.operators import rounds as RD
 from riskweave.operators import sampling as S
@@ -459,11 +460,86 @@ def test_policy_rounds(spark):
 
 
 def test_policy_chain(spark):
-    """Against the first and against the last policy; the constants are those of a table of two."""
+    """Each policy capped against the last one, or against the first."""
     df = spark.createDataFrame([([1.0, 2.0, 4.0],), ([1.0, 0.5, 0.3],)], "liks array<double>")
-    for versus, want in (("last", [[1.0, 0.75, 0.75], [1.0, 0.25, 0.25]]), ("first", [[1.0, 0.75, 1.0], [1.0, 0.25, 0.3 / 2]])):
+    for versus, want in (("last", [[1.0, 0.75, 0.75], [1.0, 0.25, 0.15]]), ("first", [[1.0, 0.75, 1.0], [1.0, 0.25, 0.15]])):
         got = df.select(RD.policy_chain(F.col("liks"), [1.0, 1.5, 2.0], [1.0, 2.0, 2.0], versus).alias("c")).collect()
-        assert [x.c for x in got] == [pytest.approx([1.0, 0.75, min(4.0, 2 * (0.75 if versus == "last" else 1.0)) / 2]), pytest.approx([1.0, 0.25, min(0.3, 2 * (0.25 if versus == "last" else 1.0)) / 2])] and len(want) == 2
+        assert [x.c for x in got] == [pytest.approx(w) for w in want]
+
+
+def test_fitted_process(spark):
+    """The largest evidence against a fine grid of the definition, with the matrix of all rows."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(40, 2))
+    y = x @ [1.5, -0.7] + 2.0 + r.normal(size=40) * 0.6
+    df = spark.createDataFrame([(i, *map(float, a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, y double")
+
+    def evidence(noise, offset):
+        k = x @ x.T + offset**2 + noise * np.eye(40)
+        return -0.5 * (y @ np.linalg.solve(k, y) + np.linalg.slogdet(k)[1] + 40 * math.log(2 * math.pi))
+
+    got = {(v.noise, v.offset): v.evidence for v in RG.process_evidence(df, ["a", "b"], "y", [0.1, 0.5, 3.0], [0.5, 2.0]).collect()}
+    assert got == {k: pytest.approx(evidence(*k)) for k in got} and len(got) == 6
+    noise, offset, best = RG.fit_process(df, ["a", "b"], "y")
+    assert best == pytest.approx(evidence(noise, offset))
+    fine = max(evidence(n, o) for n in np.geomspace(0.05, 5, 60) for o in np.geomspace(0.1, 20, 60))
+    assert fine <= best + 1e-9 and best < fine + 0.02
+    assert evidence(noise * 1.01, offset) <= best and evidence(noise, offset * 0.99) <= best
+
+
+def test_nystroem(spark):
+    """With a point for each row the features' products are the kernel, and a linear process over them is the exact one."""
+    r = np.random.default_rng(7)
+    x, y = r.normal(size=(14, 2)), r.normal(size=14)
+    df = spark.createDataFrame([(i, *map(float, a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, y double")
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * 1.3**2))
+    out, names = RG.nystroem(df, ["a", "b"], 14, 1.3)
+    phi = np.array([[v[n] for n in names] for v in out.orderBy("id").collect()])
+    assert phi @ phi.T == pytest.approx(kernel, abs=1e-6)
+    got = {v.id: (v.mean, v.std) for v in RG.gaussian_process(out, out, names, "y", noise=0.5, offset=0.0).collect()}
+    k = kernel @ np.linalg.inv(kernel + 0.5 * np.eye(14))
+    for i in range(14):
+        assert got[i] == (pytest.approx((k @ y)[i], abs=1e-5), pytest.approx(math.sqrt(kernel[i, i] - (k @ kernel)[i, i] + 0.5), abs=1e-5))
+    few, some = RG.nystroem(df, ["a", "b"], 5, 1.3)
+    assert len(some) == 5 and RG.nystroem(df, ["a", "b"], 0, 1.0)[1] == []
+
+
+def test_placements(spark):
+    """Against all choices of places; odd sequences have none."""
+    allowed = [[int((a + 1) % 4 != b) for b in range(4)] for a in range(4)]
+    rows = [(1, [None] * 5), (2, [0, None, None, 3, None]), (3, [0, 1, None, None, None]), (4, []), (5, None), (6, [None, None, 1, None, 2])]
+    df = spark.createDataFrame(rows, "id int, x array<int>")
+    motifs, spacings = [[0, 0], [3, 1]], [[0, 2], [0, 1]]
+    got = sorted((v.id, v.places, v.placed) for v in A.motif_placements(df, "x", motifs, spacings, allowed).collect())
+    want = []
+    for i, x in rows:
+        for a in range(3) if x else []:
+            for b in range(4):
+                wish = [(a, 0), (a + 2, 0), (b, 3), (b + 1, 1)]
+                y = list(x)
+                ok = all(x[p] in (None, v) for p, v in wish) and all(v == w for p, v in wish for q, w in wish if p == q)
+                for p, v in wish:
+                    y[p] = v
+                if ok and all(y[j] is None or y[j + 1] is None or allowed[y[j]][y[j + 1]] for j in range(4)):
+                    want.append((i, [a, b], y))
+    assert got == sorted(want) and {w[0] for w in want} >= {1, 2}
+
+
+def test_totals(spark, monkeypatch):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, x int")
+    for few in (100, 0):
+        monkeypatch.setattr(ranking, "FEW", few)
+        assert sorted((r.x, r.t, r.n) for r in ranking.with_totals(df, ["g"], {"t": F.sum("x"), "n": F.count("*")}).collect()) == [(1, 3, 2), (2, 3, 2), (3, 3, 1)]
+
+
+def test_cut_tables_go(spark):
+    """Tables cut within a step are deleted when it ends, but for those that stay."""
+    with storage.dropping(spark):
+        gone, kept = storage.cut(spark.range(3), "gone"), storage.cut(spark.range(4), "kept", stays=True)
+        assert gone.count() == 3
+    assert kept.count() == 4
+    path = lambda df: df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path(kept)) and not os.path.exists(path(gone))
 
 
 @pytest.mark.parametrize("ranges", [None, 1, 9])
