@@ -208,3 +208,16 @@ def latest_complete(listing: DataFrame, gpus: int = 2, shards: int = 3) -> DataF
     every = listing.select("checkpoint").distinct().crossJoin(F.broadcast(wanted))  # a checkpoint's few files
     lacking = every.join(listing.select("checkpoint", "file").distinct(), ["checkpoint", "file"], "left_anti").groupBy("checkpoint").agg(F.count("*").alias("missing"))
     return listing.select("checkpoint").distinct().join(lacking, "checkpoint", "left").select("checkpoint", F.coalesce("missing", F.lit(0)).alias("missing"))
+
+
+def chosen_checkpoints(listing: DataFrame, metrics: DataFrame, metric: str, gpus: int = 2, shards: int = 3, greater_is_better: bool = False) -> DataFrame:
+    """(latest, best, n_complete): of the checkpoints that lack no file, the largest number and the one of the best metric, the later of equals.
+
+    A metric that is null or NaN, or a checkpoint without one, cannot be the best; both are null if
+    no checkpoint is complete.
+    """
+    whole = latest_complete(listing, gpus, shards).filter("missing = 0").select("checkpoint")
+    value = F.when(~F.isnan(metric), F.col(metric) if greater_is_better else -F.col(metric))
+    known = whole.join(metrics.select("checkpoint", value.alias("_m")), "checkpoint", "left")
+    rank = F.when(F.col("_m").isNotNull(), F.struct("_m", "checkpoint"))
+    return known.agg(F.max("checkpoint").alias("latest"), F.max_by("checkpoint", rank).alias("best"), F.count_distinct("checkpoint").alias("n_complete"))

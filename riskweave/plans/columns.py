@@ -419,6 +419,18 @@ def optimal_placements(spark, d):
     return two.select(F.array_join(F.transform("p", lambda v: F.coalesce(v.cast("string"), F.lit("_"))), "").alias("placed"))
 
 
+@query("chosen_checkpoints", """WITH f AS (SELECT l_suppkey AS c, count(DISTINCT l_partkey % 12) AS n FROM lineitem WHERE l_quantity <= 4 GROUP BY 1),
+ m AS (SELECT l_suppkey AS c, CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE round(avg(l_extendedprice), 2) END AS v FROM lineitem GROUP BY 1), w AS (SELECT f.c, v FROM f LEFT JOIN m USING (c) WHERE n = 12)
+ SELECT max(c) AS latest, (SELECT c FROM w WHERE v IS NOT NULL ORDER BY v, c DESC LIMIT 1) AS best, count(*) AS n_complete FROM w""")
+def chosen_checkpoints(spark, d):
+    """Suppliers play checkpoints, small line items their files, prices their losses."""
+    li = table(spark, d, "lineitem")
+    names = F.array(*[F.lit(f) for f in B.checkpoint_files(1, 1)])
+    listing = li.filter("l_quantity <= 4").select(F.col("l_suppkey").alias("checkpoint"), F.get(names, (F.col("l_partkey") % 12).cast("int")).alias("file"))
+    loss = li.groupBy(F.col("l_suppkey").alias("checkpoint")).agg(F.round(F.avg("l_extendedprice"), 2).alias("loss"))
+    return B.chosen_checkpoints(listing, loss.withColumn("loss", F.when(F.col("checkpoint") % 7 != 0, F.col("loss"))), "loss", 1, 1)
+
+
 @query("particle_placements", f"""WITH {PART}, q AS (SELECT id, list_transform(range(1, 9), lambda j: CASE WHEN j % 3 = id % 3 THEN abs(particle[j]) % 4 END) AS x FROM part8),
  a AS (SELECT q.*, i, j FROM q, range(6) t(i), range(7) u(j)),
  w AS (SELECT id, i, j, list_transform(range(8), lambda k: CASE WHEN k = i THEN 0 WHEN k = i + 2 THEN 1 END) AS y, list_transform(range(8), lambda k: CASE WHEN k = j THEN 1 WHEN k = j + 1 THEN 3 END) AS z, x FROM a),
