@@ -28,7 +28,7 @@ import tiktoken
 #: A match that ends so many characters before a cut stands: the longest look-ahead ('re, 've, 'll) is 3.
 MARGIN = 3
 #: Words of each of the two generations kept per worker process; a word that neither has is encoded again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Bytes of a word up to which it is merged at once, and of its leaves beyond; ids that a join merges anew first.
 PIECE, EDGE = 256, 4
 #: Bytes up to which looking over all pairs costs less than a heap.
@@ -153,6 +153,11 @@ class Encoder:
             self.bytes_of[i] = b
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def forget(self) -> None:
+        """Give the words' memory back, as idle worker processes stay beside later stages."""
+        self.words.clear()
+        self.words.older = {}
+
     def reduce(self, piece: bytes, leaf: int = PIECE) -> list[int]:
         """Ids of one word, by halves if it is long."""
         if len(piece) <= leaf:

@@ -101,7 +101,12 @@ def decode(enc: Encoder, ids: list[int], leaf: int = LEAF) -> bytes:
 def _arrays(path: str, pattern: str, leaf: int):
     def make():
         enc = encoder(path, pattern)
-        return lambda texts: (None, ([encode(enc, t, leaf).astype(np.int32) for t in texts],))
+
+        def work(texts):
+            return None, ([encode(enc, t, leaf).astype(np.int32) for t in texts],)
+
+        work.close = enc.forget
+        return work
 
     return make
 
@@ -144,6 +149,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                 data_sha.append(hashlib.sha256(decode(enc, ids, leaf)).hexdigest())
             return None, (n, ids_sha, data_sha)
 
+        work.close = enc.forget
         return work
 
     return map_texts(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

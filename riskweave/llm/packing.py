@@ -107,6 +107,7 @@ def _pieces(path: str, pattern: str, capacity: int, closing: int):
             i, *columns = zip(*rows, strict=True)
             return i, columns
 
+        work.close = enc.forget
         return work
 
     return make

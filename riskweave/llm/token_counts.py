@@ -66,6 +66,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, id
             n = [count(enc, t, chunk, overlap) for t in texts]
             return None, ([len(t.encode()) for t in texts], n, [x > limit for x in n])
 
+        work.close = enc.forget
         return work
 
     return map_texts(docs, make, "n_bytes bigint, n_tokens bigint, over_limit boolean")
