@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import hamming
 from ..functions.maths import score_distance
-from ..semantics import feasible
+from ..semantics import feasible, md5_key, md5_uniform
 from ..storage import cut, drops
+from .ranking import running, with_totals
 
 #: Up to so many subsets of places are enumerated at a radius; beyond, places are cut into blocks.
 SUBSETS = 128
@@ -211,15 +212,26 @@ def first_with_prefix(inputs: DataFrame, generations: DataFrame, tokens: str = "
 
 
 def few_shot(df: DataFrame, k: int, seed: int, same_score: bool = False) -> DataFrame:
-    """(id, shots): k other rows of the table for each row, by rank of an MD5 key over both ids; rows with too few are left out.
+    """(id, shots): k other rows of the table for each row, of other scores unless ``same_score``; rows with too few are left out.
 
-    The table is a bounded list of examples: every row is looked at for every other one.
+    Rows stand in the order of (score, MD5 key of the id), so the rows that a row may not take are
+    one stretch. The n others are dealt to k even strata and an MD5 key of id and stratum picks a
+    place in each: every other row is as likely as the next, none comes twice, and each pick is a
+    lookup of one place. A null score is a score of its own.
     """
-    from ..semantics import md5_key
-
-    a, b = df.select(F.col("id").alias("a"), F.col("score").alias("sa")), df.select(F.col("id").alias("b"), F.col("score").alias("sb"))
-    pairs = a.join(b, (F.col("a") != F.col("b")) & (F.lit(same_score) | (F.col("sa") != F.col("sb"))))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(md5_key(seed, "a", "b"), "b"))
-    picked = pairs.withColumn("pos", rank).filter(F.col("pos") <= k)
-    shots = picked.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("pos", "b"))).alias("s")).filter(F.size("s") == k)
-    return shots.select(F.col("a").alias("id"), F.transform("s", lambda x: x["b"]).alias("shots"))
+    keyed = df.select("id", "score", md5_key(seed, "id").alias("_key"))
+    placed = running(keyed, "score", ["_key", "id"], name="_rn").select("id", "score", (F.col("_rn") - 1).alias("_at"))
+    placed = cut(placed, "places")
+    total = placed.count()
+    if same_score:
+        rows = placed.select("id", F.col("_at").alias("_low"), F.lit(1).alias("_own"))
+    else:
+        rows = with_totals(placed, ["score"], {"_low": F.min("_at"), "_own": F.count("*")}).select("id", "_low", "_own")
+    n = F.lit(total) - F.col("_own")
+    first = lambda i: F.floor(i * F.col("_n") / k)
+    strata = rows.withColumn("_n", n).filter(F.col("_n") >= k).select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_i"))
+    place = first(F.col("_i")) + F.floor(md5_uniform(seed, "id", "_i") * (first(F.col("_i") + 1) - first(F.col("_i"))))
+    picks = strata.withColumn("_place", place).select("id", "_i", (F.col("_place") + F.when(F.col("_place") >= F.col("_low"), F.col("_own")).otherwise(0)).alias("_at"))
+    found = picks.join(placed.select("_at", F.col("id").alias("_shot")), "_at")
+    order = F.struct(md5_key(seed, "_i", "id").alias("k"), F.col("_shot").alias("b"))
+    return found.groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("s")).select("id", F.transform("s", lambda x: x["b"]).alias("shots"))

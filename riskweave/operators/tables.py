@@ -176,8 +176,8 @@ def ordered_pairs(df: DataFrame, first: str, second: str) -> DataFrame:
     return running(df.select(first, second), first, [second], name="place").withColumn("place", F.col("place") - 1)
 
 
-def gate_checkpoints(metrics: DataFrame, metric: str, threshold: float, higher: tuple[str, ...], lower: tuple[str, ...], greater_is_better: bool = True, step: str = "step") -> DataFrame:
-    """(step, is_best): whether a checkpoint is the best so far among those that are valid.
+def gate_checkpoints(metrics: DataFrame, metric: str, threshold: float, higher: tuple[str, ...], lower: tuple[str, ...], greater_is_better: bool = True, step: str = "step", run: tuple[str, ...] = ()) -> DataFrame:
+    """(run, step, is_best): whether a checkpoint is the best so far of its run among those that are valid.
 
     Valid means that all of the ``higher`` shares reach the threshold and the ``lower`` ones stay
     at or below one minus it; a null share is not looked at. Steps are bounded by a run's length.
@@ -188,10 +188,10 @@ def gate_checkpoints(metrics: DataFrame, metric: str, threshold: float, higher:
     for c in lower:
         ok = ok & F.coalesce(F.col(c) <= 1 - threshold, F.lit(True))
     sign = 1 if greater_is_better else -1
-    before = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)  # a run's evaluations
+    before = Window.partitionBy(*run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)  # a run's evaluations
     best = F.max(F.when(F.col("_ok"), sign * F.col(metric))).over(before)
     marked = metrics.withColumn("_ok", ok)
-    return marked.select(step, (F.col("_ok") & F.coalesce(sign * F.col(metric) > best, F.lit(True))).alias("is_best"))
+    return marked.select(*run, step, (F.col("_ok") & F.coalesce(sign * F.col(metric) > best, F.lit(True))).alias("is_best"))
 
 
 def checkpoint_files(gpus: int = 2, shards: int = 3) -> list[str]:

@@ -228,13 +228,12 @@ def pool_without_queried(spark, d):
     return c.select("id").join(c.filter("u > 1.5").select("id"), "id", "left_anti")
 
 
-@query("checkpoint_gate", """WITH m AS (SELECT o_orderkey AS step, o_totalprice AS reward, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 10 / 10 END AS pct FROM orders WHERE o_custkey % 20 = 1), v AS (SELECT *, coalesce(pct >= 0.3, true) AS ok FROM m)
- SELECT step, ok AND coalesce(reward > max(CASE WHEN ok THEN reward END) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM v""")
+@query("checkpoint_gate", """WITH m AS (SELECT o_custkey AS run, o_orderkey AS step, o_totalprice AS reward, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 10 / 10 END AS pct FROM orders), v AS (SELECT *, coalesce(pct >= 0.3, true) AS ok FROM m)
+ SELECT run, step, ok AND coalesce(reward > max(CASE WHEN ok THEN reward END) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM v""")
 def checkpoint_gate(spark, d):
-    """Checkpoints that beat all earlier valid ones and are valid themselves."""
-    o = table(spark, d, "orders").filter("o_custkey % 20 = 1")
-    m = o.select(F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("reward"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") % 10 / 10).alias("pct"))
-    return B.gate_checkpoints(m, "reward", 0.3, ("pct",), ())
+    """Checkpoints that beat all earlier valid ones of their run and are valid themselves."""
+    m = table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("reward"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") % 10 / 10).alias("pct"))
+    return B.gate_checkpoints(m, "reward", 0.3, ("pct",), (), run=("run",))
 
 
 @query("complete_checkpoints", "SELECT * FROM (VALUES (100, 0::BIGINT), (200, 1), (300, 15)) t(checkpoint, missing)")
@@ -281,11 +280,17 @@ def preference_prompts(spark, d):
     return both.select("id", T.preference_prompt("fn").alias("text"), F.when(T.first_is_better(F.col("score"), F.col("t")), F.col("particle")).otherwise(F.col("other")).alias("chosen"), F.least("score", "t").alias("chosen_score"), F.greatest("score", "t").alias("rejected_score"))
 
 
-@query("few_shot_prompts", f"""WITH {PART}, p AS (SELECT * FROM part8 WHERE id < 60), x AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY md5('9:' || a.id || ':' || b.id), b.id) AS pos FROM p a JOIN p b ON a.score <> b.score), t AS (SELECT id, 'Score: ' || printf('%.3f', score) || chr(10) || 'Particle: [' || array_to_string(particle, ', ') || ']' AS block, score FROM p)
- SELECT a AS id, string_agg(block, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || 'Score: ' || printf('%.3f', any_value(o.score)) || chr(10) || 'Particle: ' AS text FROM x JOIN t ON t.id = b JOIN p o ON o.id = a WHERE pos <= 2 GROUP BY a HAVING count(*) = 2""")
+_DRAW = "CAST(('0x' || substr(md5('9:' || id || ':' || i), 1, 12))::BIGINT AS DOUBLE) / 281474976710656.0"
+
+
+@query("few_shot_prompts", f"""WITH {PART}, o AS (SELECT *, row_number() OVER (ORDER BY score, md5('9:' || id), id) - 1 AS spot FROM part8), g AS (SELECT *, min(spot) OVER (PARTITION BY score) AS low, count(*) OVER (PARTITION BY score) AS own, count(*) OVER () AS total FROM o),
+ s AS (SELECT id, low, own, total - own AS n, i FROM g, range(2) t(i) WHERE total - own >= 2), f AS (SELECT *, i * n // 2 AS a, (i + 1) * n // 2 AS b FROM s),
+ p AS (SELECT *, a + CAST(floor({_DRAW} * (b - a)) AS BIGINT) AS place FROM f), x AS (SELECT p.id AS a, o.id AS b, row_number() OVER (PARTITION BY p.id ORDER BY md5('9:' || p.i || ':' || p.id)) AS pos FROM p JOIN o ON o.spot = p.place + CASE WHEN p.place >= p.low THEN p.own ELSE 0 END),
+ t AS (SELECT id, 'Score: ' || printf('%.3f', score) || chr(10) || 'Particle: [' || array_to_string(particle, ', ') || ']' AS block FROM part8)
+ SELECT a AS id, string_agg(block, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || 'Score: ' || printf('%.3f', any_value(o.score)) || chr(10) || 'Particle: ' AS text FROM x JOIN t ON t.id = b JOIN part8 o ON o.id = a GROUP BY a""")
 def few_shot_prompts(spark, d):
-    """Two examples of other scores from a list of sixty, by rank of an MD5 key."""
-    p = particles(spark, d).filter("id < 60")
+    """Two examples of other scores for every row, drawn by MD5 keys."""
+    p = particles(spark, d)
     shots = N.few_shot(p, 2, 9).select("id", F.posexplode("shots").alias("pos", "b"))
     blocks = shots.join(p.select(F.col("id").alias("b"), "score", "particle"), "b").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "score", "particle"))).alias("shots"))
     return blocks.join(p.select("id", "score"), "id").select("id", T.few_shot_prompt(F.col("shots"), F.col("score")).alias("text"))
@@ -364,10 +369,10 @@ def generated_text(spark, d):
     return particles(spark, d).select("id", T.new_tokens(F.col("particle"), labels).alias("tokens"))
 
 
-@query("threshold_candidates", "SELECT DISTINCT l_discount AS tau FROM lineitem WHERE l_orderkey % 2 = 0")
+@query("threshold_candidates", "SELECT DISTINCT l_discount AS tau FROM lineitem")
 def threshold_candidates(spark, d):
     """Distinct scores out of ragged arrays."""
-    ragged = table(spark, d, "lineitem").filter("l_orderkey % 2 = 0").groupBy("l_orderkey").agg(F.collect_list("l_discount").alias("scores"))
+    ragged = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_discount").alias("scores"))
     return ragged.select(F.explode("scores").alias("tau")).distinct()
 
 

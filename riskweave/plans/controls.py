@@ -10,6 +10,7 @@ from ..functions import maths as M
 from ..operators import conformal as CF
 from ..operators import control as K
 from ..operators import regression as RG
+from ..operators import sampler as SP
 from ..operators import sampling as S
 from ..semantics import md5_uniform
 from .catalogue import _r, _U, query, r6
@@ -117,6 +118,75 @@ def accept_two_rounds(spark, d):
     return out.select("id", F.round("policy", 9).alias("policy"))
 
 
+_RULES = SP.Policies(["s", "u", "l2"], [float("inf"), 2.0, 1.5], [1.0, 1.2, 1.1])
+_DENSITIES = "a AS (SELECT id, grp, s, u, value / 50 + 0.1 AS l2, s AS c0, least(u, s * 2.0) / 1.2 AS c1, least(value / 50 + 0.1, least(u, s * 2.0) / 1.2 * 1.5) / 1.1 AS c2 FROM cal)"
+
+
+def _until(source: str, chance: str, seed: int, order: str = "id") -> str:
+    """Rows of ``source`` up to the 150th acceptance of each group."""
+    draw = _U.format(seed).replace("|| id)", f"|| {order})")
+    return f"""(SELECT * EXCLUDE (taken) FROM (SELECT *, sum(accepted::INT) OVER (PARTITION BY grp ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS taken FROM (SELECT *, {draw} < acc_prob AS accepted FROM (SELECT *, {chance} AS acc_prob FROM {source}))) WHERE taken - accepted::INT < 150)"""
+
+
+_SAMPLED = f"WITH {CAL}, {_DENSITIES}, r1 AS {_until('a', 'least(1, u / c0 / 2.0)', 34)}, r2 AS {_until('(SELECT * EXCLUDE (acc_prob, accepted) FROM r1 WHERE accepted)', 'least(1, l2 / c1 / 1.5)', 35)}"
+
+
+def _by_pi(c: str):
+    """A column over pi, rounded: quotients of short decimals may lie on a rounding edge."""
+    return F.round(F.col(c) / math.pi, 9).alias(c)
+
+
+def _policy_rows(spark, d):
+    return calibration(spark, d).select("id", "grp", "s", "u", (F.col("value") / 50 + 0.1).alias("l2"))
+
+
+def _sampled(rows, **how):
+    order = how.pop("order", "id")
+    return SP.sample_policy(rows, _RULES, SP.Sampler(150, "grp", order, 33, **how))
+
+
+@query("sampled_likelihoods", f"{_SAMPLED} SELECT id, round(s, 9) AS s, round(u, 9) AS u, round(l2, 9) AS l2 FROM r2 WHERE accepted")
+def sampled_likelihoods(spark, d):
+    """Accepted samples of the last policy, with their likelihoods under every model."""
+    return _sampled(_policy_rows(spark, d)).unconstrained.select("id", *[F.round(c, 9).alias(c) for c in ("s", "u", "l2")])
+
+
+@query("sampled_constrained", f"{_SAMPLED} SELECT id, round(c0, 9) AS con_s, round(c1, 9) AS con_u, round(c2, 9) AS con_l2 FROM r2 WHERE accepted")
+def sampled_constrained(spark, d):
+    """The same samples with their densities under every policy."""
+    return _sampled(_policy_rows(spark, d)).constrained.select("id", *[F.round(c, 9).alias(c) for c in ("con_s", "con_u", "con_l2")])
+
+
+@query("sampled_proposals", f"{_SAMPLED} SELECT id, 1 AS round, round(acc_prob / pi(), 9) AS acc_prob, accepted FROM r1 UNION ALL SELECT id, 2, round(acc_prob / pi(), 9), accepted FROM r2")
+def sampled_proposals(spark, d):
+    """Every proposal that a round judged, accepted or not."""
+    return _sampled(_policy_rows(spark, d)).proposals.select("id", "round", _by_pi("acc_prob"), "accepted")
+
+
+@query("sampled_unconstrained", f"WITH {CAL}, {_DENSITIES} SELECT id, round(acc_prob / pi(), 9) AS acc_prob, accepted FROM {_until('a', 'least(1, 1.5 / (l2 / c1))', 35)}")
+def sampled_unconstrained(spark, d):
+    """Samples of the last model, judged by the last policy alone."""
+    return _sampled(_policy_rows(spark, d), proposal="unconstrained").proposals.select("id", _by_pi("acc_prob"), "accepted")
+
+
+@query("sampled_mixture", f"""WITH {CAL}, {_DENSITIES}, t AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'unconstrained' ELSE 'safe' END AS proposal, row_number() OVER (PARTITION BY id % 3 = 0 ORDER BY id) AS place FROM a),
+ n AS (SELECT proposal, count(*) AS n FROM t GROUP BY proposal), k AS (SELECT step, {_U.format(36).replace('|| id)', '|| step)')} < 0.7 AS safe FROM range((SELECT count(*) FROM a)) r(step)),
+ w AS (SELECT step, CASE WHEN safe THEN 'safe' ELSE 'unconstrained' END AS proposal, row_number() OVER (PARTITION BY safe ORDER BY step) AS place FROM k),
+ e AS (SELECT coalesce(min(step), 9223372036854775807) AS e FROM w JOIN n USING (proposal) WHERE place > n.n), m AS (SELECT w.step, t.* FROM w JOIN t USING (proposal, place), e WHERE w.step < e.e)
+ SELECT step, id, proposal, round(acc_prob / pi(), 9) AS acc_prob, accepted FROM {_until('m', 'least(1, c2 / ((0.7 * c1 + (1 - 0.7) * l2) * 1.2))', 35, 'step')}""")
+def sampled_mixture(spark, d):
+    """Samples of both proposals in the order of a mixture's draws, judged by the last policy."""
+    rows = _policy_rows(spark, d)
+    drawn = SP.interleave(rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0"), 0.7, 36)
+    return _sampled(drawn, order="step", proposal="mixture", weight=0.7, envelope=1.2).proposals.select("step", "id", "proposal", _by_pi("acc_prob"), "accepted")
+
+
+@query("sampled_metropolis")
+def sampled_metropolis(spark, d):
+    """The last policy by a chain; the tests hold it equal to a plain loop."""
+    return _sampled(_policy_rows(spark, d), metropolis=True).proposals.select("id", "round", _by_pi("acc_prob"), "accepted")
+
+
 @query("alpha_correction", "SELECT * FROM (VALUES (0.2::DOUBLE, 1, 0.2::DOUBLE), (0.2, 2, 0.1), (1.0, 2, 1.0), (1.5, 1, 1.0)) t(alpha, starts, adjusted)")
 def alpha_correction(spark, d):
     return spark.createDataFrame([(a, s, M.adjusted_alpha(a, s)) for a, s in ((0.2, 1), (0.2, 2), (1.0, 2), (1.5, 1))], "alpha double, starts int, adjusted double")
