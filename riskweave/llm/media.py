@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, salted_join, whole_text
+from .common import Scratch, map_texts, whole_text
 
 WIDTH = 576
 PAD = 255
@@ -37,6 +37,8 @@ PAD = 255
 SHARD_BYTES = 256 << 20
 #: Stored bytes that one task reads back, about.
 READ_BYTES = 64 << 20
+#: A payload that more than one in so many rows share is hot: there are fewer of them than this.
+HOT = 50_000
 #: Bytes of a PNG up to the end of its header chunk.
 HEADER = 33
 # Fixed value: the PNG signature.
@@ -142,8 +144,16 @@ def store_media(docs: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, id_c
 
 
 def locations(manifest: DataFrame) -> DataFrame:
-    """(digest, shard, offset, length): the one place of each payload."""
-    return manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    """(digest, shard, offset, length, copies): the one place of each payload and how many rows have it."""
+    return manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.count("*").alias("copies")).select("digest", "at.*", "copies")
+
+
+def described_rows(rows: DataFrame, described: DataFrame, hot: int = HOT) -> DataFrame:
+    """Rows joined with what is known of their payloads. Hot ones, fewer than ``hot``, go to the rows; the others are joined by digest."""
+    total = described.agg(F.sum("copies")).first()[0] or 0
+    often = described.filter(F.col("copies") * hot > total)
+    rest = rows.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(described.filter(F.col("copies") * hot <= total), "digest")
+    return rows.join(F.broadcast(often), "digest").unionByName(rest)
 
 
 def _spread(places: DataFrame) -> DataFrame:
@@ -225,10 +235,11 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     remove_strays(manifest, root)
     places = keep.put(locations(manifest), "places")
     ordered = _spread(places).sortWithinPartitions("shard", "offset")
-    about = read_features(read_metadata(ordered, root), root)
+    about = keep.put(read_features(read_metadata(ordered, root), root), "described")
+    keep.drop(places)
     hexed = lambda c: F.lower(F.hex(c))
     size = F.concat_ws("x", *[F.col(c).cast("string") for c in ("width", "height", "bits")])
-    return salted_join(manifest.select("doc_id", "n_bytes", "digest"), about, "digest").select(
+    return described_rows(manifest.select("doc_id", "n_bytes", "digest"), about).select(
         "doc_id", "n_bytes", "payload_bytes", hexed("payload_sha").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), hexed("media_sha").alias("media_sha256"),
         F.concat_ws(" ", size, "figures").alias("feature"), hexed("digest").alias("digest"), "shard", "offset", "length", "width", "height", "bits",
     )

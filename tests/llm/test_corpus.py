@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from riskweave.llm import html_text, line_dedup, media, ngram_join, quality_rules, secrets, toxicity
 
@@ -112,6 +113,16 @@ def test_estimation_finds_planted_accuracies():
     assert abs(share - 0.7) < 0.03 and ((post[place] >= 0.5) == good).mean() > 0.95 and np.abs(right[:, 1] - 0.97).max() < 0.03
 
 
+def test_rows_of_hot_payloads(spark):
+    """Hot payloads or not, each row meets its own once."""
+    rows = spark.createDataFrame([(i, b"a" if i < 60 else bytes([i])) for i in range(100)], "doc_id bigint, digest binary")
+    described = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    for hot in (1, 2, 50, 1000):
+        got = media.described_rows(rows, described, hot).select("doc_id", "first", "copies").collect()
+        assert sorted(map(tuple, got)) == [(i, 0, 60) if i < 60 else (i, i, 1) for i in range(100)]
+    assert media.described_rows(rows.limit(0), described.limit(0)).count() == 0
+
+
 def test_media(spark):
     texts = [None, "", "a", "é" * 288, "x" * 577, "a", "long " * 50_000]
     got = media.media_columns(table(spark, texts)).collect()
