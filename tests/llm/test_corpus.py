@@ -115,7 +115,7 @@ def test_estimation_finds_planted_accuracies():
 
 def test_rows_of_hot_payloads(spark):
     """Hot payloads or not, each row meets its own once."""
-    rows = spark.createDataFrame([(i, b"a" if i < 60 else bytes([i])) for i in range(100)], "doc_id bigint, digest binary")
+    rows = spark.createDataFrame([(i, b"a" if i < 60 else bytes([i, 0])) for i in range(100)], "doc_id bigint, digest binary")
     described = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
     for hot in (1, 2, 50, 1000):
         got = media.described_rows(rows, described, hot).select("doc_id", "first", "copies").collect()
