@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import hoeffding_bentkus
+from ..functions.named import LOSSES, Expression
 from .search import interval_of
 
 
-def threshold_losses(claims: DataFrame, taus: list[float], kind: str = "rate", min_loss: float = 0.0) -> DataFrame:
+def threshold_losses(claims: DataFrame, taus: list[float], kind: str | Expression = "rate", min_loss: float = 0.0) -> DataFrame:
     """(response, tau, loss, recall) for every threshold; retained are scores >= tau, recalled > tau.
 
-    kind: "rate" is the share of false claims among those retained, "any" whether there is one.
+    ``kind`` names a loss: "rate" is the share of false claims among those retained, "any" whether there is one.
     """
     bounds = sorted(float(t) for t in taus)
     rows = claims.select("response", interval_of("score", bounds).alias("i"), interval_of("score", bounds, strict=True).alias("j"), F.col("supported").cast("int").alias("ok"))
@@ -25,7 +26,7 @@ def threshold_losses(claims: DataFrame, taus: list[float], kind: str = "rate", m
     counts = [F.struct(F.count_if(F.col("i") > k).alias("n"), F.sum(F.when(F.col("i") > k, 1 - F.col("ok")).otherwise(0)).alias("false"), F.sum(F.when(F.col("j") > k, F.col("ok")).otherwise(0)).alias("above"), F.lit(bounds[k]).alias("tau")) for k in at]
     per = rows.groupBy("response").agg(F.sum("ok").alias("all"), F.array(*counts).alias("c"))
     out = per.select("response", "all", F.explode("c").alias("c")).select("response", "c.tau", "c.n", "c.false", "c.above", "all")
-    loss = F.when(F.col("n") == 0, min_loss).otherwise(F.col("false") / F.greatest("n", F.lit(1)) if kind == "rate" else F.when(F.col("false") > 0, 1.0).otherwise(0.0))
+    loss = F.when(F.col("n") == 0, min_loss).otherwise(LOSSES(kind)(F.col("n"), F.col("false")))
     recall = F.when(F.col("all") == 0, 0.0).otherwise(F.col("above") / F.greatest("all", F.lit(1)))
     return out.select("response", "tau", loss.alias("loss"), recall.alias("recall"))
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.maths import adjusted_alpha, cap_log
-from ..semantics import INF, TINY, infeasible
+from ..functions.named import VIOLATIONS, Expression
+from ..semantics import INF, TINY
 from ..storage import cut, drops
 from .ranking import running
 from .sampling import accept_until
@@ -37,6 +38,7 @@ class Search:
     by_overlap: bool = True
     least_unconstrained: int = 0
     envelope_scale: float = 1.0
+    violation: str | Expression = "infeasible"
 
 
 def _psi(proposal: str, rows: DataFrame, betas: list[float]) -> list[float]:
@@ -88,7 +90,7 @@ def beta_search(spark: SparkSession, cal: DataFrame, proposals: dict[str, DataFr
     rows = {n: cut(running(proposals[n].select("id", "u", "s", "m"), "id", [], name="place"), n) for n in names}
     counts = {n: rows[n].count() for n in names}
     ratios = {n: rows[n].select((F.col("u") / F.col("s")).alias("lr")) for n in names}
-    own_cal = cut(cal.select("u", "s", "m", infeasible("score").alias("bad")), "cal")
+    own_cal = cut(cal.select("u", "s", "m", VIOLATIONS(cfg.violation)("score").alias("bad")), "cal")
     if cfg.alpha >= 1:
         betas = [INF]
     elif len(names) > 1:

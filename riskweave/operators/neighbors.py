@@ -17,8 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import hamming
 from ..functions.maths import score_distance
+from ..functions.named import DISTANCES, Expression
 from ..semantics import feasible, md5_key, md5_uniform
 from ..storage import cut, drops
 from .ranking import running, with_totals
@@ -163,13 +163,13 @@ def preference_triples(df: DataFrame, dim: int, threshold: float, k: int) -> Dat
 
 
 @drops
-def farthest_first(df: DataFrame, n: int, distance=hamming) -> DataFrame:
+def farthest_first(df: DataFrame, n: int, distance: str | Expression = "hamming") -> DataFrame:
     """(id, pos): start at the best score, then each time the row farthest from those chosen.
 
     n rounds of one aggregate over the table; distances so far are written every few rounds, and
     only the chosen rows come to the driver.
     """
-    spark = df.sparkSession
+    spark, distance = df.sparkSession, DISTANCES(distance)
     first = df.orderBy("score", "id").limit(1).collect()
     state, chosen = df.withColumn("_near", F.lit(float("inf"))), list(first)
     while first and len(chosen) < n:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import maths as M
 from ..functions import text as T
+from ..functions.named import LOSSES
 from ..operators import claims as C
 from ..operators import conformal as CF
 from ..operators import likelihood as L
@@ -206,6 +208,14 @@ def farthest_first(spark, d):
     return N.farthest_first(particles(spark, d), 4)
 
 
+@query("farthest_first_manhattan", f"""WITH RECURSIVE {PART}, f(pos, ids) AS (SELECT 0, [(SELECT id FROM part8 ORDER BY score, id LIMIT 1)] UNION ALL
+ SELECT pos + 1, list_append(ids, (SELECT p.id FROM part8 p, (SELECT unnest(ids) AS c) t JOIN part8 q ON q.id = t.c WHERE NOT list_contains(ids, p.id)
+  GROUP BY p.id, p.score ORDER BY min(list_sum(list_transform(range(1, 9), lambda i: abs(p.particle[i] - q.particle[i])))) DESC, p.score, p.id LIMIT 1)) FROM f WHERE pos < 3)
+ SELECT unnest(ids) AS id, CAST(unnest(range(4)) AS INTEGER) AS pos FROM f WHERE pos = 3""")
+def farthest_first_manhattan(spark, d):
+    return N.farthest_first(particles(spark, d), 4, "manhattan")
+
+
 @query("filter_score_floor", f"WITH {CAL} SELECT id FROM cal WHERE score > 50 AND NOT isnan(score)")
 def filter_score_floor(spark, d):
     return calibration(spark, d).filter(greater(F.col("score"), 50)).select("id")
@@ -370,6 +380,13 @@ def claim_fdr_by_tau(spark, d):
     return C.risks(_losses(spark, d)).select("tau", "n", r6("mean").alias("fdr"), r6("risk").alias("risk"))
 
 
+@query("risks_by_loss_name", f"WITH {_LOSS}, a AS (SELECT tau, CASE WHEN loss > 0 THEN 1 ELSE 0 END AS loss FROM l) SELECT name, CAST(tau AS DOUBLE) AS tau, round((sum(loss) + 1) / (count(*) + 1) / pi(), 6) AS risk FROM (SELECT 'any' AS name, tau, loss FROM a UNION ALL SELECT 'rate', tau, loss FROM l) GROUP BY name, tau")
+def risks_by_loss_name(spark, d):
+    """The risk of every named loss at every threshold."""
+    each = [C.risks(_losses(spark, d, name)).select(F.lit(name).alias("name"), "tau", F.round(F.col("risk") / math.pi, 6).alias("risk")) for name in LOSSES.names()]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query("claim_recall_by_tau", f"WITH {_LOSS} SELECT CAST(tau AS DOUBLE) AS tau, round(avg(recall), 6) AS recall FROM l GROUP BY tau")
 def claim_recall_by_tau(spark, d):
     return _losses(spark, d).groupBy("tau").agg(r6(F.avg("recall")).alias("recall"))

@@ -12,7 +12,7 @@ from ..operators import control as K
 from ..operators import regression as RG
 from ..operators import sampler as SP
 from ..operators import sampling as S
-from ..semantics import md5_uniform
+from ..semantics import infeasible, md5_uniform
 from .catalogue import _r, _U, query, r6
 from .derive import CAL, calibration, runs, table
 
@@ -62,6 +62,14 @@ def beta_search_two_starts(spark, d):
     return _found(K.beta_search(spark, cal, props, K.Search(0.9, 40, starts=2, optimized_factor=1e9)))
 
 
+@query("beta_search_by_limit", _search_sql("safe", "unconstrained", 0.45, 1.0, 40).replace("NOT isfinite(score)", "NOT coalesce(score <= 90, false)"))
+def beta_search_by_limit(spark, d):
+    """The search under another constraint: scores that are infeasible or above a limit."""
+    cal, props = _inputs(spark, d)
+    over = lambda score: infeasible(score) | (F.col(score) > 90)
+    return _found(K.beta_search(spark, cal, props, K.Search(0.45, 40, violation=over)))
+
+
 @query("beta_search_mixture")
 def beta_search_mixture(spark, d):
     """A mixture of both proposals in place of the change; checked against a loop over all bounds in the tests."""
