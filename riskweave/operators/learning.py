@@ -2,10 +2,11 @@
 
 A run (a seed) has training, calibration, validation and pool rows. What the driver keeps of a run
 is small: the posterior of its linear model (features squared, moved by one rank for each row that
-training gains), its calibration rows and its level; at most ``RUNS`` runs. Pools stay tables: each
-step scores them with the posteriors, sums them up by the intervals of a grid of bounds, and writes
-them again with one more entry in ``dens``, the densities that the run's rows were drawn from. The
-next policy is capped against these, so no earlier model is evaluated a second time.
+training gains), its calibration rows, its level and its latest policies; at most ``RUNS`` runs.
+Pools stay one table with the densities that the run's rows were drawn from, in p0, p1 and so on. A step reads
+it a few times and writes nothing: tasks work the latest policies' densities out from their models
+and return sums of their rows by run (and by the intervals of a grid of bounds). After ``CARRIED``
+policies the table is written once with these densities, and the one before it goes.
 
 Draws are ranks of MD5 keys: the pool row with the largest ln(density) + Gumbel number is a draw in
 proportion to the density. A drawn row stays in the pool.
@@ -22,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..semantics import INF, md5_uniform
-from ..storage import cut, drops
+from ..storage import cut, delete, drops, write
 from .conformal import _partitions
-from .ranking import running
+from .ranking import first_rows
 from .regression import _dot, first_component
 
 #: Runs whose models the driver holds.
 RUNS = 10_000
+#: Policies of a run that tasks evaluate anew before its pool is written with their densities.
+CARRIED = 8
 PARTS = ("train", "cal", "pool", "val")
 
 
@@ -91,9 +94,35 @@ def feedback(ratios: np.ndarray, depth: int) -> np.ndarray:
     return own * total
 
 
+def _variance(x: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    return ((x @ posterior) * x).sum(1)
+
+
+@dataclass
+class _Policy:
+    """A step's policy: u = exp(lam v / span) / z, capped at exp(bound) times the policy s before it, over its mass."""
+
+    posterior: np.ndarray
+    lam: float
+    span: float
+    z: float = 1.0
+    bound: float = INF
+    mass: float = 1.0
+
+    def tilt(self, x: np.ndarray) -> np.ndarray:
+        return np.exp(self.lam * _variance(x, self.posterior) / self.span)
+
+    def density(self, x: np.ndarray, s: np.ndarray) -> np.ndarray:
+        u = self.tilt(x) / self.z
+        return np.where(np.log(u / s) < self.bound, u, math.exp(min(self.bound, 700)) * s) / self.mass
+
+
 @dataclass
 class _Run:
-    """A run's posterior and calibration rows. ``dens[k]`` are the calibration rows' densities under policy k."""
+    """A run's posterior and calibration rows. ``dens[k]`` are the calibration rows' densities under policy k.
+
+    The pool holds densities under the first ``written`` policies; ``carried`` are those after them.
+    """
 
     posterior: np.ndarray
     moment: np.ndarray
@@ -104,8 +133,9 @@ class _Run:
     level: float
     first: int
     bound: float = 0.0
-    keep: bool = True
     weights: list[float] = field(default_factory=list)
+    carried: list[_Policy] = field(default_factory=list)
+    written: int = 1
 
     def train(self, x: np.ndarray, y: float, noise: float) -> None:
         """One row more, by a change of rank one."""
@@ -117,9 +147,6 @@ class _Run:
     def coefficients(self) -> np.ndarray:
         return self.posterior @ self.moment
 
-    def variance(self, x: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,jk,ik->i", x, self.posterior, x)
-
 
 def learning_parts(df: DataFrame, features: list[str], label: str, ok: Column, seeds: list[int], n_val: int, n_train: int, n_cal: int, bias: float) -> DataFrame:
     """(seed, id, part, x, y, ok, source): a dataset dealt to each run's parts.
@@ -131,43 +158,140 @@ def learning_parts(df: DataFrame, features: list[str], label: str, ok: Column, s
     score = _dot([F.col(f) - m for f, m in zip(features, mean, strict=True)], np.array(direction))
     x = F.array(*[F.col(f).cast("double") for f in features], F.lit(1.0))
     rows = df.select("id", x.alias("x"), F.col(label).cast("double").alias("y"), ok.alias("ok"), score.alias("_score")).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    rows = running(rows.withColumn("_v", md5_uniform("val", "seed", "id")), "_v", ["id"], ["seed"], name="_rv")
-    rows = rows.withColumn("_val", F.col("_rv") <= n_val)
-    span = rows.filter("not _val").groupBy("seed").agg(F.min("_score").alias("_low"), F.max("_score").alias("_high"))
+    few = lambda k: k + 8 * math.sqrt(k) + 20  # noqa: E731  so many keys are enough for k of them, but for a rare chance
+    val, rows = first_rows(rows, n_val, md5_uniform("val", "seed", "id"), few(n_val) / max(df.count(), 1), ["seed"], ["id"], len(set(seeds)), "_rn")
+    span = cut(rows.groupBy("seed").agg(F.min("_score").alias("_low"), F.max("_score").alias("_high")), "span")  # a row for each seed, as below
     weight = F.exp(bias * (F.col("_score") - F.col("_low")) / F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0))
-    rows = cut(rows.join(F.broadcast(span), "seed").withColumn("_w", weight), "parts")  # a row for each seed
-    total = rows.filter("not _val").groupBy("seed").agg(F.sum("_w").alias("_sum"))
-    rows = rows.join(F.broadcast(total), "seed").withColumn("source", F.col("_w") / F.col("_sum"))
-    key = F.when(~F.col("_val"), -F.ln(F.greatest(md5_uniform("start", "seed", "id"), F.lit(1e-300))) / F.col("source")).otherwise(INF)
-    ranked = running(rows.withColumn("_key", key), "_key", ["id"], ["seed"], name="_rn")
-    part = F.when(F.col("_val"), "val").when(F.col("_rn") <= n_train, "train").when(F.col("_rn") <= n_train + n_cal, "cal").otherwise("pool")
-    return ranked.select("seed", "id", part.alias("part"), "x", "y", "ok", "source")
+    weighed = lambda r: r.join(F.broadcast(span), "seed", "left").withColumn("_w", weight)
+    total = cut(weighed(rows).groupBy("seed").agg(F.sum("_w").alias("_sum")), "total")
+    sourced = lambda r: weighed(r).join(F.broadcast(total), "seed", "left").withColumn("source", F.col("_w") / F.col("_sum"))
+    key = -F.ln(F.greatest(md5_uniform("start", "seed", "id"), F.lit(1e-300))) / F.col("source")
+    # source densities sum to one, so about t keys are below t
+    begun, pool = first_rows(sourced(rows), n_train + n_cal, key, few(n_train + n_cal), ["seed"], ["id", "_score"], len(set(seeds)), "_rn")
+    parts = [(sourced(val), F.lit("val")), (begun, F.when(F.col("_rn") <= n_train, "train").otherwise("cal")), (pool, F.lit("pool"))]
+    val, begun, pool = (r.select("seed", "id", part.alias("part"), "x", "y", "ok", "source") for r, part in parts)
+    return val.unionByName(begun).unionByName(pool)
 
 
-def _scored(rows: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """rows with ``v``, the latent variance, and ``fit``, the mean, of their run's model."""
+def _by_run(rows: DataFrame, state: dict, make, schema: str) -> DataFrame:
+    """What ``make(one run's state, its rows of a batch)`` returns, as rows after the seed.
+
+    Rows go to it as a dict of arrays; columns x0, x1, ... and p0, p1, ... as two of two dimensions.
+    """
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-    sent = rows.sparkSession.sparkContext.broadcast(models)  # RUNS small matrices at most
-    names = [c for c in rows.columns if c not in ("v", "fit")]
+    sent = rows.sparkSession.sparkContext.broadcast(state)  # RUNS small states at most
+    names = rows.columns
+    wide = {k: [names.index(c) for c in names if c[0] == k and c[1:].isdigit()] for k in "xp"}
+    plain = [(i, c) for i, c in enumerate(names) if not any(i in at for at in wide.values())]
+    out_schema = to_arrow_schema(_parse_datatype_string(f"seed int, {schema}"))
 
     def run(batches):
         for batch in batches:
-            seeds = batch.column(names.index("seed")).to_numpy()
-            x = batch.column(names.index("x"))
-            x = x.flatten().to_numpy().reshape(len(seeds), -1)
-            v, fit = np.full(len(seeds), np.nan), np.full(len(seeds), np.nan)
-            for seed in np.unique(seeds).tolist():
-                own = seeds == seed
-                posterior, coefficients = sent.value[seed]
-                v[own], fit[own] = np.einsum("ij,jk,ik->i", x[own], posterior, x[own]), x[own] @ coefficients
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v), pa.array(fit)], names=[*names, "v", "fit"])
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            seeds = columns[names.index("seed")]
+            order = np.argsort(seeds, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(seeds[order])) + 1, len(order))
+            made = []
+            for low, high in zip(np.append(0, ends[:-1]), ends, strict=True):
+                if low == high:
+                    continue
+                own = order[low:high]
+                part = {c: columns[i][own] for i, c in plain}
+                part |= {k: np.column_stack([columns[i][own] for i in at]) for k, at in wide.items() if at}
+                seed = int(seeds[own[0]])
+                made += [(seed, *r) for r in make(sent.value[seed], part)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], f.type) for i, f in enumerate(out_schema)], schema=out_schema)
+
+    return rows.mapInArrow(run, f"seed int, {schema}")
+
+
+@dataclass
+class _State:
+    """What tasks know of a run in a step."""
+
+    policy: _Policy
+    carried: list[_Policy]
+    weights: np.ndarray
+    first: bool
+    coefficients: np.ndarray
+    written: int
+    grid: np.ndarray | None = None
+
+    def densities(self, part: dict) -> np.ndarray:
+        """The rows' densities under all policies so far, a column each."""
+        dens = part["p"][:, : self.written]
+        for p in self.carried:
+            dens = np.column_stack([dens, p.density(part["x"], dens[:, 0 if self.first else -1])])
+        return dens
+
+    def capped(self, part: dict) -> tuple[np.ndarray, np.ndarray]:
+        """(densities so far, the one that caps the next policy)."""
+        dens = self.densities(part)
+        return dens, dens[:, 0 if self.first else -1]
+
+
+def _variances(state: _State, part: dict):
+    v = _variance(part["x"], state.policy.posterior)
+    return [(float(v.min()), float(v.max()))]
+
+
+def _errors(state: _State, part: dict):
+    miss = part["y"] - part["x"] @ state.coefficients
+    return [(float((miss * miss).sum()), len(miss))]
+
+
+def _tilts(state: _State, part: dict):
+    e, (_, s) = state.policy.tilt(part["x"]), state.capped(part)
+    ratio = np.log(e / s)
+    return [(float(e.sum()), float(ratio.min()), float(ratio.max()))]
+
+
+def _intervals(state: _State, part: dict):
+    """By the place of u / s in the grid of bounds: sums of u and s, the largest u / m and s / m."""
+    dens, s = state.capped(part)
+    u, m = state.policy.tilt(part["x"]) / state.policy.z, dens @ state.weights / state.weights.sum()
+    at = np.searchsorted(state.grid, np.log(u / s), side="right")
+    n = len(state.grid) + 1
+    top = np.zeros((2, n))
+    np.maximum.at(top[0], at, u / m)
+    np.maximum.at(top[1], at, s / m)
+    sums = [np.bincount(at, x, n) for x in (u, s)]
+    return [(int(i), *(float(x[i]) for x in (*sums, *top))) for i in np.unique(at)]
+
+
+def _masses(state: _State, part: dict):
+    _, s = state.capped(part)
+    return [(float(state.policy.density(part["x"], s).sum()),)]
+
+
+def _draws(state: _State, part: dict):
+    """The rows' draw: the largest ln(density) + Gumbel number, and the largest id of equal ones."""
+    dens, s = state.capped(part)
+    p = state.policy.density(part["x"], s)
+    key = np.log(p) + part["gumbel"]
+    i = np.lexsort((part["id"], key))[-1]
+    m = float(dens[i] @ state.weights / state.weights.sum())
+    x = part["x"][i]
+    return [(float(key[i]), int(part["id"][i]), x.tolist(), float(part["y"][i]), bool(part["ok"][i]), [*dens[i].tolist(), float(p[i])], float(x @ state.coefficients), m)]
+
+
+def _folded(pool: DataFrame, states: dict) -> DataFrame:
+    """The pool with the carried policies' densities in further columns, as many as the longest run has."""
+    d, n = sum(c[0] == "x" for c in pool.columns), max(s.written + len(s.carried) for s in states.values())
+
+    def rows(state, part):
+        dens = state.densities(part)
+        dens = np.pad(dens, ((0, 0), (0, n - dens.shape[1])), constant_values=np.nan)
+        return zip(part["id"].tolist(), part["y"].tolist(), part["ok"].tolist(), *part["x"].T.tolist(), *dens.T.tolist(), strict=True)
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.select(*names).mapInArrow(run, f"{kinds}, v double, fit double")
+    doubles = ", ".join(f"{c} double" for c in [f"x{i}" for i in range(d)] + [f"p{i}" for i in range(n)])
+    return _by_run(pool, states, rows, f"id bigint, y double, ok boolean, {doubles}")
 
 
-def _choose(run: _Run, u: np.ndarray, low: float, high: float, sums: dict[int, tuple[float, float, float, float]], cfg: Learning, m: np.ndarray) -> tuple[float, float]:
+def _choose(run: _Run, u: np.ndarray, low: float, high: float, sums: dict[int, list[float]], cfg: Learning, m: np.ndarray) -> tuple[float, float]:
     """(bound, mass) of a run: the grid's bound before the first whose risk exceeds the level.
 
     ``sums[i]`` holds, for the pool rows between bounds i - 1 and i of the log-ratio, the sums of u
@@ -223,7 +347,10 @@ def active_learning(rows: DataFrame, steps: int, cfg: Learning) -> DataFrame:
     and NaN features or labels are not allowed.
     """
     spark = rows.sparkSession
-    rows = cut(rows.select("seed", "id", "part", "x", "y", "ok", "source"), "rows")
+    first = rows.select("x").first()
+    d = len(first["x"]) if first else 0
+    xs = [f"x{i}" for i in range(d)]
+    rows = cut(rows.select("seed", "id", "part", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(xs)], "y", "ok", F.col("source").alias("p0")), "rows")
     starts = [r[0] for r in rows.filter("part = 'pool'").select("seed").distinct().limit(RUNS + 1).collect()]
     if len(starts) > RUNS:
         raise ValueError(f"at most {RUNS} runs go together")
@@ -232,61 +359,57 @@ def active_learning(rows: DataFrame, steps: int, cfg: Learning) -> DataFrame:
     for r in rows.filter("part in ('train', 'cal')").orderBy("seed", "id").toLocalIterator():  # sizes are parameters
         if r["seed"] in begun:
             begun[r["seed"]][r["part"]].append(r)
-    size = F.size("x")
-    d = (rows.agg(F.max(size)).first()[0]) or 0
     for s, own in begun.items():
         cal = own["cal"]
-        run = _Run(np.eye(d), np.zeros(d), np.array([r["x"] for r in cal], float).reshape(-1, d), np.array([r["y"] for r in cal], float), np.array([r["ok"] for r in cal], bool), np.array([[r["source"] for r in cal]], float), cfg.alpha, len(cal))
+        run = _Run(np.eye(d), np.zeros(d), np.array([[r[c] for c in xs] for r in cal], float).reshape(-1, d), np.array([r["y"] for r in cal], float), np.array([r["ok"] for r in cal], bool), np.array([[r["p0"] for r in cal]], float), cfg.alpha, len(cal))
         for r in own["train"]:
-            run.train(np.array(r["x"], float), r["y"], cfg.noise)
+            run.train(np.array([r[c] for c in xs], float), r["y"], cfg.noise)
         runs[s] = run
     n_train = {s: len(own["train"]) for s, own in begun.items()}
-    val = rows.filter("part = 'val'").join(F.broadcast(spark.createDataFrame([(s,) for s in starts], "seed int")), "seed", "left_semi").select("seed", "x", "y") if starts else None
-    pool = rows.filter("part = 'pool'").select("seed", "id", "x", "y", "ok", F.array("source").alias("dens"))
+    val = cut(rows.filter("part = 'val'").join(F.broadcast(spark.createDataFrame([(s,) for s in starts], "seed int")), "seed", "left_semi").select("seed", *xs, "y"), "val") if starts else None
+    pool, at = rows.filter("part = 'pool'").select("seed", "id", "y", "ok", *xs, "p0"), None
     out: list[tuple] = []
     for step in range(steps if starts else 0):
-        models = {s: (r.posterior, r.coefficients) for s, r in runs.items()}
-        scored = cut(_scored(pool, models), "scored")
-        mse = dict(_scored(val, models).groupBy("seed").agg(F.avg((F.col("y") - F.col("fit")) * (F.col("y") - F.col("fit")))).collect())
-        span = {r[0]: r[1:] for r in scored.groupBy("seed").agg(F.min("v"), F.max("v")).collect()}
-        for r in runs.values():
+        states = {}
+        for s, r in runs.items():
             r.weights = [float(r.first), *[1.0] * (len(r.dens) - 1)]
-        small = spark.createDataFrame([(s, float(span[s][1] - span[s][0]) or 1.0, runs[s].weights) for s in runs], "seed int, span double, weights array<double>")
-        e, m = F.exp(cfg.lam * F.col("v") / F.col("span")), F.aggregate(F.zip_with("dens", "weights", lambda p, w: p * w), F.lit(0.0), lambda a, b: a + b) / F.aggregate("weights", F.lit(0.0), lambda a, b: a + b)
-        s_ = F.element_at("dens", 1 if cfg.versus == "first" else -1)
-        tilted = cut(scored.join(F.broadcast(small), "seed").select(*pool.columns, "fit", e.alias("e"), s_.alias("s"), m.alias("m")), "tilted")
-        spans = {r[0]: r[1:] for r in tilted.groupBy("seed").agg(F.sum("e"), F.min(F.ln(F.col("e") / F.col("s"))), F.max(F.ln(F.col("e") / F.col("s")))).collect()}
+            states[s] = _State(_Policy(r.posterior, cfg.lam, 1.0), r.carried, np.array(r.weights), cfg.versus == "first", r.coefficients, r.written)
+        mse = dict(_by_run(val, states, _errors, "total double, n bigint").groupBy("seed").agg(F.sum("total") / F.sum("n")).collect())
+        for s, low, high in _by_run(pool.select("seed", *xs), states, _variances, "low double, high double").groupBy("seed").agg(F.min("low"), F.max("high")).collect():
+            states[s].policy.span = float(high - low) or 1.0
+        known = pool.drop("id", "y", "ok")
+        spans = {r[0]: r[1:] for r in _by_run(known, states, _tilts, "e double, low double, high double").groupBy("seed").agg(F.sum("e"), F.min("low"), F.max("high")).collect()}
         picked = {}
-        z = {s: spans[s][0] for s in runs}
-        u_cal = {s: np.exp(cfg.lam * r.variance(r.x) / (float(span[s][1] - span[s][0]) or 1.0)) / z[s] for s, r in runs.items()}
+        for s in runs:
+            states[s].policy.z = spans[s][0]
+        u_cal = {s: states[s].policy.tilt(r.x) / spans[s][0] for s, r in runs.items()}
         m_cal = {s: np.average(r.dens, axis=0, weights=r.weights) for s, r in runs.items()}
-        low = {s: spans[s][1] - math.log(z[s]) for s in runs}
-        high = {s: spans[s][2] - math.log(z[s]) for s in runs}
-        u = F.col("e") / F.col("z")
+        low = {s: spans[s][1] - math.log(spans[s][0]) for s in runs}
+        high = {s: spans[s][2] - math.log(spans[s][0]) for s in runs}
         if cfg.control == "search":
-            known = spark.createDataFrame([(s, z[s], np.linspace(low[s], high[s], cfg.n_grid).tolist()) for s in runs], "seed int, z double, grid array<double>")
-            at = F.size(F.filter("grid", lambda b: b <= F.ln(u / F.col("s"))))  # a run's own bounds, so no constants to compile
+            for s in runs:
+                states[s].grid = np.linspace(low[s], high[s], cfg.n_grid)
             sums: dict = {s: {} for s in runs}
-            for r in tilted.join(F.broadcast(known), "seed").groupBy("seed", at.alias("i")).agg(F.sum(u), F.sum("s"), F.max(u / F.col("m")), F.max(F.col("s") / F.col("m"))).collect():  # runs times a grid
-                sums[r[0]][r[1]] = r[2:]
+            made = _by_run(known, states, _intervals, "i int, u double, s double, u_top double, s_top double")
+            for s, i, *own in made.groupBy("seed", "i").agg(F.sum("u"), F.sum("s"), F.max("u_top"), F.max("s_top")).collect():  # runs times a grid
+                sums[s][i] = own
             picked = {s: _choose(runs[s], u_cal[s], low[s], high[s], sums[s], cfg, m_cal[s]) for s in runs}
         elif cfg.control == "preset":
-            known = spark.createDataFrame([(s, z[s], runs[s].bound) for s in runs], "seed int, z double, bound double")
-            mass = tilted.join(F.broadcast(known), "seed").groupBy("seed").agg(F.sum(F.when(F.ln(u / F.col("s")) < F.col("bound"), u).otherwise(F.exp("bound") * F.col("s")))).collect()
-            picked = {r[0]: (runs[r[0]].bound, r[1]) for r in mass}
+            for s in runs:
+                states[s].policy.bound = runs[s].bound
+            picked = {s: (runs[s].bound, mass) for s, mass in _by_run(known, states, _masses, "mass double").groupBy("seed").agg(F.sum("mass")).collect()}
         else:
             picked = {s: (INF, 1.0) for s in runs}
-        known = spark.createDataFrame([(s, z[s], *picked[s]) for s in runs], "seed int, z double, bound double, mass double")
-        p = F.when(F.ln(u / F.col("s")) < F.col("bound"), u).otherwise(F.exp("bound") * F.col("s")) / F.col("mass")
-        drawn = F.ln("p") - F.ln(-F.ln(F.greatest(md5_uniform(f"draw:{cfg.seed}:{step}", "seed", "id"), F.lit(1e-300))))
-        state = cut(tilted.join(F.broadcast(known), "seed").withColumn("p", p).select("seed", "id", "x", "y", "ok", F.concat("dens", F.array("p")).alias("dens"), "fit", "m", drawn.alias("_key")), "pool")
+        for s in runs:
+            states[s].policy.bound, states[s].policy.mass = picked[s]
+        gumbel = -F.ln(-F.ln(F.greatest(md5_uniform(f"draw:{cfg.seed}:{step}", "seed", "id"), F.lit(1e-300))))
+        drawn = _by_run(pool.withColumn("gumbel", gumbel), states, _draws, "_key double, id bigint, x array<double>, y double, ok boolean, dens array<double>, fit double, m double")
         row = F.struct("_key", "id", "x", "y", "ok", "dens", "fit", "m")
-        keep = []
-        for got in state.groupBy("seed").agg(F.max_by(row, F.struct("_key", "id")).alias("r")).collect():
+        for got in drawn.groupBy("seed").agg(F.max_by(row, F.struct("_key", "id")).alias("r")).collect():
             s, r = got["seed"], got["r"]
             run, (bound, mass) = runs[s], picked[s]
-            x, base = np.array(r["x"], float), run.dens[0] if cfg.versus == "first" else run.dens[-1]
-            own = np.where(np.log(u_cal[s] / base) < bound, u_cal[s], math.exp(min(bound, 700)) * base) / mass
+            x = np.array(r["x"], float)
+            own = states[s].policy.density(run.x, run.dens[0] if cfg.versus == "first" else run.dens[-1])
             dens = np.vstack([np.vstack([run.dens, own]).T, r["dens"]]).T  # calibration rows, then the drawn one
             ratios = dens / dens[0]
             active = len(run.y) - run.first + 1
@@ -300,10 +423,17 @@ def active_learning(rows: DataFrame, steps: int, cfg: Learning) -> DataFrame:
             if uniform("train", cfg.seed, s, step) <= cfg.train_share:
                 run.train(x, r["y"], cfg.noise)
                 n_train[s] += 1
-                run.keep = False
             else:
-                run.x, run.y, run.ok, run.dens, run.keep = np.vstack([run.x, x]), np.append(run.y, r["y"]), np.append(run.ok, r["ok"]), dens, True
-            keep.append((s, run.keep))
-        kept = spark.createDataFrame(keep, "seed int, keep boolean")
-        pool = state.join(F.broadcast(kept), "seed").select("seed", "id", "x", "y", "ok", F.when(F.col("keep"), F.col("dens")).otherwise(F.slice("dens", 1, F.size("dens") - 1)).alias("dens"))
+                run.x, run.y, run.ok, run.dens = np.vstack([run.x, x]), np.append(run.y, r["y"]), np.append(run.ok, r["ok"]), dens
+                run.carried = [*run.carried, states[s].policy]
+        if step + 1 < steps and max(len(r.carried) for r in runs.values()) >= CARRIED:
+            for s, r in runs.items():
+                states[s].carried, r.carried, r.written = r.carried, [], r.written + len(r.carried)
+            folded = _folded(pool, states)
+            before, at = at, write(folded, "pool")
+            pool = spark.read.schema(folded.schema).parquet(at)
+            if before:
+                delete(spark, [before])
+    if at:
+        delete(spark, [at])
     return spark.createDataFrame(out, "seed int, step int, method string, id bigint, n_train int, n_cal int, covered boolean, width double, mse double, bound double, level double, feasible boolean")

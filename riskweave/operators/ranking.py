@@ -72,6 +72,22 @@ def lowest_md5(df: DataFrame, k: int, seed: int | str, id_col: str) -> DataFrame
     return running(marked, "_prefix", ["_md5", id_col], name="_rn").filter(F.col("_rn") <= k).drop("_prefix", "_md5", "_rn")
 
 
+def first_rows(df: DataFrame, k: int, value: Column, bound: float, by: list[str], fixed: list[str], groups: int, name: str = "rn", ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the first k rows of each group by ``value`` and ``fixed``, with their number; the other rows as they are).
+
+    ``fixed`` columns and the group tell the value, which is made once: rows up to ``bound`` are
+    written and numbered, the others are those whose columns are not among them. If one of so many
+    ``groups`` has fewer than k rows up to the bound, all rows are numbered. No column is null.
+    """
+    near = cut(df.withColumn("_value", value).filter(F.col("_value") <= bound), "near")
+    if near.groupBy(*by).count().filter(F.col("count") >= k).count() >= groups:
+        rest = df.join(F.broadcast(near.select(*by, *fixed).distinct()), [*by, *fixed], "left_anti").select(*df.columns)
+    else:
+        near, rest = cut(df.withColumn("_value", value), "near"), df.limit(0)
+    ranked = cut(running(near, "_value", fixed, by, name=name, ranges=ranges).drop("_value"), "numbered")
+    return ranked.filter(F.col(name) <= k), ranked.filter(F.col(name) > k).select(*df.columns).unionByName(rest)
+
+
 def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[str] = (), tie: str | None = None) -> DataFrame:
     """(by, q0, q1, ...): exact quantiles with linear interpolation of values that are neither null nor NaN.
 

@@ -28,13 +28,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, name: str) -> str:
+    """The path that df is written to."""
+    at = new_path(df.sparkSession, name)
+    df.write.parquet(at)
+    return at
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for at in paths:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "table", stays: bool = False) -> DataFrame:
     """df written and read back: it is computed once, and lost executors cost no recomputation of it.
 
     Within ``dropping`` the table goes when the step ends, unless it ``stays``.
     """
-    at = new_path(df.sparkSession, name)
-    df.write.parquet(at)
+    at = write(df, name)
     owned = _owned.get()
     if owned is not None and not stays:
         owned.append(at)
@@ -50,10 +63,7 @@ def dropping(spark: SparkSession):
         yield
     finally:
         _owned.reset(before)
-    jvm = spark.sparkContext._jvm
-    for at in owned:
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, owned)
 
 
 def drops(step):
