@@ -87,7 +87,8 @@ def beta_search(spark: SparkSession, cal: DataFrame, proposals: dict[str, DataFr
     enough = "unconstrained" in proposals and proposals["unconstrained"].count() >= cfg.least_unconstrained
     if not enough and len(names) > 1:
         names = ["safe"]
-    rows = {n: cut(running(proposals[n].select("id", "u", "s", "m"), "id", [], name="place"), n) for n in names}
+    placed = lambda r: running(r, "id", [], name="place") if cfg.mixture and len(names) > 1 else r  # noqa: E731  only mixtures take rows by place
+    rows = {n: cut(placed(proposals[n].select("id", "u", "s", "m")), n) for n in names}
     counts = {n: rows[n].count() for n in names}
     ratios = {n: rows[n].select((F.col("u") / F.col("s")).alias("lr")) for n in names}
     own_cal = cut(cal.select("u", "s", "m", VIOLATIONS(cfg.violation)("score").alias("bad")), "cal")

@@ -17,7 +17,7 @@ from ..semantics import TINY, md5_uniform
 from ..storage import cut, drops
 from .claims import threshold_losses
 from .control import Search, beta_search
-from .sampling import accept_until, best_scoring, calibration_split, sample_quality
+from .sampling import accept_first, best_scoring, calibration_split, sample_quality
 
 
 def policy_chain(liks: Column, betas: list[float], psis: list[float], versus: str = "last") -> Column:
@@ -68,8 +68,7 @@ def improve(spark: SparkSession, start: DataFrame, propose: Callable[[int, DataF
         beta, psi, proposal = max(found["beta"], TINY), found["psi"], found["proposal"]
         lr = F.col("u") / F.col("s")
         chance = accept_safe(lr, beta) if proposal == "safe" else accept_unconstrained(lr, beta)
-        rows = props[proposal].withColumn("_chain", F.lit(r))
-        judged = cut(accept_until(rows, chance, md5_uniform(seed + r, "id"), target, "_chain", ["id"]).drop("_chain"), "judged")
+        judged = cut(accept_first(props[proposal], chance, md5_uniform(seed + r, "id"), target, "id"), "judged")
         kept = judged.filter("accepted").drop("accepted")
         quality = sample_quality(kept).first()
         new, _ = calibration_split(kept, share, seed + r)

@@ -83,6 +83,15 @@ def accept_until(df: DataFrame, probability: Column, draw: Column, target: int,
     return ranked.filter(F.col("_run") - F.col("accepted").cast("bigint") < target).drop("_run", "_rn").select(*judged.columns)
 
 
+def accept_first(df: DataFrame, probability: Column, draw: Column, target: int, order: str) -> DataFrame:
+    """accept_until of one chain: a small target is a top-k of the accepted rows, without ranks of all."""
+    judged = df.withColumn("accepted", draw < probability)
+    if not 0 < target <= TOP:
+        return accept_until(df.withColumn("_chain", F.lit(0)), probability, draw, target, "_chain", [order]).drop("_chain")
+    last = lowest(judged.filter("accepted").select(order), target, order).agg(F.max(order), F.count("*")).first()
+    return judged.filter(F.col(order) <= last[0]) if last[1] == target else judged
+
+
 class Metropolis(Fold):
     """A row (chain, order, target, proposal, draw) against the ratio w = target / proposal of the last accepted one.
 
