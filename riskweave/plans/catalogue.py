@@ -712,7 +712,8 @@ def tilted_density(spark, d):
 
 @query("safe_division", f"WITH {CAL} SELECT id, CASE WHEN id % 3 = 0 THEN CAST('inf' AS DOUBLE) ELSE round(u / (id % 3), 9) END AS q FROM cal")
 def safe_division(spark, d):
-    return calibration(spark, d).select("id", F.round(np_div("u", F.col("id") % 3), 9).alias("q"))
+    q = np_div("u", F.col("id") % 3)
+    return calibration(spark, d).select("id", (F.round(q * 1e9) / 1e9).alias("q"))  # the product is rounded, as in SQL, and not the decimal text
 
 
 @query("infeasible_rows", f"WITH {CAL} SELECT grp, count(*) AS n FROM cal WHERE NOT isfinite(score) GROUP BY grp")
